@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oddlens.llm import decontaminate, html, mixing, quality, tokens, url_filter
+from oddlens.llm import decontaminate, html, mixing, quality, tokens, url_filter, warc
 
 QUERIES = {
     "op3_html_extraction": html.op3_html_extraction,
@@ -11,8 +11,10 @@ QUERIES = {
     "op7_token_counts": tokens.op7_token_counts,
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_quality_rules": quality.op9_quality_rules,
+    "op10_warc": warc.op10_warc,
 }
 ORACLES = {
     "op6_url_filter": url_filter.ORACLE,
     "op9_quality_rules": quality.ORACLE,
+    "op10_warc": warc.ORACLE,
 }

@@ -70,9 +70,14 @@ def url_filter(captures: DataFrame, entries: DataFrame, key: str = "page_id") ->
     return out.select(F.col("_id").alias(key), "url", "fetched_at", F.coalesce(F.col("b.action") == "block", F.lit(False)).alias("blocked"), "b.kind", "b.pattern", "b.listed_at")
 
 
+def fetch_time(page_id: Column) -> Column:
+    """The fetch time of a page, spread over the year by its id."""
+    return F.timestamp_seconds(F.lit(EPOCH) + F.pmod(page_id * 7919, F.lit(SPAN)))
+
+
 def captures_of(pages: DataFrame) -> DataFrame:
-    """A capture of each page; its time is spread over the year by page_id."""
-    return pages.select("page_id", "url", F.timestamp_seconds(F.lit(EPOCH) + F.pmod(F.col("page_id") * 7919, F.lit(SPAN))).alias("fetched_at"))
+    """A capture of each page."""
+    return pages.select("page_id", "url", fetch_time(F.col("page_id")).alias("fetched_at"))
 
 
 def entries_of(captures: DataFrame) -> DataFrame:
