@@ -47,23 +47,33 @@ def n_words(text: Column) -> Column:
     return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, SPACE_RE))).cast("long")
 
 
-def with_few(df: DataFrame, few: DataFrame, on: list[str], how: str = "left", salts: int = 64) -> DataFrame:
-    """df joined with a written table that has one row a key. Null keys match null keys.
+def with_few(df: DataFrame, few: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """df joined (left or inner) with a written table that has one row a key. Null keys match null keys.
 
-    The table is broadcast only when its counted rows are within BROADCAST_ROWS. Beyond that both sides are
-    shuffled, and each key is dealt over `salts` tasks, so that a key with a third of df's rows stays even.
+    The table is broadcast only when its counted rows are within BROADCAST_ROWS. Beyond that lookup() joins it, by
+    which a key with a third of df's rows stays even. df must be cheap to compute twice, or written.
     """
-    right = few.withColumnsRenamed({c: f"_r_{c}" for c in on})
-    same = [df[c].eqNullSafe(right[f"_r_{c}"]) for c in on]
+    right = few.withColumnsRenamed({c: f"_r_{c}" for c in on}).withColumn("_hit", F.lit(True))
     if few.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        joined = df.join(F.broadcast(right), same, how)
-        return joined.drop(*[f"_r_{c}" for c in on])
-    left = df.withColumn("_salt", (F.rand(11) * salts).cast("int"))
-    right = right.withColumn("_r_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    same = [left[c].eqNullSafe(right[f"_r_{c}"]) for c in on]
-    joined = left.join(right.hint("merge"), [*same, left["_salt"] == right["_r_salt"]], how)
-    return joined.drop("_salt", "_r_salt", *[f"_r_{c}" for c in on])
+        out = df.join(F.broadcast(right), [df[c].eqNullSafe(right[f"_r_{c}"]) for c in on], how)
+        return out.drop("_hit", *[f"_r_{c}" for c in on])
+    right = right.withColumn("_on", F.struct(*[F.col(f"_r_{c}").alias(c) for c in on])).drop(*[f"_r_{c}" for c in on])
+    out = lookup(df.withColumn("_on", F.struct(*on)), right, "_on")
+    return (out.where("_hit") if how == "inner" else out).drop("_on", "_hit")
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str, salts: int = 256) -> DataFrame:
+    """rows left-joined with table, which has one row a key, where a key may hold a third of rows.
+
+    The keys of rows are first cut to one row a key and salt, by partial aggregation; these meet the table, and
+    then rows meet them by key and salt. No task gets more than `salts` rows of a key before, or its share after.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(salts)).cast("int"))
+    asked = salted.select(F.col(key).alias("_k"), F.col("_salt").alias("_s")).where("_k is not null").distinct()
+    other = [c for c in table.columns if c != key]
+    answers = asked.join(table.hint("merge"), asked["_k"] == table[key]).select("_k", "_s", *other)
+    return salted.join(answers.hint("merge"), (salted[key] == answers["_k"]) & (salted["_salt"] == answers["_s"]), "left").drop("_k", "_s", "_salt")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from oddlens.llm import decontaminate, html, mixing, quality, tokens, url_filter, warc
+from oddlens.llm import decontaminate, html, jaccard, mixing, quality, tokens, url_filter, warc
 
 QUERIES = {
+    "op2_jaccard_join": jaccard.op2_jaccard_join,
     "op3_html_extraction": html.op3_html_extraction,
     "op4_mixing": mixing.op4_mixing,
     "op6_url_filter": url_filter.op6_url_filter,
