@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from oddlens.llm import decontaminate, html, jaccard, mixing, quality, tokens, url_filter, warc
+from oddlens.llm import decontaminate, html, jaccard, kneser_ney, mixing, quality, tokens, url_filter, warc
 
 QUERIES = {
     "op2_jaccard_join": jaccard.op2_jaccard_join,
     "op3_html_extraction": html.op3_html_extraction,
     "op4_mixing": mixing.op4_mixing,
+    "op5_lm_scoring": kneser_ney.op5_lm_scoring,
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_token_counts": tokens.op7_token_counts,
     "op8_decontamination": decontaminate.op8_decontamination,
