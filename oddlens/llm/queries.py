@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from oddlens.llm import decontaminate, html, jaccard, kneser_ney, mixing, quality, tokens, url_filter, warc
+from oddlens.llm import decontaminate, html, jaccard, kneser_ney, mixing, quality, suffix_dedup, tokens, url_filter, warc
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_jaccard_join": jaccard.op2_jaccard_join,
     "op3_html_extraction": html.op3_html_extraction,
     "op4_mixing": mixing.op4_mixing,
