@@ -169,28 +169,28 @@ def _fused(spark, sf):
 
 @query("f1_global_zscore", fx.sql("WITH st AS (SELECT method, avg(score) FILTER (WHERE split = 'validation' AND defect_type = 'good') AS m, stddev_pop(score) FILTER (WHERE split = 'validation' AND defect_type = 'good') AS s FROM event_scores GROUP BY method) SELECT method, item_id, round((score - m) / (s + 1e-8), 5) AS z FROM event_scores JOIN st USING (method)"))
 def f1_global_zscore(spark, sf):
-    return fu.zscore(_scores(spark, sf), ["method"], 0).select("method", "item_id", F.round("z", 5).alias("z"))
+    return fu.zscore(_scores(spark, sf), ["method"], 0).select("method", "item_id", F.round(F.col("z") + 1e-9, 5).alias("z"))
 
 
-@query("f2_category_zscore", fx.sql(f"WITH {Z2.strip()} SELECT method, item_id, category, round(z, 5) AS z FROM zs"))
+@query("f2_category_zscore", fx.sql(f"WITH {Z2.strip()} SELECT method, item_id, category, round(z + 1e-9, 5) AS z FROM zs"))
 def f2_category_zscore(spark, sf):
-    return fu.zscore(_scores(spark, sf), ["method", "category"], 1).select("method", "item_id", "category", F.round("z", 5).alias("z"))
+    return fu.zscore(_scores(spark, sf), ["method", "category"], 1).select("method", "item_id", "category", F.round(F.col("z") + 1e-9, 5).alias("z"))
 
 
 def _one_fusion(name):
     def f(spark, sf):
-        return _fused(spark, sf).where(F.col("method") == name).select("item_id", "category", "split", F.round("score", 5).alias("score"))
+        return _fused(spark, sf).where(F.col("method") == name).select("item_id", "category", "split", F.round(F.col("score") + 1e-9, 5).alias("score"))
 
     return f
 
 
 for _name, _id in (("fusion_mean", "f3_mean_fusion"), ("fusion_max", "f4_max_fusion"), ("fusion_rank", "f5_rank_fusion"), ("fusion_weighted", "f6_weighted_fusion")):
-    query(_id, fx.sql(f"WITH {Z2.strip()} SELECT item_id, category, split, round({_name}, 5) AS score FROM one"))(_one_fusion(_name))
+    query(_id, fx.sql(f"WITH {Z2.strip()} SELECT item_id, category, split, round({_name} + 1e-9, 5) AS score FROM one"))(_one_fusion(_name))
 
 
-@query("f7_fusion_table", fx.sql(f"WITH {Z2.strip()} SELECT method, item_id, label, round(score, 5) AS score FROM fl"))
+@query("f7_fusion_table", fx.sql(f"WITH {Z2.strip()} SELECT method, item_id, label, round(score + 1e-9, 5) AS score FROM fl"))
 def f7_fusion_table(spark, sf):
-    return _fused(spark, sf).select("method", "item_id", "label", F.round("score", 5).alias("score"))
+    return _fused(spark, sf).select("method", "item_id", "label", F.round(F.col("score") + 1e-9, 5).alias("score"))
 
 
 @query("w1_rank_percent", fx.sql("SELECT method, item_id, round((rank() OVER (PARTITION BY method ORDER BY score) + (count(*) OVER (PARTITION BY method, score) - 1) / 2.0::DOUBLE) / count(*) OVER (PARTITION BY method) + 1e-9, 6) AS pct FROM event_scores WHERE split IN ('validation', 'test')"))
@@ -223,9 +223,9 @@ sliced AS (SELECT *, unnest(CASE WHEN defect_type = 'good' THEN ['logical', 'str
 """
 
 
-@query("e7_single_branch", fx.sql(f"WITH {LATTICE.strip()} SELECT method, anomaly_type, round(m, 5) AS mean_auroc FROM macro WHERE method IN ('value', 'k', 'hour')"))
+@query("e7_single_branch", fx.sql(f"WITH {LATTICE.strip()} SELECT method, anomaly_type, round(m + 1e-9, 5) AS mean_auroc FROM macro WHERE method IN ('value', 'k', 'hour')"))
 def e7_single_branch(spark, sf):
-    return _slice_auroc(spark, sf, {m: [m] for m in METHODS}).select("method", "anomaly_type", F.round("mean_auroc", 5).alias("mean_auroc"))
+    return _slice_auroc(spark, sf, {m: [m] for m in METHODS}).select("method", "anomaly_type", F.round(F.col("mean_auroc") + 1e-9, 5).alias("mean_auroc"))
 
 
 LOO = "b AS (SELECT round(m, 4) AS base FROM macro WHERE method = 'all' AND anomaly_type = 'overall'), loo AS (SELECT replace(method, 'without ', '') AS branch, round(m, 4) AS without_branch, round(base - round(m, 4), 4) AS importance_delta FROM macro, b WHERE method LIKE 'without %' AND anomaly_type = 'overall')"
@@ -272,8 +272,8 @@ def e12_backend_check(spark, sf):
     return fx.table(spark, sf, "events").groupBy(F.col("event_type").alias("category")).agg(F.bool_and(ok).alias("all_expected"), F.count_if(~ok).alias("n_other"))
 
 
-@query("e16_fusion_stats", fx.sql(f"WITH {Z2.strip()} SELECT method, category, defect_type, count(*) AS n, round(avg(score), 5) AS mean, round(stddev_samp(score), 5) AS std, round(min(score), 5) AS lo, round(quantile_cont(score, 0.5), 5) AS p50, round(max(score), 5) AS hi FROM fl GROUP BY method, category, defect_type"))
+@query("e16_fusion_stats", fx.sql(f"WITH {Z2.strip()} SELECT method, category, defect_type, count(*) AS n, round(avg(score) + 1e-9, 5) AS mean, round(stddev_samp(score) + 1e-9, 5) AS std, round(min(score) + 1e-9, 5) AS lo, round(quantile_cont(score, 0.5) + 1e-9, 5) AS p50, round(max(score) + 1e-9, 5) AS hi FROM fl GROUP BY method, category, defect_type"))
 def e16_fusion_stats(spark, sf):
     g = _fused(spark, sf).groupBy("method", "category", "defect_type")
-    f5 = lambda c, n: F.round(c, 5).alias(n)
+    f5 = lambda c, n: F.round(c + 1e-9, 5).alias(n)
     return g.agg(F.count(F.lit(1)).alias("n"), f5(F.avg("score"), "mean"), f5(F.stddev_samp("score"), "std"), f5(F.min("score"), "lo"), f5(F.percentile("score", F.lit(0.5)), "p50"), f5(F.max("score"), "hi"))

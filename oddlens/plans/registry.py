@@ -18,4 +18,4 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
-from oddlens.plans import evaluation_queries, table_queries, vector_queries  # noqa: E402, F401
+from oddlens.plans import evaluation_queries, stream_queries, table_queries, vector_queries  # noqa: E402, F401
