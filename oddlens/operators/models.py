@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from oddlens.operators.tables import capped_sample
 from oddlens.operators.vectors import nearest_word, unit
+from oddlens.sources.shared import written
 
 ROUNDS = 10
 
@@ -27,24 +28,10 @@ def vocabulary(patches: DataFrame, keys: list[str], k: int, rounds: int = ROUNDS
     for r in range(rounds):
         words = lloyd_step(patches, words, keys)
         if r % 5 == 4:
-            words = _cut(words)
+            words = written(words)
     return words
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder and read back, so that plans of many rounds stay short."""
-    import tempfile
-    import uuid
-
-    shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = "file://" + tempfile.mkdtemp(prefix="oddlens-")
-        df.sparkSession.conf.set("spark.checkpoint.dir", shared)
-    path = f"{shared.rstrip('/')}/oddlens/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def lloyd_step(patches: DataFrame, words: DataFrame, keys: list[str]) -> DataFrame:
     """The mean of the vectors nearest to each word; words without vectors stay. One pass with partial sums by position."""
     near = nearest_word(patches, words, keys, ["vec_id", "features"])
@@ -186,12 +173,12 @@ def probe(patches: DataFrame, w: int = 2) -> DataFrame:
 
 def connected_parts(cells: DataFrame, rounds: int = 64) -> DataFrame:
     """cells (item_id, i, j): rows (item_id, n_parts) of 4-connected parts, by least labels of neighbours until none changes."""
-    lab = _cut(cells.select("item_id", "i", "j", (F.col("i") * 100_000 + F.col("j")).cast("long").alias("lab")))
+    lab = written(cells.select("item_id", "i", "j", (F.col("i") * 100_000 + F.col("j")).cast("long").alias("lab")))
     steps = F.array(*[F.struct(F.lit(a).alias("di"), F.lit(b).alias("dj")) for a, b in ((0, 0), (0, 1), (1, 0), (0, -1), (-1, 0))])
     for _ in range(rounds):
         sent = lab.select("item_id", F.explode(steps).alias("s"), "i", "j", "lab").select("item_id", (F.col("i") + F.col("s.di")).alias("i"), (F.col("j") + F.col("s.dj")).alias("j"), F.col("lab").alias("_l"))
         low = sent.groupBy("item_id", "i", "j").agg(F.min("_l").alias("_l"))
-        new = _cut(lab.join(low, ["item_id", "i", "j"]).select("item_id", "i", "j", F.least("lab", "_l").alias("lab"), (F.col("_l") < F.col("lab")).alias("changed")))
+        new = written(lab.join(low, ["item_id", "i", "j"]).select("item_id", "i", "j", F.least("lab", "_l").alias("lab"), (F.col("_l") < F.col("lab")).alias("changed")))
         changed = not new.where("changed").isEmpty()
         lab = new.drop("changed")
         if not changed:

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from oddlens.plans import fixtures as fx
 from oddlens.plans.registry import query
+from oddlens.sources.shared import fresh
 from oddlens.streaming.scoring import scored_stream, windowed_rates
 
 
@@ -19,8 +17,7 @@ def x1_stream_scoring(spark, sf):
     v = e.where("split = 'validation'").groupBy("category").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
     z = e.where("split = 'validation'").join(v, "category").withColumn("z", (F.col("value") - F.col("mean")) / (F.col("std") + 1e-8))
     stats = v.join(z.groupBy("category").agg(F.percentile("z", F.lit(0.9)).alias("threshold")), "category")
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="oddlens-")
-    out = f"{shared.rstrip('/')}/oddlens/stream-{uuid.uuid4().hex}"
+    out = fresh(spark, "stream")
     schema = fx.table(spark, sf, "events").schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(f"{sf}/events*.parquet")
     items = stream.select(F.col("event_id").alias("item_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("category"), F.col("value").alias("score"))

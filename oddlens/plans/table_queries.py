@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -11,17 +9,11 @@ from oddlens.operators import tables as tb
 from oddlens.plans import fixtures as fx
 from oddlens.plans.registry import query
 from oddlens.sources import files
+from oddlens.sources.shared import fresh
 
 T = fx.table
 
 
-def _scratch(spark) -> str:
-    import tempfile
-
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="oddlens-")
-    return f"{shared.rstrip('/')}/oddlens/{uuid.uuid4().hex}"
-
-
 PATH = r"regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '')"
 
 
@@ -48,7 +40,7 @@ def s2_optional_scan(spark, sf):
 def s3_csv_round_trip(spark, sf):
     """Scores written as CSV by method, and read back."""
     e = T(spark, sf, "events").select(F.col("event_type").alias("method"), F.col("event_id").alias("item_id"), F.col("value").alias("score"))
-    path = _scratch(spark)
+    path = fresh(spark, "csv")
     files.publish(e, path, "csv", ["method"])
     return spark.read.schema("item_id bigint, score double, method string").option("header", True).csv(path).select("method", "item_id", "score")
 
