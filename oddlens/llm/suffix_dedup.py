@@ -8,9 +8,11 @@ questions. All batches read one shuffle of the texts.
    hash of each of its grams once and learns which are in other documents too. Other windows cannot repeat.
 3. Which strings around shared grams occur elsewhere? The batch sorts the suffixes at these places (hash-compared
    mergesort, equal ones verified), and sends each distinct string's digest with its least document; the answer is
-   the least document of all. It also learns where one gram stands in different strings.
-4. Which windows of those occur elsewhere? The windows of strings that are first of their kind, yet whose gram stands
-   in other strings as well, are sorted as suffixes and asked in the same way.
+   the least document of all. It also learns which grams stand in several different strings.
+4. Which windows of those occur elsewhere? The strings that are first of their kind, yet whose gram stands in other
+   strings as well, go to the bucket of the gram, which sorts their windows as suffixes (hash-compared mergesort,
+   equal ones verified byte by byte) and tells which stand in an earlier document. Where a gram stands in more than
+   MANY strings, the batch sorts the windows itself and asks for each as in question 3, so no bucket gathers them.
 
 Batches send a key once however often they hold it, so a string that a third of the documents share costs a bucket
 one entry a batch. Digests are 128-bit BLAKE2b.
@@ -39,8 +41,10 @@ from oddlens.llm.suffixes import SuffixSorter, units
 MIN_LEN = 50
 BATCH_BYTES = 4_000_000
 BUCKETS = 4
-COPIES, GRAMS, STRINGS, PLACES, WINDOWS = range(5)
-_ASK = "bucket int, kind int, batch bigint, p0 binary, p1 binary, p2 binary"
+#: Different strings around one gram that one bucket sorts.
+MANY = 5000
+COPIES, GRAMS, STRINGS, PLACES, WINDOWS, CONTENTS = range(6)
+_ASK = "bucket int, kind int, batch bigint, p0 binary, p1 binary, p2 binary, p3 binary"
 _TELL = "_batch bigint, kind int, bucket int, answer binary"
 
 
@@ -64,19 +68,19 @@ class Batch:
 
     def ask(self, kind: int, bucket: np.ndarray, columns: list[tuple[np.ndarray, int]]) -> list[dict]:
         """One row a bucket; entries must be in order of bucket, and answers come in the same order."""
-        cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else []
+        if not len(bucket):
+            return []
+        cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
         return [
             {"bucket": int(bucket[lo]), "kind": kind} | {f"p{k}": planes(c[lo:hi].view(np.uint64), n) for k, (c, n) in enumerate(columns)}
             for lo, hi in zip(cut, np.append(cut[1:], len(bucket)), strict=True)
         ]
 
-    def answer(self, kind: int, bucket: np.ndarray, bits: bool) -> np.ndarray:
-        """The answers to what ask() sent, in its order."""
-        told, out = self.told.get(kind, {}), []
-        for b, n in zip(*np.unique(bucket, return_counts=True), strict=True):
-            raw = told[int(b)]
-            out.append(np.unpackbits(np.frombuffer(raw, np.uint8), count=n).astype(bool) if bits else from_planes(raw, 8).view(np.int64))
-        return np.concatenate(out) if out else np.empty(0, bool if bits else np.int64)
+    def answer(self, kind: int, bucket: np.ndarray, read) -> np.ndarray:
+        """The answers to what ask() sent, in its order; read(raw, n) makes n of them from bytes."""
+        told = self.told.get(kind, {})
+        out = [read(told[int(b)], n) for b, n in zip(*np.unique(bucket, return_counts=True), strict=True)]
+        return np.concatenate(out) if out else read(b"", 0)
 
     # the second question
     def grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -95,7 +99,7 @@ class Batch:
 
     def use_grams(self) -> None:
         bucket, _, _, back = self.grams()
-        keep = self.answer(GRAMS, bucket, True)[back] if len(back) else np.empty(0, bool)
+        keep = self.answer(GRAMS, bucket, _as_bits)[back] if len(back) else np.empty(0, bool)
         self.first, self.last, self.key, self.doc = self.first[keep], self.last[keep], self.key[keep], self.doc[keep]
         self.sorter = SuffixSorter(self.buf) if len(self.first) else None
 
@@ -124,10 +128,11 @@ class Batch:
         return self.last - self.first + self.width
 
     def places(self):
-        """(bucket, key, lowest and highest digest, back) of the distinct keys, in order of bucket."""
+        """(bucket, key, lowest and highest digest, strings, back) of the distinct keys, in order of bucket."""
         n = np.uint64(self.n)
         _, high, _, _, back = self.units_sorted
         keys, of = np.unique(self.key, return_inverse=True)
+        count = np.bincount(np.unique(np.stack([of, back]), axis=1)[0] if len(of) else of, minlength=len(keys))
         lo, hi = np.full(len(keys), np.iinfo(np.uint64).max, np.uint64), np.zeros(len(keys), np.uint64)
         np.minimum.at(lo, of, high[back])
         np.maximum.at(hi, of, high[back])
@@ -135,44 +140,61 @@ class Batch:
         by = np.argsort(bucket, kind="stable")
         place = np.empty(len(by), np.int64)
         place[by] = np.arange(len(by))
-        return bucket[by], keys[by], lo[by], hi[by], place[of]
+        return bucket[by], keys[by], lo[by], hi[by], count[by], place[of]
 
     def ask_strings(self) -> list[dict]:
         self.use_grams()
         self.units_sorted = self.strings(self.first, self.sizes(), self.doc)
         bucket, high, low, least, _ = self.units_sorted
         asked = self.ask(STRINGS, bucket, [(high, 8), (low, 8), (least, 8)])
-        bucket, keys, lo, hi, _ = self.places()
-        return asked + self.ask(PLACES, bucket, [(keys, 8), (lo, 8), (hi, 8)])
+        bucket, keys, lo, hi, count, _ = self.places()
+        return asked + self.ask(PLACES, bucket, [(keys, 8), (lo, 8), (hi, 8), (count, 4)])
+
+    def windows_of(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, document) of each window of the units in which."""
+        n = (self.last - self.first + 1)[which]
+        at = np.repeat(self.first[which], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return at, np.repeat(self.doc[which], n)
 
     def use_strings(self) -> None:
-        """Splits the units: covered ones, and those whose windows are open."""
+        """Splits the units: covered ones, and those whose windows are open, by how common their gram is."""
         self.use_grams()
         self.units_sorted = self.strings(self.first, self.sizes(), self.doc)
         bucket, _, _, _, back = self.units_sorted
-        least = self.answer(STRINGS, bucket, False)[back] if len(back) else np.empty(0, np.int64)
-        bucket, _, _, _, place = self.places()
-        several = self.answer(PLACES, bucket, True)[place] if len(place) else np.empty(0, bool)
+        least = self.answer(STRINGS, bucket, _as_longs)[back] if len(back) else np.empty(0, np.int64)
+        bucket, *_, place = self.places()
+        several = self.answer(PLACES, bucket, _as_bytes)[place] if len(place) else np.empty(0, np.uint8)
         self.covered = least < self.doc
-        open_ = np.flatnonzero(~self.covered & several)
-        n = (self.last - self.first + 1)[open_]
-        self.at = np.repeat(self.first[open_], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        self.at_doc = np.repeat(self.doc[open_], n)
+        few = np.flatnonzero(~self.covered & (several == 1))
+        self.few = few[np.argsort((self.key[few] % np.uint64(self.n)).astype(np.int64), kind="stable")]
+        self.at, self.at_doc = self.windows_of(np.flatnonzero(~self.covered & (several == 2)))
         self.windows = self.strings(self.at, np.full(len(self.at), self.width), self.at_doc)
 
     def ask_windows(self) -> list[dict]:
         self.use_strings()
         bucket, high, low, least, _ = self.windows
-        return self.ask(WINDOWS, bucket, [(high, 8), (low, 8), (least, 8)])
+        rows = self.ask(WINDOWS, bucket, [(high, 8), (low, 8), (least, 8)])
+        raw, size = self.buf.tobytes(), self.sizes()
+        bucket = (self.key[self.few] % np.uint64(self.n)).astype(np.int64)
+        sent = self.ask(CONTENTS, bucket, [(self.doc[self.few], 8), (size[self.few], 4)])
+        at = 0
+        for row in sent:
+            n = len(row["p1"]) // 4
+            row["p2"] = b"".join(raw[a : a + k] for a, k in zip(self.first[self.few[at : at + n]].tolist(), size[self.few[at : at + n]].tolist(), strict=True))
+            at += n
+        return rows + sent
 
     def removed(self) -> dict[int, np.ndarray]:
         """The spans (begin, end) to remove of each row of the batch that has any."""
         self.use_strings()
         bucket, _, _, _, back = self.windows
-        least = self.answer(WINDOWS, bucket, False)[back] if len(back) else np.empty(0, np.int64)
+        least = self.answer(WINDOWS, bucket, _as_longs)[back] if len(back) else np.empty(0, np.int64)
         gone = self.at[least < self.at_doc]
-        begin = np.concatenate([self.first[self.covered], gone])
-        end = np.concatenate([self.last[self.covered], gone]) + self.width
+        at, _ = self.windows_of(self.few)
+        bucket = np.repeat((self.key[self.few] % np.uint64(self.n)).astype(np.int64), (self.last - self.first + 1)[self.few])
+        also = at[self.answer(CONTENTS, bucket, _as_bits)]
+        begin = np.concatenate([self.first[self.covered], gone, also])
+        end = np.concatenate([self.last[self.covered], gone, also]) + self.width
         order = np.argsort(begin, kind="stable")
         begin, end = begin[order], end[order]
         out: dict[int, np.ndarray] = {}
@@ -190,13 +212,42 @@ class Batch:
         return out
 
 
-def _bits(x: np.ndarray) -> bytes:
-    return np.packbits(x).tobytes()
+def _as_bits(raw: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(raw, np.uint8), count=n).astype(bool)
+
+
+def _as_bytes(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, np.uint8)
+
+
+def _as_longs(raw: bytes, n: int) -> np.ndarray:
+    return from_planes(raw, 8).view(np.int64)
+
 
+def _packed(x: np.ndarray) -> bytes:
+    return np.packbits(x).tobytes() if x.dtype == bool else x.tobytes() if x.dtype == np.uint8 else planes(x.view(np.uint64), 8)
 
-def _reply(pdf: pd.DataFrame) -> pd.DataFrame:
+
+def _reply_contents(pdf: pd.DataFrame, width: int) -> pd.DataFrame:
+    """Which windows of the strings of a bucket stand in an earlier document."""
+    doc = np.concatenate([from_planes(x, 8) for x in pdf["p0"]]).view(np.int64)
+    size = np.concatenate([from_planes(x, 4) for x in pdf["p1"]]).astype(np.int64)
+    n = size - width + 1
+    at = np.repeat(np.cumsum(size) - size, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    order, same = SuffixSorter(np.frombuffer(b"".join(pdf["p2"]), np.uint8)).sort(at, np.full(len(at), width))
+    own = np.repeat(doc, n)
+    least = np.minimum.reduceat(own[order], np.flatnonzero(~same))[np.cumsum(~same) - 1]
+    out = np.empty(len(at), bool)
+    out[order] = least < own[order]
+    cut = np.cumsum(n)[np.cumsum([len(x) // 4 for x in pdf["p1"]])[:-1] - 1]
+    return pd.DataFrame({"_batch": pdf["batch"], "kind": CONTENTS, "bucket": pdf["bucket"], "answer": [_packed(x) for x in np.split(out, cut)]})
+
+
+def _reply(pdf: pd.DataFrame, width_of_window: int) -> pd.DataFrame:
     """Answers of a bucket to one kind of question."""
     kind = int(pdf["kind"].iloc[0])
+    if kind == CONTENTS:
+        return _reply_contents(pdf, width_of_window)
     width = 5 if kind == GRAMS else 8
     key = [from_planes(x, width) for x in pdf["p0"]]
     cut = np.cumsum([len(k) for k in key])[:-1]
@@ -211,7 +262,8 @@ def _reply(pdf: pd.DataFrame) -> pd.DataFrame:
         lo, hi = np.full(len(keys), np.iinfo(np.uint64).max, np.uint64), np.zeros(len(keys), np.uint64)
         np.minimum.at(lo, back, two)
         np.maximum.at(hi, back, three)
-        out = (lo != hi)[back]
+        total = np.bincount(back, weights=np.concatenate([from_planes(x, 4) for x in pdf["p3"]]).astype(np.int64))
+        out = np.where(lo == hi, 0, np.where(total > MANY, 2, 1)).astype(np.uint8)[back]
     else:
         doc = np.concatenate([from_planes(x, 8) for x in pdf["p2"]]).view(np.int64)
         order = np.lexsort((two, key))
@@ -220,7 +272,7 @@ def _reply(pdf: pd.DataFrame) -> pd.DataFrame:
         out = np.empty(len(key), np.int64)
         out[order] = least[np.cumsum(head) - 1]
     parts = np.split(out, cut)
-    return pd.DataFrame({"_batch": pdf["batch"], "kind": kind, "bucket": pdf["bucket"], "answer": [_bits(p) if p.dtype == bool else planes(p.view(np.uint64), 8) for p in parts]})
+    return pd.DataFrame({"_batch": pdf["batch"], "kind": kind, "bucket": pdf["bucket"], "answer": [_packed(p) for p in parts]})
 
 
 def removed_spans(docs: DataFrame, min_len: int = MIN_LEN) -> DataFrame:
@@ -240,7 +292,7 @@ def removed_spans(docs: DataFrame, min_len: int = MIN_LEN) -> DataFrame:
     pack = "_batch bigint, kind int, bucket int, answer binary"
     copies = written(copies.groupBy("_batch").applyInPandas(lambda p: pd.DataFrame({"_batch": p["_batch"].iloc[:1], "kind": COPIES, "bucket": 0, "answer": [p["doc_id"].to_numpy(np.int64).tobytes()]}), pack), "copies")
     by_batch = data.groupBy("_batch")
-    ask_type = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("batch", pa.int64()), *((f"p{k}", pa.binary()) for k in range(3))])
+    ask_type = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("batch", pa.int64()), *((f"p{k}", pa.binary()) for k in range(4))])
 
     def ask(method: str):
         def f(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -255,7 +307,7 @@ def removed_spans(docs: DataFrame, min_len: int = MIN_LEN) -> DataFrame:
     told = copies
     for method in ("ask_grams", "ask_strings", "ask_windows"):
         asked = by_batch.cogroup(told.groupBy("_batch")).applyInArrow(ask(method), _ASK)
-        told = told.unionAll(asked.groupBy("bucket", "kind").applyInPandas(_reply, _TELL))
+        told = told.unionAll(asked.groupBy("bucket", "kind").applyInPandas(lambda pdf: _reply(pdf, min_len), _TELL))
     given = T.StructType([docs.schema[c] for c in cols if c != "text"] + [T.StructField("text", T.StringType())])
     given = given.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string").add("spans", T.ArrayType(T.StructType().add("begin", "long").add("end", "long")))
 
@@ -296,3 +348,17 @@ def suffix_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)
+
+
+ORACLE = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+win AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS g FROM d, unnest(range(0, n - 49)) AS u(p) WHERE n >= 50),
+hit AS (SELECT doc_id, p FROM (SELECT *, min(doc_id) OVER (PARTITION BY g) AS m FROM win) WHERE m < doc_id),
+run AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM (SELECT *, CASE WHEN p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 1 ELSE 0 END AS fresh FROM hit)),
+span AS (SELECT doc_id, k, min(p) AS b, max(p) + 50 AS e FROM run GROUP BY doc_id, k),
+piece AS (SELECT doc_id, coalesce(lag(e) OVER w, 0) AS b, b AS e FROM span WINDOW w AS (PARTITION BY doc_id ORDER BY b)
+  UNION ALL SELECT d.doc_id, coalesce(max(span.e), 0), any_value(n) FROM d LEFT JOIN span USING (doc_id) GROUP BY d.doc_id),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * b + 1, 2 * (e - b)), '' ORDER BY b) AS k FROM piece JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, n::BIGINT AS n_bytes, (n - length(k) / 2)::BIGINT AS n_removed, coalesce(s, 0)::BIGINT AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS s FROM span GROUP BY doc_id) USING (doc_id)
+"""
