@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from oddlens.sources.shared import shared_dir, written
+
+__all__ = ["BROADCAST_ROWS", "SPACE", "let", "lookup", "n_words", "partitions", "shared_dir", "with_few", "words", "written"]
+
 #: White space that ends a word: space and \t \n \v \f \r.
 SPACE = " \t\n\x0b\x0c\r"
 SPACE_RE = r"[\x20\x09-\x0D]+"
@@ -15,22 +16,6 @@ SPACE_RE = r"[\x20\x09-\x0D]+"
 BROADCAST_ROWS = 100_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a new one where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="oddlens-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: lineage ends there and Spark knows the real size."""
-    path = f"{shared_dir(df.sparkSession)}/oddlens/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def let(value: Column, body) -> Column:
     """body(value) with value computed once a row, however often body names it."""
     return F.transform(F.array(value), body)[0]

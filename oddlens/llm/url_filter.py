@@ -20,8 +20,8 @@ from oddlens.llm.common import with_few, written
 
 #: From the least to the most specific.
 KINDS = ("domain", "host", "section")
-#: Query data: captures are fetched within a year from here.
-EPOCH, SPAN = 1704067200, 365 * 86400
+#: Query data: captures are fetched, and lists are dated, within a year from here.
+EPOCH, SPAN = "2024-01-01 00:00:00", 365 * 86400
 
 
 def host_of(url: Column) -> Column:
@@ -72,7 +72,7 @@ def url_filter(captures: DataFrame, entries: DataFrame, key: str = "page_id") ->
 
 def fetch_time(page_id: Column) -> Column:
     """The fetch time of a page, spread over the year by its id."""
-    return F.timestamp_seconds(F.lit(EPOCH) + F.pmod(page_id * 7919, F.lit(SPAN)))
+    return F.timestamp_add("SECOND", F.pmod(page_id * 7919, F.lit(SPAN)), F.lit(EPOCH).cast("timestamp_ntz"))
 
 
 def captures_of(pages: DataFrame) -> DataFrame:
@@ -82,7 +82,7 @@ def captures_of(pages: DataFrame) -> DataFrame:
 
 def entries_of(captures: DataFrame) -> DataFrame:
     """Dated entries that follow the captured hosts: by the first hex digits of a pattern's md5, about half of all patterns get one entry or two."""
-    day = lambda h, i: F.timestamp_seconds(F.lit(EPOCH) + F.conv(F.substring(h, i, 3), 16, 10).cast("long") % 365 * 86400)
+    day = lambda h, i: F.timestamp_add("DAY", F.conv(F.substring(h, i, 3), 16, 10).cast("int") % 365, F.lit(EPOCH).cast("timestamp_ntz"))
     patterns = captures.select(F.explode(keys_of(F.col("url"))).alias("k")).select("k.kind", "k.pattern").distinct().withColumn("h", F.md5(F.concat_ws(":", "kind", "pattern")))
     first = F.struct(F.when(F.substring("h", 1, 1) < "6", "block").otherwise("allow").alias("action"), day(F.col("h"), 3).alias("listed_at"))
     second = F.struct(F.when(F.substring("h", 2, 1) < "8", "allow").otherwise("block").alias("action"), day(F.col("h"), 6).alias("listed_at"))
