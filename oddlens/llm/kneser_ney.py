@@ -33,8 +33,10 @@ from oddlens.llm.common import partitions, shared_dir, written
 from oddlens.llm.jaccard import from_planes, mix64, planes
 
 FOLDS, HELD_OUT = 7, 2
-BUCKETS = 4
-FLUSH = 1_500_000
+#: Buckets of words and bigrams to a shuffle partition; continuation counts are dealt to as many slots as partitions.
+BUCKETS = 2
+#: Tokens that a task counts, or scores, at a time.
+FLUSH, AT_ONCE = 1_000_000, 500_000
 HOT_SHARE, HOT_OF_BUCKET = 2000, 64
 #: Byte strings that cannot be words: the end token and the start, which is only ever a context.
 END, START = b"\n", b" "
@@ -165,7 +167,7 @@ def _dealt(bucket: np.ndarray, columns: list[np.ndarray]) -> pd.DataFrame:
 def train(docs: DataFrame) -> dict:
     """Counts docs (text) and writes the model; returns its files and sums, whose size follows the number of buckets."""
     spark = docs.sparkSession
-    n = BUCKETS * partitions(spark)
+    n, n_slots = BUCKETS * partitions(spark), partitions(spark)
     folder = f"{local_path(shared_dir(spark))}/oddlens/kn-{uuid.uuid4().hex}"
     texts = docs.select("text")
 
@@ -180,7 +182,7 @@ def train(docs: DataFrame) -> dict:
             for t in b["text"].tolist():
                 held.append(words.of(t))
                 size += len(held[-1])
-                if size >= 2 * FLUSH:
+                if size >= FLUSH:
                     yield flush()
                     held, size = [], 0
         if held:
@@ -250,7 +252,7 @@ def train(docs: DataFrame) -> dict:
         arrays |= {"ctx": ctx[~is_hot]} | {f"s{k}": stats[k][~is_hot] for k in range(4)}
         file = _file("bigram", b, f"{folder}/bigram-{b}-{uuid.uuid4().hex}", arrays, of_counts(c), np.vstack([ctx[is_hot], stats[:, is_hot]]))
         keys, counts = np.unique(w2, return_counts=True)
-        out = _dealt((mix64(keys) % np.uint64(n)).astype(np.int64), [keys, counts.astype(np.uint64)])
+        out = _dealt((mix64(keys) % np.uint64(n_slots)).astype(np.int64), [keys, counts.astype(np.uint64)])
         out = out.rename(columns={"c0": "hot", "c1": "more"}).assign(kind="part")
         both = [file | {"slot": -1 - b}, *out.assign(slot=out["bucket"]).to_dict("records")]
         return pd.DataFrame({c: pd.Series([r.get(c) for r in both], dtype="int64" if c in ("bucket", "slot") else object) for c in [*(x.split()[0] for x in _FILE.split(", ")), "more", "slot"]})
@@ -277,6 +279,7 @@ def train(docs: DataFrame) -> dict:
     before = [total("before", k) for k in range(7)]
     return {
         "n": n,
+        "n_slots": n_slots,
         "n_tokens": n_tokens,
         "n_types": sum(r["sums"][1] for r in word_files),
         "hot": hot,
@@ -307,7 +310,7 @@ class Scorer:
     def _count(self, kind: str, w: np.ndarray) -> np.ndarray:
         """Counts of sorted distinct words."""
         out = np.zeros(len(w), np.int64)
-        bucket = (mix64(w) % np.uint64(self.m["n"])).astype(np.int64)
+        bucket = (mix64(w) % np.uint64(self.m["n" if kind == "word" else "n_slots"])).astype(np.int64)
         for b, at in _by(bucket):
             if (a := self.arrays(kind, b)) is not None:
                 ok, where = found_at(a["key"], w[at])
@@ -362,7 +365,7 @@ def scored(docs: DataFrame, model: dict) -> DataFrame:
             texts, at = b["text"].tolist(), 0
             while at < len(texts):
                 tokens, size, start = [], 0, at
-                while at < len(texts) and size < FLUSH:
+                while at < len(texts) and size < AT_ONCE:
                     tokens.append(words.of(texts[at]))
                     size += len(tokens[-1])
                     at += 1
