@@ -102,10 +102,20 @@ def leaderboard(metrics: DataFrame, value: str = "auroc") -> DataFrame:
     return m.withColumn(f"mean_{value}", (F.col("logical") + F.col("structural")) / 2)
 
 
+def quantile(df: DataFrame, keys: list[str], value: str, q: float, name: str) -> DataFrame:
+    """The exact q quantile (linear) of each group, from running counts of distinct values; no task holds a group."""
+    n = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    r = running(n, keys, value, ["n"]).join(n.groupBy(*keys).agg(F.sum("n").alias("_all")), keys)
+    at = (F.col("_all") - 1) * F.lit(q)
+    holds = lambda place: (F.col("before_n") <= place) & (F.col("before_n") + F.col("n") > place)
+    lo, hi = F.floor(at), F.ceil(at)
+    two = r.where(holds(lo) | holds(hi)).groupBy(*keys).agg(F.max(F.when(holds(lo), F.col(value))).alias("_lo"), F.max(F.when(holds(hi), F.col(value))).alias("_hi"), F.first(at - lo).alias("_part"))
+    return two.select(*keys, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_part")).alias(name))
+
+
 def operating_threshold(scores: DataFrame, q: float = 0.9) -> DataFrame:
-    """The q quantile (linear) of validation good scores by method and category. Each group's scores meet in one aggregate; use percentile_approx beyond memory."""
-    v = scores.where("split = 'validation' and defect_type = 'good'")
-    return v.groupBy("method", "category").agg(F.percentile("score", F.lit(q)).alias("val_threshold"))
+    """The q quantile of validation good scores by method and category."""
+    return quantile(scores.where("split = 'validation' and defect_type = 'good'"), ["method", "category"], "score", q, "val_threshold")
 
 
 def at_threshold(scores: DataFrame, thresholds: DataFrame) -> DataFrame:

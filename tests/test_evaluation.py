@@ -52,6 +52,14 @@ def test_f1_sweep(spark, seed):
     assert (got["f1_max"], got["f1_threshold"]) == pytest.approx(naive_sweep(s, y))
 
 
+@pytest.mark.parametrize("q", [0.0, 0.37, 0.9, 1.0])
+def test_quantile(spark, q):
+    rng = np.random.default_rng(6)
+    s = np.round(rng.normal(size=157), 1)
+    got = ev.quantile(scored(spark, s, s * 0), ["method"], "score", q, "t").first()["t"]
+    assert got == pytest.approx(np.quantile(s, q))
+
+
 def test_f1_all_equal(spark):
     got = ev.f1_sweep(scored(spark, [2, 2, 2], [0, 1, 1]), ["method"]).first()
     assert got["recall_at_f1"] == 1 and got["f1_threshold"] == 2
