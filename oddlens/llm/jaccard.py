@@ -4,13 +4,17 @@ A document's set holds its distinct 5-word shingles as 64-bit hashes. For sets o
 Jaccard 0.8 allow a symmetric difference of D = 2n // 9. Shingles toggle bits of a sketch (each is XORed into one of
 2^16 bits of one of P pieces), so two sketches differ in at most as many bits, and hence pieces, as the sets do in
 shingles: at least P - D pieces agree. Documents of one size band compare pieces for equality; a smaller partner may
-lie in the band below, so each document enters its own band and the next. Pieces with fewer than two toggled bits say
-little and are left out, which both partners do alike; a document with P - D such pieces or more keeps them, so no
-link is lost. Equal pieces give candidate pairs, which are verified on the sets.
-
-Equal sets form a class, and only its least document is joined. Candidates of one piece are verified against the
-least of them first; after that only pairs that lie in different components are, so the work on a group of copies
-stays linear. Components come from alternating stars.
+lie in the band below, so each document enters its own band and the next. As P - D pieces agree, each document may
+leave out its P - D - 1 most frequent pieces and a link still has a piece that both keep: pieces with fewer than two
+toggled bits go first (and are not even sent, unless a document has too many), then those that most documents share.
+A passage that many documents share fills few pieces of each and so makes no candidates. Equal pieces give candidate
+pairs. Their whole sketches, folded into 4 to 8 bits a shingle, drop those that differ in more than D bits; the rest
+are verified on the sets.
+
+Equal sets form a class, and only its least document is joined. Each document is first verified against the candidate
+with which it shares most pieces, then against the one with the nearest sketch, and then all pairs that still lie in
+different components are. Sketches are compared among the documents that share a piece with the least document of that piece, in blocks of
+BLOCK documents. Components come from alternating stars.
 
 Null, empty and blank texts have an empty set and link with nothing. Texts with fewer words than a shingle have one
 shingle. Rows with one doc_id are one node. Rows with a null doc_id are counted but join nothing (component null). An
@@ -31,8 +35,12 @@ from oddlens.llm.components import components
 
 WIDTH = 5
 NUM, DEN = 80, 100
+#: Texts that are hashed together.
+AT_ONCE = 128
 #: Entries that a task gathers before it deals them to buckets; buckets to a shuffle partition.
 FLUSH, BUCKETS = 400_000, 4
+#: Documents of one piece whose sketches meet in one task, at most about twice as many.
+BLOCK = 4000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -53,23 +61,37 @@ class Shingles:
     def __init__(self) -> None:
         self.known: dict[bytes, int] = {}
 
-    def of(self, text: str | None) -> np.ndarray:
+    def words(self, text: str | None) -> np.ndarray:
         import xxhash
 
         words = text.encode().lower().split() if isinstance(text, str) else []  # bytes: A-Z and the six white-space bytes only
-        if not words:
-            return np.empty(0, np.uint64)
         if len(self.known) > self.KEPT:
             self.known.clear()
         known = self.known
         for w in set(words).difference(known):
             known[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        n = min(WIDTH, len(h))
+        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+    @staticmethod
+    def _rolled(h: np.ndarray, n: int) -> np.ndarray:
         s = np.full(len(h) - n + 1, n, np.uint64)
         for k in range(n):
             s = mix64(s ^ h[k : len(h) - n + 1 + k])
-        return np.unique(s)
+        return s
+
+    def of(self, texts: list) -> list[np.ndarray]:
+        """The sets of some texts; shingles are hashed over all of them end to end, and those across an end left out."""
+        words = [self.words(t) for t in texts]
+        flat = np.concatenate([*words, np.empty(0, np.uint64)])
+        rolled = self._rolled(flat, WIDTH) if len(flat) >= WIDTH else flat
+        out, at = [], 0
+        for w in words:
+            if len(w) >= WIDTH:
+                out.append(np.unique(rolled[at : at + len(w) - WIDTH + 1]))
+            else:
+                out.append(self._rolled(w, len(w)) if len(w) else w)
+            at += len(w)
+        return out
 
 
 def band_edges(largest: int = 1 << 40) -> np.ndarray:
@@ -92,9 +114,13 @@ def pieces_of(diff: int) -> int:
     return diff + 1 + -(-3 * (diff + 1) // 10)
 
 
-def sketch_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, place of the set in sets): the pieces by which each set is found."""
-    keys, owners = [], []
+def sketch_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, place of the set in sets, tag) of the pieces by which each set may be found.
+
+    tag holds, from its lowest bit: whether the band is the next one, whether the piece is low, and how many of the
+    set's pieces of this band, as sent, are to be left out.
+    """
+    keys, owners, tags = [], [], []
     size = np.array([len(s) for s in sets])
     band = np.searchsorted(EDGES, size, side="right") - 1
     for up in (0, 1):
@@ -122,14 +148,17 @@ def sketch_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
             heads = np.flatnonzero(np.append(True, slot[1:] != slot[:-1]))
             value[slot[heads]] = np.bitwise_xor.reduceat(mix64(code & np.uint64(0xFFFF)), heads)
         low = bits < 2
-        few = np.bincount(own, weights=low, minlength=len(use)) < (p - diff)[use]
-        keep = ~low | ~few[own]
+        n_low, spare = np.bincount(own, weights=low, minlength=len(use)).astype(np.int64), (p - diff)[use] - 1
+        sent = n_low > spare
+        drop = np.where(sent, spare, spare - n_low)
+        keep = ~low | sent[own]
         key = mix64(mix64(value ^ mix64(inner.astype(np.uint64))) ^ ((band[use] + up)[own].astype(np.uint64) << np.uint64(32) | bits.astype(np.uint64)))
         keys.append(key[keep])
         owners.append(use[own[keep]])
+        tags.append((drop[own] << 2 | low << 1 | up)[keep])
     if not keys:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    return np.concatenate(keys), np.concatenate(owners)
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    return np.concatenate(keys), np.concatenate(owners), np.concatenate(tags)
 
 
 def planes(x: np.ndarray, n: int) -> bytes:
@@ -149,45 +178,37 @@ def set_rows(docs: DataFrame) -> DataFrame:
     def rows(batches):
         shingles = Shingles()
         for b in batches:
-            sets = [shingles.of(t) for t in b["text"].tolist()]
-            digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n_shingles": [len(s) for s in sets], "digest": digest})
+            ids, texts = b["doc_id"].astype("Int64"), b["text"].tolist()
+            for i in range(0, len(texts), AT_ONCE):
+                sets = shingles.of(texts[i : i + AT_ONCE])
+                digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+                yield pd.DataFrame({"doc_id": ids.iloc[i : i + AT_ONCE].reset_index(drop=True), "n_shingles": [len(s) for s in sets], "digest": digest})
 
     return docs.select("doc_id", "text").mapInPandas(rows, "doc_id bigint, n_shingles bigint, digest binary")
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """Rows (key, first, doc): the documents that share a piece, each beside the least of them. Equal sets of one task are sent once."""
+    """docs (doc_id, text), a document for each distinct set: rows (key, doc) of the pieces that a document keeps and shares."""
     n_buckets = BUCKETS * partitions(docs.sparkSession)
 
     def deal(batches):
-        shingles, seen = Shingles(), set()
+        shingles = Shingles()
         held, size = [], 0
 
         def flush():
-            keys, owners = (np.concatenate(x) for x in zip(*held, strict=True))
+            keys, owners, tags = (np.concatenate(x) for x in zip(*held, strict=True))
             bucket, rest = keys % np.uint64(n_buckets), keys // np.uint64(n_buckets)
             order = np.argsort(bucket, kind="stable")
-            cut = np.flatnonzero(np.diff(bucket[order])) + 1
-            parts = np.split(order, cut)
-            return pd.DataFrame({"bucket": [int(bucket[p[0]]) for p in parts], "n": [len(p) for p in parts], "keys": [planes(rest[p], 5) for p in parts], "docs": [planes(owners[p].view(np.uint64), 8) for p in parts]})
+            parts = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1)
+            columns = {"keys": (rest, 5), "docs": (owners.view(np.uint64), 8), "tags": (tags.view(np.uint64), 4)}
+            return pd.DataFrame({"bucket": [int(bucket[p[0]]) for p in parts]} | {c: [planes(x[p], n) for p in parts] for c, (x, n) in columns.items()})
 
         for b in batches:
             ids, texts = b["doc_id"].to_numpy(np.int64), b["text"].tolist()
-            for i in range(0, len(texts), 256):
-                sets, mine = [], []
-                for d, t in zip(ids[i : i + 256], texts[i : i + 256], strict=True):
-                    s = shingles.of(t)
-                    mark = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                    if mark not in seen:
-                        seen.add(mark)
-                        sets.append(s)
-                        mine.append(d)
-                if not sets:
-                    continue
-                keys, owners = sketch_keys(sets)
+            for i in range(0, len(texts), AT_ONCE):
+                keys, owners, tags = sketch_keys(shingles.of(texts[i : i + AT_ONCE]))
                 if len(keys):
-                    held.append((keys, np.array(mine, np.int64)[owners]))
+                    held.append((keys, ids[i : i + AT_ONCE][owners], tags))
                     size += len(keys)
                 if size >= FLUSH:
                     yield flush()
@@ -197,33 +218,97 @@ def candidates(docs: DataFrame) -> DataFrame:
             yield flush()
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = np.concatenate([from_planes(x, 5) for x in pdf["keys"]])
-        ids = np.concatenate([from_planes(x, 8) for x in pdf["docs"]]).view(np.int64)
-        order = np.lexsort((ids, keys))
-        keys, ids = keys[order], ids[order]
+        keys, ids, tags = (np.concatenate([from_planes(x, n) for x in pdf[c]]) for c, n in (("keys", 5), ("docs", 8), ("tags", 4)))
+        order = np.argsort(keys, kind="stable")
+        keys, ids, tags = keys[order], ids[order].view(np.int64), tags[order].view(np.int64)
         head = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        first = np.repeat(ids[head], np.diff(np.append(head, len(keys))))
-        other = first != ids
-        # the bucket keeps its keys apart from other buckets' by its own number
-        key = keys[other] * np.uint64(n_buckets) + np.uint64(pdf["bucket"].iloc[0])
-        return pd.DataFrame({"key": key.view(np.int64), "first": first[other], "doc": ids[other]}).drop_duplicates()
+        n = np.diff(np.append(head, len(keys)))
+        size = np.repeat(n, n)
+        shared = size > 1
+        # the bucket's number keeps its keys apart from those of other buckets
+        key = keys * np.uint64(n_buckets) + np.uint64(pdf["bucket"].iloc[0])
+        return pd.DataFrame({"key": key.view(np.int64)[shared], "doc": ids[shared], "n": size[shared], "tag": tags[shared]})
+
+    dealt = docs.select("doc_id", "text").mapInPandas(deal, "bucket int, keys binary, docs binary, tags binary")
+    found = dealt.groupBy("bucket").applyInPandas(meet, "key bigint, doc bigint, n bigint, tag bigint")
+    rank = F.struct((F.col("tag").bitwiseAND(2) > 0).alias("low"), "n", "key")
+    by_doc = found.groupBy("doc", F.col("tag").bitwiseAND(1).alias("up")).agg(F.sort_array(F.collect_list(rank)).alias("x"), F.first(F.shiftright("tag", 2)).alias("drop"))
+    kept = F.slice("x", F.lit(1), F.greatest(F.size("x") - F.col("drop"), F.lit(0)).cast("int"))
+    return by_doc.select("doc", F.explode(kept).alias("x")).select("x.key", "doc")
+
 
-    dealt = docs.where("doc_id is not null").select("doc_id", "text").mapInPandas(deal, "bucket int, n int, keys binary, docs binary")
-    return dealt.groupBy("bucket").applyInPandas(meet, "key bigint, first bigint, doc bigint")
+def whole_sketch(s: np.ndarray) -> bytes:
+    """Parities of the shingles in a power of two of bits, 64 at least."""
+    m = max(64, 1 << int(4 * len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
 def arrays_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Sets of the documents in ids (doc): rows (doc, shingles), the latter as bytes of sorted 64-bit numbers."""
+    """The documents in ids (doc): rows (doc, n, sketch, shingles), the last as bytes of sorted 64-bit numbers."""
 
     def arrays(batches):
         shingles = Shingles()
         for b in batches:
-            yield pd.DataFrame({"doc": b["doc_id"], "shingles": [shingles.of(t).tobytes() for t in b["text"].tolist()]})
+            sets = shingles.of(b["text"].tolist())
+            yield pd.DataFrame({"doc": b["doc_id"], "n": [len(s) for s in sets], "sketch": [whole_sketch(s) for s in sets], "shingles": [s.tobytes() for s in sets]})
 
     few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     ids = ids.withColumnRenamed("doc", "doc_id")
     mine = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids.hint("merge"), "doc_id", "left_semi")
-    return mine.mapInPandas(arrays, "doc bigint, shingles binary").dropDuplicates(["doc"])
+    return mine.mapInPandas(arrays, "doc bigint, n bigint, sketch binary, shingles binary").dropDuplicates(["doc"])
+
+
+def near_sketches(members: DataFrame) -> DataFrame:
+    """members (pivot, doc, component, n, sketch): pairs (a, b, bits) of a pivot and different components that may link.
+
+    Large pivots are cut into blocks, and each pair of blocks is compared by itself; many small ones share a task's call.
+    """
+    n_buckets = BUCKETS * partitions(members.sparkSession)
+    size = members.groupBy("pivot").agg(F.count(F.lit(1)).alias("_size"))
+    m = members.join(size.hint("merge"), "pivot").withColumn("_blocks", F.ceil(F.col("_size") / BLOCK).cast("int"))
+    m = m.withColumn("_b", F.pmod(F.xxhash64("doc"), F.col("_blocks")).cast("int"))
+    m = m.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    m = m.select("pivot", F.least("_b", "_o").alias("lo"), F.greatest("_b", "_o").alias("hi"), "_b", "doc", "component", "n", "sketch")
+    m = m.withColumn("bucket", F.pmod(F.xxhash64("pivot", "lo", "hi"), F.lit(n_buckets)).cast("int"))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["pivot", "lo", "hi"], kind="stable").reset_index(drop=True)
+        group = pdf.groupby(["pivot", "lo", "hi"], sort=False).ngroup().to_numpy()
+        nbytes = pdf["sketch"].map(len).to_numpy()
+        head = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        count = np.diff(np.append(head, len(group)))
+        least = np.repeat(np.minimum.reduceat(nbytes, head), count)
+        end = np.repeat(head + count, count)
+        n, doc, comp, block = (pdf[c].to_numpy() for c in ("n", "doc", "component", "_b"))
+        mixed = (pdf["lo"] != pdf["hi"]).to_numpy()
+        row = np.zeros(len(group), np.int64)
+        folded: dict[int, list[np.ndarray]] = {}
+        for k, (raw, size) in enumerate(zip(pdf["sketch"], least.tolist(), strict=True)):
+            w = np.frombuffer(raw, np.uint64)
+            while w.nbytes > size:
+                w = w[: len(w) // 2] ^ w[len(w) // 2 :]
+            row[k] = len(folded.setdefault(size, []))
+            folded[size].append(w)
+        out = []
+        for size, x in folded.items():
+            x = np.stack(x)
+            live = np.flatnonzero(least == size)
+            for d in range(1, int(count.max())):
+                live = live[live + d < end[live]]
+                if not len(live):
+                    break
+                for at in range(0, len(live), step := max(1, 16_000_000 // size)):
+                    i = live[at : at + step]
+                    j = i + d
+                    i, j = (v[(comp[i] != comp[j]) & (doc[i] != doc[j]) & (~mixed[i] | (block[i] != block[j])) & (DEN * np.minimum(n[i], n[j]) >= NUM * np.maximum(n[i], n[j]))] for v in (i, j))
+                    bits = np.bitwise_count(x[row[i]] ^ x[row[j]]).sum(1, dtype=np.int64)
+                    ok = bits * (DEN + NUM) <= (n[i] + n[j]) * (DEN - NUM)
+                    a, b = doc[i[ok]], doc[j[ok]]
+                    out.append(pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "bits": bits[ok]}))
+        return pd.concat(out).drop_duplicates() if out else pd.DataFrame({"a": [], "b": [], "bits": []}, dtype=np.int64)
+
+    return m.groupBy("bucket").applyInPandas(compare, "a bigint, b bigint, bits bigint").groupBy("a", "b").agg(F.min("bits").alias("bits"))
 
 
 def verified(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
@@ -246,33 +331,49 @@ def verified(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
     return two.select("a", "b", "x", "y").mapInPandas(check, "a bigint, b bigint")
 
 
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs less those in ids (doc_id), which is broadcast only if it is small."""
+    few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(ids) if few else ids.hint("merge"), "doc_id", "left_anti")
+
+
+def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """The pairs (a, b, ...) whose ends are in different components so far."""
+    p = with_few(pairs, parts.select(F.col("node").alias("a"), F.col("component").alias("_ca")), ["a"])
+    p = with_few(p, parts.select(F.col("node").alias("b"), F.col("component").alias("_cb")), ["b"])
+    return p.where(F.coalesce("_ca", "a") != F.coalesce("_cb", "b")).drop("_ca", "_cb")
+
+
 def linked(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text): rows (doc_id, n_shingles, component_id), one for each row of docs."""
     sets = written(set_rows(docs), "sets")
     classes = written(sets.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    found = written(candidates(docs), "candidates")
-    # candidates by the representatives of their classes
-    named = written(found.select(F.col("first").alias("doc")).unionAll(found.select("doc")).distinct(), "named")
-    rep = lookup(sets.where("digest is not null").join(F.broadcast(named) if named.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else named.hint("merge"), sets["doc_id"] == named["doc"], "left_semi").select("doc_id", "digest"), classes, "digest")
-    rep = written(rep.groupBy(F.col("doc_id").alias("doc")).agg(F.min("rep").alias("rep")), "rep")
-    ends = with_few(found, rep.withColumnsRenamed({"doc": "first", "rep": "a"}), ["first"], "inner")
-    ends = written(with_few(ends, rep.withColumnsRenamed({"rep": "b"}), ["doc"], "inner").select("key", "a", "b").where("a != b"), "ends")
-    pairs = written(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    arrays = written(arrays_of(docs, pairs.select(F.col("a").alias("doc")).unionAll(pairs.select("b")).distinct()), "arrays")
-    links = written(verified(pairs, arrays), "links")
+    copies = written(lookup(sets.where("digest is not null and doc_id is not null").select("doc_id", "digest"), classes, "digest").where("doc_id != rep").select("doc_id").distinct(), "copies")
+    ends = written(candidates(_without(docs.where("doc_id is not null").select("doc_id", "text"), copies)), "ends")
+    # first the least document of a piece with which a document shares most pieces
+    least = ends.groupBy("key").agg(F.min("doc").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "a")
+    pairs = ends.join(least.hint("merge"), "key").groupBy("a", F.col("doc").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    pairs = written(pairs, "pairs")  # with each pivot a beside itself
+    best = written(pairs.where("a != b").groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b"), "best")
+    arrays = written(arrays_of(docs, pairs.select(F.col("b").alias("doc")).distinct()), "arrays")
+    links = written(verified(best, arrays), "links")
     parts = written(components(links), "parts")
-    # what is left: candidates of one piece that are in different components and not yet verified
-    members = ends.select("key", F.col("a").alias("doc")).unionAll(ends.select("key", F.col("b").alias("doc"))).distinct()
-    members = with_few(members, parts.withColumnRenamed("node", "doc"), ["doc"]).withColumn("component", F.coalesce("component", "doc"))
-    members = written(members, "members")
-    open_keys = members.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo != _hi").select("key")
-    rest = written(members.join(open_keys.hint("merge"), "key"), "open")
-    x, y = rest.toDF("key", "a", "ca"), rest.toDF("key", "b", "cb")
-    cross = x.join(y.hint("merge"), "key").where("ca != cb and a < b").select("a", "b").distinct()
-    cross = cross.join(pairs.hint("merge"), ["a", "b"], "left_anti")
-    more = written(verified(written(cross, "cross"), arrays), "more")
+    # then documents that share the least document of a piece and are in different components, if their sketches are near
+    members = with_few(pairs.select(F.col("a").alias("pivot"), F.col("b").alias("doc")), parts.withColumnRenamed("node", "doc"), ["doc"])
+    members = written(members.withColumn("component", F.coalesce("component", "doc")), "members")
+    open_ = members.groupBy("pivot").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo != _hi").select("pivot")
+    members = members.join(open_.hint("merge"), "pivot").join(arrays.select("doc", "n", "sketch").hint("merge"), "doc")
+    cross = near_sketches(members).join(best.hint("merge"), ["a", "b"], "left_anti")
+    cross = written(cross, "cross")
+    nearest = written(cross.groupBy("b").agg(F.min_by("a", F.struct("bits", "a")).alias("a")).select("a", "b"), "nearest")
+    more = written(verified(nearest, arrays), "more")
     if not more.isEmpty():
-        parts = written(components(links.unionAll(more)), "parts")
+        links = links.unionAll(more)
+        parts = written(components(links), "parts")
+    rest = written(_apart(cross.select("a", "b").join(nearest.hint("merge"), ["a", "b"], "left_anti"), parts), "rest")
+    last = written(verified(rest, arrays), "last")
+    if not last.isEmpty():
+        parts = written(components(links.unionAll(last)), "parts")
     labels = with_few(classes, parts.withColumnRenamed("node", "rep"), ["rep"]).select("digest", F.coalesce("component", "rep").alias("_c"))
     out = lookup(sets, labels, "digest")
     # rows with one doc_id are one node
@@ -287,6 +388,17 @@ def op2_jaccard_join(spark, sf_dir: str) -> DataFrame:
 def jaccard_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that are the least of their component, with their columns as they are; rows with a null doc_id stay."""
     slim = docs.select("doc_id", "text")
-    gone = written(linked(slim).where("doc_id != component_id").select("doc_id").distinct(), "gone")
-    few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(gone) if few else gone.hint("merge"), "doc_id", "left_anti")
+    return _without(docs, written(linked(slim).where("doc_id != component_id").select("doc_id").distinct(), "gone")).select(docs.columns)
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+4], ' ') AS g FROM d, unnest(range(1, greatest(len(w) - 3, 2))) AS u(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM pair JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT a AS node, a AS seen FROM edge UNION SELECT node, b FROM reach JOIN edge ON seen = a),
+c AS (SELECT node, min(seen) AS component FROM reach GROUP BY node)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component, d.doc_id) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON node = d.doc_id
+"""

@@ -17,6 +17,8 @@ QUERIES = {
     "op10_warc": warc.op10_warc,
 }
 ORACLES = {
+    "op1_suffix_dedup": suffix_dedup.ORACLE,
+    "op2_jaccard_join": jaccard.ORACLE,
     "op6_url_filter": url_filter.ORACLE,
     "op9_quality_rules": quality.ORACLE,
     "op10_warc": warc.ORACLE,
