@@ -7,22 +7,17 @@ from pyspark.sql import functions as F
 
 from oddlens.llm.common import lookup, written
 
-#: A node with more neighbours than this gets its rows dealt by salt.
+#: With more links than this, a node may have many neighbours, and its rows are dealt by salt.
 MANY = 50_000
 
 
-def _to_least(edges: DataFrame, least: DataFrame, many: bool) -> DataFrame:
-    if many:
-        return lookup(edges, least, "u")
-    return edges.join(least.hint("merge"), "u")
-
-
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, many: bool) -> DataFrame:
     """edges (u, v), u > v, distinct. large: every node's larger neighbours go to its least one; small: the smaller ones do, and the node itself."""
     both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = written(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("u", "m")), "least")
-    many = (least.agg(F.max("n")).first()[0] or 0) > MANY
-    to = _to_least(both, least.drop("n"), many)
+    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    if many:
+        least = written(least, "least")
+    to = lookup(both, least, "u") if many else both.join(least.hint("merge"), "u")
     if large:
         out = to.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -36,9 +31,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = written(links.where(F.col(a) != F.col(b)).select(high.alias("u"), low.alias("v")).distinct(), "edges")
     mark = None
     while True:
-        edges = _star(_star(edges, True), False)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break
         mark = now
+        edges = _star(_star(edges, True, now[0] > MANY), False, now[0] > MANY)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
