@@ -3,7 +3,8 @@
 Targets are found by filling by weight below each source's cap. Every document has a place u in a pseudo-random
 permutation of its source. A source whose target is r times its size gives every document floor(r) times, and the
 documents at the places up to a limit once more; the limit is found by sums over ever finer ranges of places, so no
-task holds a whole source. The places of a source form blocks. A splitting tree deals each source's drawn blocks to
+task holds a whole source. A few documents beyond the limit, the best
+fits, close what is left of the gap. The places of a source form blocks. A splitting tree deals each source's drawn blocks to
 the output shards: at every node the left half gets a multivariate hypergeometric draw of the node's counts, source
 by source, so all shards hold the sources in nearly the target mix and each block goes to exactly one shard. Within
 a shard the documents are shuffled by a hash.
@@ -28,6 +29,8 @@ SHARDS = 16
 #: Blocks of all sources together, about; a source has at least one.
 BLOCKS = 4096
 SEED = 20240501
+#: Documents beyond a source's limit that may close the gap to its target.
+FILLERS = 3
 #: Places are 62-bit; each level of the search for the limit looks at 12 bits.
 BITS, LEVEL_BITS, LEVELS = 62, 12, 2
 
@@ -54,7 +57,7 @@ def place(doc_id: Column, seed: int) -> Column:
 
 
 def _limits(sized: DataFrame, plan: DataFrame) -> DataFrame:
-    """plan with limit: the highest place that is taken once more, or -1. sized: source, size, u."""
+    """plan with limit, the highest place that is taken once more (or -1), and also, some places beyond. sized: source, size, u."""
     want = written(plan.where("extra > 0").select("source", F.col("extra").alias("_want"), F.lit(0).cast("long").alias("_from")), "want")
     for level in range(1, LEVELS + 1):
         shift = BITS - LEVEL_BITS * level
@@ -66,12 +69,22 @@ def _limits(sized: DataFrame, plan: DataFrame) -> DataFrame:
     shift = BITS - LEVEL_BITS * LEVELS
     last = with_few(sized, want, ["source"], "inner").where(F.shiftright("u", shift) == F.col("_from"))
     by = W.partitionBy("source").orderBy("u").rangeBetween(W.unboundedPreceding, W.currentRow)
-    near = last.withColumn("_cum", F.sum("size").over(by)).where(F.col("_cum") - F.col("size") / 2.0 <= F.col("_want"))
-    found = near.groupBy("source").agg(F.max("u").alias("_u"))
-    # none of the last range is near enough: all places before that range
-    found = want.select("source", F.shiftleft("_from", shift).alias("_edge")).join(found.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left")
-    found = written(found.select("source", F.coalesce("_u", F.col("_edge") - 1).alias("limit")), "limits")
-    return with_few(plan, found, ["source"]).withColumn("limit", F.coalesce("limit", F.lit(-1).cast("long")))
+    fits = last.withColumn("_cum", F.sum("size").over(by)).where(F.col("_cum") <= F.col("_want"))
+    fits = fits.groupBy(F.col("source").alias("_s")).agg(F.max("u").alias("_u"), F.max("_cum").alias("_cum"))
+    found = want.join(fits, F.col("source").eqNullSafe(F.col("_s")), "left")
+    # where nothing of the last range fits, all places before it
+    found = found.select("source", F.coalesce("_u", F.shiftleft("_from", shift) - 1).alias("limit"), (F.col("_want") - F.coalesce("_cum", F.lit(0))).alias("_gap"))
+    found = written(found, "limits")
+    # a few documents beyond the limit, each the one that closes best what is left of the gap
+    found = found.withColumn("also", F.array().cast("array<bigint>"))
+    for r in range(FILLERS):
+        after = with_few(sized, found, ["source"], "inner").where((F.col("u") > F.col("limit")) & ~F.array_contains("also", F.col("u")) & (F.abs(F.col("size") - F.col("_gap")) < F.col("_gap")))
+        one = after.groupBy("source").agg(F.min_by(F.struct("u", "size"), F.struct(F.abs(F.col("size") - F.col("_gap")), "u")).alias("_f"))
+        more = with_few(found, written(one, "filler"), ["source"])
+        more = more.withColumns({"also": F.when(F.col("_f").isNotNull(), F.concat("also", F.array("_f.u"))).otherwise(F.col("also")), "_gap": F.greatest(F.lit(0.0), F.col("_gap") - F.coalesce("_f.size", F.lit(0)))})
+        found = written(more.drop("_f"), f"fillers{r}")
+    plan = with_few(plan, found.drop("_gap"), ["source"])
+    return plan.withColumns({"limit": F.coalesce("limit", F.lit(-1).cast("long")), "also": F.coalesce("also", F.array().cast("array<bigint>"))})
 
 
 def _hypergeometric(pop: Column, good: Column, draws: Column, u: Column) -> Column:
@@ -156,11 +169,14 @@ def sized(docs: DataFrame, seed: int = SEED) -> DataFrame:
 
 def mixed(rows: DataFrame, plan: DataFrame, table: DataFrame) -> DataFrame:
     """rows (doc_id, source, size, u, ...) with source_size, target, taken and the shards of their copies."""
-    out = with_few(rows, plan.select("source", "source_size", "target", "copies", "limit", "n_blocks"), ["source"])
-    out = out.withColumns({"n_copies": F.col("copies") + (F.col("u") <= F.col("limit")).cast("int"), "block": F.least(F.col("n_blocks") - 1, F.floor(F.col("u") / float(1 << BITS) * F.col("n_blocks")).cast("long"))})
+    out = with_few(rows, plan.select("source", "source_size", "target", "copies", "limit", "also", "n_blocks"), ["source"])
+    out = out.withColumns({"n_copies": F.col("copies") + ((F.col("u") <= F.col("limit")) | F.array_contains("also", F.col("u"))).cast("int"), "block": F.least(F.col("n_blocks") - 1, F.floor(F.col("u") / float(1 << BITS) * F.col("n_blocks")).cast("long"))})
     out = with_few(out, table, ["source", "block"])
-    shards = F.when(F.col("n_copies") > 0, F.slice("_shards", 1, F.greatest(F.col("n_copies"), F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    return out.withColumns({"taken": F.col("n_copies") * F.col("size"), "shards": shards}).drop("copies", "limit", "n_blocks", "_shards", "block")
+    # the block of a place beyond the limit is not drawn; its document goes to a shard by hash
+    lone = F.pmod(F.xxhash64(F.lit("also"), "u"), F.lit(SHARDS)).cast("int")
+    drawn = F.concat(F.coalesce("_shards", F.array().cast("array<int>")), F.array(lone))
+    shards = F.when(F.col("n_copies") > 0, F.slice(drawn, F.lit(1), F.greatest(F.col("n_copies"), F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    return out.withColumns({"taken": F.col("n_copies") * F.col("size"), "shards": shards}).drop("copies", "limit", "also", "n_blocks", "_shards", "block")
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
