@@ -270,7 +270,7 @@ def g13_connected_parts(spark, sf):
     return mo.connected_parts(cells.select("item_id", F.floor(F.col("p") / 8).cast("int").alias("i"), (F.col("p") % 8).cast("int").alias("j")))
 
 
-@query("e15_efficiency")
+@query("e15_efficiency", fx.sql("SELECT category, least(60, count(*) FILTER (WHERE split = 'train')) AS memory_bank_size, max(len(features))::INT AS memory_feature_dim, count(DISTINCT item_id) FILTER (WHERE split <> 'train') AS n_items, count(*) FILTER (WHERE split <> 'train') AS n_patches FROM item_patches GROUP BY category"))
 def e15_efficiency(spark, sf):
     """Bank sizes, dimensions and queries by category; wall time is the driver's to add."""
     p = fx.item_patches(spark, sf)
