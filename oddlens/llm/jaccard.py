@@ -7,6 +7,8 @@ shingles: at least P - D pieces agree. Documents of one size band compare pieces
 lie in the band below, so each document enters its own band and the next. As P - D pieces agree, each document may
 leave out its P - D - 1 most frequent pieces and a link still has a piece that both keep: pieces with fewer than two
 toggled bits go first (and are not even sent, unless a document has too many), then those that most documents share.
+A document with too many leaves out low pieces only: a partner may not have sent its own, so no ordinary piece may go in
+their place.
 A passage that many documents share fills few pieces of each and so makes no candidates. Equal pieces give candidate
 pairs. Their whole sketches, folded into 4 to 8 bits a shingle, drop those that differ in more than D bits; the rest
 are verified on the sets.
@@ -118,7 +120,7 @@ def sketch_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndar
     """(keys, place of the set in sets, tag) of the pieces by which each set may be found.
 
     tag holds, from its lowest bit: whether the band is the next one, whether the piece is low, and how many of the
-    set's pieces of this band, as sent, are to be left out.
+    set's pieces of this band, as sent, are to be left out: of its low ones if it sends those (0 beside the others).
     """
     keys, owners, tags = [], [], []
     size = np.array([len(s) for s in sets])
@@ -155,7 +157,8 @@ def sketch_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndar
         key = mix64(mix64(value ^ mix64(inner.astype(np.uint64))) ^ ((band[use] + up)[own].astype(np.uint64) << np.uint64(32) | bits.astype(np.uint64)))
         keys.append(key[keep])
         owners.append(use[own[keep]])
-        tags.append((drop[own] << 2 | low << 1 | up)[keep])
+        drop = np.where(sent[own] & ~low, 0, drop[own])
+        tags.append((drop << 2 | low << 1 | up)[keep])
     if not keys:
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     return np.concatenate(keys), np.concatenate(owners), np.concatenate(tags)
@@ -232,8 +235,9 @@ def candidates(docs: DataFrame) -> DataFrame:
     dealt = docs.select("doc_id", "text").mapInPandas(deal, "bucket int, keys binary, docs binary, tags binary")
     found = dealt.groupBy("bucket").applyInPandas(meet, "key bigint, doc bigint, n bigint, tag bigint")
     rank = F.struct((F.col("tag").bitwiseAND(2) > 0).alias("low"), "n", "key")
-    by_doc = found.groupBy("doc", F.col("tag").bitwiseAND(1).alias("up")).agg(F.sort_array(F.collect_list(rank)).alias("x"), F.first(F.shiftright("tag", 2)).alias("drop"))
-    kept = F.slice("x", F.lit(1), F.greatest(F.size("x") - F.col("drop"), F.lit(0)).cast("int"))
+    by_doc = found.groupBy("doc", F.col("tag").bitwiseAND(1).alias("up")).agg(F.sort_array(F.collect_list(rank)).alias("x"), F.max(F.shiftright("tag", 2)).alias("drop"), F.count_if(F.col("tag").bitwiseAND(2) > 0).alias("low"))
+    drop = F.when(F.col("low") > 0, F.least("drop", "low")).otherwise(F.col("drop"))
+    kept = F.slice("x", F.lit(1), F.greatest(F.size("x") - drop, F.lit(0)).cast("int"))
     return by_doc.select("doc", F.explode(kept).alias("x")).select("x.key", "doc")
 
 

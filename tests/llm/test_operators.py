@@ -199,6 +199,17 @@ def test_sketch_pieces_never_lose_a_link():
             assert kept[0] & kept[1] or len(a) == len(b) == both
 
 
+def test_jaccard_links_sets_of_unlike_size(spark):
+    rng, rows = random.Random(3), []
+    for k in range(400):
+        n = rng.randrange(8, 90)
+        a = [f"w{k}_{i}" for i in range(n + 4)]
+        rows += [" ".join(a), " ".join(a[: -(-n * 8 // 10) + rng.randrange(0, 2) + 4])]
+    got = jaccard.linked(spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")).toPandas()
+    # a pair is a text and the first 0.8 of its shingles
+    assert {r.doc_id: r.component_id for r in got.itertuples()} == {i: i - i % 2 for i in range(len(rows))}
+
+
 @pytest.mark.parametrize("many", [50_000, 0])
 def test_components(spark, many, monkeypatch):
     monkeypatch.setattr(components, "MANY", many)
