@@ -22,6 +22,14 @@ def _bank(patches):
     return tb.capped_sample(patches.where("split = 'train'"), "vec_id", CAP, 0, ["category"])
 
 
+#: The reference's cap of a category; regions share it, but for 1000 each at least.
+WHOLE_CAP = 100_000
+
+
+def _whole_bank(patches, keys=("category",), cap=WHOLE_CAP):
+    return tb.capped_sample(patches.where("split = 'train'"), "vec_id", cap, 0, list(keys))
+
+
 def _queries(patches):
     return patches.where("split != 'train'")
 
@@ -148,7 +156,7 @@ def m11_pca_study(spark, sf):
     out = None
     for k in (8, 16, 32):
         r = mo.reduced(p.where("split = 'train'"), p, k)
-        s = ve.nearest_blocks(_queries(r).select("category", "vec_id", "item_id", "features"), _bank(r), ["category"], ["vec_id", "item_id"])
+        s = ve.nearest_blocks(_queries(r).select("category", "vec_id", "item_id", "features"), _whole_bank(r), ["category"], ["vec_id", "item_id"])
         items = p.select("item_id", "split", "defect_type", "label").distinct()
         s = tb.top_fraction(s, "item_id", "score", {"score": 0.01}, floor=True).join(items, "item_id").where("split = 'test'").withColumn("dims", F.lit(k))
         out = s if out is None else out.unionByName(s)
@@ -276,3 +284,56 @@ def e15_efficiency(spark, sf):
     p = fx.item_patches(spark, sf)
     b = _bank(p).groupBy("category").agg(F.count(F.lit(1)).alias("memory_bank_size"), F.max(F.size("features")).alias("memory_feature_dim"))
     return b.join(_queries(p).groupBy("category").agg(F.count_distinct("item_id").alias("n_items"), F.count(F.lit(1)).alias("n_patches")), "category")
+
+
+# The queries above with CAP vectors a category, over banks with the reference's caps; tests hold them against brute force.
+
+
+def _scored(patches, k=1):
+    q = patches.select("category", "vec_id", "item_id", "features")
+    return lambda bank: ve.nearest_blocks(q, bank, ["category"], ["vec_id", "item_id"], k)
+
+
+@query("m1_nearest_whole")
+def m1_nearest_whole(spark, sf):
+    p = fx.item_patches(spark, sf)
+    return _scored(_queries(p))(_whole_bank(p)).select("vec_id", "category", F.round("score", 5).alias("score"))
+
+
+@query("m2_knn_blocks_whole")
+def m2_knn_blocks_whole(spark, sf):
+    p = fx.item_patches(spark, sf)
+    return _scored(_queries(p), 3)(_whole_bank(p)).select("vec_id", "category", F.round("score", 5).alias("score"))
+
+
+@query("m3_patch_memory_whole")
+def m3_patch_memory_whole(spark, sf):
+    p = fx.item_patches(spark, sf)
+    return tb.top_fraction(_scored(_queries(p), 3)(_whole_bank(p)), "item_id", "score", {"score": 0.05}).select("item_id", F.round("score", 5).alias("score"))
+
+
+@query("m4_region_memory_whole")
+def m4_region_memory_whole(spark, sf):
+    """Banks of all (category, region), each with its own cap, and the category's bank for regions that have none."""
+    p = fx.item_patches(spark, sf).withColumn("region", ve.region(F.col("i"), F.col("j"), 2, 2, 2))
+    q, ids = _queries(p).select("category", "region", "vec_id", "item_id", "features"), ["vec_id", "item_id"]
+    bank = _whole_bank(p, ("category", "region"), max(1000, WHOLE_CAP // 4))
+    fine = ve.nearest_blocks(q, bank, ["category", "region"], ids).select("vec_id", "item_id", "category", "score")
+    lone = q.join(F.broadcast(bank.select("category", "region").distinct()), ["category", "region"], "left_anti")  # five categories of four regions
+    rest = _scored(lone)(_whole_bank(p)).select("vec_id", "item_id", "category", "score")
+    both = fine.where("score is not null").unionByName(rest)
+    return tb.top_fraction(both, "item_id", "score", {"score": 0.05}).select("item_id", F.round("score", 5).alias("score"))
+
+
+@query("j9_nearest_in_key_whole")
+def j9_nearest_in_key_whole(spark, sf):
+    p = fx.item_patches(spark, sf)
+    n = _scored(p.where("split = 'test'"))(_whole_bank(p))
+    return n.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 5).alias("mean_score"))
+
+
+@query("e15_efficiency_whole")
+def e15_efficiency_whole(spark, sf):
+    p = fx.item_patches(spark, sf)
+    b = _whole_bank(p).groupBy("category").agg(F.count(F.lit(1)).alias("memory_bank_size"), F.max(F.size("features")).alias("memory_feature_dim"))
+    return b.join(_queries(p).groupBy("category").agg(F.count_distinct("item_id").alias("n_items"), F.count(F.lit(1)).alias("n_patches")), "category")
