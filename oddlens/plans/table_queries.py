@@ -117,6 +117,26 @@ def p8_equal_hashes(spark, sf):
     return h.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("item_id").alias("first_item")).where("n > 1")
 
 
+@query("p8_hash_classes")
+def p8_hash_classes(spark, sf):
+    """Every item with its whole hash, the class of the items with an equal one (their least id) and the size of the class."""
+    h = fx.grids(spark, sf).select("item_id", tb.average_hash(F.col("grid")).alias("hash"))
+    c = h.groupBy("hash").agg(F.min("item_id").alias("class_id"), F.count(F.lit(1)).alias("n"))
+    return h.join(c, "hash").select("item_id", "hash", "class_id", "n")
+
+
+@query("p8_near_hashes")
+def p8_near_hashes(spark, sf):
+    """Pairs of distinct hashes that differ in at most 3 of 64 bits, one of whose four bands of 16 bits is then equal; hash_b is null beside a hash that is least of no pair."""
+    h = fx.grids(spark, sf).select(tb.average_hash(F.col("grid")).alias("hash")).distinct()
+    bands = F.array(*[F.substring("hash", 4 * k + 1, 4) for k in range(4)])
+    k = h.select("hash", F.conv("hash", 16, -10).cast("bigint").alias("bits"), F.posexplode(bands).alias("band", "key"))
+    a, b = (k.select("band", "key", F.col("hash").alias(f"hash_{x}"), F.col("bits").alias(x)) for x in "ab")
+    d = a.join(b, ["band", "key"]).where("hash_a < hash_b").withColumn("distance", F.bit_count(F.col("a").bitwiseXOR(F.col("b"))))
+    pairs = d.where("distance <= 3").select("hash_a", "hash_b", "distance").distinct()
+    return h.select(F.col("hash").alias("hash_a")).join(pairs, "hash_a", "left")
+
+
 @query("p9_error_rows", "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS INT) AS k, json_extract_string(props, '$.k') IS NULL OR TRY_CAST(json_extract_string(props, '$.k') AS INT) IS NULL AS corrupted FROM events")
 def p9_error_rows(spark, sf):
     raw = F.get_json_object("props", "$.k")
