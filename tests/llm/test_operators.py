@@ -69,13 +69,17 @@ def removed_by_force(d):
     return out
 
 
-@pytest.mark.parametrize("many", [5000, 2])
-def test_suffix_dedup(spark, odd_docs, many, monkeypatch):
+@pytest.mark.parametrize(("hot", "chunk"), [(20_000, 1_000_000), (0, 3000)])
+def test_suffix_dedup(spark, odd_docs, hot, chunk, monkeypatch):
+    """Grams dealt whole or window by window, and sorted at once or in portions, remove the same bytes."""
     monkeypatch.setattr(suffix_dedup, "BATCH_BYTES", 4000)
-    monkeypatch.setattr(suffix_dedup, "MANY", many)
-    got = suffix_dedup.removed_spans(odd_docs).toPandas()
+    monkeypatch.setattr(suffix_dedup, "ROW_BYTES", 1)
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
+    out = suffix_dedup.removed_spans(odd_docs)
+    got = out.select("doc.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").toPandas()
     want = removed_by_force(pdf(odd_docs))
-    assert len(got) == 16 and set(odd_docs.columns) - {"_batch"} <= set(got.columns)
+    assert len(got) == 16
     for r in got.itertuples():
         if r.doc_id == r.doc_id:
             assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[int(r.doc_id)]
@@ -83,6 +87,25 @@ def test_suffix_dedup(spark, odd_docs, many, monkeypatch):
             assert r.n_removed == 0
 
 
+CLASHING = ("_batch", "_bytes", "_null", "_rest", "_own", "_id", "_found", "_digest", "doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "size", "u", "shard", "shard_order", "target", "taken", "n_copies", "shards", "_doc")
+
+
+@pytest.fixture(scope="module")
+def clashing(odd_docs):
+    """Columns named like those that operators make, each with a value that tells the row."""
+    df = odd_docs.select("doc_id", "text", "lang", "source", "n_chars")
+    return df.select("*", *[F.concat_ws("|", F.lit(c), "doc_id", "lang").alias(c) for c in CLASHING])
+
+
+def test_suffix_stage_keeps_clashing_columns(spark, clashing):
+    out = suffix_dedup.suffix_stage(spark, clashing, "")
+    assert out.columns == clashing.columns and out.schema["n_chars"].dataType == clashing.schema["n_chars"].dataType
+    other = [c for c in clashing.columns if c not in ("text", "n_chars")]
+    want = rows_of(clashing.where("doc_id is null or doc_id not in (1)").select(other).toPandas())
+    assert rows_of(out.select(other).toPandas()) == want
+    assert suffix_dedup.suffix_stage(spark, clashing.limit(0), "").count() == 0
+
+
 def test_suffix_sorter():
     rng = random.Random(1)
     for trial in range(20):
@@ -111,12 +134,25 @@ def test_units_choose_alike():
     found = []
     for pad in (13, 77):
         buf = np.frombuffer(bytes(rng.choice(b"xyz") for _ in range(pad)) + shared, np.uint8)
-        a, b, k = suffixes.units(buf, np.array([len(buf)]), 50)
-        assert sum(b - a + 1) == len(buf) - 49
+        a, b, g, k = suffixes.units(buf, np.array([len(buf)]), 50)
+        assert sum(b - a + 1) == len(buf) - 49 and (g >= b).all() and (g + suffixes.GRAM <= a + 50).all()
         found.append({s - pad: key for lo, hi, key in zip(a, b, k, strict=True) for s in range(lo, hi + 1) if s >= pad})
     assert found[0] == found[1]
 
 
+@pytest.mark.parametrize("segment", [1 << 16, 64])
+def test_distinct_strings_survive_collisions(segment, monkeypatch):
+    monkeypatch.setattr(suffixes, "SEGMENT", segment)
+    rng = random.Random(4)
+    buf = np.frombuffer(bytes(rng.choice(b"ab") for _ in range(700)), np.uint8)
+    at = np.sort(np.array([rng.randrange(600) for _ in range(400)]))
+    size = np.array([rng.choice([5, 6, 90]) for _ in at])
+    text = [buf[a : a + n].tobytes() for a, n in zip(at, size, strict=True)]
+    for h in (suffixes.string_hashes(buf, at, size), np.zeros(400, np.uint64)):
+        group, heads = suffixes.distinct(buf, at, size, h)
+        assert [text[heads[g]] for g in group] == text and len(heads) == len(set(text))
+
+
 # 2
 
 
