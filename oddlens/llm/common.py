@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from oddlens.sources.shared import shared_dir, written
 
-__all__ = ["BROADCAST_ROWS", "SPACE", "let", "lookup", "n_words", "partitions", "shared_dir", "with_few", "words", "written"]
+__all__ = ["BROADCAST_ROWS", "SPACE", "let", "lookup", "n_words", "partitions", "shared_dir", "spread", "with_few", "words", "written"]
 
 #: White space that ends a word: space and \t \n \v \f \r.
 SPACE = " \t\n\x0b\x0c\r"
@@ -62,3 +62,16 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, salts: int = 256) -> Dat
     other = [c for c in table.columns if c != key]
     answers = asked.join(table.hint("merge"), asked["_k"] == table[key]).select("_k", "_s", *other)
     return salted.join(answers.hint("merge"), (salted[key] == answers["_k"]) & (salted["_salt"] == answers["_s"]), "left").drop("_k", "_s", "_salt")
+
+
+def spread(rows: DataFrame, table: DataFrame, key: str, by: str, counted: DataFrame | None = None, most: int = 2000) -> DataFrame:
+    """rows joined (inner) with table, which has one row a key. Rows of a key with more than `most` of them (in counted,
+    a written table, such as rows) are dealt by a hash of column `by` to several tasks; each gets the key's row of table."""
+    n = (rows if counted is None else counted).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most)
+    hot = written(n.select(key, F.ceil(F.col("_n") / most).cast("int").alias("_salts")), "hot")
+    if hot.isEmpty():
+        return rows.join(table.hint("merge"), key)
+    salts = F.coalesce("_salts", F.lit(1))
+    dealt = with_few(rows, hot, [key]).withColumn("_salt", F.pmod(F.xxhash64(by), salts).cast("int")).drop("_salts")
+    copied = with_few(table, hot, [key]).withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return dealt.join(copied.hint("merge"), [key, "_salt"]).drop("_salt")

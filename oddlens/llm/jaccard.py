@@ -15,32 +15,41 @@ are verified on the sets.
 
 Equal sets form a class, and only its least document is joined. Each document is first verified against the candidate
 with which it shares most pieces, then against the one with the nearest sketch, and then all pairs that still lie in
-different components are. Sketches are compared among the documents that share a piece with the least document of that piece, in blocks of
-BLOCK documents. Components come from alternating stars.
+different components are. Sketches are compared among the documents that share a piece with the least document of that
+piece: those outside the largest component among them with each other and with that component, in blocks of BLOCK
+documents. Components come from alternating stars.
 
 Null, empty and blank texts have an empty set and link with nothing. Texts with fewer words than a shingle have one
-shingle. Rows with one doc_id are one node. Rows with a null doc_id are counted but join nothing (component null). An
-empty table gives no rows.
+shingle. Very long texts are hashed one by one, whole. Equal sets share one component, whose number is the least
+doc_id; among candidates with equally many shared pieces or bits the least doc_id is verified first, which does not
+change the result. Rows with one doc_id are one node, also when their texts differ (rows then get numbers of their own,
+in a written copy). Rows with a null doc_id are counted but join nothing (component null). Columns other than doc_id
+and text are not looked at. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oddlens.llm.common import BROADCAST_ROWS, lookup, partitions, with_few, written
+from oddlens.llm.common import BROADCAST_ROWS, lookup, partitions, spread, with_few, written
 from oddlens.llm.components import components
 
 WIDTH = 5
 NUM, DEN = 80, 100
-#: Texts that are hashed together.
-AT_ONCE = 128
-#: Entries that a task gathers before it deals them to buckets; buckets to a shuffle partition.
-FLUSH, BUCKETS = 400_000, 4
+#: Texts that are hashed together, and their characters; a longer text is hashed by itself.
+AT_ONCE, AT_ONCE_CHARS = 128, 500_000
+#: Entries that a task gathers before it deals them to buckets.
+FLUSH = 250_000
+#: A bucket of pieces gets the entries of so many bytes of text at least, and of so many for each of its rows from a task.
+BUCKET_BYTES, ROW_BYTES = 8_000_000, 400
+#: Buckets to a shuffle partition, for pairs of blocks.
+BUCKETS = 4
 #: Documents of one piece whose sketches meet in one task, at most about twice as many.
 BLOCK = 4000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -58,7 +67,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class Shingles:
     """Sorted distinct shingle hashes of texts; word hashes are kept while the task runs, up to a bound."""
 
-    KEPT = 300_000
+    KEPT = 100_000
 
     def __init__(self) -> None:
         self.known: dict[bytes, int] = {}
@@ -96,6 +105,19 @@ class Shingles:
         return out
 
 
+def portions(texts: list):
+    """Slices of texts that are hashed together."""
+    lo, size = 0, 0
+    for k, t in enumerate(texts):
+        n = len(t) if isinstance(t, str) else 0
+        if k > lo and (k - lo == AT_ONCE or size + n > AT_ONCE_CHARS):
+            yield slice(lo, k)
+            lo, size = k, 0
+        size += n
+    if lo < len(texts):
+        yield slice(lo, len(texts))
+
+
 def band_edges(largest: int = 1 << 40) -> np.ndarray:
     """The least size of each band; a partner of 0.8 times the size is in the same band or the one below."""
     lo = [1]
@@ -182,17 +204,18 @@ def set_rows(docs: DataFrame) -> DataFrame:
         shingles = Shingles()
         for b in batches:
             ids, texts = b["doc_id"].astype("Int64"), b["text"].tolist()
-            for i in range(0, len(texts), AT_ONCE):
-                sets = shingles.of(texts[i : i + AT_ONCE])
+            for part in portions(texts):
+                sets = shingles.of(texts[part])
                 digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-                yield pd.DataFrame({"doc_id": ids.iloc[i : i + AT_ONCE].reset_index(drop=True), "n_shingles": [len(s) for s in sets], "digest": digest})
+                yield pd.DataFrame({"doc_id": ids.iloc[part].reset_index(drop=True), "n_shingles": [len(s) for s in sets], "digest": digest})
 
     return docs.select("doc_id", "text").mapInPandas(rows, "doc_id bigint, n_shingles bigint, digest binary")
 
 
 def candidates(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text), a document for each distinct set: rows (key, doc) of the pieces that a document keeps and shares."""
-    n_buckets = BUCKETS * partitions(docs.sparkSession)
+    total = int(docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0)
+    n_buckets = max(total // max(BUCKET_BYTES, math.isqrt(ROW_BYTES * total)), partitions(docs.sparkSession))
 
     def deal(batches):
         shingles = Shingles()
@@ -208,10 +231,10 @@ def candidates(docs: DataFrame) -> DataFrame:
 
         for b in batches:
             ids, texts = b["doc_id"].to_numpy(np.int64), b["text"].tolist()
-            for i in range(0, len(texts), AT_ONCE):
-                keys, owners, tags = sketch_keys(shingles.of(texts[i : i + AT_ONCE]))
+            for part in portions(texts):
+                keys, owners, tags = sketch_keys(shingles.of(texts[part]))
                 if len(keys):
-                    held.append((keys, ids[i : i + AT_ONCE][owners], tags))
+                    held.append((keys, ids[part][owners], tags))
                     size += len(keys)
                 if size >= FLUSH:
                     yield flush()
@@ -254,8 +277,13 @@ def arrays_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     def arrays(batches):
         shingles = Shingles()
         for b in batches:
-            sets = shingles.of(b["text"].tolist())
-            yield pd.DataFrame({"doc": b["doc_id"], "n": [len(s) for s in sets], "sketch": [whole_sketch(s) for s in sets], "shingles": [s.tobytes() for s in sets]})
+            texts, ids = b["text"].tolist(), b["doc_id"]
+            for part in portions(texts):
+                sets = shingles.of(texts[part])
+                yield _arrays(ids.iloc[part], sets)
+
+    def _arrays(ids, sets):
+        return pd.DataFrame({"doc": ids, "n": [len(s) for s in sets], "sketch": [whole_sketch(s) for s in sets], "shingles": [s.tobytes() for s in sets]})
 
     few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     ids = ids.withColumnRenamed("doc", "doc_id")
@@ -263,17 +291,24 @@ def arrays_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return mine.mapInPandas(arrays, "doc bigint, n bigint, sketch binary, shingles binary").dropDuplicates(["doc"])
 
 
-def near_sketches(members: DataFrame) -> DataFrame:
-    """members (pivot, doc, component, n, sketch): pairs (a, b, bits) of a pivot and different components that may link.
+def near_sketches(members: DataFrame, arrays: DataFrame) -> DataFrame:
+    """members (pivot, doc, component), arrays (doc, n, sketch): pairs (a, b, bits) of a pivot and different components that may link.
 
-    Large pivots are cut into blocks, and each pair of blocks is compared by itself; many small ones share a task's call.
+    The largest component of a pivot is compared with the documents outside, and those with each other. Both are cut
+    into blocks, each pair of blocks is compared by itself, and many small ones share a task's call.
     """
     n_buckets = BUCKETS * partitions(members.sparkSession)
-    size = members.groupBy("pivot").agg(F.count(F.lit(1)).alias("_size"))
-    m = members.join(size.hint("merge"), "pivot").withColumn("_blocks", F.ceil(F.col("_size") / BLOCK).cast("int"))
-    m = m.withColumn("_b", F.pmod(F.xxhash64("doc"), F.col("_blocks")).cast("int"))
-    m = m.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    m = m.select("pivot", F.least("_b", "_o").alias("lo"), F.greatest("_b", "_o").alias("hi"), "_b", "doc", "component", "n", "sketch")
+    size = members.groupBy("pivot", "component").agg(F.count(F.lit(1)).alias("_n"))
+    size = size.groupBy("pivot").agg(F.sum("_n").alias("_all"), F.max(F.struct("_n", "component")).alias("_top")).where("_all > _top._n")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    size = written(size.select("pivot", F.col("_top.component").alias("_main"), blocks(F.col("_all") - F.col("_top._n")).alias("_rest"), blocks(F.col("_top._n")).alias("_most")), "open")
+    m = with_few(members, size, ["pivot"], "inner")
+    main, h = F.col("component") == F.col("_main"), F.xxhash64("doc")
+    # blocks of the rest come first; those of the largest component meet only them
+    m = m.withColumn("_b", F.when(main, F.col("_rest") + F.pmod(h, F.col("_most"))).otherwise(F.pmod(h, F.col("_rest"))).cast("int"))
+    m = m.withColumn("_o", F.explode(F.sequence(F.lit(0), F.when(main, F.col("_rest")).otherwise(F.col("_rest") + F.col("_most")) - 1)))
+    m = m.select("pivot", F.least("_b", "_o").alias("lo"), F.greatest("_b", "_o").alias("hi"), "_b", "doc", "component")
+    m = m.join(arrays.select("doc", "n", "sketch").hint("merge"), "doc")
     m = m.withColumn("bucket", F.pmod(F.xxhash64("pivot", "lo", "hi"), F.lit(n_buckets)).cast("int"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -317,8 +352,9 @@ def near_sketches(members: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets link."""
-    one = pairs.join(arrays.select(F.col("doc").alias("a"), F.col("shingles").alias("x")).hint("merge"), "a")
-    two = one.join(arrays.select(F.col("doc").alias("b"), F.col("shingles").alias("y")).hint("merge"), "b")
+    # either may be the partner of very many others
+    one = spread(pairs, arrays.select(F.col("doc").alias("b"), F.col("shingles").alias("y")), "b", "a")
+    two = spread(one, arrays.select(F.col("doc").alias("a"), F.col("shingles").alias("x")), "a", "b", pairs)
 
     def check(batches):
         for p in batches:
@@ -351,12 +387,35 @@ def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
 def linked(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text): rows (doc_id, n_shingles, component_id), one for each row of docs."""
     sets = written(set_rows(docs), "sets")
-    classes = written(sets.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    copies = written(lookup(sets.where("digest is not null and doc_id is not null").select("doc_id", "digest"), classes, "digest").where("doc_id != rep").select("doc_id").distinct(), "copies")
+    own = sets.where("digest is not null and doc_id is not null")
+    twice = own.groupBy("doc_id").agg(F.min("digest").alias("_lo"), F.max("digest").alias("_hi")).where("_lo != _hi")
+    if twice.isEmpty():
+        return _linked(docs, sets)
+    # rows get numbers of their own, and those of one doc_id are linked to their least
+    rows = written(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_row")), "rows")
+    node = F.when(F.col("doc_id").isNotNull(), F.col("_row"))
+    numbered = rows.select(node.alias("doc_id"), "text")
+    found = written(_linked(numbered, written(set_rows(numbered), "sets")).where("doc_id is not null"), "found")
+    ids = rows.select(F.col("_row").alias("doc_id"), F.col("doc_id").alias("_own"))
+    same = written(ids.where("_own is not null").groupBy("_own").agg(F.min("doc_id").alias("_to")), "same")
+    known = written(found.join(ids.hint("merge"), "doc_id"), "known")  # one row a number
+    links = spread(known.select(F.col("doc_id").alias("a"), "_own"), same, "_own", "a").select("a", F.col("_to").alias("b"))
+    parts = written(components(links.unionAll(found.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")))), "parts")
+    named = written(with_few(known, parts.withColumnRenamed("node", "doc_id"), ["doc_id"]).withColumn("component", F.coalesce("component", "doc_id")), "named")
+    least = written(named.groupBy("component").agg(F.min("_own").alias("component_id")), "least")
+    out = with_few(named.drop("component_id"), least, ["component"]).select(F.col("_own").alias("doc_id"), "n_shingles", "component_id")
+    return out.unionAll(sets.where("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long")))
+
+
+def _linked(docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """linked() where all texts of a doc_id have one set. sets: set_rows(docs), written."""
+    own = sets.where("digest is not null and doc_id is not null")
+    classes = written(own.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
+    copies = written(lookup(own.select("doc_id", "digest"), classes, "digest").where("doc_id != rep").select("doc_id").distinct(), "copies")
     ends = written(candidates(_without(docs.where("doc_id is not null").select("doc_id", "text"), copies)), "ends")
     # first the least document of a piece with which a document shares most pieces
     least = ends.groupBy("key").agg(F.min("doc").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "a")
-    pairs = ends.join(least.hint("merge"), "key").groupBy("a", F.col("doc").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    pairs = spread(ends, least, "key", "doc").groupBy("a", F.col("doc").alias("b")).agg(F.count(F.lit(1)).alias("n"))
     pairs = written(pairs, "pairs")  # with each pivot a beside itself
     best = written(pairs.where("a != b").groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b"), "best")
     arrays = written(arrays_of(docs, pairs.select(F.col("b").alias("doc")).distinct()), "arrays")
@@ -365,9 +424,7 @@ def linked(docs: DataFrame) -> DataFrame:
     # then documents that share the least document of a piece and are in different components, if their sketches are near
     members = with_few(pairs.select(F.col("a").alias("pivot"), F.col("b").alias("doc")), parts.withColumnRenamed("node", "doc"), ["doc"])
     members = written(members.withColumn("component", F.coalesce("component", "doc")), "members")
-    open_ = members.groupBy("pivot").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo != _hi").select("pivot")
-    members = members.join(open_.hint("merge"), "pivot").join(arrays.select("doc", "n", "sketch").hint("merge"), "doc")
-    cross = near_sketches(members).join(best.hint("merge"), ["a", "b"], "left_anti")
+    cross = near_sketches(members, arrays).join(best.hint("merge"), ["a", "b"], "left_anti")
     cross = written(cross, "cross")
     nearest = written(cross.groupBy("b").agg(F.min_by("a", F.struct("bits", "a")).alias("a")).select("a", "b"), "nearest")
     more = written(verified(nearest, arrays), "more")
@@ -380,9 +437,8 @@ def linked(docs: DataFrame) -> DataFrame:
         parts = written(components(links.unionAll(last)), "parts")
     labels = with_few(classes, parts.withColumnRenamed("node", "rep"), ["rep"]).select("digest", F.coalesce("component", "rep").alias("_c"))
     out = lookup(sets, labels, "digest")
-    # rows with one doc_id are one node
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("_c", "doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_c", "doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"))
 
 
 def op2_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from oddlens.llm.common import lookup, written
+from oddlens.llm.common import lookup, partitions, written
 from oddlens.llm.jaccard import from_planes, mix64, planes
 from oddlens.llm.suffixes import GRAM, SuffixSorter, distinct, powers, string_hashes, units
 
@@ -322,7 +322,7 @@ def removed_spans(docs: DataFrame, min_len: int = MIN_LEN) -> DataFrame:
     takes_part = F.col("doc_id").isNotNull() & (F.octet_length("text") >= min_len)
     total = int(docs.agg(F.sum(F.when(takes_part, F.octet_length("text").cast("long")))).first()[0] or 0)
     n_batches = total // max(BATCH_BYTES, math.isqrt(ROW_BYTES * total)) + 1
-    n_tasks = max(n_batches // TASK_BATCHES, 1)
+    n_tasks, n_buckets = max(n_batches // TASK_BATCHES, 1), max(n_batches, partitions(spark))
     digest = F.unhex(F.sha2("text", 256))
     rest = F.struct(*[docs[c] for c in other] or [F.lit(None).cast("int").alias("_none")])
     plain = docs.select(F.col("doc_id").cast("long").alias("_id"), "text", rest.alias("_rest"), docs["doc_id"].alias("_own"))
@@ -347,7 +347,7 @@ def removed_spans(docs: DataFrame, min_len: int = MIN_LEN) -> DataFrame:
         def f(left: pa.Table, right: pa.Table) -> pa.Table:
             if not left.num_rows:
                 return ask_type.empty_table()
-            rows = getattr(Batch(left, right, n_batches, min_len), method)()
+            rows = getattr(Batch(left, right, n_buckets, min_len), method)()
             b = left.column("_batch")[0].as_py()
             return pa.Table.from_pylist([r | {"batch": b} for r in rows], ask_type)
 
@@ -356,7 +356,7 @@ def removed_spans(docs: DataFrame, min_len: int = MIN_LEN) -> DataFrame:
     told = copies
     for method in ("ask_grams", "ask_strings"):
         asked = by_batch.cogroup(told.repartition(n_tasks, "_batch").groupBy("_batch")).applyInArrow(ask(method), _ASK)
-        replies = asked.repartition(n_tasks, "bucket").groupBy("bucket", "kind").applyInPandas(lambda pdf: _reply(pdf, min_len), _TELL)
+        replies = asked.repartition(max(n_tasks, n_buckets // TASK_BATCHES), "bucket").groupBy("bucket", "kind").applyInPandas(lambda pdf: _reply(pdf, min_len), _TELL)
         told = told.unionAll(replies)
     given = T.StructType([T.StructField("_rest", slim.schema["_rest"].dataType), T.StructField("_own", slim.schema["_own"].dataType), T.StructField("text", T.StringType()), T.StructField("_found", _FOUND)])
     empty = to_arrow_schema(given).empty_table()
@@ -364,7 +364,7 @@ def removed_spans(docs: DataFrame, min_len: int = MIN_LEN) -> DataFrame:
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return empty
-        batch = Batch(left, right, n_batches, min_len)
+        batch = Batch(left, right, n_buckets, min_len)
         spans = batch.removed()
         text, found = [], []
         for k, raw in enumerate(left.column("_bytes")):

@@ -212,6 +212,30 @@ def test_jaccard_odd_rows(spark, odd_docs):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, (_, c) in want.items() if i == c} | {None}
 
 
+def test_jaccard_rows_of_one_id_with_other_texts(spark):
+    """A repeated doc_id links what either of its texts links, also through exact copies; empty texts link nothing."""
+    a, b, c, d = (text_of(60, s) for s in range(4))
+    near = lambda t: " ".join(["changed", *t.split()[1:]])
+    rows = [(1, near(a)), (2, near(b)), (5, a), (5, b), (6, c), (7, d), (9, c), (9, d), (10, ""), (10, a + " " + b), (11, None), (None, a), (12, "one"), (12, "two"), (13, "two")]
+    got = jaccard.linked(spark.createDataFrame(rows, "doc_id bigint, text string")).toPandas()
+    want = {1: 1, 2: 1, 5: 1, 6: 6, 7: 6, 9: 6, 10: 10, 11: 11, 12: 12, 13: 12}
+    assert len(got) == len(rows) and got.component_id.isna().sum() == 1
+    known = got[got.doc_id.notna()]
+    assert all(r.component_id == want[r.doc_id] for r in known.itertuples())
+    force = collections.Counter((i, len(shingles_by_force(t))) for i, t in rows if i is not None)
+    assert collections.Counter(zip(known.doc_id, known.n_shingles, strict=True)) == force
+
+
+@pytest.mark.parametrize("most", [2000, 3])
+def test_spread(spark, most):
+    from oddlens.llm.common import spread
+
+    rows = jaccard.written(spark.createDataFrame([(k % 3 and 7, k) for k in range(60)], "key int, x int"), "rows")
+    table = spark.createDataFrame([(0, "a"), (7, "b"), (8, "c")], "key int, y string")
+    got = sorted(tuple(r) for r in spread(rows, table, "key", "x", most=most).select("key", "x", "y").collect())
+    assert got == sorted((k % 3 and 7, k, "b" if k % 3 else "a") for k in range(60))
+
+
 def test_sketch_pieces_never_lose_a_link():
     rng = np.random.default_rng(0)
     for n in (6, 9, 20, 60, 300, 1500):
