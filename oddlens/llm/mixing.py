@@ -1,17 +1,24 @@
 """Mixing sources to target weights (DataFrame functions only).
 
-Targets are found by filling by weight below each source's cap. Every document has a place u in a pseudo-random
-permutation of its source. A source whose target is r times its size gives every document floor(r) times, and the
-documents at the places up to a limit once more; the limit is found by sums over ever finer ranges of places, so no
-task holds a whole source. A few documents beyond the limit, the best
-fits, close what is left of the gap. The places of a source form blocks. A splitting tree deals each source's drawn blocks to
-the output shards: at every node the left half gets a multivariate hypergeometric draw of the node's counts, source
-by source, so all shards hold the sources in nearly the target mix and each block goes to exactly one shard. Within
-a shard the documents are shuffled by a hash.
-
-Null and empty texts have size 0 and are never needed to meet a target, yet are taken as their place says. Null
-sources are one source, ordered last. Equal doc_ids share a place and are taken alike. An empty table gives no rows.
-Equal inputs give equal results: all choices are hashes of doc_id, source and seed.
+Targets are found by filling by weight below each source's cap: every round gives the sources that are not full their
+share of what is left, until none is above its cap.
+
+Every document has a place u in a pseudo-random permutation of its source, and ranges of places are blocks. A source
+whose target is r times its size draws all its blocks floor(r) times, and then blocks in order of place as long as they
+fit; from the next block, its last, come the documents that still fit. So the target is an exact quota of blocks. A
+splitting tree deals these quotas to the output shards: at every node the left half of the shards gets a multivariate
+hypergeometric draw of the node's blocks, source by source. Its leaves say which blocks, in order of place, go to which
+shard, so all shards hold the sources in nearly the target mix and no two draw the same copy of a block. A document is
+taken as often as its block was drawn. Within a shard the documents are shuffled by a hash.
+
+Sources stay rows of tables: the tree sees groups of about the root of their number, first as wholes, then one by one.
+Numbers of blocks and shards follow from the counted documents and words.
+
+Null and empty texts have size 0; they are taken as often as their block, and in a last block always. Null sources are
+one source, ordered last. Rows with equal doc_id and text share a place and are taken alike, others with equal doc_ids
+are not. Very long texts count as any other; a document that is larger than what is left of a target is not taken for it.
+Ties of places go by size. Other columns do not matter to the mix. An empty table gives no rows. Equal inputs give equal
+results: all choices are hashes of doc_id, text, source and seed.
 """
 
 from __future__ import annotations
@@ -25,66 +32,76 @@ from oddlens.llm.common import n_words, with_few, written
 WEIGHTS = (5, 2, 1)
 TOTAL_SHARE = 1.5
 MAX_REPEATS = 2
-SHARDS = 16
-#: Blocks of all sources together, about; a source has at least one.
-BLOCKS = 4096
+#: Shards at least, and words of a shard beyond that.
+SHARDS, SHARD_WORDS = 16, 100_000_000
+#: Blocks of all sources together, about, until a block has BLOCK_DOCS documents.
+BLOCKS, BLOCK_DOCS = 4096, 512
 SEED = 20240501
-#: Documents beyond a source's limit that may close the gap to its target.
-FILLERS = 3
-#: Places are 62-bit; each level of the search for the limit looks at 12 bits.
-BITS, LEVEL_BITS, LEVELS = 62, 12, 2
+BITS = 62
+#: Rows that one task orders: sources by name, blocks of a source.
+RUN = 8192
 
 
 def targets(sizes: DataFrame) -> DataFrame:
-    """sizes (source, source_size): with weight, cap and target. The total is TOTAL_SHARE of all sizes, shared by weight below the caps."""
-    ranked = sizes.withColumn("_i", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1)
+    """sizes (source, source_size), written: with weight and target. The total is TOTAL_SHARE of all sizes, shared by weight below the caps."""
+    count, total = sizes.agg(F.count(F.lit(1)), F.sum("source_size")).first()
+    by_name = F.col("source").asc_nulls_last()
+    # ranks over ranges of names: within each range, plus the sources of the ranges before
+    ranged = written(sizes.repartitionByRange(count // RUN + 1, by_name).withColumn("_p", F.spark_partition_id()), "ranged")
+    before = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    before = before.select("_p", (F.sum("_n").over(W.orderBy("_p")) - F.col("_n")).alias("_before"))  # a row for each RUN sources
+    rank = F.row_number().over(W.partitionBy("_p").orderBy(by_name)) - 1
+    t = ranged.withColumn("_i", rank).join(before.hint("merge"), "_p").withColumn("_i", F.col("_i") + F.col("_before")).drop("_p", "_before")
     weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("_i") % len(WEIGHTS) + 1).cast("int")).cast("double")
-    t = ranked.withColumns({"weight": weight, "cap": F.lit(float(MAX_REPEATS)) * F.col("source_size")})
-    t = t.withColumn("_ratio", F.col("cap") / F.col("weight"))
-    by = W.orderBy("_ratio", "_i")
-    full = by.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    total = F.lit(TOTAL_SHARE) * F.sum("source_size").over(full)
-    before = F.coalesce(F.sum("cap").over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    left = F.sum("weight").over(by.rowsBetween(W.currentRow, W.unboundedFollowing))
-    t = t.withColumn("_level", (total - before) / left)
-    # the first source, by cap and weight, that is not full
-    level = F.min(F.when(F.col("_level") <= F.col("_ratio") * (1 + 1e-12), F.struct("_ratio", "_i", "_level"))).over(full)["_level"]
-    return t.withColumn("target", F.least(F.col("cap"), level * F.col("weight"))).select("source", "source_size", "weight", "target")
-
-
-def place(doc_id: Column, seed: int) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), doc_id), 64 - BITS)
-
-
-def _limits(sized: DataFrame, plan: DataFrame) -> DataFrame:
-    """plan with limit, the highest place that is taken once more (or -1), and also, some places beyond. sized: source, size, u."""
-    want = written(plan.where("extra > 0").select("source", F.col("extra").alias("_want"), F.lit(0).cast("long").alias("_from")), "want")
-    for level in range(1, LEVELS + 1):
-        shift = BITS - LEVEL_BITS * level
-        inside = with_few(sized, want, ["source"], "inner").where(F.shiftright("u", shift + LEVEL_BITS) == F.col("_from"))
-        sums = inside.groupBy("source", F.shiftright("u", shift).alias("_b")).agg(F.sum("size").alias("_s"), F.first("_want").alias("_want"))
-        by = W.partitionBy("source").orderBy("_b")  # at most 2 ** LEVEL_BITS rows a source
-        cum = sums.withColumn("_before", F.sum("_s").over(by) - F.col("_s")).where(F.col("_before") < F.col("_want"))
-        want = written(cum.groupBy("source").agg(F.max_by(F.struct("_b", F.greatest(F.col("_want") - F.col("_before"), F.lit(0.0)).alias("w")), "_b").alias("_m")).select("source", F.col("_m.w").alias("_want"), F.col("_m._b").alias("_from")), f"level{level}")
-    shift = BITS - LEVEL_BITS * LEVELS
-    last = with_few(sized, want, ["source"], "inner").where(F.shiftright("u", shift) == F.col("_from"))
-    by = W.partitionBy("source").orderBy("u").rangeBetween(W.unboundedPreceding, W.currentRow)
-    fits = last.withColumn("_cum", F.sum("size").over(by)).where(F.col("_cum") <= F.col("_want"))
-    fits = fits.groupBy(F.col("source").alias("_s")).agg(F.max("u").alias("_u"), F.max("_cum").alias("_cum"))
-    found = want.join(fits, F.col("source").eqNullSafe(F.col("_s")), "left")
-    # where nothing of the last range fits, all places before it
-    found = found.select("source", F.coalesce("_u", F.shiftleft("_from", shift) - 1).alias("limit"), (F.col("_want") - F.coalesce("_cum", F.lit(0))).alias("_gap"))
-    found = written(found, "limits")
-    # a few documents beyond the limit, each the one that closes best what is left of the gap
-    found = found.withColumn("also", F.array().cast("array<bigint>"))
-    for r in range(FILLERS):
-        after = with_few(sized, found, ["source"], "inner").where((F.col("u") > F.col("limit")) & ~F.array_contains("also", F.col("u")) & (F.abs(F.col("size") - F.col("_gap")) < F.col("_gap")))
-        one = after.groupBy("source").agg(F.min_by(F.struct("u", "size"), F.struct(F.abs(F.col("size") - F.col("_gap")), "u")).alias("_f"))
-        more = with_few(found, written(one, "filler"), ["source"])
-        more = more.withColumns({"also": F.when(F.col("_f").isNotNull(), F.concat("also", F.array("_f.u"))).otherwise(F.col("also")), "_gap": F.greatest(F.lit(0.0), F.col("_gap") - F.coalesce("_f.size", F.lit(0)))})
-        found = written(more.drop("_f"), f"fillers{r}")
-    plan = with_few(plan, found.drop("_gap"), ["source"])
-    return plan.withColumns({"limit": F.coalesce("limit", F.lit(-1).cast("long")), "also": F.coalesce("also", F.array().cast("array<bigint>"))})
+    t = written(t.select("source", "source_size", weight.alias("weight"), (F.lit(float(MAX_REPEATS)) * F.col("source_size")).alias("cap")), "weights")
+    level, last = 0.0, -1
+    while True:
+        full = F.col("cap") <= F.lit(level) * F.col("weight")
+        n, caps, weights = t.agg(F.count_if(full), F.sum(F.when(full, F.col("cap"))), F.sum(F.when(~full, F.col("weight")))).first()
+        if n == last or not weights:
+            break
+        last, level = n, max(level, (TOTAL_SHARE * total - (caps or 0.0)) / weights)
+    return t.select("source", "source_size", "weight", F.least("cap", F.lit(level) * F.col("weight")).alias("target"))
+
+
+def place(doc_id: Column, text: Column, seed: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), doc_id, text), 64 - BITS)
+
+
+def _block(u: Column, n_blocks: Column) -> Column:
+    return F.least(n_blocks - 1, F.floor(u / float(1 << BITS) * n_blocks)).cast("long")
+
+
+def _whole_blocks(sums: DataFrame) -> DataFrame:
+    """sums (source, block, extra, _s): rows (source, n_whole, left) with the number of first blocks whose sizes stay
+    within extra, and what is left of it. Sums run over ranges of RUN blocks, then within the range where they pass."""
+    d = sums.withColumn("_range", F.floor(F.col("block") / RUN))
+    part = d.groupBy("source", "_range").agg(F.sum("_s").alias("_s"), F.first("extra").alias("extra"))
+    up = F.sum("_s").over(W.partitionBy("source").orderBy("_range"))
+    part = part.withColumn("_end", up).where(F.col("_end") - F.col("_s") <= F.col("extra"))
+    at = part.groupBy("source").agg(F.max("_range").alias("_at"), F.max(F.col("_end") - F.col("_s")).alias("_start"))
+    at = written(at.withColumnRenamed("source", "_source"), "ranges")
+    d = d.join(at.hint("merge"), d["source"].eqNullSafe(at["_source"]) & (d["_range"] == at["_at"])).drop("_source")
+    up = F.sum("_s").over(W.partitionBy("source").orderBy("block")) + F.col("_start")
+    d = d.withColumn("_end", up)
+    fits = F.col("_end") <= F.col("extra")
+    return d.groupBy("source").agg(
+        F.coalesce(F.max(F.when(fits, F.col("block") + 1)), F.min("block")).alias("n_whole"),
+        (F.first("extra") - F.coalesce(F.max(F.when(fits, F.col("_end"))), F.first("_start"))).alias("left"),
+    )
+
+
+def _fitting(places: DataFrame) -> DataFrame:
+    """places (source, left, u, _s) of last blocks, a few hundred rows a source: rows (source, u) of those that are taken,
+    in order of place as long as they fit."""
+    start = F.struct(F.col("left").alias("left"), F.array().cast("array<bigint>").alias("us"))
+
+    def step(s: Column, x: Column) -> Column:
+        ok = x["s"] <= s["left"]
+        return F.struct(F.when(ok, s["left"] - x["s"]).otherwise(s["left"]).alias("left"), F.when(ok, F.concat(s["us"], F.array(x["u"]))).otherwise(s["us"]).alias("us"))
+
+    g = places.groupBy("source").agg(F.array_sort(F.collect_list(F.struct(F.col("u").alias("u"), F.col("_s").alias("s")))).alias("c"), F.first("left").alias("left"))
+    return g.select("source", F.explode(F.aggregate("c", start, step)["us"]).alias("u"))
 
 
 def _hypergeometric(pop: Column, good: Column, draws: Column, u: Column) -> Column:
@@ -110,89 +127,113 @@ def _hypergeometric(pop: Column, good: Column, draws: Column, u: Column) -> Colu
     return F.transform(F.array(top), draw)[0]
 
 
-def split_tree(counts: DataFrame, shards: int, seed: int) -> DataFrame:
-    """counts (source, blocks): rows (shard, source, quota). Each level halves the shards of every node."""
-    item = F.struct(F.col("source").alias("source"), F.col("blocks").cast("long").alias("n"))
-    nodes = counts.agg(F.array_sort(F.collect_list(item)).alias("c")).select(F.lit(0).alias("lo"), F.lit(shards).alias("hi"), "c")
+def _tree(groups: DataFrame, shards: int, seed: int) -> DataFrame:
+    """groups (g, c, q): c an array of (id, n), q the exact quota of each shard. Rows (g, shard, id, n): each level halves
+    the shards of every node, and deals the node's blocks by a multivariate hypergeometric draw."""
+    nodes = groups.select("g", F.lit(0).alias("lo"), F.lit(shards).alias("hi"), "c", "q")
     for _ in range((shards - 1).bit_length()):
-        total = F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + x["n"])
         mid = F.when(F.col("hi") - F.col("lo") > 1, F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")).otherwise(F.col("hi"))
-        nodes = nodes.withColumns({"mid": mid, "total": total})
-        share = F.round(F.col("total") * (F.col("mid") - F.col("lo")) / (F.col("hi") - F.col("lo"))).cast("long")
-        quantile = lambda s: F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("lo"), F.col("hi"), s), 12) / float(1 << 52)
+        zero = F.lit(0).cast("long")
+        nodes = nodes.withColumn("mid", mid).withColumns({"total": F.aggregate("c", zero, lambda a, x: a + x["n"]), "ql": F.slice("q", F.lit(1), F.col("mid") - F.col("lo"))})
+        share = F.aggregate("ql", zero, lambda a, x: a + x)
+        quantile = lambda s: F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("g"), F.col("lo"), F.col("hi"), s), 12) / float(1 << 52)
 
         def drawn(s: Column, x: Column) -> Column:
-            k = _hypergeometric(s["pop"], x["n"], s["draws"], quantile(x["source"]))
+            k = _hypergeometric(s["pop"], x["n"], s["draws"], quantile(x["id"]))
             return F.transform(F.array(k), lambda v: F.struct((s["pop"] - x["n"]).alias("pop"), (s["draws"] - v).alias("draws"), F.concat(s["left"], F.array(v)).alias("left")))[0]
 
         start = F.struct(F.col("total").alias("pop"), share.alias("draws"), F.array().cast("array<bigint>").alias("left"))
-        left = F.aggregate("c", start, drawn)["left"]
-        nodes = nodes.withColumn("left", left)
+        nodes = nodes.withColumn("left", F.aggregate("c", start, drawn)["left"])
+        some = lambda c: F.filter(c, lambda x: x["n"] > 0)
         halves = F.array(
-            F.struct("lo", F.col("mid").alias("hi"), F.transform("c", lambda x, i: F.struct(x["source"].alias("source"), F.get(F.col("left"), i).alias("n"))).alias("c")),
-            F.struct(F.col("mid").alias("lo"), "hi", F.transform("c", lambda x, i: F.struct(x["source"].alias("source"), (x["n"] - F.get(F.col("left"), i)).alias("n"))).alias("c")),
+            F.struct("lo", F.col("mid").alias("hi"), some(F.transform("c", lambda x, i: F.struct(x["id"].alias("id"), F.get(F.col("left"), i).alias("n")))).alias("c"), F.col("ql").alias("q")),
+            F.struct(F.col("mid").alias("lo"), "hi", some(F.transform("c", lambda x, i: F.struct(x["id"].alias("id"), (x["n"] - F.get(F.col("left"), i)).alias("n")))).alias("c"), F.slice("q", F.col("mid") - F.col("lo") + 1, F.greatest(F.col("hi") - F.col("mid"), F.lit(0))).alias("q")),
         )
-        nodes = nodes.select(F.explode(halves).alias("h")).select("h.lo", "h.hi", "h.c").where("hi > lo")
+        nodes = nodes.select("g", F.explode(halves).alias("h")).select("g", "h.lo", "h.hi", "h.c", "h.q").where("hi > lo and size(c) > 0")
         nodes = written(nodes, "node")
-    return nodes.select(F.col("lo").alias("shard"), F.explode("c").alias("x")).select("shard", F.col("x.source").alias("source"), F.col("x.n").alias("quota"))
+    return nodes.select("g", F.col("lo").alias("shard"), F.explode("c").alias("x")).select("g", "shard", "x.id", "x.n")
 
 
-def mix_plan(sized: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """sized (source, size, u): the plan of each source (target, copies of all, limit of one copy more, blocks) and the shards of each (source, block)."""
+def split_tree(counts: DataFrame, shards: int, seed: int) -> DataFrame:
+    """counts (source, blocks), written: rows (shard, source, quota) of the quotas above 0. All shards get nearly equally
+    many blocks."""
+    n_sources, total = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("blocks"), F.lit(0)).cast("long")).first()
+    n_groups = int(n_sources**0.5) // 8 + 1
+    item = lambda name: F.struct(F.col(name).alias("id"), F.col("blocks").cast("long").alias("n"))
+    groups = counts.where("blocks > 0").groupBy(F.pmod(F.xxhash64("source"), F.lit(n_groups)).alias("g")).agg(F.array_sort(F.collect_list(item("source"))).alias("c"), F.sum("blocks").cast("long").alias("blocks"))
+    groups = written(groups, "groups")
+    equal = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: (F.floor(F.lit(total) * (s + 1) / shards) - F.floor(F.lit(total) * s / shards)).cast("long"))
+    whole = groups.agg(F.array_sort(F.collect_list(item("g"))).alias("c")).select(F.lit(-1).cast("long").alias("g"), "c", equal.alias("q")).where("size(c) > 0")
+    of_groups = _tree(whole, shards, seed).groupBy(F.col("id").alias("_g")).agg(F.map_from_entries(F.collect_list(F.struct("shard", "n"))).alias("_m"))
+    quotas = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: F.coalesce(F.try_element_at("_m", s), F.lit(0).cast("long")))
+    groups = groups.join(of_groups.hint("merge"), groups["g"] == of_groups["_g"]).select("g", "c", quotas.alias("q"))
+    return _tree(groups, shards, seed).select("shard", F.col("id").alias("source"), F.col("n").alias("quota"))
+
+
+def mix_plan(sized: DataFrame, seed: int = SEED) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """sized (source, size, u), written: the plan of each source (source_size, target, n_blocks), the shards of each drawn
+    (source, block), the places (source, u) that are taken from last blocks with their shard, and the number of shards."""
     sizes = written(sized.groupBy("source").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("source_size"), F.count(F.lit(1)).alias("n_docs")), "sizes")
-    t = with_few(targets(sizes), sizes.select("source", "n_docs"), ["source"])
+    n_docs, words = sizes.agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.sum("source_size"), F.lit(0))).first()
+    shards = max(SHARDS, int(TOTAL_SHARE * words) // SHARD_WORDS)
+    t = with_few(targets(sizes.select("source", "source_size")), sizes.select("source", "n_docs"), ["source"])
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    t = t.withColumn("copies", F.floor(ratio + 1e-9).cast("int"))
-    t = t.withColumn("extra", F.when(F.col("copies") < MAX_REPEATS, F.greatest(F.col("target") - F.col("copies") * F.col("source_size"), F.lit(0.0))).otherwise(F.lit(0.0)))
-    total = sizes.agg(F.greatest(F.sum("source_size"), F.lit(1)).alias("_total"))
-    share = F.ceil(F.lit(blocks) * F.col("source_size") / F.col("_total"))
-    t = t.join(F.broadcast(total)).withColumn("n_blocks", F.greatest(F.lit(1), F.least(share, F.ceil(F.col("n_docs") / 4))).cast("long")).drop("_total")
-    plan = written(_limits(sized, written(t, "targets")), "plan")
-    block_of = lambda u: F.floor(u / float(1 << BITS) * F.col("n_blocks")).cast("long")
-    full = F.transform(F.sequence(F.lit(1), F.col("copies")), lambda e: F.struct(e.alias("epoch"), (F.col("n_blocks") - 1).alias("last")))
-    more = F.array(F.struct((F.col("copies") + 1).alias("epoch"), F.least(F.col("n_blocks") - 1, block_of(F.col("limit"))).alias("last")))
-    epochs = F.concat(F.when(F.col("copies") > 0, full).otherwise(F.slice(more, 1, 0)), F.when(F.col("limit") >= 0, more).otherwise(F.slice(more, 1, 0)))
-    units = plan.select("source", F.explode(epochs).alias("e")).select("source", "e.epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("e.last"))).alias("block"))
-    quotas = split_tree(units.groupBy("source").agg(F.count(F.lit(1)).alias("blocks")), shards, seed)
-    ends = F.aggregate(F.array_sort(F.collect_list(F.struct("shard", "quota"))), F.array().cast("array<bigint>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.get(a, F.size(a) - 1), F.lit(0).cast("long")) + x["quota"])))
-    ends = written(quotas.groupBy("source").agg(ends.alias("ends")), "quotas")
-    order = W.partitionBy("source").orderBy(F.xxhash64(F.lit(seed), F.lit("unit"), "source", "epoch", "block"), "epoch", "block")
-    dealt = with_few(units.withColumn("_rank", F.row_number().over(order) - 1), ends, ["source"])
-    dealt = dealt.withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("_rank"))))
-    table = dealt.groupBy("source", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("epoch", "shard"))), lambda x: x["shard"]).alias("_shards"))
-    return plan, written(table, "shards")
+    extra = F.greatest(F.col("target") - F.col("copies") * F.col("source_size"), F.lit(0.0))
+    t = t.withColumn("copies", F.floor(ratio + 1e-9).cast("long")).withColumn("extra", F.when(F.col("copies") < MAX_REPEATS, extra).otherwise(F.lit(0.0)))
+    t = written(t.withColumn("n_blocks", F.ceil(F.col("n_docs") / min(max(n_docs // BLOCKS, 4), BLOCK_DOCS)).cast("long")), "targets")
+    placed = lambda few: with_few(sized, few, ["source"], "inner").withColumn("block", _block(F.col("u"), F.col("n_blocks")))
+    some = t.where("extra > 0").select("source", "extra", "n_blocks")
+    sums = written(placed(some).groupBy("source", "block").agg(F.sum("size").alias("_s"), F.first("extra").alias("extra")), "sums")
+    last = written(_whole_blocks(sums), "last")
+    t = with_few(t, last, ["source"]).withColumns({"n_whole": F.coalesce("n_whole", F.lit(0).cast("long")), "n_last": (F.col("n_whole") < F.col("n_blocks")).cast("long")})
+    plan = written(t.withColumn("units", F.col("copies") * F.col("n_blocks") + F.col("n_whole") + F.when(F.col("left").isNotNull(), F.col("n_last")).otherwise(F.lit(0))), "plan")
+    ends = plan.where("left is not null and n_last = 1").select("source", "n_blocks", "left", "n_whole")
+    places = placed(written(ends, "ends")).where("block = n_whole").groupBy("source", "u").agg(F.sum("size").alias("_s"), F.first("left").alias("left"))
+    fitting = written(_fitting(places), "fitting")
+    # the leaves of the tree deal each source's blocks, copy after copy and in order of place
+    quotas = split_tree(written(plan.select("source", F.col("units").alias("blocks")), "counts"), shards, seed)
+    end = F.sum("quota").over(W.partitionBy("source").orderBy("shard"))  # at most a row a shard
+    runs = quotas.withColumn("_end", end).select("source", "shard", F.explode(F.sequence(F.col("_end") - F.col("quota"), F.col("_end") - 1)).alias("unit"))
+    drawn = with_few(written(runs, "runs"), plan.select("source", "n_blocks", "copies", "n_whole"), ["source"])
+    epoch = F.floor(F.col("unit") / F.col("n_blocks"))
+    drawn = written(drawn.withColumns({"_epoch": epoch, "block": F.pmod("unit", "n_blocks")}).withColumn("_last", F.col("unit") == F.col("copies") * F.col("n_blocks") + F.col("n_whole")), "drawn")
+    table = drawn.where("not _last").groupBy("source", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("_epoch", "shard"))), lambda x: x["shard"]).alias("_shards"))
+    chosen = with_few(fitting, drawn.where("_last").select("source", F.col("shard").alias("_more")), ["source"], "inner")
+    return plan, written(table, "shards"), written(chosen, "chosen"), shards
 
 
 def sized(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    return docs.withColumns({"size": n_words(docs["text"]), "u": place(docs["doc_id"], seed)})
+    """docs (doc_id, source, text): rows (doc_id, source, size, u)."""
+    return docs.select("doc_id", "source", n_words(docs["text"]).alias("size"), place(docs["doc_id"], docs["text"], seed).alias("u"))
 
 
-def mixed(rows: DataFrame, plan: DataFrame, table: DataFrame) -> DataFrame:
+def mixed(rows: DataFrame, plan: DataFrame, table: DataFrame, chosen: DataFrame) -> DataFrame:
     """rows (doc_id, source, size, u, ...) with source_size, target, taken and the shards of their copies."""
-    out = with_few(rows, plan.select("source", "source_size", "target", "copies", "limit", "also", "n_blocks"), ["source"])
-    out = out.withColumns({"n_copies": F.col("copies") + ((F.col("u") <= F.col("limit")) | F.array_contains("also", F.col("u"))).cast("int"), "block": F.least(F.col("n_blocks") - 1, F.floor(F.col("u") / float(1 << BITS) * F.col("n_blocks")).cast("long"))})
-    out = with_few(out, table, ["source", "block"])
-    # the block of a place beyond the limit is not drawn; its document goes to a shard by hash
-    lone = F.pmod(F.xxhash64(F.lit("also"), "u"), F.lit(SHARDS)).cast("int")
-    drawn = F.concat(F.coalesce("_shards", F.array().cast("array<int>")), F.array(lone))
-    shards = F.when(F.col("n_copies") > 0, F.slice(drawn, F.lit(1), F.greatest(F.col("n_copies"), F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    return out.withColumns({"taken": F.col("n_copies") * F.col("size"), "shards": shards}).drop("copies", "limit", "also", "n_blocks", "_shards", "block")
+    out = with_few(rows, plan.select("source", "source_size", "target", "n_blocks"), ["source"])
+    out = with_few(out.withColumn("block", _block(F.col("u"), F.col("n_blocks"))), table, ["source", "block"])
+    out = with_few(out, chosen, ["source", "u"])
+    none = F.array().cast("array<int>")
+    shards = F.concat(F.coalesce("_shards", none), F.when(F.col("_more").isNotNull(), F.array("_more")).otherwise(none))
+    return out.withColumn("shards", shards).withColumn("taken", F.size("shards") * F.col("size")).drop("n_blocks", "_shards", "block", "_more")
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    rows = written(sized(docs.select("doc_id", "source", "text")).drop("text"), "sized")
-    plan, table = mix_plan(rows.select("source", "size", "u"))
-    return mixed(rows, plan, table).select("doc_id", "size", "source_size", "target", "taken", "shards")
+    rows = written(sized(docs), "sized")
+    plan, table, chosen, _ = mix_plan(rows.select("source", "size", "u"))
+    return mixed(rows, plan, table, chosen).select("doc_id", "size", "source_size", "target", "taken", "shards")
 
 
 def mixing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each copy taken: the columns of docs, then shard and shard_order (the place within the shuffled shard)."""
-    mine = ["size", "u", "source_size", "target", "taken", "shards", "n_copies", "shard", "shard_order"]
-    rows = written(sized(docs.select("doc_id", "source", "text")).drop("text"), "sized")
-    plan, table = mix_plan(rows.select("source", "size", "u"))
-    slim = docs.select("doc_id", "source", "text", F.struct(*[docs[c] for c in docs.columns]).alias("_doc"))
-    out = mixed(sized(slim).drop("text"), plan, table)
-    out = out.select("_doc", "doc_id", F.posexplode("shards").alias("_epoch", "_shard"))
-    names = [c for c in docs.columns if c not in mine]
-    return out.select(*[F.col(f"_doc.`{c}`").alias(c) for c in names], F.col("_shard").alias("shard"), F.xxhash64(F.lit(SEED), F.lit("order"), "doc_id", "_epoch").alias("shard_order"))
+    """A row for each copy taken, shuffled within its shard: the columns of docs, then shard and shard_order (the place
+    within the shard; underscores follow these two names where docs has such columns)."""
+    rows = written(sized(docs), "sized")
+    plan, table, chosen, shards = mix_plan(rows.select("source", "size", "u"))
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"))
+    slim = whole.select(F.col("_doc.source").alias("source"), n_words(F.col("_doc.text")).alias("size"), place(F.col("_doc.doc_id"), F.col("_doc.text"), SEED).alias("u"), "_doc")
+    out = mixed(slim, plan, table, chosen).select("_doc", "u", F.posexplode("shards").alias("_epoch", "_shard"))
+    out = out.withColumn("_order", F.xxhash64(F.lit(SEED), F.lit("order"), "u", "_epoch"))
+    out = out.repartition(shards, "_shard").sortWithinPartitions("_shard", "_order")
+    taken = {c.lower() for c in docs.columns}
+    free = lambda name: name if name not in taken else free(name + "_")
+    return out.select(*[F.col("_doc").getField(c).alias(c) for c in docs.columns], F.col("_shard").alias(free("shard")), F.col("_order").alias(free("shard_order")))

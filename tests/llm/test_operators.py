@@ -325,13 +325,8 @@ def test_html_table(spark):
 
 
 def mix_check(d):
-    got = mixing.mixed(*mix_parts(d)).toPandas()
-    return got
-
-
-def mix_parts(d):
-    rows = mixing.written(mixing.sized(d.select("doc_id", "source", "text")).drop("text"), "sized")
-    return rows, *mixing.mix_plan(rows.select("source", "size", "u"))
+    rows = mixing.written(mixing.sized(d.select("doc_id", "source", "text")), "sized")
+    return mixing.mixed(rows, *mixing.mix_plan(rows.select("source", "size", "u"))[:3]).toPandas()
 
 
 def targets_by_force(size):
@@ -348,7 +343,12 @@ def targets_by_force(size):
         fixed |= {s: 2.0 * size[s] for s in over}
 
 
-def test_mixing(spark):
+@pytest.mark.parametrize(("run", "docs_a_block"), [(8192, 512), (5, 512), (8192, 40)])
+def test_mixing(spark, run, docs_a_block, monkeypatch):
+    """Each source comes within a word of its target; ranges of blocks and sources and larger blocks keep that."""
+    monkeypatch.setattr(mixing, "RUN", run)
+    monkeypatch.setattr(mixing, "BLOCKS", 4096 if docs_a_block == 512 else 1)
+    monkeypatch.setattr(mixing, "BLOCK_DOCS", docs_a_block)
     rng = random.Random(1)
     rows = [(i, text_of(rng.randrange(1, 60), i), rng.choice(["a", "b", "c", "hot", "hot", "é", None])) for i in range(900)]
     d = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
@@ -359,30 +359,68 @@ def test_mixing(spark):
     want = targets_by_force(size)
     for s, g in got.assign(source=got.source.where(got.source.notna(), None)).groupby("source", dropna=False):
         s = None if s != s else s
-        assert g.target.iloc[0] == pytest.approx(want[s]) and abs(g.taken.sum() - want[s]) <= 60
+        assert g.target.iloc[0] == pytest.approx(want[s])
+        # the last block has few documents here, so that it may miss one of the size of the rest
+        assert 0 <= want[s] - g.taken.sum() <= (60 if docs_a_block == 512 else 5)
     assert (got.taken <= 2 * got["size"]).all() and (got.shards.map(len) * got["size"] == got.taken).all()
-    again = mix_check(d.repartition(7))
-    assert rows_of(got[["doc_id", "taken"]]) == rows_of(again[["doc_id", "taken"]])
+    if run == 8192:
+        again = mix_check(d.repartition(7))
+        assert rows_of(got[["doc_id", "taken"]]) == rows_of(again[["doc_id", "taken"]])
     per = collections.Counter(s for x in got.shards for s in x)
-    assert set(per) == set(range(16)) and max(per.values()) < 2.5 * min(per.values())
+    assert set(per) <= set(range(16)) and (docs_a_block < 512 or len(per) == 16 and max(per.values()) < 2.5 * min(per.values()))
 
 
-def test_mixing_odd_tables(spark, odd_docs):
+def test_whole_blocks_by_force(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RUN", 4)
+    rng = random.Random(2)
+    for extra in (0.5, 7.0, 40.0, 1e9):
+        sums = {s: {b: rng.randrange(0, 6) for b in range(30) if rng.random() < 0.8} for s in ("a", "b", None)}
+        df = spark.createDataFrame([(s, b, extra, n) for s, x in sums.items() for b, n in x.items()], "source string, block bigint, extra double, _s bigint")
+        for r in mixing._whole_blocks(mixing.written(df, "sums")).collect():
+            total, n = 0, None
+            for b, k in sorted(sums[r["source"]].items()):
+                if total + k > extra:
+                    break
+                total, n = total + k, b
+            assert r["left"] == pytest.approx(extra - total) and r["n_whole"] == (min(sums[r["source"]]) if n is None else n + 1)
+
+
+def test_mixing_odd_tables(spark, odd_docs, clashing):
     got = mix_check(odd_docs.select("doc_id", "source", "text"))
     assert len(got) == 16 and (got.taken <= 2 * got["size"]).all()
     assert mix_check(odd_docs.select("doc_id", "source", "text").limit(0)).empty
     blank = spark.createDataFrame([(1, None, "a"), (2, "", "a")], "doc_id bigint, text string, source string")
     assert mix_check(blank).taken.sum() == 0
-    out = mixing.mixing_stage(spark, odd_docs, "")
-    assert set(odd_docs.columns) - {"size", "shard"} <= set(out.columns) and out.count() >= 16
+    out = mixing.mixing_stage(spark, clashing, "")
+    assert out.columns == [*clashing.columns, "shard_", "shard_order_"]
+    times = collections.Counter(rows_of(out.select(clashing.columns).toPandas()))
+    known = rows_of(clashing.toPandas())
+    assert set(times) <= set(known) and all(n <= 2 * known.count(r) for r, n in times.items())
+    per_doc = got.assign(n=got.shards.map(len)).n.sum()
+    assert sum(times.values()) == per_doc
+
+
+def test_mixing_many_sources(spark):
+    """Sources in several groups of the tree."""
+    rows = [(i, text_of(1 + i % 7, i), f"s{i % 300}") for i in range(1500)]
+    got = mix_check(spark.createDataFrame(rows, "doc_id bigint, text string, source string"))
+    size = collections.Counter()
+    for _, t, s in rows:
+        size[s] += len(t.split())
+    want = targets_by_force(size)
+    for s, g in got.groupby("source"):
+        assert 0 <= want[s] - g.taken.sum() <= 8 and g.target.iloc[0] == pytest.approx(want[s])
 
 
 def test_split_tree_is_exact(spark):
-    counts = spark.createDataFrame([("a", 700), ("b", 41), (None, 3), ("c", 0)], "source string, blocks bigint")
+    counts = mixing.written(spark.createDataFrame([("a", 700), ("b", 41), (None, 3), ("c", 0), *((f"x{k}", 1) for k in range(300))], "source string, blocks bigint"), "counts")
     got = mixing.split_tree(counts, 6, 3).toPandas()
-    assert got.groupby("source", dropna=False).quota.sum().to_dict().items() >= {"a": 700, "b": 41, "c": 0}.items()
+    sums = got.groupby("source", dropna=False).quota.sum()
+    assert sums.to_dict().items() >= {"a": 700, "b": 41, "x7": 1}.items() and "c" not in sums and sums.sum() == 1044
     shard = got.groupby("shard").quota.sum()
-    assert len(shard) == 6 and shard.max() - shard.min() <= 3 and (got.quota >= 0).all()
+    assert set(shard) == {174} and len(shard) == 6 and (got.quota > 0).all()
+    a = got[got.source == "a"].quota
+    assert a.max() - a.min() < 40
 
 
 # 5
