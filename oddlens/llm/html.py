@@ -1,14 +1,21 @@
 """Main text of web pages by two-pass block rules.
 
-The page is cut into blocks at block-level tags. Menus, page headers, footers, sidebars, forms, notices, adverts,
-comments, scripts and styles are left out by tag, role, or class and id words. Pass 1 decides blocks by themselves:
-many links make a block bad; a long block with many stop words is good. Short blocks, and long ones with few stop
-words, stay open. In pass 2 an open block takes the label of the nearest decided block; good wins at equal distance.
-Where the page marks its article (article, main, role=main, articleBody), only blocks inside are looked at, and open
-blocks with no decided block near are good; elsewhere they are bad.
-
-Null, empty and markup-only pages have an empty text. Cut-off pages give what they have. Nothing is capped. Repeated
-pages are extracted one by one; an empty table gives no rows.
+The page is cut into blocks at block-level tags. Menus, page headers, footers, sidebars, scripts and styles are left out
+by tag or role. A class or id makes its element a suspect: a sure one if a whole name, or every word of it, is an
+unwanted word (`sidebar`, `cookie-notice`), a likely one if a word of it is (`search-result`), none after words that turn
+it (`has-sidebar`, `ad-free`). Sure suspects and forms go, but where no article lies outside them, those that hold the article
+stay. Likely ones go unless they hold an article or half of the page's text.
+
+Pass 1 decides blocks by themselves: many links make a block bad; a long block with many stop words is good. Short
+blocks, and long ones with few stop words, stay open. In pass 2 an open block takes the label of the nearest decided
+block; good wins at equal distance. Where the page marks its article (article, main, role=main, articleBody), only
+blocks inside are looked at. On pages without a good block, open blocks are good: so texts in languages without known
+stop words, or of a few short sentences, stay.
+
+Null, empty and markup-only pages have an empty text. Cut-off pages give what they have. Nothing is capped, and pages of
+any length are read whole, in time that grows with their length. Repeated pages are extracted one by one; pages with a
+null id are extracted as others. Only the key, url and html are read, so other columns cannot clash. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -34,11 +41,13 @@ STOP_WORDS = frozenset(
 )
 #: Tags whose content is never text (raw), or never the article.
 RAW = "script|style|template|textarea|title|iframe|noembed|noframes|xmp|svg|math|object|canvas|audio|video"
-OUT = frozenset("nav footer aside form button select menu dialog noscript head fieldset datalist".split())
+OUT = frozenset("nav footer aside button select menu dialog noscript head fieldset datalist".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li link main menu meta nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words of class or id that mark what is not the article (fixed values).
 OUT_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr login menu menubar modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related reply replies search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget widgets".split())
+#: Words of a name that turn what the unwanted word beside them says (fixed values).
+TURNED = frozenset("free has hide hides no non not with without".split())
 OUT_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 
 _TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*[^>]*>|\Z)|<(?P<end>/?)(?P<name>[a-z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/a-z][^>]*(?:>|\Z)", re.I | re.S)
@@ -55,83 +64,128 @@ def _left_out(name: str, attrs: dict[str, str], in_article: bool) -> bool:
     if name in OUT or name == "header" and not in_article:
         return True
     if not attrs or name in ("html", "body", "article", "main"):
-        return bool(attrs) and name == "article" and _marked(attrs)
+        return False
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in OUT_ROLES:
         return True
-    if re.search(r"display\s*:\s*none", attrs.get("style", ""), re.I):
-        return True
-    return _marked(attrs) or not in_article and "header" in _names(attrs)
-
-
-def _names(attrs: dict[str, str]) -> set[str]:
-    return {w.lower() for k in ("class", "id") if k in attrs for w in _CAMEL.findall(attrs[k])}
-
-
-def _marked(attrs: dict[str, str]) -> bool:
-    return not OUT_WORDS.isdisjoint(_names(attrs))
-
-
-def blocks(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters inside links, in the marked article) of each block that is not left out; left-out parts end a block."""
-    out: list[tuple[str, int, bool]] = []
-    text: list[str] = []
-    linked, in_link, article, skip, depth, at = 0, False, [], "", 0, 0
-
-    def end_block() -> None:
-        nonlocal linked
-        if text:
-            if t := " ".join(html.unescape("".join(text)).split()):
-                out.append((t, linked, bool(article)))
-            text.clear()
-        linked = 0
-
-    def add(piece: str) -> None:
-        nonlocal linked
-        if piece and not skip:
-            text.append(piece)
-            linked += in_link and len(piece.strip())
-
-    for m in _TAG.finditer(page):
-        add(page[at : m.start()])
-        at = m.end()
-        name = (m["name"] or "").lower()
-        if not name:
-            continue
-        if skip:
-            if name == skip:
-                depth += -1 if m["end"] else name not in VOID
-            elif m["end"] and name in ("body", "html") or skip in ("p", "li") and name in BLOCK:
-                depth = 0
-            if depth:
-                continue
-            skip = ""
-            if m["end"]:
-                continue
+    return bool(re.search(r"display\s*:\s*none", attrs.get("style", ""), re.I))
+
+
+def _suspect(name: str, attrs: dict[str, str], in_article: bool) -> str:
+    """`sure`, `likely` or nothing."""
+    if name in ("html", "body", "main"):
+        return ""
+    found = "sure" if name == "form" else ""
+    for token in f"{attrs.get('class', '')} {attrs.get('id', '')}".split():
+        words = [w.lower() for w in _CAMEL.findall(token)]
+        bad = [w in OUT_WORDS or w == "header" and not in_article for w in words]
+        if bad and all(bad):
+            return "sure"
+        if any(bad) and name != "article" and TURNED.isdisjoint(words):
+            found = found or "likely"
+    return found
+
+
+class _Blocks:
+    """Walks over a page; blocks are (text, characters inside links, in the marked article, suspects around it)."""
+
+    def __init__(self, page: str) -> None:
+        self.out: list[tuple[str, int, bool, tuple[int, ...]]] = []
+        self.kind: list[str] = []  # of each suspect
+        self.holds: list[bool] = []  # whether an article begins in it
+        self.text: list[str] = []
+        self.linked, self.in_link, self.skip, self.depth = 0, False, "", 0
+        self.article: list[list] = []  # [tag, open tags of that name inside]
+        self.around: list[list] = []  # [tag, open tags of that name inside, suspect]
+        at = 0
+        for m in _TAG.finditer(page):
+            self.add(page[at : m.start()])
+            at = m.end()
+            if m["name"]:
+                self.tag(m["name"].lower(), bool(m["end"]), m["attrs"])
+        self.add(page[at:])
+        self.end_block()
+
+    def add(self, piece: str) -> None:
+        if piece and not self.skip:
+            self.text.append(piece)
+            self.linked += self.in_link and len(piece.strip())
+
+    def end_block(self) -> None:
+        if self.text and (t := " ".join(html.unescape("".join(self.text)).split())):
+            self.out.append((t, self.linked, bool(self.article), tuple(x[2] for x in self.around)))
+        self.text.clear()
+        self.linked = 0
+
+    @staticmethod
+    def close(stack: list[list], name: str) -> None:
+        if stack and name == stack[-1][0]:
+            stack[-1][1] -= 1
+            if not stack[-1][1]:
+                stack.pop()
+
+    def tag(self, name: str, end: bool, raw: str | None) -> None:
+        if self.skip:
+            if name == self.skip:
+                self.depth += -1 if end else name not in VOID
+            elif end and name in ("body", "html") or self.skip in ("p", "li") and name in BLOCK:
+                self.depth = 0
+            if self.depth:
+                return
+            self.skip = ""
+            if end:
+                return
         if name in BLOCK:
-            end_block()
+            self.end_block()
         if name == "br":
-            text.append(" ")
-        elif m["end"]:
+            self.add(" ")
+        elif end:
             if name == "a":
-                in_link = False
-            elif article and name == article[-1][0]:
-                article[-1] = (name, article[-1][1] - 1)
-                if not article[-1][1]:
-                    article.pop()
-        else:
-            attrs = _attributes(m["attrs"]) if m["attrs"] else {}
-            if name not in VOID and _left_out(name, attrs, bool(article)):
-                end_block()
-                skip, depth, in_link = name, 1, False
-            elif name == "a":
-                in_link = True
-            elif article and name == article[-1][0]:
-                article[-1] = (name, article[-1][1] + 1)
+                self.in_link = False
+            else:
+                if self.around and name == self.around[-1][0]:
+                    self.end_block()
+                self.close(self.around, name)
+                self.close(self.article, name)
+        elif name not in VOID:
+            attrs = _attributes(raw) if raw else {}
+            if _left_out(name, attrs, bool(self.article)):
+                self.end_block()
+                self.skip, self.depth, self.in_link = name, 1, False
+                return
+            for stack in (self.around, self.article):
+                if stack and name == stack[-1][0]:
+                    stack[-1][1] += 1
+            if kind := _suspect(name, attrs, bool(self.article)):
+                self.end_block()
+                self.around.append([name, 1, len(self.kind)])
+                self.kind.append(kind)
+                self.holds.append(False)
+            if name == "a":
+                self.in_link = True
             elif name in ("article", "main") or attrs.get("role", "").lower() == "main" or "articlebody" in attrs.get("itemprop", "").lower():
-                article.append((name, 1))
-    add(page[at:])
-    end_block()
-    return out
+                if not self.article:
+                    for x in self.around:
+                        self.holds[x[2]] = True
+                    self.article.append([name, 1])
+                elif name != self.article[-1][0]:
+                    self.article.append([name, 1])
+
+
+def blocks(page: str) -> list[tuple[str, int, bool]]:
+    """(text, characters inside links, in the marked article) of each block that is not left out; left-out parts end a block."""
+    p = _Blocks(page)
+    sure = {k for k, kind in enumerate(p.kind) if kind == "sure"}
+    inside = [b for b in p.out if b[2] and sure.isdisjoint(b[3])]
+    if not inside and any(len(b[0]) for b in p.out if b[2]):
+        sure -= {k for k in sure if p.holds[k]}
+    rest = [b for b in p.out if sure.isdisjoint(b[3])]
+    size = sum(len(b[0]) for b in rest)
+    within = dict.fromkeys(range(len(p.kind)), 0)
+    for b in rest:
+        for k in b[3]:
+            within[k] += len(b[0])
+    gone = {k for k, n in within.items() if k not in sure and p.kind[k] == "likely" and not p.holds[k] and 2 * n < size}
+    return [b[:3] for b in rest if gone.isdisjoint(b[3])]
 
 
 def main_text(page: str) -> str:
@@ -149,7 +203,7 @@ def main_text(page: str) -> str:
             stop = sum(map(STOP_WORDS.__contains__, w)) >= MIN_STOP_SHARE * max(1, len(w))
             label.append(True if stop else None)
     # pass 2: the nearest decided block on each side
-    n = len(found)
+    n, some = len(found), True in label
     near: list[list[tuple[int, bool] | None]] = [[None, None] for _ in range(n)]
     for side, order in ((0, range(n)), (1, range(n - 1, -1, -1))):
         last = None
@@ -160,7 +214,7 @@ def main_text(page: str) -> str:
     keep = []
     for i, (t, _, _) in enumerate(found):
         sides = [x for x in near[i] if x]
-        good = label[i] if label[i] is not None else min(sides, key=lambda x: (x[0], not x[1]))[1] if sides else marked
+        good = label[i] if label[i] is not None else not some or min(sides, key=lambda x: (x[0], not x[1]))[1]
         if good:
             keep.append(t)
     return "\n".join(keep)

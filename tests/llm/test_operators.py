@@ -315,6 +315,67 @@ def test_html_odd_pages(page):
     assert isinstance(html.main_text(page), str)
 
 
+LONG = "<p>This is a paragraph of the text that is long enough, and it has the words of the language in it as well.</p>"
+
+
+@pytest.mark.parametrize("attr", ['class="layout has-sidebar"', 'id="content" class="no-sidebar"', 'class="article-with-comments"', 'class="post search-result"', 'class="ad-free"', 'class="main"'])
+def test_html_wrappers_stay(attr):
+    page = f"<body><div {attr}><div class=sidebar>Side</div>{LONG}<p>Short.</p>{LONG}</div><div class='related-posts'>More of this</div></body>"
+    assert html.main_text(page).split("\n") == [re.sub("<.*?>", "", LONG), "Short.", re.sub("<.*?>", "", LONG)]
+
+
+def test_html_suspects():
+    form = f"<form id=page><main>{LONG}<button>go</button></main><label>Mail</label></form>"
+    assert html.main_text(form) == re.sub("<.*?>", "", LONG)
+    comments = f"<article>{LONG}</article><div id=comments><article class=item>{LONG}</article></div><form>{LONG}</form>"
+    assert html.main_text(comments) == re.sub("<.*?>", "", LONG)
+    assert html.main_text(f"<div class=comment>{LONG}</div>") == ""
+
+
+def test_html_without_known_stop_words():
+    zh = "这是一篇没有空格的文章" * 20
+    assert html.main_text(f"<ul><li><a href=x>菜单</a></li></ul><h1>标题</h1><p>{zh}</p><p>结束。</p>") == f"标题\n{zh}\n结束。"
+    assert html.main_text("<p>One short sentence.</p><p>Another one.</p>") == "One short sentence.\nAnother one."
+
+
+def article_by_force(page):
+    """The blocks of an article, by the library's parser; for the given pages, which mark theirs."""
+    from html.parser import HTMLParser
+
+    out, inside, part = [], [0], []
+
+    class P(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            self.cut(tag)
+            inside[0] += tag == "article"
+
+        def handle_endtag(self, tag):
+            self.cut(tag)
+            inside[0] -= tag == "article"
+
+        def handle_data(self, data):
+            if inside[0]:
+                part.append(data)
+
+        def cut(self, tag):
+            if tag == "br":
+                part.append(" ")
+            if tag in ("p", "h1", "h2", "li", "ul", "article", "div"):
+                if t := " ".join("".join(part).split()):
+                    out.append(t)
+                part.clear()
+
+    P().feed(page)
+    return "\n".join(out)
+
+
+def test_html_pages_by_force(spark, small):
+    pages = spark.read.parquet(f"{small}/pages.parquet")
+    want = {r["page_id"]: article_by_force(r["html"] or "") for r in pages.collect()}
+    got = {r["page_id"]: r["text"] for r in queries.QUERIES["op3_html_extraction"](spark, small).collect()}
+    assert got == want
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, "x"), (None, "u", "", "x"), (1, "u", PAGE, "x")], "page_id bigint, url string, html string, text string")
     got = html.extracted(df).toPandas()
@@ -520,7 +581,7 @@ def test_myers():
 
 def test_decontamination(spark):
     rng = random.Random(9)
-    items = [(i, text_of(rng.randrange(8, 40), f"i{i}", 10_000)) for i in range(12)] + [(90, None), (91, "tiny"), (92, "")]
+    items = [(i, text_of(rng.randrange(8, 40), f"i{i}", 10_000)) for i in range(12)] + [(90, None), (91, "tiny"), (92, ""), (93, " \n"), (94, "Two Words."), (None, "tiny")]
     docs = []
     for i in range(60):
         t = text_of(80, f"d{i}", 10_000)
@@ -530,10 +591,11 @@ def test_decontamination(spark):
                 p[rng.randrange(len(p))] = rng.choice(["", "z", "  "])
             t = t[:100] + " " + "".join(p).upper() + "\n" + t[100:]
         docs.append((i, t))
-    d = spark.createDataFrame([*docs, (98, None), (99, "")], "doc_id bigint, text string")
+    short = [(95, "a TINY one"), (96, "destiny tinyx"), (97, "two\twords."), (100, "tiny")]
+    d = spark.createDataFrame([*docs, *short, (98, None), (99, "")], "doc_id bigint, text string")
     b = spark.createDataFrame(items, "item_id bigint, text string")
     got = {(r["doc_id"], r["item_id"]): r["distance"] for r in decontaminate.matches(d, b).collect()}
-    want = {}
+    want = {(95, 91): 0, (97, 94): 0, (100, 91): 0}
     for i, t in docs:
         for k, item in items[:12]:
             n = distance_by_force(decontaminate.plain(item), decontaminate.plain(t))
