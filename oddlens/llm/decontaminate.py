@@ -3,10 +3,13 @@
 An item of n characters may differ from a passage by e = n // 20 edits. It is cut into e + 1 pieces; a passage within
 e edits holds at least one piece unchanged. One automaton finds all pieces in a text, and the window around each
 hit is verified with Myers' bit-parallel edit distance. Texts and items are compared in lower case with white space
-runs as one space.
+runs as one space. Items of fewer than CHARS_PER_EDIT characters allow no edit; they are found as whole words only, so
+that `no` is not found in `note`.
 
-Null and empty texts match nothing; items that are null or have fewer than MIN_CHARS characters are not looked for.
-Repeated documents are matched one by one, repeated items too. Empty tables give no rows. The items are a fixed test
+Null, empty and blank texts and items match nothing, nor do rows whose item_id is null; documents with a null doc_id are
+searched as others. Very long texts are searched whole, and windows that overlap are verified as one. Of equally near
+passages the first is told. Repeated documents are matched one by one, repeated items too. Columns besides the ids and
+texts are not looked at; the stage keeps them as they are. Empty tables give no rows. The items are a fixed test
 set: they go to the tasks in chunks of bounded size, one pass over the documents for each chunk.
 """
 
@@ -17,7 +20,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CHARS_PER_EDIT = 20
-MIN_CHARS = 20
 #: Items of one pass: at most so many characters, by which the automaton and what is sent are bounded.
 PASS_CHARS = 4_000_000
 
@@ -62,6 +64,11 @@ class Myers:
         return found, end
 
 
+def _alone(text: str, start: int, end: int) -> bool:
+    """Whether no letter or digit goes on at either end."""
+    return not (start and text[start - 1].isalnum() and text[start].isalnum()) and not (end < len(text) and text[end - 1].isalnum() and text[end].isalnum())
+
+
 def _matcher(items: list[tuple[int, str]]):
     import ahocorasick
 
@@ -83,6 +90,8 @@ def _matcher(items: list[tuple[int, str]]):
                 size = len(items[k][1])
                 slack = size // CHARS_PER_EDIT
                 start = end + 1 - n - at
+                if not slack and not _alone(text, start, end + 1):
+                    continue
                 lo, hi = max(0, start - slack), min(len(text), start + size + slack)
                 own = windows.setdefault(k, [])
                 if own and lo <= own[-1][1] and own[-1][0] <= lo:
@@ -106,7 +115,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     out = None
     for k in range(n_passes):
         part = benchmark if n_passes == 1 else benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(n_passes)) == k)
-        items = sorted((r["item_id"], p) for r in part.select("item_id", "text").where("item_id is not null").toLocalIterator() if len(p := plain(r["text"])) >= MIN_CHARS)
+        items = sorted((r["item_id"], p) for r in part.select("item_id", "text").where("item_id is not null").toLocalIterator() if (p := plain(r["text"])))
 
         def search(batches, items=items):
             match = _matcher(items) if items else lambda t: []
@@ -131,7 +140,7 @@ def decontamination_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = docs
     for k in range(n_passes):
         part = benchmark if n_passes == 1 else benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(n_passes)) == k)
-        items = sorted((r["item_id"], p) for r in part.select("item_id", "text").where("item_id is not null").toLocalIterator() if len(p := plain(r["text"])) >= MIN_CHARS)
+        items = sorted((r["item_id"], p) for r in part.select("item_id", "text").where("item_id is not null").toLocalIterator() if (p := plain(r["text"])))
 
         def clean(batches, items=items):
             import pyarrow as pa

@@ -5,8 +5,9 @@ a host is shrunk with a beta prior that is fitted to all hosts by the method of
 documents stays near the average. A host whose shrunk rate passes the limit for any rule is rejected, and its
 verdict is joined back to its documents.
 
-Null, empty and blank texts have no words and fail the base rule. Null hosts form one host of their own. Repeated
-rows are judged one by one and all returned. An empty table gives an empty result.
+Null, empty and blank texts have no words and fail the base rule. Null hosts form one host of their own. Very long texts
+are measured whole. Repeated rows are judged one by one and all returned; rates and lengths at a limit pass. measures()
+replaces columns of its own names; the stage returns all columns as they were. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -58,11 +59,11 @@ def _repeat_words(w: Column) -> Column:
 
 
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed (columns of these names are replaced)."""
+    """docs with n_words, word_chars, n_symbols, n_lines (with a word), n_dup_lines, n_repeat_words and base_failed (columns of these names are replaced)."""
     body = F.coalesce(docs[text], F.lit(""))
 
     def lines(with_word: Column) -> Column:
-        return (F.size(with_word) - F.size(F.array_distinct(with_word))).cast("long")
+        return F.struct(F.size(with_word).cast("long").alias("n_lines"), (F.size(with_word) - F.size(F.array_distinct(with_word))).cast("long").alias("n_dup_lines"))
 
     def measured(w: Column) -> Column:
         return F.struct(
@@ -71,14 +72,16 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
             _repeat_words(w).alias("n_repeat_words"),
         )
 
-    m = docs.withColumn("_m", let(words(docs[text]), measured))
+    by_line = let(F.filter(F.split(body, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lines)
+    m = docs.withColumns({"_m": let(words(docs[text]), measured), "_l": by_line})
     m = m.withColumns({
         "n_words": F.col("_m.n_words"),
         "word_chars": F.col("_m.word_chars"),
         "n_symbols": F.length(F.regexp_replace(body, f"[^{SYMBOLS}]+", "")).cast("long"),
-        "n_dup_lines": let(F.filter(F.split(body, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lines),
+        "n_lines": F.col("_l.n_lines"),
+        "n_dup_lines": F.col("_l.n_dup_lines"),
         "n_repeat_words": F.col("_m.n_repeat_words"),
-    }).drop("_m")
+    }).drop("_m", "_l")
     return m.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
 
@@ -88,7 +91,7 @@ def _failures() -> dict[str, Column]:
     return {
         "base": F.col("base_failed"),
         "symbols": F.col("n_symbols") / chars > MAX_SYMBOL_SHARE,
-        "dup_lines": F.col("n_dup_lines") * 10.0 / F.greatest(F.col("n_words"), F.lit(1)) > 10 * MAX_DUP_LINE_SHARE,
+        "dup_lines": F.col("n_dup_lines") * 10.0 / F.greatest(F.col("n_lines"), F.lit(1)) > 10 * MAX_DUP_LINE_SHARE,
         "word_length": (per_word < WORD_LENGTH[0]) | (per_word > WORD_LENGTH[1]),
     }
 
@@ -119,7 +122,7 @@ def judged(docs: DataFrame, host: str = "source", text: str = "text", keep: list
     """docs (or its columns `keep`) with the measures, base_failed, host_ok and kept."""
     m = measures(docs, text)
     if keep is not None:
-        made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+        made = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed"]
         m = written(m.select(*dict.fromkeys([*keep, host]), *made), "measures")
     verdicts = written(host_verdicts(m, host).select("host", "host_ok"), "verdicts")
     out = with_few(m.drop("host_ok").withColumn("_host", F.col(host)), verdicts.withColumnRenamed("host", "_host"), ["_host"])
@@ -147,9 +150,9 @@ m AS (SELECT doc_id, source, len(w)::BIGINT AS n_words, length(array_to_string(w
 win AS (SELECT doc_id, i, array_to_string(w[i:i+4], ' ') AS g FROM m, unnest(range(1, greatest(n_words - 3, 1))) AS u(i)),
 rep AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1),
 cov AS (SELECT doc_id, count(DISTINCT i + k)::BIGINT AS n FROM rep, unnest(range(0, 5)) AS u(k) GROUP BY doc_id),
-f AS (SELECT m.doc_id, source, n_words, word_chars, n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0) AS n_repeat_words FROM m LEFT JOIN cov USING (doc_id)),
+f AS (SELECT m.doc_id, source, n_words, word_chars, n_symbols, len(ls) AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0) AS n_repeat_words FROM m LEFT JOIN cov USING (doc_id)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f),
-x AS (SELECT *, n_symbols / greatest(word_chars, 1)::DOUBLE > 0.1 AS f_symbols, n_dup_lines * 10.0::DOUBLE / greatest(n_words, 1) > 3.0 AS f_dup,
+x AS (SELECT *, n_symbols / greatest(word_chars, 1)::DOUBLE > 0.1 AS f_symbols, n_dup_lines * 10.0::DOUBLE / greatest(n_lines, 1) > 3.0 AS f_dup,
   word_chars::DOUBLE / greatest(n_words, 1) < 2.0 OR word_chars::DOUBLE / greatest(n_words, 1) > 15.0 AS f_len FROM b),
 h AS (SELECT source, count(*) AS n, r, count(*) FILTER (WHERE v) AS k FROM (SELECT source, unnest(['base', 'symbols', 'dup_lines', 'word_length']) AS r, unnest([base_failed, f_symbols, f_dup, f_len]) AS v FROM x) GROUP BY source, r),
 p AS (SELECT r, avg(k / n::DOUBLE) AS mean, var_samp(k / n::DOUBLE) AS v FROM h GROUP BY r),
