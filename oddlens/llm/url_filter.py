@@ -2,12 +2,15 @@
 
 List entries (kind, pattern, action, listed_at) say from when a host, a domain or a section of a host (host and first
 path segment) is blocked or allowed. The entries of one pattern become validity intervals, each open until the next
-entry. A capture asks for its section, its host and the parent domains; the interval that holds its fetch time is
-the as-of match of each, and the most specific match decides. Entries of one pattern and one time count once, and
-`block` wins. A capture without a match is not blocked.
-
-Null, empty or odd URLs have no host and match nothing; captures without a fetch time match nothing. Repeated
-captures and repeated entries change nothing for others. Empty lists block nothing; empty captures give no rows.
+entry. A capture asks for its section, its host, and the domains that it belongs to: the host itself, unless it has one
+label only, and its parents down to two labels. Captures and intervals of a pattern are put in one order of time, and
+the last interval before a capture is its as-of match. A pattern with many captures is dealt to several tasks, each of
+which gets its intervals. The most specific match decides. Entries of one pattern and one time count once, and `block`
+wins. A capture without a match is not blocked.
+
+Null, empty or odd URLs have no host and match nothing; captures without a fetch time match nothing. An entry counts from
+its very time. Repeated captures and repeated entries change nothing for others. URLs of any length are read whole.
+Columns other than those named are not looked at. Empty lists block nothing; empty captures give no rows.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ from oddlens.llm.common import with_few, written
 
 #: From the least to the most specific.
 KINDS = ("domain", "host", "section")
+#: Captures of one pattern that one task orders by time.
+RUN = 100_000
 #: Query data: captures are fetched, and lists are dated, within a year from here.
 EPOCH, SPAN = "2024-01-01 00:00:00", 365 * 86400
 
@@ -37,10 +42,10 @@ def section_of(url: Column) -> Column:
 
 
 def keys_of(url: Column) -> Column:
-    """Array of (rank, kind, pattern) that a URL may match; parents of a host down to two labels."""
+    """Array of (rank, kind, pattern) that a URL may match; domains are the host and its parents down to two labels."""
     labels = F.split(host_of(url), r"\.")
     parents = F.transform(
-        F.when(F.size(labels) > 2, F.sequence(F.lit(2), F.size(labels) - 1)).otherwise(F.array().cast("array<int>")),
+        F.when(F.size(labels) > 1, F.sequence(F.lit(1), F.size(labels) - 1)).otherwise(F.array().cast("array<int>")),
         lambda i: F.struct((-i).alias("rank"), F.lit("domain").alias("kind"), F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("pattern")),
     )
     host = F.struct(F.lit(1).alias("rank"), F.lit("host").alias("kind"), host_of(url).alias("pattern"))
@@ -49,7 +54,7 @@ def keys_of(url: Column) -> Column:
 
 
 def intervals(entries: DataFrame) -> DataFrame:
-    """Rows (kind, pattern, spans): spans is the sorted array of (valid_from, valid_to, action) of the pattern."""
+    """Rows (kind, pattern, valid_from, valid_to, action); valid_to is null where no later entry of the pattern follows."""
     one = entries.where("kind is not null and pattern is not null and listed_at is not null").groupBy("kind", "pattern", "listed_at").agg(F.max("action").alias("action"))
     by = W.partitionBy("kind", "pattern").orderBy("listed_at")
     return one.select("kind", "pattern", F.col("listed_at").alias("valid_from"), F.lead("listed_at").over(by).alias("valid_to"), "action")
@@ -58,11 +63,19 @@ def intervals(entries: DataFrame) -> DataFrame:
 def url_filter(captures: DataFrame, entries: DataFrame, key: str = "page_id") -> DataFrame:
     """captures (key, url, fetched_at): each with blocked, kind, pattern and listed_at of the deciding entry. key must tell rows apart; rows with equal key, url and time share a row."""
     base = captures.groupBy(F.col(key).alias("_id"), "url", "fetched_at").agg(F.count(F.lit(1)).alias("_n"))
-    spans = written(intervals(entries).groupBy("kind", "pattern").agg(F.array_sort(F.collect_list(F.struct("valid_from", "valid_to", "action"))).alias("spans")), "intervals")
-    asked = base.select("_id", "url", "fetched_at", F.explode(keys_of(F.col("url"))).alias("k")).select("_id", "url", "fetched_at", "k.rank", "k.kind", "k.pattern")
-    found = with_few(asked, spans, ["kind", "pattern"], "inner")
-    at = F.filter("spans", lambda s: (s["valid_from"] <= F.col("fetched_at")) & (s["valid_to"].isNull() | (F.col("fetched_at") < s["valid_to"])))
-    found = found.withColumn("s", F.get(at, F.lit(0))).where("s is not null")
+    spans = written(intervals(entries), "intervals")
+    asked = base.select("_id", "url", "fetched_at", F.explode(keys_of(F.col("url"))).alias("k")).select("_id", "url", "fetched_at", "k.rank", "k.kind", "k.pattern").where("fetched_at is not null")
+    listed = written(spans.select("kind", "pattern").distinct(), "patterns")
+    asked = written(with_few(asked, listed, ["kind", "pattern"], "inner"), "asked")
+    salts = written(asked.groupBy("kind", "pattern").agg(F.ceil(F.count(F.lit(1)) / RUN).cast("int").alias("_salts")), "salts")
+    asked = with_few(asked, salts, ["kind", "pattern"]).withColumn("_salt", F.pmod(F.xxhash64("_id", "url", "fetched_at"), F.col("_salts")).cast("int"))
+    spans = with_few(spans, salts, ["kind", "pattern"], "inner").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
+    span = F.struct("valid_from", "valid_to", "action")
+    none = F.lit(None).cast(spans.select(span.alias("s")).schema["s"].dataType)
+    line = spans.select("kind", "pattern", "_salt", F.col("valid_from").alias("_at"), F.lit(0).alias("_turn"), span.alias("s"), *[F.lit(None).cast(base.schema[c].dataType).alias(c) for c in ("_id", "url", "fetched_at")], F.lit(None).cast("int").alias("rank"))
+    line = line.unionAll(asked.select("kind", "pattern", "_salt", F.col("fetched_at").alias("_at"), F.lit(1).alias("_turn"), none.alias("s"), "_id", "url", "fetched_at", "rank"))
+    by = W.partitionBy("kind", "pattern", "_salt").orderBy("_at", "_turn").rowsBetween(W.unboundedPreceding, W.currentRow)
+    found = line.withColumn("s", F.last("s", ignorenulls=True).over(by)).where("_turn = 1 and s is not null and (s.valid_to is null or fetched_at < s.valid_to)")
     best = found.groupBy("_id", "url", "fetched_at").agg(F.max_by(F.struct("kind", "pattern", F.col("s.valid_from").alias("listed_at"), F.col("s.action").alias("action")), "rank").alias("b"))
     best = best.withColumnsRenamed({"_id": "_b_id", "url": "_b_url", "fetched_at": "_b_at"})
     same = base["_id"].eqNullSafe(best["_b_id"]) & base["url"].eqNullSafe(best["_b_url"]) & base["fetched_at"].eqNullSafe(best["_b_at"])
@@ -101,7 +114,7 @@ WITH c AS (SELECT page_id, url, make_timestamp((1704067200 + (page_id * 7919) %
   nullif(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]+/([^/?#]+)', 1), '') AS seg FROM pages),
 k AS (SELECT page_id, url, t, 1 AS rank, 'host' AS kind, host AS pattern FROM c WHERE host IS NOT NULL
   UNION ALL SELECT page_id, url, t, 2, 'section', host || '/' || seg FROM c WHERE host IS NOT NULL AND seg IS NOT NULL
-  UNION ALL SELECT page_id, url, t, -i, 'domain', array_to_string(string_split(host, '.')[i:], '.') FROM c, unnest(range(2, len(string_split(host, '.')))) AS u(i) WHERE host IS NOT NULL),
+  UNION ALL SELECT page_id, url, t, -i, 'domain', array_to_string(string_split(host, '.')[i:], '.') FROM c, unnest(range(1, len(string_split(host, '.')))) AS u(i) WHERE host IS NOT NULL),
 p AS (SELECT DISTINCT kind, pattern, md5(kind || ':' || pattern) AS h FROM k),
 e AS (SELECT kind, pattern, CASE WHEN h[1:1] < '6' THEN 'block' ELSE 'allow' END AS action, make_timestamp((1704067200 + ('0x' || h[3:5])::BIGINT % 365 * 86400) * 1000000) AS f FROM p WHERE h[1:1] < '9'
   UNION ALL SELECT kind, pattern, CASE WHEN h[2:2] < '8' THEN 'allow' ELSE 'block' END, make_timestamp((1704067200 + ('0x' || h[6:8])::BIGINT % 365 * 86400) * 1000000) FROM p WHERE h[1:1] < '9'),
