@@ -12,8 +12,8 @@ __all__ = ["BROADCAST_ROWS", "SPACE", "let", "lookup", "n_words", "partitions",
 #: White space that ends a word: space and \t \n \v \f \r.
 SPACE = " \t\n\x0b\x0c\r"
 SPACE_RE = r"[\x20\x09-\x0D]+"
-#: A table of at most so many rows of fixed width (below 100 bytes each) may be broadcast.
-BROADCAST_ROWS = 100_000
+#: A table of at most so many rows, and of so many bytes as JSON, may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 16_000_000
 
 
 def let(value: Column, body) -> Column:
@@ -35,11 +35,14 @@ def n_words(text: Column) -> Column:
 def with_few(df: DataFrame, few: DataFrame, on: list[str], how: str = "left") -> DataFrame:
     """df joined (left or inner) with a written table that has one row a key. Null keys match null keys.
 
-    The table is broadcast only when its counted rows are within BROADCAST_ROWS. Beyond that lookup() joins it, by
-    which a key with a third of df's rows stays even. df must be cheap to compute twice, or written.
+    The table is broadcast only when its counted rows and their bytes are within BROADCAST_ROWS and BROADCAST_BYTES.
+    Beyond that lookup() joins it, by which a key with a third of df's rows stays even. df must be cheap to compute
+    twice, or written.
     """
     right = few.withColumnsRenamed({c: f"_r_{c}" for c in on}).withColumn("_hit", F.lit(True))
-    if few.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    size = few.limit(BROADCAST_ROWS + 1).select(F.octet_length(F.to_json(F.struct(*few.columns))).alias("_b"))
+    n, n_bytes = size.agg(F.count(F.lit(1)), F.coalesce(F.sum("_b"), F.lit(0))).first()
+    if n <= BROADCAST_ROWS and n_bytes <= BROADCAST_BYTES:
         out = df.join(F.broadcast(right), [df[c].eqNullSafe(right[f"_r_{c}"]) for c in on], how)
         return out.drop("_hit", *[f"_r_{c}" for c in on])
     right = right.withColumn("_on", F.struct(*[F.col(f"_r_{c}").alias(c) for c in on])).drop(*[f"_r_{c}" for c in on])

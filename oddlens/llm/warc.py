@@ -9,8 +9,9 @@ so that the ranges in order are the globally ordered capture histories. A range
 
 Null payloads are empty. A null URL is left out of its record and reads back as null; white space and control
 characters in URLs are percent-encoded. Null times are left out too. Rows with one id repeat a record: each is
-written, and all rows with the largest id of a payload are responses. A null id never refers to anything larger. An
-empty table writes no file and gives no rows. Files are named anew by each task attempt and only those that a
+written, and all rows with the largest id of a payload are responses. A null id never refers to anything larger. Records
+with equal keys, times and ids stay in the order of their runs. Payloads of any length are written and read whole, one at
+a time. Columns besides the four named are not written. An empty table writes no file and gives no rows. Files are named anew by each task attempt and only those that a
 finished task lists are read, so lost executors leave no trace in results.
 """
 
@@ -29,13 +30,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oddlens.llm.common import partitions, shared_dir, with_few, written
+from oddlens.llm.common import shared_dir, with_few, written
 from oddlens.llm.url_filter import fetch_time
 
 MIN_REVISIT = 1000
 #: An archive file is closed after so many compressed bytes.
 FILE_BYTES = 8_000_000
 LEVEL = 3
+#: Records of one range of the index.
+RANGE_ROWS = 50_000
 _ID = "urn:capture:"
 _RUN = "run string, seq bigint, page_id bigint, url string, url_key string, fetched_at string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
 _KEY = ["url_key", "fetched_at", "page_id"]
@@ -147,7 +150,7 @@ def read_archives(files: DataFrame) -> DataFrame:
                 t["run"], t["seq"] = uri.rpartition("/")[2], range(len(t))
                 yield t.astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    n = max(1, min(partitions(files.sparkSession), files.count()))
+    n = max(1, files.count())  # files have bounded size: a task each
     return files.select("path").repartition(n).mapInPandas(read, _RUN)
 
 
@@ -190,30 +193,34 @@ class LoserTree:
 
 
 def index(runs: DataFrame, n: int | None = None) -> DataFrame:
-    """runs, as read_archives() gives them and written: globally ordered by URL key, time and id."""
+    """runs, as read_archives() gives them and written: globally ordered by URL key, time and id. n: ranges; by default so
+    many that each has about RANGE_ROWS records."""
     cols = [c.split()[0] for c in _RUN.split(", ")]
 
     def merge(batches):
+        # what a range gets of each run, kept as columns; the tree merges keys and places
         pieces: dict[str, list[pd.DataFrame]] = {}
         for b in batches:
             for run, part in b.groupby("run", sort=False):
                 pieces.setdefault(run, []).append(part)
-        runs = []
+        if not pieces:
+            return
+        tables, keys, base = [], [], 0
         for run in sorted(pieces):
-            t = pd.concat(pieces[run]).sort_values("seq").astype(object)
-            t = t.where(t.notna(), None)
-            runs.append([(sort_key(r), r) for r in t.to_dict("records")])
-        rows = []
-        for _, r in LoserTree(runs):
-            rows.append(r)
-            if len(rows) == 10_000:
-                yield pd.DataFrame(rows, columns=cols).astype({"page_id": "Int64", "refers_to": "Int64"})
-                rows = []
-        if rows:
-            yield pd.DataFrame(rows, columns=cols).astype({"page_id": "Int64", "refers_to": "Int64"})
+            t = pd.concat(pieces.pop(run)).sort_values("seq")
+            tables.append(t)
+            ids = [-1 if pd.isna(i) else int(i) for i in t["page_id"]]
+            keys.append(zip(zip(t["url_key"], t["fetched_at"].fillna(""), ids, strict=True), range(base, base + len(t)), strict=True))
+            base += len(t)
+        whole = pd.concat(tables, ignore_index=True).astype({"page_id": "Int64", "refers_to": "Int64"})
+        del tables
+        order = [at for _, at in LoserTree(keys)]
+        for lo in range(0, base, 10_000):
+            yield whole.iloc[order[lo : lo + 10_000]][cols]
 
     key = [F.col("url_key"), F.coalesce("fetched_at", F.lit("")), F.coalesce("page_id", F.lit(-1))]
-    return runs.repartitionByRange(n or partitions(runs.sparkSession), *key).mapInPandas(merge, _RUN).drop("run", "seq")
+    n = n or runs.count() // RANGE_ROWS + 1
+    return runs.repartitionByRange(n, *key).mapInPandas(merge, _RUN).drop("run", "seq")
 
 
 def op10_warc(spark, sf_dir: str) -> DataFrame:

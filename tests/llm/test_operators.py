@@ -529,13 +529,15 @@ def test_language_model_without_training_rows(spark):
 # 6
 
 
-def test_url_filter(spark):
-    caps = [(1, "http://a.b.org/x/1", "2024-01-05"), (2, "http://a.b.org/x/1", "2024-01-15"), (3, "http://a.b.org/y", "2024-01-15"), (4, "http://c.b.org", "2024-01-15"), (5, None, "2024-01-15"), (6, "no url", "2024-01-15"), (7, "http://a.b.org", None), (None, "http://a.b.org", "2024-01-25"), (3, "http://a.b.org/y", "2024-01-15")]
+@pytest.mark.parametrize("run", [100_000, 1])
+def test_url_filter(spark, run, monkeypatch):
+    monkeypatch.setattr(url_filter, "RUN", run)
+    caps = [(1, "http://a.b.org/x/1", "2024-01-05"), (2, "http://a.b.org/x/1", "2024-01-15"), (3, "http://a.b.org/y", "2024-01-15"), (4, "http://c.b.org", "2024-01-15"), (5, None, "2024-01-15"), (6, "no url", "2024-01-15"), (7, "http://a.b.org", None), (None, "http://a.b.org", "2024-01-25"), (3, "http://a.b.org/y", "2024-01-15"), (8, "http://b.org/x", "2024-01-01"), (9, "http://b.org/x", "2023-12-31"), (10, "http://org/", "2024-01-15")]
     ents = [("host", "a.b.org", "block", "2024-01-10"), ("host", "a.b.org", "allow", "2024-01-20"), ("section", "a.b.org/x", "allow", "2024-01-10"), ("section", "a.b.org/x", "allow", "2024-01-10"), ("domain", "b.org", "allow", "2024-01-01"), ("domain", "b.org", "block", "2024-01-01"), (None, "x", "block", "2024-01-01"), ("host", None, "block", None)]
     c = spark.createDataFrame(caps, "page_id bigint, url string, fetched_at string").withColumn("fetched_at", F.col("fetched_at").cast("timestamp_ntz"))
     e = spark.createDataFrame(ents, "kind string, pattern string, action string, listed_at string").withColumn("listed_at", F.col("listed_at").cast("timestamp_ntz"))
     got = sorted((str(r["page_id"]), r["blocked"], r["kind"]) for r in url_filter.url_filter(c, e).collect())
-    assert got == [("1", True, "domain"), ("2", False, "section"), ("3", True, "host"), ("3", True, "host"), ("4", True, "domain"), ("5", False, None), ("6", False, None), ("7", False, None), ("None", False, "host")]
+    assert got == [("1", True, "domain"), ("10", False, None), ("2", False, "section"), ("3", True, "host"), ("3", True, "host"), ("4", True, "domain"), ("5", False, None), ("6", False, None), ("7", False, None), ("8", True, "domain"), ("9", False, None), ("None", False, "host")]
     assert not any(r["blocked"] for r in url_filter.url_filter(c, e.limit(0)).collect()) and url_filter.url_filter(c.limit(0), e).count() == 0
 
 
