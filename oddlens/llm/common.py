@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from oddlens.sources.shared import shared_dir, written
 
-__all__ = ["BROADCAST_ROWS", "SPACE", "let", "lookup", "n_words", "partitions", "shared_dir", "spread", "with_few", "words", "written"]
+__all__ = ["BROADCAST_ROWS", "SPACE", "freed", "freed2", "freed_rows", "let", "lookup", "n_words", "partitions", "shared_dir", "spread", "with_few", "words", "written"]
 
 #: White space that ends a word: space and \t \n \v \f \r.
 SPACE = " \t\n\x0b\x0c\r"
@@ -16,6 +16,51 @@ SPACE_RE = r"[\x20\x09-\x0D]+"
 BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 16_000_000
 
 
+def _release() -> None:
+    """Gives memory that is no longer in use back to the system; Python workers live longer than their tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def freed_rows(f):
+    """f, a function of batches that yields batches, after which its memory is given back."""
+
+    def run(batches):
+        yield from f(batches)
+        _release()
+
+    return run
+
+
+def freed(f):
+    """f, a function of one group, after which its memory is given back."""
+
+    def run(group):
+        out = f(group)
+        _release()
+        return out
+
+    return run
+
+
+def freed2(f):
+    """f, a function of two groups, after which its memory is given back."""
+
+    def run(left, right):
+        out = f(left, right)
+        _release()
+        return out
+
+    return run
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once a row, however often body names it."""
     return F.transform(F.array(value), body)[0]

@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from oddlens.llm.common import freed_rows
+
 CHARS_PER_EDIT = 20
 #: Items of one pass: at most so many characters, by which the automaton and what is sent are bounded.
 PASS_CHARS = 4_000_000
@@ -123,7 +125,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 rows = [(d, *m) for d, t in zip(b["doc_id"].tolist(), b["text"].tolist(), strict=True) for m in match(plain(t))]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "distance", "end_char"]).astype({"doc_id": "Int64"})
 
-        found = docs.select("doc_id", "text").mapInPandas(search, "doc_id bigint, item_id bigint, distance int, end_char bigint")
+        found = docs.select("doc_id", "text").mapInPandas(freed_rows(search), "doc_id bigint, item_id bigint, distance int, end_char bigint")
         out = found if out is None else out.unionAll(found)
     return out
 
@@ -150,5 +152,5 @@ def decontamination_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
                 ok = [not match(plain(t)) for t in b.column("text").to_pylist()]
                 yield b.filter(pa.array(ok, pa.bool_()))
 
-        kept = kept.mapInArrow(clean, kept.schema)
+        kept = kept.mapInArrow(freed_rows(clean), kept.schema)
     return kept

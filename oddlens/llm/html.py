@@ -26,6 +26,8 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from oddlens.llm.common import freed_rows
+
 MIN_LONG = 70
 MAX_LINK_SHARE = 0.5
 MIN_STOP_SHARE = 0.1
@@ -229,7 +231,7 @@ def extracted(pages: DataFrame, key: str = "page_id") -> DataFrame:
             text = [main_text(h) if isinstance(h, str) else "" for h in b["html"]]
             yield pd.DataFrame({key: b[key].astype("Int64") if kind == "bigint" else b[key], "url": b["url"], "text": text, "n_chars": [len(t) for t in text]})
 
-    return pages.select(key, "url", "html").mapInPandas(extract, f"{key} {kind}, url string, text string, n_chars bigint")
+    return pages.select(key, "url", "html").mapInPandas(freed_rows(extract), f"{key} {kind}, url string, text string, n_chars bigint")
 
 
 def op3_html_extraction(spark, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oddlens.llm.common import BROADCAST_ROWS, lookup, partitions, spread, with_few, written
+from oddlens.llm.common import BROADCAST_ROWS, freed, freed_rows, lookup, partitions, spread, with_few, written
 from oddlens.llm.components import components
 
 WIDTH = 5
@@ -209,7 +209,7 @@ def set_rows(docs: DataFrame) -> DataFrame:
                 digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 yield pd.DataFrame({"doc_id": ids.iloc[part].reset_index(drop=True), "n_shingles": [len(s) for s in sets], "digest": digest})
 
-    return docs.select("doc_id", "text").mapInPandas(rows, "doc_id bigint, n_shingles bigint, digest binary")
+    return docs.select("doc_id", "text").mapInPandas(freed_rows(rows), "doc_id bigint, n_shingles bigint, digest binary")
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -255,8 +255,8 @@ def candidates(docs: DataFrame) -> DataFrame:
         key = keys * np.uint64(n_buckets) + np.uint64(pdf["bucket"].iloc[0])
         return pd.DataFrame({"key": key.view(np.int64)[shared], "doc": ids[shared], "n": size[shared], "tag": tags[shared]})
 
-    dealt = docs.select("doc_id", "text").mapInPandas(deal, "bucket int, keys binary, docs binary, tags binary")
-    found = dealt.groupBy("bucket").applyInPandas(meet, "key bigint, doc bigint, n bigint, tag bigint")
+    dealt = docs.select("doc_id", "text").mapInPandas(freed_rows(deal), "bucket int, keys binary, docs binary, tags binary")
+    found = dealt.groupBy("bucket").applyInPandas(freed(meet), "key bigint, doc bigint, n bigint, tag bigint")
     rank = F.struct((F.col("tag").bitwiseAND(2) > 0).alias("low"), "n", "key")
     by_doc = found.groupBy("doc", F.col("tag").bitwiseAND(1).alias("up")).agg(F.sort_array(F.collect_list(rank)).alias("x"), F.max(F.shiftright("tag", 2)).alias("drop"), F.count_if(F.col("tag").bitwiseAND(2) > 0).alias("low"))
     drop = F.when(F.col("low") > 0, F.least("drop", "low")).otherwise(F.col("drop"))
@@ -288,7 +288,7 @@ def arrays_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     ids = ids.withColumnRenamed("doc", "doc_id")
     mine = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids.hint("merge"), "doc_id", "left_semi")
-    return mine.mapInPandas(arrays, "doc bigint, n bigint, sketch binary, shingles binary").dropDuplicates(["doc"])
+    return mine.mapInPandas(freed_rows(arrays), "doc bigint, n bigint, sketch binary, shingles binary").dropDuplicates(["doc"])
 
 
 def near_sketches(members: DataFrame, arrays: DataFrame) -> DataFrame:
@@ -347,7 +347,7 @@ def near_sketches(members: DataFrame, arrays: DataFrame) -> DataFrame:
                     out.append(pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "bits": bits[ok]}))
         return pd.concat(out).drop_duplicates() if out else pd.DataFrame({"a": [], "b": [], "bits": []}, dtype=np.int64)
 
-    return m.groupBy("bucket").applyInPandas(compare, "a bigint, b bigint, bits bigint").groupBy("a", "b").agg(F.min("bits").alias("bits"))
+    return m.groupBy("bucket").applyInPandas(freed(compare), "a bigint, b bigint, bits bigint").groupBy("a", "b").agg(F.min("bits").alias("bits"))
 
 
 def verified(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
@@ -368,7 +368,7 @@ def verified(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
                 keep.append(DEN * both >= NUM * (len(x) + len(y) - both) and both > 0)
             yield p.loc[keep, ["a", "b"]]
 
-    return two.select("a", "b", "x", "y").mapInPandas(check, "a bigint, b bigint")
+    return two.select("a", "b", "x", "y").mapInPandas(freed_rows(check), "a bigint, b bigint")
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:

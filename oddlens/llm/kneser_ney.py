@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oddlens.llm.common import partitions, shared_dir, written
+from oddlens.llm.common import freed, freed_rows, partitions, shared_dir, written
 from oddlens.llm.jaccard import from_planes, mix64, planes
 
 FOLDS, HELD_OUT = 7, 2
@@ -194,7 +194,7 @@ def train(docs: DataFrame) -> dict:
         b = int(pdf["bucket"].iloc[0])
         return pd.DataFrame([_file("word", b, f"{folder}/word-{b}-{uuid.uuid4().hex}", {"key": keys, "count": counts}, [int(counts.sum()), len(keys)], np.stack([keys[top], counts[top]]))])
 
-    word_files = written(texts.mapInPandas(count_words, "bucket int, c0 binary, c1 binary").groupBy("bucket").applyInPandas(add_words, _FILE), "words").collect()
+    word_files = written(texts.mapInPandas(freed_rows(count_words), "bucket int, c0 binary, c1 binary").groupBy("bucket").applyInPandas(freed(add_words), _FILE), "words").collect()
     n_tokens = sum(r["sums"][0] for r in word_files)
     tops = np.concatenate([np.frombuffer(r["hot"], "<u8").reshape(2, -1) for r in word_files], axis=1) if word_files else np.empty((2, 0), np.uint64)
     hot = np.sort(tops[0][tops[1] * np.uint64(HOT_SHARE) > n_tokens])
@@ -267,8 +267,8 @@ def train(docs: DataFrame) -> dict:
             out = pd.concat([out, pd.DataFrame([made])], ignore_index=True)
         return out
 
-    dealt = texts.mapInPandas(count_bigrams, "bucket int, c0 binary, c1 binary, c2 binary, c3 binary").groupBy("bucket")
-    files = dealt.applyInPandas(add_bigrams, f"{_FILE}, more binary, slot int").groupBy("slot").applyInPandas(add_before, _FILE)
+    dealt = texts.mapInPandas(freed_rows(count_bigrams), "bucket int, c0 binary, c1 binary, c2 binary, c3 binary").groupBy("bucket")
+    files = dealt.applyInPandas(freed(add_bigrams), f"{_FILE}, more binary, slot int").groupBy("slot").applyInPandas(freed(add_before), _FILE)
     files = written(files, "bigrams").collect()
     hot_stats = np.zeros((4, len(hot)), np.uint64)
     for r in files:
@@ -380,7 +380,7 @@ def scored(docs: DataFrame, model: dict) -> DataFrame:
                     "n_known": total((count > 0).astype(np.int64)), "train_tokens": n_tokens, "base_score": total(base), "score": total(np.log10(p)),
                 })
 
-    return docs.select("doc_id", "text", "held_out").mapInPandas(score, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    return docs.select("doc_id", "text", "held_out").mapInPandas(freed_rows(score), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
 def op5_lm_scoring(spark, sf_dir: str) -> DataFrame:

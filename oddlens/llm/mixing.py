@@ -225,15 +225,15 @@ def op4_mixing(spark, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each copy taken, shuffled within its shard: the columns of docs, then shard and shard_order (the place
-    within the shard; underscores follow these two names where docs has such columns)."""
+    """A row for each copy taken: the columns of docs, then shard and shard_order (the place within the shard). Every
+    partition holds its rows of a shard together and shuffled. Underscores follow the two names where docs has such columns."""
     rows = written(sized(docs), "sized")
-    plan, table, chosen, shards = mix_plan(rows.select("source", "size", "u"))
+    plan, table, chosen, _ = mix_plan(rows.select("source", "size", "u"))
     whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"))
     slim = whole.select(F.col("_doc.source").alias("source"), n_words(F.col("_doc.text")).alias("size"), place(F.col("_doc.doc_id"), F.col("_doc.text"), SEED).alias("u"), "_doc")
     out = mixed(slim, plan, table, chosen).select("_doc", "u", F.posexplode("shards").alias("_epoch", "_shard"))
     out = out.withColumn("_order", F.xxhash64(F.lit(SEED), F.lit("order"), "u", "_epoch"))
-    out = out.repartition(shards, "_shard").sortWithinPartitions("_shard", "_order")
+    out = out.sortWithinPartitions("_shard", "_order")
     taken = {c.lower() for c in docs.columns}
     free = lambda name: name if name not in taken else free(name + "_")
     return out.select(*[F.col("_doc").getField(c).alias(c) for c in docs.columns], F.col("_shard").alias(free("shard")), F.col("_order").alias(free("shard_order")))

@@ -38,19 +38,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from oddlens.llm.common import lookup, partitions, written
+from oddlens.llm.common import freed, freed2, lookup, partitions, written
 from oddlens.llm.jaccard import from_planes, mix64, planes
 from oddlens.llm.suffixes import GRAM, SuffixSorter, distinct, powers, string_hashes, units
 
 MIN_LEN = 50
 #: A batch has at least so many bytes, and so many of the input for each of its rows to a bucket.
-BATCH_BYTES, ROW_BYTES = 4_000_000, 1000
+BATCH_BYTES, ROW_BYTES = 2_000_000, 1000
 #: Batches that meet in one Spark task, on average.
-TASK_BATCHES = 4
+TASK_BATCHES = 8
 #: Different strings around one gram, as counted by batches, from which its windows are dealt one by one.
 HOT = 20_000
 #: Bytes of strings that a bucket sorts at a time.
-CHUNK = 1_000_000
+CHUNK = 500_000
 COPIES, GRAMS, STRINGS = range(3)
 _ASK = "bucket bigint, kind int, batch bigint, p0 binary, p1 binary, p2 binary, p3 binary"
 _TELL = "_batch bigint, kind int, bucket bigint, answer binary"
@@ -295,13 +295,13 @@ def _judge(buf, at, size, doc, key, which, n, base, gone, width) -> None:
 
 
 def _portions(strings: np.ndarray, windows: np.ndarray, of: np.ndarray) -> list[np.ndarray]:
-    """The strings, dealt so that those of one key stay together and a portion has about 200,000 windows."""
+    """The strings, dealt so that those of one key stay together and a portion has about 100,000 windows."""
     if not len(strings):
         return []
     order = np.argsort(of[strings], kind="stable")
     strings, total = strings[order], np.cumsum(windows[order])
     cut = _cuts(of[strings])[1:-1]
-    step = total[cut - 1] // 200_000 if len(cut) else cut
+    step = total[cut - 1] // 100_000 if len(cut) else cut
     return np.split(strings, cut[np.flatnonzero(np.diff(np.append(0, step)))])
 
 
@@ -355,8 +355,8 @@ def removed_spans(docs: DataFrame, min_len: int = MIN_LEN) -> DataFrame:
 
     told = copies
     for method in ("ask_grams", "ask_strings"):
-        asked = by_batch.cogroup(told.repartition(n_tasks, "_batch").groupBy("_batch")).applyInArrow(ask(method), _ASK)
-        replies = asked.repartition(max(n_tasks, n_buckets // TASK_BATCHES), "bucket").groupBy("bucket", "kind").applyInPandas(lambda pdf: _reply(pdf, min_len), _TELL)
+        asked = by_batch.cogroup(told.repartition(n_tasks, "_batch").groupBy("_batch")).applyInArrow(freed2(ask(method)), _ASK)
+        replies = asked.repartition(max(n_tasks, n_buckets // TASK_BATCHES), "bucket").groupBy("bucket", "kind").applyInPandas(freed(lambda pdf: _reply(pdf, min_len)), _TELL)
         told = told.unionAll(replies)
     given = T.StructType([T.StructField("_rest", slim.schema["_rest"].dataType), T.StructField("_own", slim.schema["_own"].dataType), T.StructField("text", T.StringType()), T.StructField("_found", _FOUND)])
     empty = to_arrow_schema(given).empty_table()
@@ -381,7 +381,7 @@ def removed_spans(docs: DataFrame, min_len: int = MIN_LEN) -> DataFrame:
         found = pa.StructArray.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*found, strict=True), empty.schema.field("_found").type, strict=True)], fields=list(empty.schema.field("_found").type))
         return pa.table([left.column("_rest"), left.column("_own"), pa.array(text, pa.string()), found], names=["_rest", "_own", "text", "_found"])
 
-    out = by_batch.cogroup(told.repartition(n_tasks, "_batch").groupBy("_batch")).applyInArrow(cut, given)
+    out = by_batch.cogroup(told.repartition(n_tasks, "_batch").groupBy("_batch")).applyInArrow(freed2(cut), given)
     body = F.coalesce("text", F.lit(""))
     zero = F.lit(0).cast("long")
     none = F.struct(F.octet_length(body).cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(body, 256).alias("kept_sha256"), F.array().cast("array<struct<begin:bigint,end:bigint>>").alias("spans"))

@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from oddlens.llm.common import freed_rows
+
 LIMIT = 512
 #: Pre-tokens whose counts a task keeps; longer ones are counted anew each time.
 KEPT, KEPT_CHARS = 400_000, 64
@@ -111,7 +113,7 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", key: str = "doc
                         del known[x]
                 yield pd.DataFrame({key: pd.array(ids[i : i + 64], dtype="Int64") if kind == "bigint" else ids[i : i + 64], "n_bytes": [len(t.encode()) for t in part], "n_tokens": n_tokens, "over_limit": [n > limit for n in n_tokens]})
 
-    return docs.select(key, text).mapInPandas(count, f"{key} {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return docs.select(key, text).mapInPandas(freed_rows(count), f"{key} {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
 
 
 def op7_token_counts(spark, sf_dir: str) -> DataFrame:
