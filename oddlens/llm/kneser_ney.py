@@ -14,8 +14,9 @@ where k(w) counts the distinct words before w, K is their sum, D and D' are the
 counts of counts, and g and g' hold the discounted mass. An unknown word has the last term alone; after a word that
 never came before another, p is p1. The probabilities of all V known words and one unknown word add up to 1.
 
-Null and empty texts are one end token. Null doc_ids are never held out. Repeated rows count and are scored each. An
-empty training set gives uniform probabilities. The shared folder must be a mounted path (file:) on all machines,
+Null and empty texts are one end token. Null doc_ids are never held out. Repeated rows count and are scored each. Texts
+of any length are counted and scored whole; of equally frequent words none is preferred. Columns other than doc_id, text
+and held_out are not looked at. An empty training set gives uniform probabilities, and an empty table no rows. The shared folder must be a mounted path (file:) on all machines,
 since files elsewhere cannot be mapped into memory.
 """
 
@@ -33,8 +34,8 @@ from oddlens.llm.common import freed, freed_rows, partitions, shared_dir, writte
 from oddlens.llm.jaccard import from_planes, mix64, planes
 
 FOLDS, HELD_OUT = 7, 2
-#: Buckets of words and bigrams to a shuffle partition; continuation counts are dealt to as many slots as partitions.
-BUCKETS = 2
+#: Bytes of text to a bucket of words, bigrams and continuation counts, and buckets to a Spark task.
+BUCKET_BYTES, TASK_BUCKETS = 5_000_000, 2
 #: Tokens that a task counts, or scores, at a time.
 FLUSH, AT_ONCE = 1_000_000, 500_000
 HOT_SHARE, HOT_OF_BUCKET = 2000, 64
@@ -165,9 +166,11 @@ def _dealt(bucket: np.ndarray, columns: list[np.ndarray]) -> pd.DataFrame:
 
 
 def train(docs: DataFrame) -> dict:
-    """Counts docs (text) and writes the model; returns its files and sums, whose size follows the number of buckets."""
+    """Counts docs (text) and writes the model; returns its files and sums, whose size follows the number of buckets, one for each BUCKET_BYTES of text."""
     spark = docs.sparkSession
-    n, n_slots = BUCKETS * partitions(spark), partitions(spark)
+    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    n = n_slots = max(int(total) // BUCKET_BYTES, partitions(spark))
+    n_tasks = n // TASK_BUCKETS + 1
     folder = f"{local_path(shared_dir(spark))}/oddlens/kn-{uuid.uuid4().hex}"
     texts = docs.select("text")
 
@@ -194,7 +197,7 @@ def train(docs: DataFrame) -> dict:
         b = int(pdf["bucket"].iloc[0])
         return pd.DataFrame([_file("word", b, f"{folder}/word-{b}-{uuid.uuid4().hex}", {"key": keys, "count": counts}, [int(counts.sum()), len(keys)], np.stack([keys[top], counts[top]]))])
 
-    word_files = written(texts.mapInPandas(freed_rows(count_words), "bucket int, c0 binary, c1 binary").groupBy("bucket").applyInPandas(freed(add_words), _FILE), "words").collect()
+    word_files = written(texts.mapInPandas(freed_rows(count_words), "bucket int, c0 binary, c1 binary").repartition(n_tasks, "bucket").groupBy("bucket").applyInPandas(freed(add_words), _FILE), "words").collect()
     n_tokens = sum(r["sums"][0] for r in word_files)
     tops = np.concatenate([np.frombuffer(r["hot"], "<u8").reshape(2, -1) for r in word_files], axis=1) if word_files else np.empty((2, 0), np.uint64)
     hot = np.sort(tops[0][tops[1] * np.uint64(HOT_SHARE) > n_tokens])
@@ -267,8 +270,8 @@ def train(docs: DataFrame) -> dict:
             out = pd.concat([out, pd.DataFrame([made])], ignore_index=True)
         return out
 
-    dealt = texts.mapInPandas(freed_rows(count_bigrams), "bucket int, c0 binary, c1 binary, c2 binary, c3 binary").groupBy("bucket")
-    files = dealt.applyInPandas(freed(add_bigrams), f"{_FILE}, more binary, slot int").groupBy("slot").applyInPandas(freed(add_before), _FILE)
+    dealt = texts.mapInPandas(freed_rows(count_bigrams), "bucket int, c0 binary, c1 binary, c2 binary, c3 binary").repartition(n_tasks, "bucket").groupBy("bucket")
+    files = dealt.applyInPandas(freed(add_bigrams), f"{_FILE}, more binary, slot int").repartition(n_tasks, "slot").groupBy("slot").applyInPandas(freed(add_before), _FILE)
     files = written(files, "bigrams").collect()
     hot_stats = np.zeros((4, len(hot)), np.uint64)
     for r in files:

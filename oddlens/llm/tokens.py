@@ -6,7 +6,8 @@ none has a pair left. The surviving symbols are the tokens. Counts of pre-tokens
 up to a bound, after which the store starts anew.
 
 Null and empty texts have no tokens. Special strings in a text are one token each, as the library counts them by
-default. Repeated rows are counted one by one; an empty table gives no rows. Only byte-level BPE files without
+default. Texts of any length are counted whole; of pairs of one rank the leftmost goes first. Repeated rows and null ids
+are counted one by one; only the id and the text are read, so other columns cannot clash. An empty table gives no rows. Only byte-level BPE files without
 normaliser are read; others raise ValueError.
 """
 
@@ -100,7 +101,7 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", key: str = "doc
             ids, texts = batch[key].tolist(), batch[text].tolist()
             for i in range(0, len(texts), 64):
                 part = [t if isinstance(t, str) else "" for t in texts[i : i + 64]]
-                extra = [len(special.findall(t)) if special and merges.special[0][:2] in t else 0 for t in part]
+                extra = [len(special.findall(t)) if special else 0 for t in part]
                 found = [cut(t) if not n else [x for piece in special.split(t) for x in cut(piece)] for t, n in zip(part, extra, strict=True)]
                 if len(known) > KEPT:
                     known.clear()
