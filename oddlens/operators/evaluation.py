@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from oddlens.sources.shared import beside
+
 STEPS = 200
 SLICES = {"logical": "logical_anomalies", "structural": "structural_anomalies"}
 #: Ranges of score by which running sums are split, so that no task holds a whole slice.
@@ -31,12 +33,12 @@ def running(df: DataFrame, keys: list[str], by: str, sums: list[str]) -> DataFra
     """
     edge = df.groupBy(*keys).agg(F.min(by).alias("_lo"), F.max(by).alias("_hi"))
     at = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col(by) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * (RANGES - 1))).otherwise(F.lit(0)).cast("int")
-    d = df.join(edge, keys).withColumn("_range", at).drop("_lo", "_hi")
+    d = df.join(beside(edge), keys).withColumn("_range", at).drop("_lo", "_hi")
     part = d.groupBy(*keys, "_range").agg(*[F.sum(x).alias(f"_s_{x}") for x in sums])
     over = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     part = part.select(*keys, "_range", *[F.coalesce(F.sum(f"_s_{x}").over(over), F.lit(0)).alias(f"_b_{x}") for x in sums])
     inside = W.partitionBy(*keys, "_range").orderBy(by).rowsBetween(W.unboundedPreceding, -1)
-    d = d.join(part, [*keys, "_range"])
+    d = d.join(beside(part), [*keys, "_range"])
     return d.withColumns({f"before_{x}": F.col(f"_b_{x}") + F.coalesce(F.sum(x).over(inside), F.lit(0)) for x in sums}).drop("_range", *[f"_b_{x}" for x in sums])
 
 
@@ -64,7 +66,7 @@ def f1_sweep(df: DataFrame, keys: list[str], score: str = "score", label: str =
     enough; scores and thresholds are never joined.
     """
     d = df.where(F.col(score).isNotNull())
-    edge = d.groupBy(*keys).agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))
+    edge = beside(d.groupBy(*keys).agg(F.min(score).alias("_lo"), F.max(score).alias("_hi")))
     d = d.join(edge, keys)
     step = (F.col("_hi") - F.col("_lo")) / float(steps - 1)
     at = lambda i: F.when(i >= steps - 1, F.col("_hi")).otherwise(F.col("_lo") + i * step)
@@ -75,7 +77,7 @@ def f1_sweep(df: DataFrame, keys: list[str], score: str = "score", label: str =
     n = d.groupBy(*keys, "_i").agg(F.sum(label).alias("p"), F.sum(1 - F.col(label)).alias("q"), F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"))
     # the grid has a row for every threshold
     grid = edge.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("_i"), "_lo", "_hi")
-    n = grid.join(n.drop("_lo", "_hi"), [*keys, "_i"], "left")
+    n = grid.join(n.drop("_lo", "_hi").hint("merge"), [*keys, "_i"], "left")
     down = W.partitionBy(*keys).orderBy(F.col("_i").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
     tp, fp = F.coalesce(F.sum("p").over(down), F.lit(0)), F.coalesce(F.sum("q").over(down), F.lit(0))
     n = n.withColumns({"tp": tp, "fp": fp, "pos": F.coalesce(F.sum("p").over(W.partitionBy(*keys)), F.lit(0)), "t": at(F.col("_i"))})
@@ -88,7 +90,7 @@ def per_category(scores: DataFrame) -> DataFrame:
     """Test rows by method, category and anomaly type: counts, AUROC and the F1 sweep."""
     keys = ["method", "category", "anomaly_type"]
     s = with_slices(scores.where("split = 'test'"))
-    return auroc(s, keys).join(f1_sweep(s, keys), keys)
+    return auroc(s, keys).join(f1_sweep(s, keys).hint("merge"), keys)  # a row a slice
 
 
 def macro(metrics: DataFrame, value: str = "auroc") -> DataFrame:
@@ -105,7 +107,7 @@ def leaderboard(metrics: DataFrame, value: str = "auroc") -> DataFrame:
 def quantile(df: DataFrame, keys: list[str], value: str, q: float, name: str) -> DataFrame:
     """The exact q quantile (linear) of each group, from running counts of distinct values; no task holds a group."""
     n = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    r = running(n, keys, value, ["n"]).join(n.groupBy(*keys).agg(F.sum("n").alias("_all")), keys)
+    r = running(n, keys, value, ["n"]).join(beside(n.groupBy(*keys).agg(F.sum("n").alias("_all"))), keys)
     at = (F.col("_all") - 1) * F.lit(q)
     holds = lambda place: (F.col("before_n") <= place) & (F.col("before_n") + F.col("n") > place)
     lo, hi = F.floor(at), F.ceil(at)
@@ -120,7 +122,7 @@ def operating_threshold(scores: DataFrame, q: float = 0.9) -> DataFrame:
 
 def at_threshold(scores: DataFrame, thresholds: DataFrame) -> DataFrame:
     """F1, precision and recall of test slices at the validation threshold; a missing threshold predicts nothing."""
-    t = with_slices(scores.where("split = 'test'")).join(thresholds, ["method", "category"], "left")
+    t = with_slices(scores.where("split = 'test'")).join(beside(thresholds), ["method", "category"], "left")
     hit = F.coalesce(F.col("score") >= F.col("val_threshold"), F.lit(False))
     n = t.groupBy("method", "category", "anomaly_type").agg(
         F.sum(1 - F.col("label")).alias("n_good"), F.sum("label").alias("n_anomaly"), F.count_if(hit & (F.col("label") == 1)).alias("tp"), F.count_if(hit & (F.col("label") == 0)).alias("fp"), F.first("val_threshold").alias("val_threshold")
@@ -131,14 +133,14 @@ def at_threshold(scores: DataFrame, thresholds: DataFrame) -> DataFrame:
 def confusion(scores: DataFrame) -> DataFrame:
     """Test rows with TP, TN, FP or FN at the F1 threshold of the method's whole test set."""
     t = scores.where("split = 'test' and score is not null")
-    d = t.join(F.broadcast(f1_sweep(t, ["method"]).select("method", "f1_threshold")), "method")  # a row a method
+    d = t.join(beside(f1_sweep(t, ["method"]).select("method", "f1_threshold")), "method")
     hit, bad = F.col("score") >= F.col("f1_threshold"), F.col("label") == 1
     return d.withColumn("outcome", F.when(hit & bad, "TP").when(hit, "FP").when(bad, "FN").otherwise("TN"))
 
 
 def decisions(scores: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Test rows with threshold, prediction and whether it is right; scores and thresholds rounded to 4."""
-    d = scores.where("split = 'test'").join(thresholds, ["method", "category"], "left")
+    d = scores.where("split = 'test'").join(beside(thresholds), ["method", "category"], "left")
     pred = F.coalesce(F.col("score") >= F.col("val_threshold"), F.lit(False)).cast("int")
     return d.select("method", "item_id", "category", "label", pred.alias("pred"), (pred == F.col("label")).alias("correct"), F.round("score", 4).alias("score"), F.round("val_threshold", 4).alias("threshold"))
 
@@ -146,8 +148,8 @@ def decisions(scores: DataFrame, thresholds: DataFrame) -> DataFrame:
 def subsets(methods: DataFrame, sets: DataFrame, scores: DataFrame, keys: list[str]) -> DataFrame:
     """Mean fusion of each named set of methods, for all sets in one aggregation. sets: model, method. Items that lack a method of a set are left out."""
     need = sets.groupBy("model").agg(F.count(F.lit(1)).alias("_need"))
-    fused = scores.join(F.broadcast(sets), "method").groupBy("model", *keys).agg(F.avg("score").alias("score"), F.count("score").alias("_n"))
-    return fused.join(F.broadcast(need), "model").where("_n = _need").drop("_n", "_need")
+    fused = scores.join(beside(sets), "method").groupBy("model", *keys).agg(F.avg("score").alias("score"), F.count("score").alias("_n"))
+    return fused.join(beside(need), "model").where("_n = _need").drop("_n", "_need")
 
 
 def leave_one_out(metrics: DataFrame, base: Column) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oddlens.operators.evaluation import running
+from oddlens.sources.shared import beside
 
 ITEM = ["item_id", "category", "split", "defect_type", "label"]
 EPS = 1e-8
@@ -21,16 +22,16 @@ def zscore(scores: DataFrame, keys: list[str], ddof: int = 1) -> DataFrame:
     stats = scores.groupBy(*keys).agg(F.avg(v).alias("_mv"), std(v).alias("_sv"), F.avg("score").alias("_ma"), std("score").alias("_sa"))
     has = F.col("_mv").isNotNull()
     stats = stats.select(*keys, F.when(has, F.col("_mv")).otherwise(F.col("_ma")).alias("_m"), F.coalesce(F.when(has, F.col("_sv")).otherwise(F.col("_sa")), F.lit(0.0)).alias("_s"))
-    return scores.join(stats, keys).withColumn("z", (F.col("score") - F.col("_m")) / (F.col("_s") + EPS)).drop("_m", "_s")
+    return scores.join(beside(stats), keys).withColumn("z", (F.col("score") - F.col("_m")) / (F.col("_s") + EPS)).drop("_m", "_s")
 
 
 def rank_percent(scores: DataFrame, keys: list[str]) -> DataFrame:
     """scores with pct: rank / n with average ranks on ties. Ranks come from counts of distinct scores, not from one sorted task."""
     n = scores.where("score is not null").groupBy(*keys, "score").agg(F.count(F.lit(1)).alias("n"))
     total = n.groupBy(*keys).agg(F.sum("n").alias("_all"))
-    r = running(n, keys, "score", ["n"]).join(total, keys)
+    r = running(n, keys, "score", ["n"]).join(beside(total), keys)
     r = r.select(*keys, "score", ((F.col("before_n") + (F.col("n") + 1) / 2.0) / F.col("_all")).alias("pct"))
-    return scores.join(r, [*keys, "score"])
+    return scores.join(beside(r), [*keys, "score"])  # few distinct scores may be hot keys
 
 
 def branch_matrix(scores: DataFrame, methods: list[str], value: str = "score") -> DataFrame:

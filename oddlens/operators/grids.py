@@ -88,23 +88,3 @@ def upsampled(scores: Column, g: int, box: tuple[int, int, int, int], size: int)
 def overlay(image: Column, mask: Column, alpha: float = 0.4) -> Column:
     """Cells of an image under a mask blended towards 1, clipped to [0, 1]."""
     return F.zip_with(image, mask, lambda v, m: F.when(m > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), (1 - alpha) * v + alpha))).otherwise(v))
-
-
-def component_count(mask: Column, w: int) -> Column:
-    """Number of 4-connected parts of the cells that are true in a w x w grid.
-
-    Every true cell starts with its own number and takes the least of its neighbours' until nothing can change; a part
-    then has one number. w * w rounds suffice for any shape; a shortest path in a w x w grid is rarely that long.
-    """
-    n = w * w
-    start = F.transform(mask, lambda m, p: F.when(m, p))
-
-    def spread(lab: Column, _) -> Column:
-        def least(x: Column, p: Column) -> Column:
-            side = [F.when(p % w != 0, F.get(lab, p - 1)), F.when(p % w != w - 1, F.get(lab, p + 1)), F.get(lab, p - w), F.get(lab, p + w)]
-            return F.when(x.isNotNull(), F.least(x, *side))
-
-        return F.transform(lab, least)
-
-    done = F.aggregate(F.sequence(F.lit(1), F.lit(n // 2)), start, spread)
-    return F.size(F.array_distinct(F.filter(done, lambda x: x.isNotNull())))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from oddlens.operators.tables import capped_sample
 from oddlens.operators.vectors import nearest_word, unit
-from oddlens.sources.shared import written
+from oddlens.sources.shared import beside, written
 
 ROUNDS = 10
 
@@ -37,7 +37,7 @@ def lloyd_step(patches: DataFrame, words: DataFrame, keys: list[str]) -> DataFra
     near = nearest_word(patches, words, keys, ["vec_id", "features"])
     cell = near.select(*keys, "word", F.posexplode("features").alias("pos", "x")).groupBy(*keys, "word", "pos").agg(F.avg("x").alias("x"))
     moved = cell.groupBy(*keys, "word").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("_c"))
-    return words.join(moved, [*keys, "word"], "left").select(*keys, "word", F.coalesce("_c", "centre").alias("centre"))
+    return words.join(moved.hint("merge"), [*keys, "word"], "left").select(*keys, "word", F.coalesce("_c", "centre").alias("centre"))
 
 
 def mahalanobis(train: DataFrame, items: DataFrame, keys: list[str], ridge: float = 1e-5) -> DataFrame:
@@ -48,7 +48,7 @@ def mahalanobis(train: DataFrame, items: DataFrame, keys: list[str], ridge: floa
     x = train.select(*keys, "item_id", F.posexplode("hist").alias("p", "x"))
     y = train.select(*keys, "item_id", F.posexplode("hist").alias("q", "y"))
     mean = x.groupBy(*keys, "p").agg(F.avg("x").alias("m"))
-    pair = x.join(y, [*keys, "item_id"]).groupBy(*keys, "p", "q").agg(F.coalesce(F.covar_samp("x", "y"), F.lit(0.0)).alias("c"))
+    pair = x.join(y.hint("merge"), [*keys, "item_id"]).groupBy(*keys, "p", "q").agg(F.coalesce(F.covar_samp("x", "y"), F.lit(0.0)).alias("c"))
     fit = pair.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("p", "q", "c"))).alias("cov")).join(mean.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("p", "m"))).alias("mean")), keys)
     key_type = ", ".join(f"{c} {train.schema[c].dataType.simpleString()}" for c in keys)
 
@@ -62,7 +62,7 @@ def mahalanobis(train: DataFrame, items: DataFrame, keys: list[str], ridge: floa
             yield b[keys].assign(inverse=out, centre=[[r["m"] for r in m] for m in b["mean"]])
 
     model = fit.mapInPandas(invert, f"{key_type}, inverse array<double>, centre array<double>")
-    d = items.join(model, keys).withColumn("_d", F.zip_with("hist", "centre", lambda a, b: a - b))
+    d = items.join(beside(model), keys).withColumn("_d", F.zip_with("hist", "centre", lambda a, b: a - b))
     n = F.size("_d")
     row = F.transform("_d", lambda v, i: v * F.aggregate(F.zip_with(F.slice("inverse", i * n + 1, n), F.col("_d"), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x))
     score = F.sqrt(F.greatest(F.lit(0.0), F.aggregate(row, F.lit(0.0), lambda s, x: s + x)))
@@ -171,16 +171,23 @@ def probe(patches: DataFrame, w: int = 2) -> DataFrame:
     return connected_parts(cells)
 
 
-def connected_parts(cells: DataFrame, rounds: int = 64) -> DataFrame:
-    """cells (item_id, i, j): rows (item_id, n_parts) of 4-connected parts, by least labels of neighbours until none changes."""
-    lab = written(cells.select("item_id", "i", "j", (F.col("i") * 100_000 + F.col("j")).cast("long").alias("lab")))
-    steps = F.array(*[F.struct(F.lit(a).alias("di"), F.lit(b).alias("dj")) for a, b in ((0, 0), (0, 1), (1, 0), (0, -1), (-1, 0))])
-    for _ in range(rounds):
+def connected_parts(cells: DataFrame) -> DataFrame:
+    """cells (item_id, i, j): rows (item_id, n_parts) of 4-connected parts.
+
+    A cell's label is a cell of its part: every round takes the least label of its neighbours, and then that cell's own
+    label, which shortens long ways by half; it ends when no label changes.
+    """
+    cell = F.shiftleft(F.col("i").cast("long"), 32) + F.col("j")
+    lab = written(cells.select("item_id", "i", "j", cell.alias("cell"), cell.alias("lab")).distinct())
+    steps = F.array(*[F.struct(F.lit(a).alias("di"), F.lit(b).alias("dj")) for a, b in ((0, 1), (1, 0), (0, -1), (-1, 0))])
+    changed = True
+    while changed:
         sent = lab.select("item_id", F.explode(steps).alias("s"), "i", "j", "lab").select("item_id", (F.col("i") + F.col("s.di")).alias("i"), (F.col("j") + F.col("s.dj")).alias("j"), F.col("lab").alias("_l"))
         low = sent.groupBy("item_id", "i", "j").agg(F.min("_l").alias("_l"))
-        new = written(lab.join(low, ["item_id", "i", "j"]).select("item_id", "i", "j", F.least("lab", "_l").alias("lab"), (F.col("_l") < F.col("lab")).alias("changed")))
-        changed = not new.where("changed").isEmpty()
-        lab = new.drop("changed")
-        if not changed:
-            break
+        near = written(lab.join(low.hint("merge"), ["item_id", "i", "j"], "left").withColumn("_to", F.least("lab", "_l")))
+        to = near.select("item_id", F.col("cell").alias("_to"), F.col("_to").alias("_next"))
+        new = near.join(to.hint("merge"), ["item_id", "_to"])
+        lab = written(new.select("item_id", "i", "j", "cell", F.least("_to", "_next").alias("lab"), (F.least("_to", "_next") < F.col("lab")).alias("changed")))
+        changed = not lab.where("changed").isEmpty()
+        lab = lab.drop("changed")
     return lab.groupBy("item_id").agg(F.count_distinct("lab").alias("n_parts"))

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from oddlens.sources.shared import beside
+
 BLOCK = 4096
 
 
@@ -52,7 +54,7 @@ def nearest(queries: DataFrame, bank: DataFrame, keys: list[str], ids: list[str]
         small = F.slice(F.sort_array(F.collect_list("d")), 1, k)
         agg = F.aggregate(small, F.lit(0.0), lambda s, x: s + x) / F.size(small)
     s = d.groupBy(*ids, *[x for x in keys if x not in ids]).agg(agg.alias("score"))
-    return queries.drop("features").join(s, [*ids, *[x for x in keys if x not in ids]], "left")
+    return queries.drop("features").join(s.hint("merge"), [*ids, *[x for x in keys if x not in ids]], "left")
 
 
 def nearest_blocks(queries: DataFrame, bank: DataFrame, keys: list[str], ids: list[str], k: int = 1, block: int = BLOCK) -> DataFrame:
@@ -62,11 +64,13 @@ def nearest_blocks(queries: DataFrame, bank: DataFrame, keys: list[str], ids: li
 
     def cut(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
         n = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias(f"n_{name}"))
-        h = F.pmod(F.xxhash64("features"), F.col(f"n_{name}")).cast("int")
+        n = beside(n)
+        # equal vectors are spread by what else the row holds
+        h = F.pmod(F.xxhash64(*df.columns), F.col(f"n_{name}")).cast("int")
         return df.join(n, keys).withColumn(name, h).drop(f"n_{name}"), n
 
     q, nq = cut(queries.select(*dict.fromkeys([*ids, *keys]), "features"), "qb")
-    b, nb = cut(bank.select(*keys, "features"), "bb")
+    b, nb = cut(bank.select(*dict.fromkeys([*keys, *[c for c in bank.columns if c.endswith("_id")]]), "features"), "bb")
     q = q.join(nb, keys).withColumn("bb", F.explode(F.sequence(F.lit(0), F.col("n_bb") - 1))).drop("n_bb")
     b = b.join(nq, keys).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("n_qb") - 1))).drop("n_qb")
     q, b = q.toDF(*q.columns), b.toDF(*b.columns)  # the two may come from one table
@@ -88,28 +92,28 @@ def nearest_blocks(queries: DataFrame, bank: DataFrame, keys: list[str], ids: li
     part = q.groupBy(*keys, "qb", "bb").cogroup(b.groupBy(*keys, "qb", "bb")).applyInPandas(block_pair, schema)
     small = F.slice(F.sort_array(F.flatten(F.collect_list("d"))), 1, k)
     s = part.groupBy(*keys, *own).agg(small.alias("_d")).select(*keys, *own, (F.aggregate("_d", F.lit(0.0), lambda a, x: a + x) / F.size("_d")).alias("score"))
-    return queries.drop("features").join(s, [*keys, *own], "left")
+    return queries.drop("features").join(s.hint("merge"), [*keys, *own], "left")
 
 
 def global_statistics(train: DataFrame, items: DataFrame, keys: list[str]) -> DataFrame:
     """items (keys, item_id, features) with score: root mean square of z by train mean and population deviation + 1e-6."""
     f = train.select(*keys, F.posexplode("features").alias("pos", "x"))
     stats = f.groupBy(*keys, "pos").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
-    z = items.select(*keys, "item_id", F.posexplode("features").alias("pos", "x")).join(stats, [*keys, "pos"])
+    z = items.select(*keys, "item_id", F.posexplode("features").alias("pos", "x")).join(beside(stats), [*keys, "pos"])
     z = z.withColumn("z", (F.col("x") - F.col("m")) / (F.col("s") + 1e-6))
     return z.groupBy(*keys, "item_id").agg(F.sqrt(F.avg(F.col("z") * F.col("z"))).alias("score"))
 
 
 def nearest_word(patches: DataFrame, words: DataFrame, keys: list[str], ids: list[str]) -> DataFrame:
     """patches with word: the nearest of the words (keys, word, centre) of the same keys, the lowest on ties."""
-    d = patches.join(words, keys).withColumn("_d", euclid(F.col("features"), F.col("centre")))
+    d = patches.join(beside(words), keys).withColumn("_d", euclid(F.col("features"), F.col("centre")))
     return d.groupBy(*keys, *ids).agg(F.min_by("word", F.struct("_d", "word")).alias("word"))
 
 
 def histograms(words: DataFrame, n_words: DataFrame, keys: list[str]) -> DataFrame:
     """Shares of each word by item, zeros kept: rows (keys, item_id, hist), hist in order of word. n_words: keys, k."""
     n = words.groupBy(*keys, "item_id", "word").agg(F.count(F.lit(1)).alias("n"))
-    h = n.groupBy(*keys, "item_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("_m"), F.sum("n").alias("_t")).join(n_words, keys)
+    h = n.groupBy(*keys, "item_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("_m"), F.sum("n").alias("_t")).join(beside(n_words), keys)
     cell = lambda w: F.coalesce(F.try_element_at("_m", w), F.lit(0)) / F.col("_t")
     return h.select(*keys, "item_id", F.transform(F.sequence(F.lit(0), F.col("k") - 1), cell).alias("hist"))
 

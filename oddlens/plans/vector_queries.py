@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from oddlens.operators import evaluation as ev
@@ -51,6 +52,16 @@ def m2_knn_blocks(spark, sf):
     return n.select("vec_id", "category", F.round("score", 5).alias("score"))
 
 
+COSINE = "sqrt(greatest(0.0::DOUBLE, 2 - 2 * list_dot_product(q.features, b.features) / (sqrt(list_dot_product(q.features, q.features)) * sqrt(list_dot_product(b.features, b.features)))))"
+
+
+@query("m2_unit_knn", fx.sql(f"WITH d AS (SELECT q.vec_id, q.category, {COSINE} AS d FROM item_patches q JOIN item_patches b ON q.category = b.category AND b.split = 'train' WHERE q.split <> 'train') SELECT vec_id, category, round(avg(d), 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d) AS rn FROM d) WHERE rn <= 3 GROUP BY vec_id, category"))
+def m2_unit_knn(spark, sf):
+    """Three nearest unit vectors of the whole bank of a category: sqrt(max(0, 2 - 2 cos)) is their Euclidean distance."""
+    p = fx.item_patches(spark, sf).withColumn("features", ve.unit(F.col("features")))
+    return _scored(_queries(p), 3)(_whole_bank(p)).select("vec_id", "category", F.round("score", 5).alias("score"))
+
+
 @query("m3_patch_memory", fx.sql(f"WITH {BANK}, {KNN}, r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC) AS rn, count(*) OVER (PARTITION BY item_id) AS n FROM knn) SELECT item_id, round(avg(score) FILTER (WHERE rn <= greatest(1, ceil(n * 0.05::DOUBLE))), 5) AS score FROM r GROUP BY item_id"))
 def m3_patch_memory(spark, sf):
     """Patch scores by the three nearest of the category's bank, the top 5 % of an item averaged."""
@@ -151,16 +162,18 @@ def m10_global_statistics(spark, sf):
 
 @query("m11_pca_study")
 def m11_pca_study(spark, sf):
-    """AUROC of the nearest-neighbour score for several numbers of principal axes, beside that of all axes."""
-    p = fx.item_patches(spark, sf)
-    out = None
-    for k in (8, 16, 32):
+    """AUROC of the nearest-neighbour score for several numbers of principal axes, and its percentage of that of all axes."""
+    p, out = fx.item_patches(spark, sf), None
+    full = 64
+    items = p.select("item_id", "split", "defect_type", "label").distinct()
+    for k in (8, 16, 32, full):
         r = mo.reduced(p.where("split = 'train'"), p, k)
         s = ve.nearest_blocks(_queries(r).select("category", "vec_id", "item_id", "features"), _whole_bank(r), ["category"], ["vec_id", "item_id"])
-        items = p.select("item_id", "split", "defect_type", "label").distinct()
-        s = tb.top_fraction(s, "item_id", "score", {"score": 0.01}, floor=True).join(items, "item_id").where("split = 'test'").withColumn("dims", F.lit(k))
+        s = tb.top_fraction(s, "item_id", "score", {"score": 0.01}, floor=True).join(items.hint("merge"), "item_id").where("split = 'test'").withColumn("dims", F.lit(k))
         out = s if out is None else out.unionByName(s)
-    return ev.auroc(out, ["dims"])
+    a = ev.auroc(out, ["dims"])
+    top = F.max(F.when(F.col("dims") == full, F.col("auroc"))).over(W.partitionBy())  # four rows
+    return a.withColumn("pct_of_full", 100 * F.col("auroc") / top)
 
 
 @query("m12_component_probe")

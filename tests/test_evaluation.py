@@ -194,3 +194,20 @@ def test_files(spark, tmp_path):
     assert files.optional_csv(spark, str(tmp_path / "none.csv"), "a int").count() == 0
     files.publish(spark.createDataFrame([(1, "x")], "a int, m string"), str(tmp_path / "out"), "csv", ["m"])
     assert spark.read.option("header", True).csv(str(tmp_path / "out")).count() == 1
+
+
+def test_connected_parts_of_long_ways(spark):
+    """A spiral of over 200 cells is one part, and so are cells given twice; a far cell is another."""
+    from oddlens.operators.models import connected_parts
+
+    at, step, cells, seen = (0, 0), (0, 1), [], set()
+    for length in range(28, 0, -2):
+        for _ in range(2):
+            for _ in range(length):
+                cells.append(at)
+                at = (at[0] + step[0], at[1] + step[1])
+            step = (step[1], -step[0])
+        seen |= set(cells)
+    rows = [(1, i, j) for i, j in cells[:240]] + [(1, *cells[0]), (2, 0, 0), (2, 5, 5)] + [(3, 0, j) for j in range(150)]
+    got = {r["item_id"]: r["n_parts"] for r in connected_parts(spark.createDataFrame(rows, "item_id int, i int, j int")).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
