@@ -203,9 +203,9 @@ def j1_branch_matrix(spark, sf):
     return fu.branch_matrix(_scores(spark, sf), METHODS).select("item_id", "category", *METHODS)
 
 
-def _slice_auroc(spark, sf, sets):
+def _slice_auroc(spark, sf, sets, scores=None):
     """Macro AUROC by model and slice of the mean fusion of each set of methods, for all sets at once."""
-    z = fu.zscore(_scores(spark, sf), ["method"], 0).withColumn("score", F.col("z"))
+    z = fu.zscore(_scores(spark, sf) if scores is None else scores, ["method"], 0).withColumn("score", F.col("z"))
     rows = spark.createDataFrame([(m, x) for m, xs in sets.items() for x in xs], "model string, method string")
     s = ev.subsets(spark.createDataFrame([(m,) for m in METHODS], "method string"), rows, z.where("split = 'test'"), fu.ITEM)
     a = ev.auroc(ev.with_slices(s.withColumnRenamed("model", "method")), ["method", "category", "anomaly_type"])
@@ -213,16 +213,22 @@ def _slice_auroc(spark, sf, sets):
 
 
 SETS = {"all": METHODS, "without value": ["k", "hour"], "without k": ["value", "hour"], "without hour": ["value", "k"], "value": ["value"], "k": ["k"], "hour": ["hour"]}
-_SETS_SQL = ", ".join(f"('{m}', '{x}')" for m, xs in SETS.items() for x in xs)
-LATTICE = f"""
-st AS (SELECT method, avg(score) FILTER (WHERE split = 'validation' AND defect_type = 'good') AS m, stddev_pop(score) FILTER (WHERE split = 'validation' AND defect_type = 'good') AS s FROM event_scores GROUP BY method),
-sets(model, method) AS (VALUES {_SETS_SQL}), need AS (SELECT model, count(*) AS n FROM sets GROUP BY model),
-fs AS (SELECT model AS method, item_id, category, defect_type, label, avg((score - m) / (s + 1e-8)) AS score FROM event_scores JOIN st USING (method) JOIN sets USING (method) JOIN need USING (model) WHERE split = 'test' GROUP BY model, item_id, category, defect_type, label, n HAVING count(*) = n),
+
+
+def lattice(sets: dict[str, list[str]], scores: str = "event_scores") -> str:
+    rows = ", ".join(f"('{m}', '{x}')" for m, xs in sets.items() for x in xs)
+    return f"""
+st AS (SELECT method, avg(score) FILTER (WHERE split = 'validation' AND defect_type = 'good') AS m, stddev_pop(score) FILTER (WHERE split = 'validation' AND defect_type = 'good') AS s FROM {scores} GROUP BY method),
+sets(model, method) AS (VALUES {rows}), need AS (SELECT model, count(*) AS n FROM sets GROUP BY model),
+fs AS (SELECT model AS method, item_id, category, defect_type, label, avg((score - m) / (s + 1e-8)) AS score FROM {scores} JOIN st USING (method) JOIN sets USING (method) JOIN need USING (model) WHERE split = 'test' GROUP BY model, item_id, category, defect_type, label, n HAVING count(*) = n),
 sliced AS (SELECT *, unnest(CASE WHEN defect_type = 'good' THEN ['logical', 'structural', 'overall'] WHEN defect_type = 'logical_anomalies' THEN ['logical', 'overall'] ELSE ['structural', 'overall'] END) AS anomaly_type FROM fs),
 {AUROC.format(k=K3, t="sliced").strip()}, {BOARD}
 """
 
 
+LATTICE = lattice(SETS)
+
+
 @query("e7_single_branch", fx.sql(f"WITH {LATTICE.strip()} SELECT method, anomaly_type, round(m + 1e-9, 5) AS mean_auroc FROM macro WHERE method IN ('value', 'k', 'hour')"))
 def e7_single_branch(spark, sf):
     return _slice_auroc(spark, sf, {m: [m] for m in METHODS}).select("method", "anomaly_type", F.round(F.col("mean_auroc") + 1e-9, 5).alias("mean_auroc"))
@@ -258,13 +264,52 @@ def e10_subset_comparison(spark, sf):
 @query("e11_duplicate_branches", fx.sql("WITH s AS (SELECT * FROM event_scores UNION ALL SELECT 'value copy', item_id, category, split, defect_type, label, value FROM event_items) SELECT a.method AS first, b.method AS second, max(abs(a.score - b.score)) = 0 AS duplicate FROM s a JOIN s b ON a.item_id = b.item_id AND a.method < b.method GROUP BY a.method, b.method"))
 def e11_duplicate_branches(spark, sf):
     """Pairs of methods with their largest difference: one array of scores an item, so that items are not joined with themselves."""
+    return _equal_branches(_with_copy(spark, sf))
+
+
+def _with_copy(spark, sf):
     s = _scores(spark, sf)
-    s = s.unionAll(s.where("method = 'value'").withColumn("method", F.lit("value copy")))
+    return s.unionAll(s.where("method = 'value'").withColumn("method", F.lit("value copy")))
+
+
+def _equal_branches(s):
     item = s.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("method", "score"))).alias("x"))
     pairs = item.select(F.explode("x").alias("a"), "x").select("a", F.explode("x").alias("b")).where("a.method < b.method")
     return pairs.groupBy(F.col("a.method").alias("first"), F.col("b.method").alias("second")).agg((F.max(F.abs(F.col("a.score") - F.col("b.score"))) == 0).alias("duplicate"))
 
 
+BRANCHES, PROXY, STRONG = [*METHODS, "value copy"], "hour", 0.7
+CHOICE = {"all": BRANCHES} | {f"without {b}": [x for x in BRANCHES if x != b] for b in BRANCHES} | {b: [b] for b in BRANCHES}
+CHOICE_SQL = f"""
+WITH branch_scores AS (SELECT * FROM event_scores UNION ALL SELECT 'value copy', item_id, category, split, defect_type, label, value FROM event_items),
+{lattice(CHOICE, "branch_scores").strip()},
+o AS (SELECT method, round(m, 4) AS m FROM macro WHERE anomaly_type = 'overall'),
+dup AS (SELECT DISTINCT b.method AS branch FROM branch_scores a JOIN branch_scores b ON a.item_id = b.item_id AND a.method < b.method GROUP BY a.method, b.method HAVING max(abs(a.score - b.score)) = 0),
+r AS (SELECT s.method AS branch, s.m AS single, w.m AS without_branch, round(a.m - w.m, 4) AS importance_delta, s.method IN (SELECT branch FROM dup) AS duplicate FROM o s JOIN o w ON w.method = 'without ' || s.method JOIN o a ON a.method = 'all')
+SELECT *, NOT duplicate AND importance_delta > 0 AS selected, NOT duplicate AND importance_delta <= 0 AS harmful, NOT duplicate AND single >= {STRONG} AND branch <> '{PROXY}' AS strong,
+  row_number() OVER (ORDER BY single DESC, branch) = 1 AS best_single FROM r
+"""
+
+
+@query("e9_branch_choice", fx.sql(CHOICE_SQL))
+def e9_branch_choice(spark, sf):
+    """The branches with a copy among them: the copy is dropped, branches that help are selected, strong ones reach STRONG alone and are no proxy."""
+    s = _with_copy(spark, sf)
+    m = _slice_auroc(spark, sf, CHOICE, s).where("anomaly_type = 'overall'").select("method", F.round("mean_auroc", 4).alias("m"))
+    left_out = F.startswith("method", F.lit("without "))
+    one = m.groupBy(F.replace("method", F.lit("without "), F.lit("")).alias("branch")).agg(F.max(F.when(~left_out, F.col("m"))).alias("single"), F.max(F.when(left_out, F.col("m"))).alias("without_branch"))
+    # windows over the few rows of one, a row a branch
+    one = one.withColumn("base", F.max(F.when(F.col("branch") == "all", F.col("single"))).over(W.partitionBy())).where("branch != 'all'")
+    twin = _equal_branches(s).where("duplicate").select(F.col("second").alias("branch"), "duplicate").distinct()
+    r = one.join(ev.beside(twin), "branch", "left").withColumn("duplicate", F.coalesce("duplicate", F.lit(False)))
+    r = r.withColumn("importance_delta", F.round(F.col("base") - F.col("without_branch"), 4)).drop("base")
+    own = ~F.col("duplicate")
+    return r.withColumns({
+        "selected": own & (F.col("importance_delta") > 0), "harmful": own & (F.col("importance_delta") <= 0), "strong": own & (F.col("single") >= STRONG) & (F.col("branch") != PROXY),
+        "best_single": F.row_number().over(W.partitionBy().orderBy(F.desc("single"), "branch")) == 1,
+    })
+
+
 @query("e12_backend_check", "SELECT event_type AS category, bool_and(starts_with(event_type, 'c')) AS all_expected, count(*) FILTER (WHERE NOT starts_with(event_type, 'c')) AS n_other FROM events GROUP BY event_type")
 def e12_backend_check(spark, sf):
     """Whether every row of a group carries the expected backend prefix."""

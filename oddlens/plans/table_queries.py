@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -223,6 +226,21 @@ def a2_audit_scorecard(spark, sf):
     return T(spark, sf, "documents").agg(n.alias("n_items"), F.count_if(F.col("n_chars") != F.length("text")).alias("n_wrong_size"), F.count_if(F.col("n_chars") < 20).alias("n_small"), F.count_if(F.col("text").isNull()).alias("n_corrupted"), (n != 1000).alias("discrepancy"))
 
 
+#: Rows that a table must have, and for tables with keys from 1 without gaps, the key whose largest value says how many.
+EXPECTED_ROWS = {"region": 5, "nation": 25}
+DENSE_KEYS = {"customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey"}
+_AUDITED = [(t, f"{n}::BIGINT") for t, n in EXPECTED_ROWS.items()] + [(t, f"max({k})::BIGINT") for t, k in DENSE_KEYS.items()]
+
+
+@query("a2_expected_counts", " UNION ALL ".join(f"SELECT '{t}' AS field, {n} AS expected, count(*) AS found, count(*) <> {n} AS discrepancy FROM {t}" for t, n in _AUDITED))
+def a2_expected_counts(spark, sf):
+    """Found rows of each table against expected ones, with a flag where they differ."""
+    expected = {t: F.lit(n).cast("long") for t, n in EXPECTED_ROWS.items()} | {t: F.max(k).cast("long") for t, k in DENSE_KEYS.items()}
+    n = F.count(F.lit(1))
+    found = [T(spark, sf, t).agg(e.alias("expected"), n.alias("found")).select(F.lit(t).alias("field"), "expected", "found", (F.col("found") != F.col("expected")).alias("discrepancy")) for t, e in expected.items()]
+    return reduce(DataFrame.unionAll, found)
+
+
 @query("a3_describe", "SELECT event_type, count(value) AS count, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, min(value) AS min, round(quantile_cont(value, 0.25), 6) AS p25, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.75), 6) AS p75, max(value) AS max FROM events GROUP BY event_type")
 def a3_describe(spark, sf):
     d = tb.describe(T(spark, sf, "events"), ["event_type"], "value")

@@ -198,13 +198,34 @@ def m14_feature_backends(spark, sf):
 SIZE = 256
 
 
-@query("g1_letterbox", f"WITH p AS (SELECT p_partkey, p_size * 10 AS w, 1 + floor(p_retailprice % 400)::INT AS h, least({SIZE}.0::DOUBLE / (p_size * 10), {SIZE}.0::DOUBLE / (1 + floor(p_retailprice % 400)::INT)) AS s FROM part), r AS (SELECT *, round_even(w * s, 0)::INT AS rw, round_even(h * s, 0)::INT AS rh FROM p) SELECT p_partkey, round(s, 6) AS scale, rw AS resized_w, rh AS resized_h, ({SIZE} - rw) // 2 AS pad_left, {SIZE} - rw - ({SIZE} - rw) // 2 AS pad_right, ({SIZE} - rh) // 2 AS pad_top, {SIZE} - rh - ({SIZE} - rh) // 2 AS pad_bottom FROM r")
+LETTERBOX = f"WITH p AS (SELECT p_partkey, p_size * 10 AS w, 1 + floor(p_retailprice % 400)::INT AS h, least({SIZE}.0::DOUBLE / (p_size * 10), {SIZE}.0::DOUBLE / (1 + floor(p_retailprice % 400)::INT)) AS s FROM part), r AS (SELECT *, round_even(w * s, 0)::INT AS rw, round_even(h * s, 0)::INT AS rh FROM p)"
+
+
+@query("g1_letterbox", f"{LETTERBOX} SELECT p_partkey, round(s, 6) AS scale, rw AS resized_w, rh AS resized_h, ({SIZE} - rw) // 2 AS pad_left, {SIZE} - rw - ({SIZE} - rw) // 2 AS pad_right, ({SIZE} - rh) // 2 AS pad_top, {SIZE} - rh - ({SIZE} - rh) // 2 AS pad_bottom FROM r")
 def g1_letterbox(spark, sf):
     p = fx.table(spark, sf, "part").select("p_partkey", (F.col("p_size") * 10).alias("w"), (1 + F.floor(F.col("p_retailprice") % 400).cast("int")).alias("h"))
     g = gr.letterbox(F.col("w"), F.col("h"), SIZE)
     return p.select("p_partkey", F.round(g["scale"], 6).alias("scale"), *[g[c].alias(c) for c in g if c != "scale"])
 
 
+BOX_SQL = f"""
+{LETTERBOX}, side AS (SELECT p_brand, unnest(['left', 'top', 'right', 'bottom']) AS side, unnest([({SIZE} - rw) // 2, ({SIZE} - rh) // 2, {SIZE} - rw - ({SIZE} - rw) // 2, {SIZE} - rh - ({SIZE} - rh) // 2]) AS pad FROM r JOIN part USING (p_partkey)),
+modal AS (SELECT p_brand, side, pad FROM (SELECT p_brand, side, pad, row_number() OVER (PARTITION BY p_brand, side ORDER BY count(*) DESC, pad) AS rn FROM side GROUP BY p_brand, side, pad) WHERE rn = 1)
+SELECT p_brand AS category, (max(pad) FILTER (WHERE side = 'left'))::INT AS box_left, (max(pad) FILTER (WHERE side = 'top'))::INT AS box_top,
+  ({SIZE} - max(pad) FILTER (WHERE side = 'right'))::INT AS box_right, ({SIZE} - max(pad) FILTER (WHERE side = 'bottom'))::INT AS box_bottom FROM modal GROUP BY p_brand
+"""
+
+
+@query("a11_content_box", BOX_SQL)
+def a11_content_box(spark, sf):
+    """The content box of a category from the most frequent padding of each side, the smallest on ties."""
+    p = fx.table(spark, sf, "part").select(F.col("p_brand").alias("category"), (F.col("p_size") * 10).alias("w"), (1 + F.floor(F.col("p_retailprice") % 400).cast("int")).alias("h"))
+    g = gr.letterbox(F.col("w"), F.col("h"), SIZE)
+    pads = p.select("category", *[g[f"pad_{s}"].alias(s) for s in ("left", "top", "right", "bottom")])
+    modal = {s: F.mode(s, True) for s in ("left", "top", "right", "bottom")}
+    return pads.groupBy("category").agg(modal["left"].alias("box_left"), modal["top"].alias("box_top"), (SIZE - modal["right"]).alias("box_right"), (SIZE - modal["bottom"]).alias("box_bottom"))
+
+
 @query("g2_output_check", fx.sql("SELECT item_id, len(grid) <> 64 AS wrong_size, len(list_filter(grid, lambda x: round(x, 1) NOT IN (0.4, 0.5, 0.6))) > 0 AS non_binary FROM grids"))
 def g2_output_check(spark, sf):
     """Size and values outside a set, as for masks."""
