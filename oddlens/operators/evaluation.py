@@ -104,15 +104,21 @@ def leaderboard(metrics: DataFrame, value: str = "auroc") -> DataFrame:
     return m.withColumn(f"mean_{value}", (F.col("logical") + F.col("structural")) / 2)
 
 
-def quantile(df: DataFrame, keys: list[str], value: str, q: float, name: str) -> DataFrame:
-    """The exact q quantile (linear) of each group, from running counts of distinct values; no task holds a group."""
+def quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float]) -> DataFrame:
+    """The exact quantiles (linear) of each group by name, from running counts of distinct values; no task holds a group."""
     n = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
     r = running(n, keys, value, ["n"]).join(beside(n.groupBy(*keys).agg(F.sum("n").alias("_all"))), keys)
-    at = (F.col("_all") - 1) * F.lit(q)
     holds = lambda place: (F.col("before_n") <= place) & (F.col("before_n") + F.col("n") > place)
-    lo, hi = F.floor(at), F.ceil(at)
-    two = r.where(holds(lo) | holds(hi)).groupBy(*keys).agg(F.max(F.when(holds(lo), F.col(value))).alias("_lo"), F.max(F.when(holds(hi), F.col(value))).alias("_hi"), F.first(at - lo).alias("_part"))
-    return two.select(*keys, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_part")).alias(name))
+    out = []
+    for name, q in qs.items():
+        at = (F.col("_all") - 1) * F.lit(q)
+        lo, hi = F.max(F.when(holds(F.floor(at)), F.col(value))), F.max(F.when(holds(F.ceil(at)), F.col(value)))
+        out.append((lo + (hi - lo) * F.max(at - F.floor(at))).alias(name))
+    return r.groupBy(*keys).agg(*out)
+
+
+def quantile(df: DataFrame, keys: list[str], value: str, q: float, name: str) -> DataFrame:
+    return quantiles(df, keys, value, {name: q})
 
 
 def operating_threshold(scores: DataFrame, q: float = 0.9) -> DataFrame:

@@ -139,15 +139,31 @@ def isolation_forest(train: DataFrame, items: DataFrame, column: str, key: str,
     return items.select(*names, column).mapInPandas(score, f"{schema}, score double")
 
 
+def _as_vector(df: DataFrame) -> DataFrame:
+    from pyspark.ml.functions import array_to_vector
+
+    return df.withColumn("_v", array_to_vector("features"))
+
+
+def _axes(train: DataFrame, k: int):
+    """The centring and the first k principal axes of train."""
+    from pyspark.ml.feature import PCA, StandardScaler
+
+    scale = StandardScaler(inputCol="_v", outputCol="_c", withMean=True, withStd=False).fit(_as_vector(train))
+    return scale, PCA(k=k, inputCol="_c", outputCol="_p").fit(scale.transform(_as_vector(train)))
+
+
+def axis_variance(train: DataFrame, k: int) -> list[float]:
+    """The shares of train's variance that its first k principal axes hold, largest first."""
+    return list(_axes(train, k)[1].explainedVariance)
+
+
 def reduced(train: DataFrame, patches: DataFrame, k: int) -> DataFrame:
     """patches with features on the first k principal axes of train, centred, as unit vectors."""
-    from pyspark.ml.feature import PCA, StandardScaler
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.functions import vector_to_array
 
-    as_vector = lambda df: df.withColumn("_v", array_to_vector("features"))
-    scale = StandardScaler(inputCol="_v", outputCol="_c", withMean=True, withStd=False).fit(as_vector(train))
-    pca = PCA(k=k, inputCol="_c", outputCol="_p").fit(scale.transform(as_vector(train)))
-    out = pca.transform(scale.transform(as_vector(patches))).withColumn("features", unit(vector_to_array("_p")))
+    scale, pca = _axes(train, k)
+    out = pca.transform(scale.transform(_as_vector(patches))).withColumn("features", unit(vector_to_array("_p")))
     return out.drop("_v", "_c", "_p")
 
 

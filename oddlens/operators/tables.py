@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from oddlens.operators.evaluation import quantiles, running
+from oddlens.sources.shared import beside
+
 
 def draw_order(key: Column, seed: int) -> Column:
     """A pseudo-random order that any engine reproduces: md5 of key and seed."""
@@ -74,18 +77,25 @@ def average_hash(grid: Column) -> Column:
 
 def describe(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """count, mean, std (n - 1), min, quartiles (linear) and max by group."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    d = df.groupBy(*by).agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), q.alias("_q"), F.max(value).alias("max"))
-    return d.select(*by, "count", "mean", "std", "min", *[F.get("_q", F.lit(i)).alias(n) for i, n in enumerate(("p25", "p50", "p75"))], "max")
+    qs = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
+    d = df.groupBy(*by).agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    return d.join(beside(quantiles(df, by, value, qs)), by, "left").select(*by, "count", "mean", "std", "min", *qs, "max")
 
 
 def representatives(scores: DataFrame) -> DataFrame:
-    """A row for each category and defect: the lowest good score, else the middle one from the top."""
-    w = W.partitionBy("category", "defect_type")
-    key = F.when(F.col("defect_type") == "good", F.col("score")).otherwise(-F.col("score"))
-    d = scores.withColumns({"_n": F.count(F.lit(1)).over(w), "_rn": F.row_number().over(w.orderBy(key, "item_id"))})
-    want = F.when(F.col("defect_type") == "good", F.lit(1)).otherwise(1 + F.floor(F.col("_n") / 2))
-    return d.where(F.col("_rn") == want).drop("_n", "_rn")
+    """A row for each category and defect: the lowest good score, else the middle one from the top, the least item on ties.
+
+    Running counts of distinct scores give the score that holds the wanted place; only its rows are ordered. Rows
+    without a score, category or defect take no part.
+    """
+    by = ["category", "defect_type"]
+    d = scores.where("score is not null").withColumn("_key", F.when(F.col("defect_type") == "good", F.col("score")).otherwise(-F.col("score")))
+    n = d.groupBy(*by, "_key").agg(F.count(F.lit(1)).alias("n"))
+    r = running(n, by, "_key", ["n"]).join(beside(n.groupBy(*by).agg(F.sum("n").alias("_all"))), by)
+    want = F.when(F.col("defect_type") == "good", F.lit(0)).otherwise(F.floor(F.col("_all") / 2)) - F.col("before_n")
+    at = r.withColumn("_place", want).where((F.col("_place") >= 0) & (F.col("_place") < F.col("n"))).select(*by, "_key", "_place")
+    rn = F.row_number().over(W.partitionBy(*by).orderBy("item_id")) - 1
+    return d.join(beside(at), [*by, "_key"]).withColumn("_rn", rn).where(F.col("_rn") == F.col("_place")).drop("_key", "_place", "_rn")
 
 
 def parsed_path(path: Column) -> dict[str, Column]:

@@ -319,6 +319,7 @@ def e12_backend_check(spark, sf):
 
 @query("e16_fusion_stats", fx.sql(f"WITH {Z2.strip()} SELECT method, category, defect_type, count(*) AS n, round(avg(score) + 1e-9, 5) AS mean, round(stddev_samp(score) + 1e-9, 5) AS std, round(min(score) + 1e-9, 5) AS lo, round(quantile_cont(score, 0.5) + 1e-9, 5) AS p50, round(max(score) + 1e-9, 5) AS hi FROM fl GROUP BY method, category, defect_type"))
 def e16_fusion_stats(spark, sf):
-    g = _fused(spark, sf).groupBy("method", "category", "defect_type")
-    f5 = lambda c, n: F.round(c + 1e-9, 5).alias(n)
-    return g.agg(F.count(F.lit(1)).alias("n"), f5(F.avg("score"), "mean"), f5(F.stddev_samp("score"), "std"), f5(F.min("score"), "lo"), f5(F.percentile("score", F.lit(0.5)), "p50"), f5(F.max("score"), "hi"))
+    f, by = _fused(spark, sf), ["method", "category", "defect_type"]
+    g = f.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean"), F.stddev_samp("score").alias("std"), F.min("score").alias("lo"), F.max("score").alias("hi"))
+    g = g.join(ev.beside(ev.quantile(f, by, "score", 0.5, "p50")), by, "left")
+    return g.select(*by, "n", *[F.round(F.col(c) + 1e-9, 5).alias(c) for c in ("mean", "std", "lo", "p50", "hi")])

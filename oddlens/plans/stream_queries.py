@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from oddlens.operators.evaluation import quantile
 from oddlens.plans import fixtures as fx
 from oddlens.plans.registry import query
-from oddlens.sources.shared import fresh
+from oddlens.sources.shared import beside, fresh
 from oddlens.streaming.scoring import scored_stream, windowed_rates
 
 
@@ -16,7 +17,7 @@ def x1_stream_scoring(spark, sf):
     e = fx.event_items(spark, sf)
     v = e.where("split = 'validation'").groupBy("category").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
     z = e.where("split = 'validation'").join(v, "category").withColumn("z", (F.col("value") - F.col("mean")) / (F.col("std") + 1e-8))
-    stats = v.join(z.groupBy("category").agg(F.percentile("z", F.lit(0.9)).alias("threshold")), "category")
+    stats = v.join(beside(quantile(z, ["category"], "z", 0.9, "threshold")), "category")
     out = fresh(spark, "stream")
     schema = fx.table(spark, sf, "events").schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(f"{sf}/events*.parquet")

@@ -12,6 +12,7 @@ from oddlens.operators import tables as tb
 from oddlens.operators import vectors as ve
 from oddlens.plans import fixtures as fx
 from oddlens.plans.registry import query
+from oddlens.sources.shared import written
 
 CAP = 60
 BANK = "bank AS (SELECT category, i, j, features FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY md5(vec_id || '#0'), vec_id) AS rn FROM item_patches WHERE split = 'train') WHERE rn <= 60)"
@@ -124,7 +125,21 @@ def m5_lloyd_step(spark, sf):
 @query("m5_vocabulary")
 def m5_vocabulary(spark, sf):
     p = fx.item_patches(spark, sf).where("split = 'train'").select("category", "vec_id", "features")
-    return mo.vocabulary(p, ["category"], 8)
+    return mo.vocabulary(p, ["category"], N_WORDS)
+
+
+#: Words of a category's vocabulary and patches that an item gives to its fit, as in the reference.
+N_WORDS, ITEM_PATCHES = 32, 80
+
+
+def _fitted_hist(spark, sf):
+    """Composition histograms by the fitted vocabulary of each category, with the items' split."""
+    p = fx.item_patches(spark, sf)
+    drawn = tb.capped_sample(p.where("split = 'train'"), "vec_id", ITEM_PATCHES, 0, ["category", "item_id"])
+    words = mo.vocabulary(drawn.select("category", "vec_id", "features"), ["category"], N_WORDS)
+    near = ve.nearest_word(p, words, ["category"], ["vec_id", "item_id"])
+    k = words.groupBy("category").agg(F.count(F.lit(1)).cast("int").alias("k"))
+    return written(ve.histograms(near, k, ["category"]).join(p.select("item_id", "split").distinct().hint("merge"), "item_id"))
 
 
 @query("m6_composition", fx.sql(f"WITH {WORDS}, {HIST} SELECT item_id, category, round(hist[1], 6) AS h0, round(hist[2], 6) AS h1, round(hist[3], 6) AS h2, round(hist[4], 6) AS h3 FROM hist"))
@@ -135,7 +150,7 @@ def m6_composition(spark, sf):
 
 @query("m7_mahalanobis")
 def m7_mahalanobis(spark, sf):
-    h = _hist(fx.item_patches(spark, sf))
+    h = _fitted_hist(spark, sf)
     return mo.mahalanobis(h.where("split = 'train'"), h, ["category"])
 
 
@@ -149,10 +164,20 @@ def m8_cosine(spark, sf):
 
 @query("m9_isolation_forest")
 def m9_isolation_forest(spark, sf):
+    """Raw patches by a forest of training patches."""
     p = fx.item_patches(spark, sf)
     return mo.isolation_forest(p.where("split = 'train'"), p.select("vec_id", "features"), "features", "vec_id")
 
 
+@query("m9_composition_forest")
+def m9_composition_forest(spark, sf):
+    """Items by a forest of the training items' histograms, filled up with zeros where a category has fewer words."""
+    h = _fitted_hist(spark, sf)
+    hist = F.concat("hist", F.array_repeat(F.lit(0.0), F.lit(N_WORDS) - F.size("hist")))
+    h = h.withColumn("hist", hist)
+    return mo.isolation_forest(h.where("split = 'train'"), h.select("item_id", "category", "split", "hist"), "hist", "item_id")
+
+
 @query("m10_global_statistics", fx.sql("WITH s AS (SELECT category, p, avg(features[p]) AS m, stddev_pop(features[p]) AS s FROM item_patches, range(1, 65) AS u(p) WHERE split = 'train' GROUP BY category, p) SELECT category, vec_id AS item_id, round(sqrt(avg(((features[p] - m) / (s + 1e-6)) ** 2)), 5) AS score FROM item_patches JOIN s USING (category) WHERE split = 'test' GROUP BY category, vec_id"))
 def m10_global_statistics(spark, sf):
     p = fx.item_patches(spark, sf).withColumn("item_id", F.col("vec_id"))
@@ -160,13 +185,31 @@ def m10_global_statistics(spark, sf):
     return s.select("category", "item_id", F.round("score", 5).alias("score"))
 
 
+def _axes(p):
+    """The length of the vectors."""
+    return p.agg(F.max(F.size("features"))).first()[0]
+
+
+@query("m11_pca_variance")
+def m11_pca_variance(spark, sf):
+    """Variance of the training patches by number of principal axes, and the least numbers that hold 90 and 95 % of it."""
+    p = fx.item_patches(spark, sf)
+    shares = mo.axis_variance(p.where("split = 'train'"), _axes(p))
+    rows, total = [], 0.0
+    for k, x in enumerate(shares, 1):
+        rows.append((k, float(x), total := total + float(x)))
+    least = {share: next((k for k, _, c in rows if c >= share), len(rows)) for share in (0.9, 0.95)}
+    d = spark.createDataFrame(rows, "dims int, share double, cumulative double")  # a row an axis
+    return d.withColumns({"is_dims_90": F.col("dims") == least[0.9], "is_dims_95": F.col("dims") == least[0.95]})
+
+
 @query("m11_pca_study")
 def m11_pca_study(spark, sf):
     """AUROC of the nearest-neighbour score for several numbers of principal axes, and its percentage of that of all axes."""
     p, out = fx.item_patches(spark, sf), None
-    full = 64
+    full = _axes(p)
     items = p.select("item_id", "split", "defect_type", "label").distinct()
-    for k in (8, 16, 32, full):
+    for k in sorted({k for k in (8, 16, 32) if k < full} | {full}):
         r = mo.reduced(p.where("split = 'train'"), p, k)
         s = ve.nearest_blocks(_queries(r).select("category", "vec_id", "item_id", "features"), _whole_bank(r), ["category"], ["vec_id", "item_id"])
         s = tb.top_fraction(s, "item_id", "score", {"score": 0.01}, floor=True).join(items.hint("merge"), "item_id").where("split = 'test'").withColumn("dims", F.lit(k))
@@ -320,6 +363,28 @@ def e15_efficiency(spark, sf):
     return b.join(_queries(p).groupBy("category").agg(F.count_distinct("item_id").alias("n_items"), F.count(F.lit(1)).alias("n_patches")), "category")
 
 
+SEEDS = (42, 7, 2026)
+SEEDED = f"""
+WITH draw AS (SELECT seed, category, features FROM item_patches, (VALUES {", ".join(f"({s})" for s in SEEDS)}) AS s(seed) WHERE split = 'train' AND substr(md5(vec_id || '#' || seed), 1, 1) < '8'),
+d AS (SELECT seed, q.category, item_id, q.label, vec_id, min({DIST}) AS s FROM item_patches q JOIN draw b USING (category) WHERE split = 'test' GROUP BY ALL),
+items AS (SELECT seed, category, item_id, label, max(s) AS score FROM d GROUP BY ALL),
+ranked AS (SELECT *, rank() OVER (PARTITION BY seed ORDER BY score) + (count(*) OVER (PARTITION BY seed, score) - 1) / 2.0::DOUBLE AS r FROM items),
+n AS (SELECT seed, count(*) FILTER (WHERE label = 0) AS n_good, count(*) FILTER (WHERE label = 1) AS n_anomaly, sum(r) FILTER (WHERE label = 1) AS r FROM ranked GROUP BY seed)
+SELECT seed, n_good, n_anomaly, CASE WHEN n_good > 0 AND n_anomaly > 0 THEN round((r - n_anomaly * (n_anomaly + 1) / 2.0::DOUBLE) / (n_anomaly::DOUBLE * n_good) + 1e-9, 5) END AS auroc FROM n
+"""
+
+
+@query("e13_seeded_scoring", fx.sql(SEEDED))
+def e13_seeded_scoring(spark, sf):
+    """The nearest-neighbour stage for several seeds in one job: each draws half of the training patches, and the seed is a key of the banks."""
+    p = fx.item_patches(spark, sf).withColumn("seed", F.explode(F.array(*map(F.lit, SEEDS))))
+    drawn = F.substring(F.md5(F.concat_ws("#", F.col("vec_id").cast("string"), F.col("seed").cast("string"))), 1, 1) < "8"
+    q = p.where("split = 'test'").select("seed", "category", "vec_id", "item_id", "label", "features")
+    s = ve.nearest_blocks(q, p.where("split = 'train'").where(drawn), ["seed", "category"], ["vec_id", "item_id"])
+    items = s.groupBy("seed", "category", "item_id", "label").agg(F.max("score").alias("score"))
+    return ev.auroc(items, ["seed"]).select("seed", "n_good", "n_anomaly", F.round(F.col("auroc") + 1e-9, 5).alias("auroc"))
+
+
 # The queries above with CAP vectors a category, over banks with the reference's caps; tests hold them against brute force.
 
 

@@ -6,6 +6,7 @@ import pytest
 from oddlens.operators import vectors as ve
 from oddlens.plans import fixtures as fx
 from oddlens.plans import registry
+from oddlens.plans import vector_queries as vq
 
 
 @pytest.fixture(scope="module")
@@ -49,4 +50,22 @@ def test_pca_study_meets_the_whole_bank(spark, many, monkeypatch):
     seen, blocks = [], ve.nearest_blocks
     monkeypatch.setattr(ve, "nearest_blocks", lambda q, b, *a, **k: (seen.append(b.count()), blocks(q, b, *a, **k))[1])
     registry.QUERIES["m11_pca_study"](spark, many)
-    assert seen == [500] * 3
+    assert seen == [500] * 4  # 8, 16, 32 and all 40 axes
+
+
+def test_pca_variance(spark, many):
+    p = fx.item_patches(spark, many).where("split = 'train'").toPandas()
+    share = np.sort(np.linalg.eigvalsh(np.cov(np.stack(p.features).T)))[::-1]
+    share = share / share.sum()
+    got = registry.QUERIES["m11_pca_variance"](spark, many).toPandas().sort_values("dims")
+    assert got.share.to_list() == pytest.approx(share.tolist())
+    for name, q in (("is_dims_90", 0.9), ("is_dims_95", 0.95)):
+        assert got[got[name]].dims.to_list() == [int(np.searchsorted(np.cumsum(share), q) + 1)]
+
+
+def test_fitted_histograms(spark, many):
+    p = fx.item_patches(spark, many).toPandas()
+    h = vq._fitted_hist(spark, many).toPandas()
+    assert sorted(h.item_id) == sorted(set(p.item_id)) and {len(x) for x in h["hist"]} == {vq.N_WORDS}
+    n = p.groupby("item_id").size()
+    assert all(sum(x) == pytest.approx(1) and np.allclose(np.array(x) * n[i], np.round(np.array(x) * n[i])) for i, x in zip(h.item_id, h["hist"], strict=True))
