@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oddlens.llm import decontaminate, html, jaccard, kneser_ney, mixing, quality, suffix_dedup, tokens, url_filter, warc
+from oddlens.llm import decontaminate, html, jaccard, kneser_ney, mixing, periodic, quality, suffix_dedup, tokens, url_filter, warc
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_warc": warc.op10_warc,
+    "op13_periodic_runs": periodic.op13_periodic_runs,
 }
 ORACLES = {
     "op1_suffix_dedup": suffix_dedup.ORACLE,
