@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oddlens.llm import decontaminate, html, jaccard, kneser_ney, mixing, periodic, quality, suffix_dedup, token_files, tokens, url_filter, warc
+from oddlens.llm import decontaminate, hard_negatives, html, jaccard, kneser_ney, mixing, periodic, quality, suffix_dedup, token_files, tokens, url_filter, warc
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_warc": warc.op10_warc,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
     "op12_token_files": token_files.op12_token_files,
     "op13_periodic_runs": periodic.op13_periodic_runs,
 }
@@ -24,4 +25,5 @@ ORACLES = {
     "op6_url_filter": url_filter.ORACLE,
     "op9_quality_rules": quality.ORACLE,
     "op10_warc": warc.ORACLE,
+    "op11_hard_negatives": hard_negatives.ORACLE,
 }
