@@ -14,8 +14,10 @@ and next to the files lies `ranks`, the ids by rank. As frequent ids have small
 reader decodes with table lookups over whole arrays: a control byte gives the length of its group of four and the places
 of the 16 bytes of four 32-bit numbers in it, as a byte shuffle would.
 
-With a tokenizer whose pre-tokenizer drops white space and never matches across it, words are encoded once for each task by the
-library and then looked up; others get whole texts. Special strings inside texts are what the library makes of them.
+With a tokenizer whose pre-tokenizer drops white space and never matches across it, a task has the library encode each word
+once and then looks it up; of words of plain Latin characters the pieces that the pre-tokenizer's own pattern cuts go to the
+library's model, once each. Other tokenizers get whole texts. Special strings inside texts are what the library makes of them.
+The table between holds each text's ids compressed, as does its shuffle.
 
 Null, empty and blank texts hold the end id only. A text of any length is one unit: a file holds at least one. Rows come
 in ascending key order, null keys first; rows of one key, repeated ones too, in the order in which they were read, each with
@@ -35,12 +37,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from oddlens.llm.common import SPACE, freed_rows, shared_dir, written
+from oddlens.llm.tokens import byte_chars
 
 END_ID = 1
 #: Ids of a file, ids that a range of the sort aims at, and words whose ids a task keeps.
 FILE_IDS, RANGE_IDS, KEPT = 4_000_000, 4_000_000, 300_000
 #: Characters of texts that a task encodes at once.
 PORTION = 2_000_000
+#: Printable ASCII and Latin letters that are one letter in every form: no normaliser but lower case changes them, and all are letters.
+PLAIN = r"[!-~À-ÖØ-öø-įĲ-ſ]+"
 MAGIC = int.from_bytes(b"ranked01", "little")
 
 # by control byte: bytes of each of its four numbers, of all of them, and the places of 16 bytes in the group (-1: zero)
@@ -50,6 +55,9 @@ _TOTAL = _LENGTH.sum(1)
 _PLACES = np.where(np.arange(4) < _LENGTH[:, :, None], (np.cumsum(_LENGTH, 1) - _LENGTH)[:, :, None] + np.arange(4), -1).reshape(256, 16)
 
 
+_BYTE = {b: c for c, b in byte_chars().items()}
+
+
 def pack(numbers: np.ndarray) -> tuple[bytes, bytes]:
     """(control bytes, data) of numbers below 2**32; the last group is filled up with zeros."""
     x = np.zeros(-(-len(numbers) // 4) * 4, "<u4")
@@ -84,8 +92,25 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.by_word = self._by_word(json.loads(self.tok.to_str()))
+        spec = json.loads(self.tok.to_str())
+        self.by_word = self._by_word(spec)
         self._clear()
+        self.cut = self._cutter(spec) if self.by_word else None
+        self.pieces: dict[str, list[int]] = {}
+
+    @staticmethod
+    def _cutter(spec: dict):
+        """The pieces of a word of PLAIN characters without special strings, None for other words; nothing if other steps follow the cut."""
+        import regex
+
+        first, *rest = spec["pre_tokenizer"].get("pretokenizers") or [spec["pre_tokenizer"]]
+        if any(r.get("type") != "ByteLevel" or r.get("use_regex") or r.get("add_prefix_space") for r in rest):
+            return None
+        norm = spec.get("normalizer") or {}
+        lower = any(n["type"] == "Lowercase" for n in norm.get("normalizers") or [norm] if n)
+        plain, find = regex.compile(PLAIN).fullmatch, regex.compile(first["pattern"]["Regex"]).findall
+        special = regex.compile("|".join(regex.escape(t["content"]) for t in spec.get("added_tokens", [])) or r"(?!)").search
+        return lambda w: find(w.lower() if lower else w) if plain(w) and not special(w) else None
 
     @staticmethod
     def _by_word(spec: dict) -> bool:
@@ -95,7 +120,7 @@ class Encoder:
         pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer") or {}
         first = (pre.get("pretokenizers") or [pre])[0]
         steps = norm.get("normalizers") or ([norm] if norm else [])
-        plain = all(s["type"] in ("NFC", "NFD", "Lowercase") or (s["type"] == "Replace" and s.get("pattern") == {"Regex": r"\s+"} and s.get("content") == " ") for s in steps)
+        plain = all(s["type"] in ("NFC", "Lowercase") or (s["type"] == "Replace" and s.get("pattern") == {"Regex": r"\s+"} and s.get("content") == " ") for s in steps)
         ok = plain and not spec.get("post_processor") and first.get("type") == "Split" and first.get("invert") and first.get("behavior") == "Removed" and "Regex" in first.get("pattern", {})
         if not ok or any(t["lstrip"] or t["rstrip"] or t["single_word"] or set(t["content"]) & set(SPACE) for t in spec.get("added_tokens", [])):
             return False
@@ -107,26 +132,46 @@ class Encoder:
         self.flat: list[np.ndarray] = []
         self.starts, self.sizes, self.n = np.empty(0, np.int64), np.empty(0, np.int64), 0
 
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+
+    def _word_ids(self, words: list[str]) -> list[list[int]]:
+        if self.cut is None:
+            return self._ids(words)
+        if len(self.pieces) > KEPT:
+            self.pieces.clear()
+        out, odd, pieces, tokenize = [], [], self.pieces, self.tok.model.tokenize
+        for k, w in enumerate(words):
+            own = self.cut(w)
+            if own is None:
+                odd.append(k)
+                own = ()
+            for p in own:
+                if p not in pieces:
+                    pieces[p] = [t.id for t in tokenize(p if p.isascii() else "".join(map(_BYTE.__getitem__, p.encode())))]
+            out.append(pieces[own[0]] if len(own) == 1 else [i for p in own for i in pieces[p]])
+        for k, ids in zip(odd, self._ids([words[k] for k in odd]), strict=True):
+            out[k] = ids
+        return out
 
     def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts end to end, each with the end id, numbers of ids of each)."""
         end = np.array([END_ID], np.uint32)
         if not self.by_word:
-            got = [np.concatenate([x, end]) for x in self._ids([t or "" for t in texts])]
-            return np.concatenate([*got, end[:0]]), np.array([len(x) for x in got], np.int64)
+            got = [[*x, END_ID] for x in self._ids([t or "" for t in texts])]
+            return np.array([i for x in got for i in x], np.uint32), np.array([len(x) for x in got], np.int64)
         parts = [t.encode().split() if t else [] for t in texts]
         new = list(set(itertools.chain.from_iterable(parts)).difference(self.known))
         if len(self.known) + len(new) > KEPT:
             self._clear()
             new = list(set(itertools.chain.from_iterable(parts)))
         if new:
-            ids = self._ids([x.decode() for x in new])
-            size = np.array([len(x) for x in ids], np.int64)
+            ids = self._word_ids([x.decode() for x in new])
+            size = np.fromiter(map(len, ids), np.int64, len(ids))
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
             self.starts, self.sizes = np.concatenate([self.starts, self.n + np.cumsum(size) - size]), np.concatenate([self.sizes, size])
-            self.flat, self.n = [np.concatenate([*self.flat, *ids])], self.n + int(size.sum())
+            self.flat = [*self.flat, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(size.sum()))]
+            self.flat, self.n = [np.concatenate(self.flat)], self.n + int(size.sum())
         n_words = np.array([len(p) for p in parts], np.int64)
         w = np.fromiter(map(self.known.__getitem__, itertools.chain.from_iterable(parts)), np.int64, int(n_words.sum()))
         size = self.sizes[w]
@@ -140,8 +185,31 @@ class Encoder:
         return np.insert(flat, before[ends], END_ID), total + 1
 
 
+def squeezed(ids: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """Each text's ids, compressed."""
+    import zstandard
+
+    z, ends = zstandard.ZstdCompressor(level=1), np.cumsum(size).tolist()
+    wide = memoryview(ids.astype("<u4")).cast("B")
+    short = memoryview(ids.astype("<u2")).cast("B")
+    # a first byte tells the width
+    out = []
+    for lo, hi in zip([0, *ends], ends, strict=False):
+        if ids[lo:hi].max(initial=0) < 1 << 16:
+            out.append(b"2" + z.compress(short[2 * lo : 2 * hi]))
+        else:
+            out.append(b"4" + z.compress(wide[4 * lo : 4 * hi]))
+    return out
+
+
+def restored(cell: bytes) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(cell[1:]), "<u2" if cell[:1] == b"2" else "<u4")
+
+
 def encoded(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """A written table (key, part, row, n_ids, ids): ids as little-endian 32-bit numbers; part and row tell the order of reading."""
+    """A written table (key, part, row, n_ids, ids): ids as squeezed() has them; part and row tell the order of reading."""
     kind = docs.schema[key].dataType.simpleString()
 
     def encode(batches):
@@ -159,9 +227,7 @@ def encoded(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id")
                 hi = max(lo + 1, int(np.searchsorted(chars, (chars[lo - 1] if lo else 0) + PORTION, "right")))
                 own = b.slice(lo, hi - lo)
                 ids, size = encoder.of(own.column(1).to_pylist())
-                ends = np.concatenate([[0], np.cumsum(size)]) * 4
-                cells = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(ids.astype("<u4"))]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([own.column(0), pa.array(np.full(len(size), part, np.int32)), pa.array(np.arange(row, row + len(size))), pa.array(size), cells], names=[key, "part", "row", "n_ids", "ids"])
+                yield pa.RecordBatch.from_arrays([own.column(0), pa.array(np.full(len(size), part, np.int32)), pa.array(np.arange(row, row + len(size))), pa.array(size), pa.array(squeezed(ids, size), pa.binary())], names=[key, "part", "row", "n_ids", "ids"])
                 row += len(size)
                 lo = hi
 
@@ -169,14 +235,15 @@ def encoded(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id")
 
 
 def ranked(ids: DataFrame, vocabulary: int) -> np.ndarray:
-    """The ids of the vocabulary by falling frequency in ids (binary), the smaller id on ties. One number an id reaches the driver."""
+    """The ids of the vocabulary by falling frequency in ids (squeezed), the smaller id on ties. One number an id reaches the driver."""
 
     def count(batches):
         import pyarrow as pa
 
         total = np.zeros(vocabulary, np.int64)
         for b in batches:
-            total += np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), "<u4"), minlength=vocabulary)
+            for lo in range(0, b.num_rows, 256):
+                total += np.bincount(np.concatenate([restored(x) for x in b.column(0)[lo : lo + 256].to_pylist()]), minlength=vocabulary)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
 
@@ -234,7 +301,7 @@ def write_files(docs: DataFrame, path: str, text: str = "text", key: str = "doc_
 
         for b in batches:
             for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = np.frombuffer(x, "<u4")
+                ids = restored(x)
                 if n and n + len(ids) > FILE_IDS:
                     close()
                 held.append(rank[ids])

@@ -50,6 +50,17 @@ def test_encoder_by_word_is_the_library(monkeypatch):
     assert ids.tolist() == [*whole.tok.encode("a  b", add_special_tokens=False).ids, 1, 1] and size.tolist() == [len(ids) - 1, 1]
 
 
+def test_encoder_on_random_words():
+    rng = np.random.default_rng(1)
+    pool = [*map(chr, range(1, 128)), *map(chr, range(0xA1, 0x180)), *"ΣσςİǅẞK日\u0301\u0327\u00a0\u2028Ⅷ½", "'s", "'ll", "<|endoftext|>", "<|", " ", " ", "\n"]
+    texts = ["".join(rng.choice(pool, rng.integers(0, 60))) for _ in range(1500)]
+    ids, size = tf.Encoder(PATH).of(texts)
+    for t, x in zip(texts, np.split(ids, np.cumsum(size)[:-1]), strict=True):
+        assert x.tolist() == library(t)
+    wide = np.array([1, 70_000, 5], np.uint32)
+    assert [tf.restored(c).tolist() for c in tf.squeezed(wide, np.array([1, 0, 2]))] == [[1], [], [70_000, 5]]
+
+
 @pytest.mark.parametrize("limits", [(4_000_000, 4_000_000, 2_000_000), (50, 3000, 40)])
 def test_files(spark, tmp_path, limits, monkeypatch):
     for name, x in zip(("FILE_IDS", "RANGE_IDS", "PORTION"), limits, strict=True):
