@@ -30,6 +30,7 @@ from __future__ import annotations
 import itertools
 import uuid
 import zlib
+from collections import defaultdict
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -41,7 +42,7 @@ from oddlens.llm.tokens import byte_chars
 
 END_ID = 1
 #: Ids of a file, ids that a range of the sort aims at, and words whose ids a task keeps.
-FILE_IDS, RANGE_IDS, KEPT = 4_000_000, 4_000_000, 300_000
+FILE_IDS, RANGE_IDS, KEPT = 4_000_000, 4_000_000, 600_000
 #: Characters of texts that a task encodes at once.
 PORTION = 2_000_000
 #: Printable ASCII and Latin letters that are one letter in every form: no normaliser but lower case changes them, and all are letters.
@@ -81,26 +82,53 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out[:n]
 
 
+class Ragged:
+    """Numbers of keys in order of their coming, and the ids of each, end to end."""
+
+    def __init__(self) -> None:
+        self.known: dict = defaultdict(itertools.count().__next__)
+        self.starts, self.sizes, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+
+    def numbers(self, keys, n: int) -> tuple[np.ndarray, list]:
+        """(numbers of n keys, those that are new)."""
+        before = len(self.known)
+        got = np.fromiter(map(self.known.__getitem__, keys), np.int64, n)
+        return got, list(itertools.islice(self.known, before, None))
+
+    def add(self, ids: np.ndarray, size: np.ndarray) -> None:
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(size) - size])
+        self.sizes, self.flat = np.concatenate([self.sizes, size]), np.concatenate([self.flat, ids])
+
+    def of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the keys end to end, the place in them at which each key starts, and their end)."""
+        size = self.sizes[numbers]
+        before = np.concatenate([[0], np.cumsum(size)])
+        return self.flat[np.arange(before[-1]) + np.repeat(self.starts[numbers] - before[:-1], size)], before
+
+
 class Encoder:
     """Ids of texts by a tokenizer file. Words are looked up where white space always ends what the library matches."""
 
     def __init__(self, path: str) -> None:
         import json
 
+        import regex
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        spec = json.loads(self.tok.to_str())
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
         self.by_word = self._by_word(spec)
-        self._clear()
         self.cut = self._cutter(spec) if self.by_word else None
-        self.pieces: dict[str, list[int]] = {}
+        self.plain = regex.compile(PLAIN).fullmatch
+        self.special = [t["content"] for t in spec.get("added_tokens", [])]
+        self.words, self.pieces = Ragged(), Ragged()
 
     @staticmethod
     def _cutter(spec: dict):
-        """The pieces of a word of PLAIN characters without special strings, None for other words; nothing if other steps follow the cut."""
+        """A function that cuts a text of PLAIN characters and line ends into pieces and line ends; None if other steps follow the cut."""
         import regex
 
         first, *rest = spec["pre_tokenizer"].get("pretokenizers") or [spec["pre_tokenizer"]]
@@ -108,9 +136,8 @@ class Encoder:
             return None
         norm = spec.get("normalizer") or {}
         lower = any(n["type"] == "Lowercase" for n in norm.get("normalizers") or [norm] if n)
-        plain, find = regex.compile(PLAIN).fullmatch, regex.compile(first["pattern"]["Regex"]).findall
-        special = regex.compile("|".join(regex.escape(t["content"]) for t in spec.get("added_tokens", [])) or r"(?!)").search
-        return lambda w: find(w.lower() if lower else w) if plain(w) and not special(w) else None
+        find = regex.compile(rf"{first['pattern']['Regex']}|\n").findall
+        return lambda text: find(text.lower() if lower else text)
 
     @staticmethod
     def _by_word(spec: dict) -> bool:
@@ -127,62 +154,50 @@ class Encoder:
         cut = regex.compile(first["pattern"]["Regex"])
         return "(?" not in cut.pattern and r"\b" not in cut.pattern and not any(s in m.group() for s in SPACE for t in (f"a{s}b", f"!{s}?", f"1{s}{s}2", f"'{s}s") for m in cut.finditer(t))
 
-    def _clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.flat: list[np.ndarray] = []
-        self.starts, self.sizes, self.n = np.empty(0, np.int64), np.empty(0, np.int64), 0
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [e.ids for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+        size = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(size.sum())), size
 
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tok.encode_batch(texts, add_special_tokens=False)]
-
-    def _word_ids(self, words: list[str]) -> list[list[int]]:
+    def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of words end to end, numbers of ids of each)."""
         if self.cut is None:
             return self._ids(words)
-        if len(self.pieces) > KEPT:
-            self.pieces.clear()
-        out, odd, pieces, tokenize = [], [], self.pieces, self.tok.model.tokenize
-        for k, w in enumerate(words):
-            own = self.cut(w)
-            if own is None:
-                odd.append(k)
-                own = ()
-            for p in own:
-                if p not in pieces:
-                    pieces[p] = [t.id for t in tokenize(p if p.isascii() else "".join(map(_BYTE.__getitem__, p.encode())))]
-            out.append(pieces[own[0]] if len(own) == 1 else [i for p in own for i in pieces[p]])
-        for k, ids in zip(odd, self._ids([words[k] for k in odd]), strict=True):
-            out[k] = ids
-        return out
+        plain = self.plain
+        own = [w if plain(w) else "" for w in words]
+        if any(s in w for s in self.special for w in own):
+            own = ["" if any(s in w for s in self.special) else w for w in own]
+        if len(self.pieces.known) > KEPT:
+            self.pieces = Ragged()
+        cut = self.cut("\n".join([*own, ""]))
+        numbers, new = self.pieces.numbers(cut, len(cut))
+        tokenize, end = self.tok.model.tokenize, "\n"
+        ids = [() if p == end else [t.id for t in tokenize(p if p.isascii() else "".join(map(_BYTE.__getitem__, p.encode())))] for p in new]
+        self.pieces.add(np.fromiter(itertools.chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)))
+        flat, before = self.pieces.of(numbers)
+        ends = before[np.flatnonzero(numbers == self.pieces.known[end])]
+        size = np.diff(ends, prepend=0)
+        odd = [k for k, w in enumerate(own) if not w]
+        if odd:
+            more, n = self._ids([words[k] for k in odd])
+            flat, size[odd] = np.insert(flat, np.repeat(ends[odd], n), more), n
+        return flat, size
 
     def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts end to end, each with the end id, numbers of ids of each)."""
-        end = np.array([END_ID], np.uint32)
         if not self.by_word:
-            got = [[*x, END_ID] for x in self._ids([t or "" for t in texts])]
-            return np.array([i for x in got for i in x], np.uint32), np.array([len(x) for x in got], np.int64)
+            ids, size = self._ids([t or "" for t in texts])
+            return np.insert(ids, np.cumsum(size), END_ID), size + 1
+        if len(self.words.known) > KEPT:
+            self.words = Ragged()
         parts = [t.encode().split() if t else [] for t in texts]
-        new = list(set(itertools.chain.from_iterable(parts)).difference(self.known))
-        if len(self.known) + len(new) > KEPT:
-            self._clear()
-            new = list(set(itertools.chain.from_iterable(parts)))
+        n_words = np.fromiter(map(len, parts), np.int64, len(parts))
+        numbers, new = self.words.numbers(itertools.chain.from_iterable(parts), int(n_words.sum()))
         if new:
-            ids = self._word_ids([x.decode() for x in new])
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-            self.starts, self.sizes = np.concatenate([self.starts, self.n + np.cumsum(size) - size]), np.concatenate([self.sizes, size])
-            self.flat = [*self.flat, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(size.sum()))]
-            self.flat, self.n = [np.concatenate(self.flat)], self.n + int(size.sum())
-        n_words = np.array([len(p) for p in parts], np.int64)
-        w = np.fromiter(map(self.known.__getitem__, itertools.chain.from_iterable(parts)), np.int64, int(n_words.sum()))
-        size = self.sizes[w]
-        before = np.concatenate([[0], np.cumsum(size)])  # ids before each word
+            self.words.add(*self._learn([x.decode() for x in new]))
+        flat, before = self.words.of(numbers)
         ends = np.cumsum(n_words)
-        total = before[ends] - before[ends - n_words]
-        if self.n:
-            flat = self.flat[0][np.arange(before[-1]) + np.repeat(self.starts[w] - before[:-1], size)]
-        else:
-            flat = end[:0]
-        return np.insert(flat, before[ends], END_ID), total + 1
+        return np.insert(flat, before[ends], END_ID), before[ends] - before[ends - n_words] + 1
 
 
 def squeezed(ids: np.ndarray, size: np.ndarray) -> list[bytes]:
