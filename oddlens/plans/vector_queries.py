@@ -2,55 +2,65 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from oddlens.operators import evaluation as ev
 from oddlens.operators import grids as gr
 from oddlens.operators import models as mo
+from oddlens.operators import moments as mm
 from oddlens.operators import tables as tb
 from oddlens.operators import vectors as ve
 from oddlens.plans import fixtures as fx
 from oddlens.plans.registry import query
-from oddlens.sources.shared import written
+from oddlens.sources.shared import beside, written
 
-CAP = 60
-BANK = "bank AS (SELECT category, i, j, features FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY md5(vec_id || '#0'), vec_id) AS rn FROM item_patches WHERE split = 'train') WHERE rn <= 60)"
+#: The reference's cap of a category's bank, and of the one bank over all of its first version; regions share the former, but for 1000 each at least.
+CAP, GLOBAL_CAP, LEAST_REGION = 100_000, 50_000, 1000
+BANK = f"bank AS (SELECT category, i, j, features FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY md5(vec_id || '#0'), vec_id) AS rn FROM item_patches WHERE split = 'train') WHERE rn <= {CAP})"
 DIST = "list_distance(q.features, b.features)"
 
 
-def _bank(patches):
-    """Normal training patches, capped by category."""
-    return tb.capped_sample(patches.where("split = 'train'"), "vec_id", CAP, 0, ["category"])
+def _bank(patches, keys=("category",), cap=CAP):
+    """Normal training patches, capped by key."""
+    return tb.capped_sample(patches.where("split = 'train'"), "vec_id", cap, 0, list(keys))
 
 
-#: The reference's cap of a category; regions share it, but for 1000 each at least.
-WHOLE_CAP = 100_000
+def _queries(patches):
+    return patches.where("split != 'train'")
 
 
-def _whole_bank(patches, keys=("category",), cap=WHOLE_CAP):
-    return tb.capped_sample(patches.where("split = 'train'"), "vec_id", cap, 0, list(keys))
+M1 = fx.sql(f"WITH {BANK} SELECT vec_id, category, round(min({DIST}), 5) AS score FROM item_patches q JOIN bank b USING (category) WHERE split <> 'train' GROUP BY vec_id, category")
 
 
-def _queries(patches):
-    return patches.where("split != 'train'")
+def _search(p):
+    return ve.nearest_pruned(_queries(p).select("category", "vec_id", "item_id", "features"), _bank(p), ["category"], ["vec_id", "item_id"])
 
 
-@query("m1_nearest", fx.sql(f"WITH {BANK} SELECT vec_id, category, round(min({DIST}), 5) AS score FROM item_patches q JOIN bank b USING (category) WHERE split <> 'train' GROUP BY vec_id, category"))
+@query("m1_nearest_whole", M1)
+@query("m1_nearest", M1)
 def m1_nearest(spark, sf):
-    p = fx.item_patches(spark, sf)
-    n = ve.nearest(_queries(p).select("category", "vec_id", "features"), _bank(p), ["category"], ["vec_id"])
-    return n.select("vec_id", "category", F.round("score", 5).alias("score"))
+    return _search(fx.item_patches(spark, sf))[0].select("vec_id", "category", F.round("score", 5).alias("score"))
+
+
+@query("m1_search_report")
+def m1_search_report(spark, sf):
+    """How many of the pairs of queries and bank vectors were compared by category; the others were left out by distance bounds."""
+    return _search(fx.item_patches(spark, sf))[1]
 
 
 KNN = f"knn AS (SELECT vec_id, item_id, category, split, defect_type, label, avg(d) AS score FROM (SELECT q.*, {DIST} AS d, row_number() OVER (PARTITION BY vec_id ORDER BY {DIST}) AS rn FROM item_patches q JOIN bank b USING (category) WHERE split <> 'train') WHERE rn <= 3 GROUP BY ALL)"
 
 
-@query("m2_knn_blocks", fx.sql(f"WITH {BANK}, {KNN} SELECT vec_id, category, round(score, 5) AS score FROM knn"))
+M2 = fx.sql(f"WITH {BANK}, {KNN} SELECT vec_id, category, round(score, 5) AS score FROM knn")
+
+
+@query("m2_knn_blocks_whole", M2)
+@query("m2_knn_blocks", M2)
 def m2_knn_blocks(spark, sf):
     p = fx.item_patches(spark, sf)
-    n = ve.nearest_blocks(_queries(p).select("category", "vec_id", "features"), _bank(p), ["category"], ["vec_id"], 3)
-    return n.select("vec_id", "category", F.round("score", 5).alias("score"))
+    return _scored(_queries(p), 3)(_bank(p)).select("vec_id", "category", F.round("score", 5).alias("score"))
 
 
 COSINE = "sqrt(greatest(0.0::DOUBLE, 2 - 2 * list_dot_product(q.features, b.features) / (sqrt(list_dot_product(q.features, q.features)) * sqrt(list_dot_product(b.features, b.features)))))"
@@ -60,39 +70,107 @@ COSINE = "sqrt(greatest(0.0::DOUBLE, 2 - 2 * list_dot_product(q.features, b.feat
 def m2_unit_knn(spark, sf):
     """Three nearest unit vectors of the whole bank of a category: sqrt(max(0, 2 - 2 cos)) is their Euclidean distance."""
     p = fx.item_patches(spark, sf).withColumn("features", ve.unit(F.col("features")))
-    return _scored(_queries(p), 3)(_whole_bank(p)).select("vec_id", "category", F.round("score", 5).alias("score"))
+    return _scored(_queries(p), 3)(_bank(p)).select("vec_id", "category", F.round("score", 5).alias("score"))
 
 
-@query("m3_patch_memory", fx.sql(f"WITH {BANK}, {KNN}, r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC) AS rn, count(*) OVER (PARTITION BY item_id) AS n FROM knn) SELECT item_id, round(avg(score) FILTER (WHERE rn <= greatest(1, ceil(n * 0.05::DOUBLE))), 5) AS score FROM r GROUP BY item_id"))
+def _scored(patches, k=1):
+    q = patches.select("category", "vec_id", "item_id", "features")
+    return lambda bank: ve.nearest_blocks(q, bank, ["category"], ["vec_id", "item_id"], k)
+
+
+TOP = "r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC) AS rn, count(*) OVER (PARTITION BY item_id) AS n FROM {of}) SELECT item_id, round(avg(score) FILTER (WHERE rn <= greatest(1, ceil(n * {share}::DOUBLE))), 5) AS score FROM r GROUP BY item_id"
+M3 = fx.sql(f"WITH {BANK}, {KNN}, {TOP.format(of='knn', share=0.05)}")
+
+
+@query("m3_patch_memory_whole", M3)
+@query("m3_patch_memory", M3)
 def m3_patch_memory(spark, sf):
     """Patch scores by the three nearest of the category's bank, the top 5 % of an item averaged."""
     p = fx.item_patches(spark, sf)
-    n = ve.nearest_blocks(_queries(p).select("category", "vec_id", "item_id", "features"), _bank(p), ["category"], ["vec_id", "item_id"], 3)
-    return tb.top_fraction(n, "item_id", "score", {"score": 0.05}).select("item_id", F.round("score", 5).alias("score"))
+    return tb.top_fraction(_scored(_queries(p), 3)(_bank(p)), "item_id", "score", {"score": 0.05}).select("item_id", F.round("score", 5).alias("score"))
+
+
+NN = f"nn AS (SELECT vec_id, item_id, min({DIST}) AS score FROM item_patches q JOIN bank b USING (category) WHERE split <> 'train' GROUP BY vec_id, item_id)"
+
+
+@query("m3_nearest_memory", fx.sql(f"WITH {BANK}, {NN}, {TOP.format(of='nn', share=0.01)}"))
+def m3_nearest_memory(spark, sf):
+    """The other preset: patch scores by the nearest of the category's bank, the top 1 % of an item averaged."""
+    p = fx.item_patches(spark, sf)
+    return tb.top_fraction(_search(p)[0], "item_id", "score", {"score": 0.01}).select("item_id", F.round("score", 5).alias("score"))
 
 
-REGION = "least(1, floor(i / 2.0::DOUBLE * 2))::INT * 2 + least(1, floor(j / 2.0::DOUBLE * 2))::INT"
+@query("m3_global_memory", fx.sql(f"WITH g AS (SELECT features FROM (SELECT *, row_number() OVER (ORDER BY md5(vec_id || '#0'), vec_id) AS rn FROM item_patches WHERE split = 'train') WHERE rn <= {GLOBAL_CAP}), nn AS (SELECT vec_id, item_id, min({DIST}) AS score FROM item_patches q, g b WHERE split <> 'train' GROUP BY vec_id, item_id), {TOP.format(of='nn', share=0.05)}"))
+def m3_global_memory(spark, sf):
+    """One bank over all categories, as in the reference's first version: the nearest vector of it, the top 5 % of an item averaged."""
+    p = fx.item_patches(spark, sf)
+    s, _ = ve.nearest_pruned(_queries(p).select("vec_id", "item_id", "features"), _bank(p, (), GLOBAL_CAP), [], ["vec_id", "item_id"])
+    return tb.top_fraction(s, "item_id", "score", {"score": 0.05}).select("item_id", F.round("score", 5).alias("score"))
+
+
+REGIONS = (4, 6, 8)
+
+
+def _region_sql(sizes):
+    """Top patch scores of items by the banks of their regions, of the category where a region has no training patches, for some region sizes."""
+    region = "(least(r - 1, floor(i / 2.0::DOUBLE * r))::INT * r + least(r - 1, floor(j / 2.0::DOUBLE * r))::INT)"
+    values = ", ".join(f"({r}, {max(LEAST_REGION, CAP // r**2)})" for r in sizes)
+    return f"""
+WITH {BANK}, g AS (SELECT p.*, r, cap, {region} AS region FROM item_patches p, (VALUES {values}) AS v(r, cap)),
+br AS (SELECT r, category, region, features FROM (SELECT *, row_number() OVER (PARTITION BY r, category, region ORDER BY md5(vec_id || '#0'), vec_id) AS rn FROM g WHERE split = 'train') WHERE rn <= cap),
+fine AS (SELECT q.r, vec_id, min({DIST}) AS s FROM g q JOIN br b ON q.r = b.r AND q.category = b.category AND q.region = b.region WHERE split <> 'train' GROUP BY ALL),
+wide AS (SELECT vec_id, min({DIST}) AS s FROM item_patches q JOIN bank b USING (category) WHERE split <> 'train' GROUP BY vec_id),
+s AS (SELECT g.r, item_id, coalesce(fine.s, wide.s) AS score FROM g LEFT JOIN fine USING (r, vec_id) LEFT JOIN wide USING (vec_id) WHERE split <> 'train'),
+t AS (SELECT *, row_number() OVER (PARTITION BY r, item_id ORDER BY score DESC) AS rn, count(*) OVER (PARTITION BY r, item_id) AS n FROM s)
+SELECT r AS region_size, item_id, round(avg(score) FILTER (WHERE rn <= greatest(1, ceil(n * 0.05::DOUBLE))), 5) AS score FROM t GROUP BY ALL
+"""
 
 
-@query("m4_region_memory", fx.sql(f"WITH {BANK}, qr AS (SELECT *, {REGION} AS region FROM item_patches WHERE split <> 'train'), br AS (SELECT *, {REGION} AS region FROM bank), r1 AS (SELECT vec_id, min({DIST}) AS s FROM qr q JOIN br b USING (category, region) WHERE region <> 3 GROUP BY vec_id), c1 AS (SELECT vec_id, min({DIST}) AS s FROM qr q JOIN bank b USING (category) GROUP BY vec_id), s AS (SELECT q.vec_id, item_id, coalesce(r1.s, c1.s) AS score FROM qr q LEFT JOIN r1 USING (vec_id) LEFT JOIN c1 USING (vec_id)) SELECT item_id, round(max(score), 5) AS score FROM s GROUP BY item_id"))
+def _region_scores(p, sizes):
+    """Rows (region_size, item_id, score) for all sizes in one search: the size is a key of the banks."""
+    parts = []
+    for r in sizes:
+        g = p.withColumns({"region_size": F.lit(r), "region": ve.region(F.col("i"), F.col("j"), 2, 2, r)})
+        keys = ["region_size", "category"]
+        q = _queries(g).select(*keys, "region", "vec_id", "item_id", "features")
+        parts.append(ve.region_banks(q, g.where("split = 'train'").select(*keys, "region", "vec_id", "features"), keys, max(LEAST_REGION, CAP // r**2), CAP))
+    q, b = (reduce(lambda x, y: x.unionByName(y), [part[k] for part in parts]) for k in (0, 1))
+    s = ve.nearest_blocks(q.drop("region"), b.drop("region"), ["region_size", "category", "bank"], ["vec_id", "item_id"])
+    top = tb.top_fraction(s.select(F.struct("region_size", "item_id").alias("_i"), "score"), "_i", "score", {"score": 0.05})
+    return top.select("_i.region_size", "_i.item_id", F.round("score", 5).alias("score"))
+
+
+@query("m4_region_candidates", fx.sql(_region_sql(REGIONS)))
+def m4_region_candidates(spark, sf):
+    """Region-aware scores of the candidate layouts of 4 x 4, 6 x 6 and 8 x 8."""
+    return _region_scores(fx.item_patches(spark, sf), REGIONS)
+
+
+@query("m4_region_memory", f"SELECT item_id, score FROM ({fx.sql(_region_sql((6,)))})")
 def m4_region_memory(spark, sf):
-    """Banks by (category, region), with the category's bank for regions that have none (region 3 is left out to show it)."""
-    p = fx.item_patches(spark, sf).withColumn("region", ve.region(F.col("i"), F.col("j"), 2, 2, 2))
-    bank, q = _bank(p), _queries(p).select("category", "region", "vec_id", "item_id", "features")
-    ids = ["vec_id", "item_id"]
-    fine = ve.nearest(q, bank.where("region != 3"), ["category", "region"], ids).select("vec_id", F.col("score").alias("_f"))
-    both = ve.nearest(q, bank, ["category"], ids).join(fine, "vec_id", "left").withColumn("score", F.coalesce("_f", "score"))
-    return tb.top_fraction(both, "item_id", "score", {"score": 0.05}).select("item_id", F.round("score", 5).alias("score"))
+    """Banks by (category, region) in a layout of 6 x 6, and the category's bank for the queries whose region has none."""
+    return _region_scores(fx.item_patches(spark, sf), (6,)).drop("region_size")
+
+
+@query("m4_region_memory_whole", f"SELECT item_id, score FROM ({fx.sql(_region_sql((2,)))})")
+def m4_region_memory_whole(spark, sf):
+    """The same in a layout of 2 x 2."""
+    return _region_scores(fx.item_patches(spark, sf), (2,)).drop("region_size")
+
+
+J9 = fx.sql(f"WITH {BANK} SELECT category, count(*) AS n, round(avg(s), 5) AS mean_score FROM (SELECT vec_id, category, min({DIST}) AS s FROM item_patches q JOIN bank b USING (category) WHERE split = 'test' GROUP BY vec_id, category) GROUP BY category")
 
 
-@query("j9_nearest_in_key", fx.sql(f"WITH {BANK} SELECT category, count(*) AS n, round(avg(s), 5) AS mean_score FROM (SELECT vec_id, category, min({DIST}) AS s FROM item_patches q JOIN bank b USING (category) WHERE split = 'test' GROUP BY vec_id, category) GROUP BY category"))
+@query("j9_nearest_in_key_whole", J9)
+@query("j9_nearest_in_key", J9)
 def j9_nearest_in_key(spark, sf):
     p = fx.item_patches(spark, sf)
-    n = ve.nearest(p.where("split = 'test'").select("category", "vec_id", "features"), _bank(p), ["category"], ["vec_id"])
+    n, _ = ve.nearest_pruned(p.where("split = 'test'").select("category", "vec_id", "features"), _bank(p), ["category"], ["vec_id"])
     return n.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 5).alias("mean_score"))
 
 
-K = 4
+#: Words of a vocabulary, as in the reference. The given ones are the first training patches of a category.
+K = 32
 WORDS = f"words AS (SELECT category, features AS centre, row_number() OVER (PARTITION BY category ORDER BY vec_id) - 1 AS word FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY md5(vec_id || '#5'), vec_id) AS rn FROM item_patches WHERE split = 'train') WHERE rn <= {K}), near AS (SELECT vec_id, item_id, category, split, arg_min(word, (list_distance(features, centre), word)) AS word FROM item_patches JOIN words USING (category) GROUP BY ALL)"
 HIST = f"hist AS (SELECT category, item_id, split, list(n / t ORDER BY w) AS hist FROM (SELECT category, item_id, split, w, count(*) FILTER (WHERE word = w)::DOUBLE AS n, count(*)::DOUBLE AS t FROM near, range({K}) AS u(w) GROUP BY ALL) GROUP BY ALL)"
 
@@ -112,14 +190,14 @@ def _hist(p):
     return ve.histograms(near, k, ["category"]).join(split, "item_id")
 
 
-@query("m5_lloyd_step", fx.sql(f"WITH {WORDS} SELECT category, word, round(avg(features[1]), 5) AS x0, round(avg(features[64]), 5) AS x63, count(*) AS n FROM near JOIN (SELECT vec_id, features FROM item_patches) USING (vec_id) WHERE split = 'train' GROUP BY category, word"))
+@query("m5_lloyd_step", fx.sql(f"WITH {WORDS}, w AS (SELECT category, word, features FROM near JOIN (SELECT vec_id, features FROM item_patches) USING (vec_id) WHERE split = 'train') SELECT category, word, p - 1 AS pos, round(avg(features[p]), 5) AS x, count(*) AS n FROM w, range(1, 65) AS u(p) GROUP BY category, word, p"))
 def m5_lloyd_step(spark, sf):
-    """One step of the vocabulary's k-means from fixed centres."""
-    p = fx.item_patches(spark, sf).where("split = 'train'")
-    w = _first_words(p)
+    """One step of the vocabulary's k-means from given centres: all coordinates of the words that have vectors."""
+    p = fx.item_patches(spark, sf).where("split = 'train'").select("category", "vec_id", "features")
+    w = written(_first_words(p.withColumn("split", F.lit("train"))), "words")
     n = ve.nearest_word(p, w, ["category"], ["vec_id"]).groupBy("category", "word").agg(F.count(F.lit(1)).alias("n"))
-    s = mo.lloyd_step(p.select("category", "vec_id", "features"), w, ["category"])
-    return s.join(n, ["category", "word"]).select("category", "word", F.round(F.get("centre", F.lit(0)), 5).alias("x0"), F.round(F.get("centre", F.lit(63)), 5).alias("x63"), "n")
+    s = mo.lloyd_step(p, w, ["category"]).join(n.hint("merge"), ["category", "word"])
+    return s.select("category", F.col("word").cast("long").alias("word"), "n", F.posexplode("centre").alias("pos", "x")).select("category", "word", F.col("pos").cast("long").alias("pos"), F.round("x", 5).alias("x"), "n")
 
 
 @query("m5_vocabulary")
@@ -142,10 +220,17 @@ def _fitted_hist(spark, sf):
     return written(ve.histograms(near, k, ["category"]).join(p.select("item_id", "split").distinct().hint("merge"), "item_id"))
 
 
-@query("m6_composition", fx.sql(f"WITH {WORDS}, {HIST} SELECT item_id, category, round(hist[1], 6) AS h0, round(hist[2], 6) AS h1, round(hist[3], 6) AS h2, round(hist[4], 6) AS h3 FROM hist"))
+@query("m6_composition", fx.sql(f"WITH {WORDS}, {HIST} SELECT item_id, category, w AS word, round(hist[w + 1], 6) AS share FROM hist, range({K}) AS u(w) WHERE hist[w + 1] IS NOT NULL"))
 def m6_composition(spark, sf):
-    h = _hist(fx.item_patches(spark, sf))
-    return h.select("item_id", "category", *[F.round(F.get("hist", F.lit(i)), 6).alias(f"h{i}") for i in range(K)])
+    """Shares of given words in each item's patches, zeros kept."""
+    h = _hist(fx.item_patches(spark, sf)).select("item_id", "category", F.posexplode("hist").alias("word", "x"))
+    return h.select("item_id", "category", F.col("word").cast("long").alias("word"), F.round("x", 6).alias("share"))
+
+
+@query("m6_fitted_composition")
+def m6_fitted_composition(spark, sf):
+    """The same for the fitted words of each category."""
+    return _fitted_hist(spark, sf).select("item_id", "category", F.posexplode("hist").alias("word", "share"))
 
 
 @query("m7_mahalanobis")
@@ -154,12 +239,37 @@ def m7_mahalanobis(spark, sf):
     return mo.mahalanobis(h.where("split = 'train'"), h, ["category"])
 
 
-@query("m8_cosine", fx.sql(f"WITH {WORDS}, {HIST}, mean AS (SELECT category, list(m ORDER BY p) AS mean FROM (SELECT category, p, avg(hist[p]) AS m FROM hist, range(1, {K + 1}) AS u(p) WHERE split = 'train' GROUP BY category, p) GROUP BY category) SELECT item_id, round(1 - list_dot_product(hist, mean) / (sqrt(list_dot_product(hist, hist)) * sqrt(list_dot_product(mean, mean))), 6) AS score FROM hist JOIN mean USING (category)"))
+ADJUGATE = """
+f AS (SELECT item_id, category, list_sum(grid) / 64 AS x, list_stddev_pop(grid) AS y, {edge} AS z FROM grids),
+m AS (SELECT category, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, var_samp(x) + 1e-5 AS a, covar_samp(x, y) AS b, covar_samp(x, z) AS c, var_samp(y) + 1e-5 AS d, covar_samp(y, z) AS e, var_samp(z) + 1e-5 AS f FROM f WHERE item_id % 10 < 5 GROUP BY category),
+i AS (SELECT *, a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) AS det FROM m),
+q AS (SELECT f.item_id, f.category, x - mx AS x, y - my AS y, z - mz AS z, a, b, c, d, e, i.f AS f, det FROM f JOIN i USING (category))
+SELECT item_id, category, round(sqrt(greatest(0, (x * x * (d * f - e * e) + y * y * (a * f - c * c) + z * z * (a * d - b * b) + 2 * (x * y * (c * e - b * f) + x * z * (b * e - c * d) + y * z * (b * c - a * e))) / det)), 5) AS score FROM q
+"""
+
+
+@query("m8_cosine", fx.sql(f"WITH {WORDS}, {HIST}, mean AS (SELECT category, list(m ORDER BY p) AS mean FROM (SELECT category, p, avg(hist[p]) AS m FROM hist, range(1, {K + 1}) AS u(p) WHERE split = 'train' AND hist[p] IS NOT NULL GROUP BY category, p) GROUP BY category) SELECT item_id, round(1 - list_dot_product(hist, mean) / (sqrt(list_dot_product(hist, hist)) * sqrt(list_dot_product(mean, mean))), 6) AS score FROM hist JOIN mean USING (category)"))
 def m8_cosine(spark, sf):
     h = _hist(fx.item_patches(spark, sf))
-    m = h.where("split = 'train'").select("category", F.posexplode("hist").alias("p", "x")).groupBy("category", "p").agg(F.avg("x").alias("m"))
-    m = m.groupBy("category").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "m"))), lambda s: s["m"]).alias("mean"))
-    return h.join(m, "category").select("item_id", F.round(ve.cosine_distance(F.col("hist"), F.col("mean")), 6).alias("score"))
+    return _cosines(h).select("item_id", F.round("score", 6).alias("score"))
+
+
+def _cosines(h):
+    """Distance of each histogram to the mean of the category's training ones."""
+    m = mm.comoments(h.where("split = 'train'"), ["category"], "hist").select("category", "mean")
+    return h.join(beside(m), "category").withColumn("score", ve.cosine_distance(F.col("hist"), F.col("mean"))).drop("mean", "hist")
+
+
+@query("m8_composition_scores")
+def m8_composition_scores(spark, sf):
+    """The composition branch: Mahalanobis, cosine and forest scores of each item's histogram of its category's fitted words; score is the first."""
+    h = _fitted_hist(spark, sf)
+    fit = mm.inverse_covariances(h.where("split = 'train'"), ["category"], "hist")
+    scored = mm.mahalanobis(h.withColumn("h", F.col("hist")), fit, ["category"], "hist", "score_mahalanobis").withColumnRenamed("h", "hist")
+    cosine = _cosines(h).select("item_id", F.col("score").alias("score_cosine"))
+    forest = m9_composition_forest(spark, sf, h).select("item_id", F.col("score").alias("score_isolation_forest"))
+    out = scored.drop("hist").join(cosine.hint("merge"), "item_id").join(forest.hint("merge"), "item_id")
+    return out.select("item_id", "category", "split", "score_mahalanobis", "score_cosine", "score_isolation_forest", F.col("score_mahalanobis").alias("score"))
 
 
 @query("m9_isolation_forest")
@@ -169,10 +279,26 @@ def m9_isolation_forest(spark, sf):
     return mo.isolation_forest(p.where("split = 'train'"), p.select("vec_id", "features"), "features", "vec_id")
 
 
+TREES = [
+    (0, 256, [0, 1, -1, -1, 2, -1, -1], [0.0, 0.1, 2.0, 4.5, -0.05, 3.0, 9.25], [1, 2, 0, 0, 5, 0, 0], [4, 3, 0, 0, 6, 0, 0]),
+    (1, 256, [63, -1, 10, -1, -1], [-0.1, 1.0, 0.2, 7.5, 2.25], [1, 0, 3, 0, 0], [2, 0, 4, 0, 0]),
+    (2, 256, [-1], [5.0], [0], [0]),
+]
+DEPTHS = "CASE WHEN features[1] < 0.0 THEN CASE WHEN features[2] < 0.1::DOUBLE THEN 2.0 ELSE 4.5 END WHEN features[3] < -0.05::DOUBLE THEN 3.0 ELSE 9.25 END + CASE WHEN features[64] < -0.1::DOUBLE THEN 1.0 WHEN features[11] < 0.2::DOUBLE THEN 7.5 ELSE 2.25 END + 5.0"
+
+
+@query("m9_given_forest", fx.sql(f"SELECT vec_id, round(2.0::DOUBLE ** (-({DEPTHS}) / 3.0::DOUBLE / {float(mo.path_average(256))}::DOUBLE), 6) AS score FROM item_patches"))
+def m9_given_forest(spark, sf):
+    """Scores by a forest that is given: three small trees."""
+    trees = spark.createDataFrame(TREES, mo.FOREST)
+    s = mo.forest_scores(fx.item_patches(spark, sf).select("vec_id", "features"), trees, "features")
+    return s.select("vec_id", F.round("score", 6).alias("score"))
+
+
 @query("m9_composition_forest")
-def m9_composition_forest(spark, sf):
+def m9_composition_forest(spark, sf, h=None):
     """Items by a forest of the training items' histograms, filled up with zeros where a category has fewer words."""
-    h = _fitted_hist(spark, sf)
+    h = h or _fitted_hist(spark, sf)
     hist = F.concat("hist", F.array_repeat(F.lit(0.0), F.lit(N_WORDS) - F.size("hist")))
     h = h.withColumn("hist", hist)
     return mo.isolation_forest(h.where("split = 'train'"), h.select("item_id", "category", "split", "hist"), "hist", "item_id")
@@ -185,43 +311,77 @@ def m10_global_statistics(spark, sf):
     return s.select("category", "item_id", F.round("score", 5).alias("score"))
 
 
-def _axes(p):
-    """The length of the vectors."""
-    return p.agg(F.max(F.size("features"))).first()[0]
+PCA_DIMS, PCA_CAP = (8, 16, 32), 50_000
 
 
 @query("m11_pca_variance")
 def m11_pca_variance(spark, sf):
-    """Variance of the training patches by number of principal axes, and the least numbers that hold 90 and 95 % of it."""
+    """Variance of a category's training patches by number of principal axes, and the least numbers that hold 90 and 95 % of it."""
     p = fx.item_patches(spark, sf)
-    shares = mo.axis_variance(p.where("split = 'train'"), _axes(p))
-    rows, total = [], 0.0
-    for k, x in enumerate(shares, 1):
-        rows.append((k, float(x), total := total + float(x)))
-    least = {share: next((k for k, _, c in rows if c >= share), len(rows)) for share in (0.9, 0.95)}
-    d = spark.createDataFrame(rows, "dims int, share double, cumulative double")  # a row an axis
-    return d.withColumns({"is_dims_90": F.col("dims") == least[0.9], "is_dims_95": F.col("dims") == least[0.95]})
+    return mm.variance(mm.principal_axes(_bank(p, cap=PCA_CAP), ["category"], "features"), ["category"])
+
+
+def _study(p, axes):
+    """The tables of the dimension study by category and over categories, for the axes that axes(bank) gives."""
+    bank = written(_bank(p, cap=PCA_CAP), "bank")
+    full = bank.agg(F.max(F.size("features"))).first()[0] or 0
+    return mo.dimension_study(p, bank, axes(bank), [k for k in PCA_DIMS if k < full], full)
 
 
 @query("m11_pca_study")
 def m11_pca_study(spark, sf):
-    """AUROC of the nearest-neighbour score for several numbers of principal axes, and its percentage of that of all axes."""
-    p, out = fx.item_patches(spark, sf), None
-    full = _axes(p)
-    items = p.select("item_id", "split", "defect_type", "label").distinct()
-    for k in sorted({k for k in (8, 16, 32) if k < full} | {full}):
-        r = mo.reduced(p.where("split = 'train'"), p, k)
-        s = ve.nearest_blocks(_queries(r).select("category", "vec_id", "item_id", "features"), _whole_bank(r), ["category"], ["vec_id", "item_id"])
-        s = tb.top_fraction(s, "item_id", "score", {"score": 0.01}, floor=True).join(items.hint("merge"), "item_id").where("split = 'test'").withColumn("dims", F.lit(k))
-        out = s if out is None else out.unionByName(s)
-    a = ev.auroc(out, ["dims"])
-    top = F.max(F.when(F.col("dims") == full, F.col("auroc"))).over(W.partitionBy())  # four rows
-    return a.withColumn("pct_of_full", 100 * F.col("auroc") / top)
+    """Mean AUROC over categories of the nearest-neighbour score on some numbers of each category's principal axes, and its percentage of that of whole vectors."""
+    return _study(fx.item_patches(spark, sf), lambda bank: mm.principal_axes(bank, ["category"], "features"))[1]
+
+
+@query("m11_pca_categories")
+def m11_pca_categories(spark, sf):
+    """The same by category."""
+    return _study(fx.item_patches(spark, sf), lambda bank: mm.principal_axes(bank, ["category"], "features"))[0]
+
+
+AXIS_STUDY = f"""
+WITH m AS (SELECT category, list(m ORDER BY p) AS mean FROM (SELECT category, p, avg(features[p]) AS m FROM item_patches, range(1, 65) AS u(p) WHERE split = 'train' GROUP BY category, p) GROUP BY category),
+v AS (SELECT vec_id, item_id, category, split, dims, CASE WHEN dims = 64 THEN features ELSE list_transform(range(1, dims + 1), lambda i: features[i] - mean[i]) END AS f FROM item_patches JOIN m USING (category), (VALUES {", ".join(f"({k})" for k in (*PCA_DIMS, 64))}) AS d(dims)),
+u AS (SELECT *, list_transform(f, lambda x: x / sqrt(list_dot_product(f, f))) AS g FROM v),
+nn AS (SELECT q.dims, q.category, q.item_id, q.vec_id, min(list_distance(q.g, b.g)) AS d FROM u q JOIN u b ON q.dims = b.dims AND q.category = b.category AND b.split = 'train' WHERE q.split <> 'train' GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY dims, item_id ORDER BY d DESC) AS rn, count(*) OVER (PARTITION BY dims, item_id) AS n FROM nn),
+s AS (SELECT dims, category, item_id, avg(d) FILTER (WHERE rn <= greatest(1, floor(n * 0.01::DOUBLE))) AS score FROM r GROUP BY ALL),
+i AS (SELECT DISTINCT item_id, split, label FROM item_patches WHERE split <> 'train'),
+z AS (SELECT dims, category, split, label, (score - avg(score) FILTER (WHERE split = 'validation') OVER w) / (stddev_pop(score) FILTER (WHERE split = 'validation') OVER w + 1e-8) AS z FROM s JOIN i USING (item_id) WINDOW w AS (PARTITION BY dims, category)),
+a AS (SELECT x.dims, x.category, avg(CASE WHEN x.z > y.z THEN 1.0::DOUBLE WHEN x.z = y.z THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END) AS auroc FROM z x JOIN z y ON x.dims = y.dims AND x.category = y.category WHERE x.split = 'test' AND y.split = 'test' AND x.label = 1 AND y.label = 0 GROUP BY ALL),
+t AS (SELECT dims, avg(auroc) AS mean_auroc, count(auroc) AS n_categories FROM a GROUP BY dims)
+SELECT dims, round(mean_auroc, 6) AS mean_auroc, n_categories, round(100 * mean_auroc / (SELECT mean_auroc FROM t WHERE dims = 64), 5) AS pct_of_full FROM t
+"""
+
+
+@query("m11_axis_study", fx.sql(AXIS_STUDY))
+def m11_axis_study(spark, sf):
+    """The same study on axes that are given, those of the coordinates."""
+
+    def given(bank):
+        m = mm.comoments(bank, ["category"], "features")
+        d = F.size("mean")
+        eye = F.transform(F.sequence(F.lit(0), d * d - 1), lambda i: (i % (d + 1) == 0).cast("double"))
+        return written(m.select("category", "n", "mean", eye.alias("axes")), "axes")
+
+    s = _study(fx.item_patches(spark, sf), given)[1]
+    return s.select("dims", F.round("mean_auroc", 6).alias("mean_auroc"), "n_categories", F.round("pct_of_full", 5).alias("pct_of_full"))
 
 
 @query("m12_component_probe")
 def m12_component_probe(spark, sf):
-    return mo.probe(fx.item_patches(spark, sf))
+    """Words and connected foreground parts of each item's own small fits."""
+    return mo.probe_counts(mo.probe(fx.item_patches(spark, sf)))
+
+
+@query("m12_probe_summary")
+def m12_probe_summary(spark, sf):
+    """Count, mean, least and greatest number of foreground parts by category and defect."""
+    p = fx.item_patches(spark, sf)
+    items = p.select("item_id", "category", "defect_type").distinct()
+    d = mo.probe_counts(mo.probe(p)).join(items.hint("merge"), "item_id")
+    return d.groupBy("category", "defect_type").agg(F.count("n_parts").alias("count"), F.avg("n_parts").alias("mean"), F.min("n_parts").alias("min"), F.max("n_parts").alias("max"))
 
 
 @query("m13_local_contrast", fx.sql("SELECT item_id, round(list_max(list_transform(grid, lambda x: abs(x - list_sum(grid) / 64))), 6) AS contrast FROM grids"))
@@ -232,6 +392,14 @@ def m13_local_contrast(spark, sf):
 EDGE = "(SELECT avg(abs(grid[p] - grid[p - 1])) FROM range(1, 65) AS u(p) WHERE (p - 1) % 8 <> 0) + (SELECT avg(abs(grid[p] - grid[p - 8])) FROM range(9, 65) AS u(p))"
 
 
+@query("m7_feature_mahalanobis", fx.sql("WITH " + ADJUGATE.strip().format(edge=EDGE)))
+def m7_feature_mahalanobis(spark, sf):
+    """Items by their mean, deviation and edge density, against those of the category's items of the first half of ten ids."""
+    f = ve.features_from(fx.grids(spark, sf), "grid_stats", "grid").select("item_id", "category", "features")
+    fit = mm.inverse_covariances(f.where("item_id % 10 < 5"), ["category"], "features")
+    return mm.mahalanobis(f, fit, ["category"], "features").select("item_id", "category", F.round("score", 5).alias("score"))
+
+
 @query("m14_feature_backends", fx.sql(f"SELECT item_id, 'grid_stats' AS feature_backend, round(list_sum(grid) / 64, 6) AS f0, round(list_stddev_pop(grid), 6) AS f1, round({EDGE}, 6) AS f2 FROM grids"))
 def m14_feature_backends(spark, sf):
     f = ve.features_from(fx.grids(spark, sf), "grid_stats", "grid")
@@ -355,7 +523,11 @@ def g13_connected_parts(spark, sf):
     return mo.connected_parts(cells.select("item_id", F.floor(F.col("p") / 8).cast("int").alias("i"), (F.col("p") % 8).cast("int").alias("j")))
 
 
-@query("e15_efficiency", fx.sql("SELECT category, least(60, count(*) FILTER (WHERE split = 'train')) AS memory_bank_size, max(len(features))::INT AS memory_feature_dim, count(DISTINCT item_id) FILTER (WHERE split <> 'train') AS n_items, count(*) FILTER (WHERE split <> 'train') AS n_patches FROM item_patches GROUP BY category"))
+E15 = fx.sql(f"SELECT category, least({CAP}, count(*) FILTER (WHERE split = 'train')) AS memory_bank_size, max(len(features))::INT AS memory_feature_dim, count(DISTINCT item_id) FILTER (WHERE split <> 'train') AS n_items, count(*) FILTER (WHERE split <> 'train') AS n_patches FROM item_patches GROUP BY category")
+
+
+@query("e15_efficiency_whole", E15)
+@query("e15_efficiency", E15)
 def e15_efficiency(spark, sf):
     """Bank sizes, dimensions and queries by category; wall time is the driver's to add."""
     p = fx.item_patches(spark, sf)
@@ -383,56 +555,3 @@ def e13_seeded_scoring(spark, sf):
     s = ve.nearest_blocks(q, p.where("split = 'train'").where(drawn), ["seed", "category"], ["vec_id", "item_id"])
     items = s.groupBy("seed", "category", "item_id", "label").agg(F.max("score").alias("score"))
     return ev.auroc(items, ["seed"]).select("seed", "n_good", "n_anomaly", F.round(F.col("auroc") + 1e-9, 5).alias("auroc"))
-
-
-# The queries above with CAP vectors a category, over banks with the reference's caps; tests hold them against brute force.
-
-
-def _scored(patches, k=1):
-    q = patches.select("category", "vec_id", "item_id", "features")
-    return lambda bank: ve.nearest_blocks(q, bank, ["category"], ["vec_id", "item_id"], k)
-
-
-@query("m1_nearest_whole")
-def m1_nearest_whole(spark, sf):
-    p = fx.item_patches(spark, sf)
-    return _scored(_queries(p))(_whole_bank(p)).select("vec_id", "category", F.round("score", 5).alias("score"))
-
-
-@query("m2_knn_blocks_whole")
-def m2_knn_blocks_whole(spark, sf):
-    p = fx.item_patches(spark, sf)
-    return _scored(_queries(p), 3)(_whole_bank(p)).select("vec_id", "category", F.round("score", 5).alias("score"))
-
-
-@query("m3_patch_memory_whole")
-def m3_patch_memory_whole(spark, sf):
-    p = fx.item_patches(spark, sf)
-    return tb.top_fraction(_scored(_queries(p), 3)(_whole_bank(p)), "item_id", "score", {"score": 0.05}).select("item_id", F.round("score", 5).alias("score"))
-
-
-@query("m4_region_memory_whole")
-def m4_region_memory_whole(spark, sf):
-    """Banks of all (category, region), each with its own cap, and the category's bank for regions that have none."""
-    p = fx.item_patches(spark, sf).withColumn("region", ve.region(F.col("i"), F.col("j"), 2, 2, 2))
-    q, ids = _queries(p).select("category", "region", "vec_id", "item_id", "features"), ["vec_id", "item_id"]
-    bank = _whole_bank(p, ("category", "region"), max(1000, WHOLE_CAP // 4))
-    fine = ve.nearest_blocks(q, bank, ["category", "region"], ids).select("vec_id", "item_id", "category", "score")
-    lone = q.join(F.broadcast(bank.select("category", "region").distinct()), ["category", "region"], "left_anti")  # five categories of four regions
-    rest = _scored(lone)(_whole_bank(p)).select("vec_id", "item_id", "category", "score")
-    both = fine.where("score is not null").unionByName(rest)
-    return tb.top_fraction(both, "item_id", "score", {"score": 0.05}).select("item_id", F.round("score", 5).alias("score"))
-
-
-@query("j9_nearest_in_key_whole")
-def j9_nearest_in_key_whole(spark, sf):
-    p = fx.item_patches(spark, sf)
-    n = _scored(p.where("split = 'test'"))(_whole_bank(p))
-    return n.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 5).alias("mean_score"))
-
-
-@query("e15_efficiency_whole")
-def e15_efficiency_whole(spark, sf):
-    p = fx.item_patches(spark, sf)
-    b = _whole_bank(p).groupBy("category").agg(F.count(F.lit(1)).alias("memory_bank_size"), F.max(F.size("features")).alias("memory_feature_dim"))
-    return b.join(_queries(p).groupBy("category").agg(F.count_distinct("item_id").alias("n_items"), F.count(F.lit(1)).alias("n_patches")), "category")

@@ -46,21 +46,52 @@ def test_whole_banks(spark, many):
     assert run("e15_efficiency_whole").set_index("category").memory_bank_size.to_dict() == p[p.split == "train"].groupby("category").size().to_dict()
 
 
-def test_pca_study_meets_the_whole_bank(spark, many, monkeypatch):
-    seen, blocks = [], ve.nearest_blocks
-    monkeypatch.setattr(ve, "nearest_blocks", lambda q, b, *a, **k: (seen.append(b.count()), blocks(q, b, *a, **k))[1])
-    registry.QUERIES["m11_pca_study"](spark, many)
-    assert seen == [500] * 4  # 8, 16, 32 and all 40 axes
+def unit(x):
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(n == 0, 1, n)
+
+
+def auroc(z, y):
+    a, g = z[y == 1], z[y == 0]
+    return np.mean((a[:, None] > g) + 0.5 * (a[:, None] == g)) if len(a) and len(g) else None
+
+
+def test_pca_study(spark, many):
+    """Axes, validation z and AUROC of each category, against NumPy."""
+    p = fx.item_patches(spark, many).toPandas()
+    want = {}
+    for c, own in p.groupby("category"):
+        bank = np.stack(own[own.split == "train"].features)
+        mean = bank.mean(0)
+        _, _, v = np.linalg.svd(bank - mean, full_matrices=False)
+        for k in (8, 16, 32, 40):
+            turn = (lambda x: unit(x)) if k == 40 else (lambda x, k=k: unit((x - mean) @ v[:k].T))
+            score, b = {}, turn(bank)
+            for i, rows in own[own.split != "train"].groupby("item_id"):
+                d = np.sqrt(((turn(np.stack(rows.features))[:, None] - b) ** 2).sum(2)).min(1)
+                top = np.sort(d)[-max(1, int(0.01 * len(d))) :].mean()
+                score[i] = (rows.split.iloc[0], rows.label.iloc[0], top)
+            val = np.array([s for w, _, s in score.values() if w == "validation"])
+            test = [(y, (s - val.mean()) / (val.std() + 1e-8)) for w, y, s in score.values() if w == "test"]
+            want[c, k] = auroc(np.array([z for _, z in test]), np.array([y for y, _ in test]))
+    own = registry.QUERIES["m11_pca_categories"](spark, many).toPandas()
+    assert {(r.category, r.dims): r.auroc for r in own.itertuples()} == pytest.approx(want)
+    got = registry.QUERIES["m11_pca_study"](spark, many).toPandas().set_index("dims")
+    mean = {k: np.mean([a for (_, d), a in want.items() if d == k]) for k in (8, 16, 32, 40)}
+    assert got.mean_auroc.to_dict() == pytest.approx(mean) and set(got.n_categories) == {5}
+    assert got.pct_of_full.to_dict() == pytest.approx({k: 100 * a / mean[40] for k, a in mean.items()})
 
 
 def test_pca_variance(spark, many):
     p = fx.item_patches(spark, many).where("split = 'train'").toPandas()
-    share = np.sort(np.linalg.eigvalsh(np.cov(np.stack(p.features).T)))[::-1]
-    share = share / share.sum()
     got = registry.QUERIES["m11_pca_variance"](spark, many).toPandas().sort_values("dims")
-    assert got.share.to_list() == pytest.approx(share.tolist())
-    for name, q in (("is_dims_90", 0.9), ("is_dims_95", 0.95)):
-        assert got[got[name]].dims.to_list() == [int(np.searchsorted(np.cumsum(share), q) + 1)]
+    for c, own in p.groupby("category"):
+        share = np.sort(np.linalg.eigvalsh(np.cov(np.stack(own.features).T)))[::-1]
+        share = share / share.sum()
+        g = got[got.category == c]
+        assert g.share.to_list() == pytest.approx(share.tolist(), abs=1e-9)
+        for name, q in (("is_dims_90", 0.9), ("is_dims_95", 0.95)):
+            assert g[g[name]].dims.to_list() == [int(np.searchsorted(np.cumsum(share), q) + 1)]
 
 
 def test_fitted_histograms(spark, many):
