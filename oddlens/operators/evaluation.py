@@ -10,12 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from oddlens.sources.shared import beside
+from oddlens.sources.shared import beside, written
 
 STEPS = 200
 SLICES = {"logical": "logical_anomalies", "structural": "structural_anomalies"}
-#: Ranges of score by which running sums are split, so that no task holds a whole slice.
-RANGES = 512
+#: Up to so many distinct scores of all slices, a slice is summed in one sorted window; beyond, ranges hold about so many each.
+FEW, RANGE_ROWS = 200_000, 100_000
 
 
 def with_slices(df: DataFrame, defect: str = "defect_type") -> DataFrame:
@@ -27,16 +27,20 @@ def with_slices(df: DataFrame, defect: str = "defect_type") -> DataFrame:
 
 
 def running(df: DataFrame, keys: list[str], by: str, sums: list[str]) -> DataFrame:
-    """df (keys, by, sums; one row for each keys and by): with before_x, the sum of x over rows of smaller `by`.
+    """df (keys, by, sums; one row for each keys and by): with before_x, the sum of x over rows of smaller `by`, and all_x, that of all rows of the keys.
 
-    Sums run in two levels: over RANGES ranges of `by`, and within each range.
+    Few rows are one window a key. Many are cut into ranges of equal counts by Spark's range partitioning of (keys, by), whatever the
+    scores' distribution; sums run over the ranges and within each of them. df is written first, so that it is computed once.
     """
-    edge = df.groupBy(*keys).agg(F.min(by).alias("_lo"), F.max(by).alias("_hi"))
-    at = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col(by) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * (RANGES - 1))).otherwise(F.lit(0)).cast("int")
-    d = df.join(beside(edge), keys).withColumn("_range", at).drop("_lo", "_hi")
+    d, whole = written(df, "running"), W.partitionBy(*keys)
+    inside = W.partitionBy(*keys).orderBy(by).rowsBetween(W.unboundedPreceding, -1)
+    n = d.count()
+    if n <= FEW:
+        return d.withColumns({f"before_{x}": F.coalesce(F.sum(x).over(inside), F.lit(0)) for x in sums} | {f"all_{x}": F.sum(x).over(whole) for x in sums})
+    d = written(d.repartitionByRange(n // RANGE_ROWS + 1, *keys, by).withColumn("_range", F.spark_partition_id()), "ranges")
     part = d.groupBy(*keys, "_range").agg(*[F.sum(x).alias(f"_s_{x}") for x in sums])
-    over = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    part = part.select(*keys, "_range", *[F.coalesce(F.sum(f"_s_{x}").over(over), F.lit(0)).alias(f"_b_{x}") for x in sums])
+    over = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # a row a range
+    part = part.select(*keys, "_range", *[F.coalesce(F.sum(f"_s_{x}").over(over), F.lit(0)).alias(f"_b_{x}") for x in sums], *[F.sum(f"_s_{x}").over(whole).alias(f"all_{x}") for x in sums])
     inside = W.partitionBy(*keys, "_range").orderBy(by).rowsBetween(W.unboundedPreceding, -1)
     d = d.join(beside(part), [*keys, "_range"])
     return d.withColumns({f"before_{x}": F.col(f"_b_{x}") + F.coalesce(F.sum(x).over(inside), F.lit(0)) for x in sums}).drop("_range", *[f"_b_{x}" for x in sums])
@@ -107,11 +111,11 @@ def leaderboard(metrics: DataFrame, value: str = "auroc") -> DataFrame:
 def quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float]) -> DataFrame:
     """The exact quantiles (linear) of each group by name, from running counts of distinct values; no task holds a group."""
     n = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    r = running(n, keys, value, ["n"]).join(beside(n.groupBy(*keys).agg(F.sum("n").alias("_all"))), keys)
+    r = running(n, keys, value, ["n"])
     holds = lambda place: (F.col("before_n") <= place) & (F.col("before_n") + F.col("n") > place)
     out = []
     for name, q in qs.items():
-        at = (F.col("_all") - 1) * F.lit(q)
+        at = (F.col("all_n") - 1) * F.lit(q)
         lo, hi = F.max(F.when(holds(F.floor(at)), F.col(value))), F.max(F.when(holds(F.ceil(at)), F.col(value)))
         out.append((lo + (hi - lo) * F.max(at - F.floor(at))).alias(name))
     return r.groupBy(*keys).agg(*out)

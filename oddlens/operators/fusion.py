@@ -28,10 +28,9 @@ def zscore(scores: DataFrame, keys: list[str], ddof: int = 1) -> DataFrame:
 def rank_percent(scores: DataFrame, keys: list[str]) -> DataFrame:
     """scores with pct: rank / n with average ranks on ties. Ranks come from counts of distinct scores, not from one sorted task."""
     n = scores.where("score is not null").groupBy(*keys, "score").agg(F.count(F.lit(1)).alias("n"))
-    total = n.groupBy(*keys).agg(F.sum("n").alias("_all"))
-    r = running(n, keys, "score", ["n"]).join(beside(total), keys)
-    r = r.select(*keys, "score", ((F.col("before_n") + (F.col("n") + 1) / 2.0) / F.col("_all")).alias("pct"))
-    return scores.join(beside(r), [*keys, "score"])  # few distinct scores may be hot keys
+    r = running(n, keys, "score", ["n"])
+    r = r.select(*keys, "score", ((F.col("before_n") + (F.col("n") + 1) / 2.0) / F.col("all_n")).alias("pct"))
+    return scores.join(beside(r), [*keys, "score"])  # a row of r a score: a score that many rows share is split as a skewed join
 
 
 def branch_matrix(scores: DataFrame, methods: list[str], value: str = "score") -> DataFrame:
@@ -43,12 +42,11 @@ def branch_matrix(scores: DataFrame, methods: list[str], value: str = "score") -
 def fused(scores: DataFrame, methods: list[str], keys: list[str], ddof: int = 1, weights: dict[str, float] | None = None) -> DataFrame:
     """Long rows (method, item, score) of mean, max, rank and weighted fusion over items that every method scored."""
     s = scores.where(F.col("method").isin(methods))
-    z = zscore(s, keys, ddof)
-    pct = rank_percent(s.where("split in ('validation', 'test')"), keys).select("item_id", "method", "pct")
+    z = zscore(s, keys, ddof).where("split in ('validation', 'test')")
+    d = rank_percent(z, keys)
     w = weights or dict.fromkeys(methods, 1.0)
     total = sum(w.values())
     weight = F.element_at(F.create_map(*[F.lit(x) for m in methods for x in (m, w[m] / total)]), F.col("method"))
-    d = z.where("split in ('validation', 'test')").join(pct, ["item_id", "method"])
     one = d.groupBy(*ITEM).agg(F.avg("z").alias("fusion_mean"), F.max("z").alias("fusion_max"), F.avg("pct").alias("fusion_rank"), F.sum(F.col("z") * weight).alias("fusion_weighted"), F.count(F.lit(1)).alias("_n"))
     names = ["fusion_mean", "fusion_max", "fusion_rank", "fusion_weighted"]
     return one.where(F.col("_n") == len(methods)).drop("_n").unpivot(ITEM, names, "method", "score").select("method", *ITEM, "score")

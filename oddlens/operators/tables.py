@@ -91,8 +91,8 @@ def representatives(scores: DataFrame) -> DataFrame:
     by = ["category", "defect_type"]
     d = scores.where("score is not null").withColumn("_key", F.when(F.col("defect_type") == "good", F.col("score")).otherwise(-F.col("score")))
     n = d.groupBy(*by, "_key").agg(F.count(F.lit(1)).alias("n"))
-    r = running(n, by, "_key", ["n"]).join(beside(n.groupBy(*by).agg(F.sum("n").alias("_all"))), by)
-    want = F.when(F.col("defect_type") == "good", F.lit(0)).otherwise(F.floor(F.col("_all") / 2)) - F.col("before_n")
+    r = running(n, by, "_key", ["n"])
+    want = F.when(F.col("defect_type") == "good", F.lit(0)).otherwise(F.floor(F.col("all_n") / 2)) - F.col("before_n")
     at = r.withColumn("_place", want).where((F.col("_place") >= 0) & (F.col("_place") < F.col("n"))).select(*by, "_key", "_place")
     rn = F.row_number().over(W.partitionBy(*by).orderBy("item_id")) - 1
     return d.join(beside(at), [*by, "_key"]).withColumn("_rn", rn).where(F.col("_rn") == F.col("_place")).drop("_key", "_place", "_rn")

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from oddlens.operators import evaluation as ev
 from oddlens.operators import tables as tb
@@ -28,3 +29,23 @@ def test_representatives(spark):
     df = spark.createDataFrame([*rows, (999, "a", "good", None)], "item_id long, category string, defect_type string, score double")
     assert {(r["category"], r["defect_type"], r["item_id"]) for r in tb.representatives(df).collect()} == want
     assert tb.representatives(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("few", [10**6, 0])
+def test_running_sums_in_ranges_of_equal_counts(spark, few, monkeypatch):
+    """Outliers do not gather the other scores in one range, and a key of most rows has most of the ranges."""
+    monkeypatch.setattr(ev, "FEW", few)
+    monkeypatch.setattr(ev, "RANGE_ROWS", 250)
+    rng = np.random.default_rng(0)
+    x = np.unique(np.append(rng.normal(size=9000), [1e12, -1e12]))
+    rows = [("hot", float(v), i % 3) for i, v in enumerate(x)] + [("cold", float(v), 1) for v in range(40)]
+    seen, merged = [], ev.beside
+    monkeypatch.setattr(ev, "beside", lambda d: (seen.append(d.count()), merged(d))[1])
+    r = ev.running(spark.createDataFrame(rows, "k string, s double, n bigint"), ["k"], "s", ["n"]).toPandas()
+    for key, own in r.groupby("k"):
+        own = own.sort_values("s")
+        assert own.before_n.tolist() == (own.n.cumsum() - own.n).tolist() and set(own.all_n) == {own.n.sum()}
+        assert len(own) == (len(x) if key == "hot" else 40)
+    if not few:
+        ranges = spark.createDataFrame(rows, "k string, s double, n bigint").repartitionByRange(37, "k", "s").groupBy(F.spark_partition_id()).count().toPandas()["count"]
+        assert ranges.max() <= 4 * ranges.median() and 30 <= seen[0] <= 40
