@@ -102,6 +102,16 @@ def macro(metrics: DataFrame, value: str = "auroc") -> DataFrame:
     return metrics.groupBy("method", "anomaly_type").agg(F.avg(value).alias(f"mean_{value}"), F.count_distinct("category").alias("n_categories"))
 
 
+def summary(metrics: DataFrame, runtime: DataFrame) -> DataFrame:
+    """Means over categories of AUROC and best F1 by method and anomaly type, with the method's mean latency and summed bank size.
+
+    runtime: method, category, time_ms_per_image, memory_bank_size; methods without runtime rows have nulls there.
+    """
+    m = metrics.groupBy("method", "anomaly_type").agg(F.avg("auroc").alias("mean_auroc"), F.avg("f1_max").alias("mean_f1_max"), F.count_distinct("category").alias("n_categories"))
+    r = runtime.groupBy("method").agg(F.avg("time_ms_per_image").alias("mean_time_ms_per_image"), F.sum("memory_bank_size").alias("memory_bank_size"))
+    return m.join(beside(r), "method", "left")
+
+
 def leaderboard(metrics: DataFrame, value: str = "auroc") -> DataFrame:
     """A row for each method: macro means as columns logical, overall and structural; mean_auroc is the mean of logical and structural."""
     m = macro(metrics, value).groupBy("method").pivot("anomaly_type", ["logical", "overall", "structural"]).agg(F.first(f"mean_{value}"))

@@ -291,10 +291,47 @@ def probe_counts(cells: DataFrame) -> DataFrame:
     return n.join(parts.hint("merge"), "item_id", "left").withColumn("n_parts", F.coalesce("n_parts", F.lit(0)))
 
 
+#: Cells up to which an item's parts are found in one task.
+CELLS = 20_000
+
+
 def connected_parts(cells: DataFrame) -> DataFrame:
-    """cells (item_id, i, j): rows (item_id, n_parts) of 4-connected parts.
+    """cells (item_id, i, j): rows (item_id, n_parts) of 4-connected parts. Cells given twice count once.
+
+    An item of at most CELLS different cells is one row, whose parts are found in its task; larger ones go by rounds of joins.
+    """
+    once = written(cells.select("item_id", "i", "j").distinct(), "cells")
+    n = written(once.groupBy("item_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > CELLS), "large")
+    if n.isEmpty():
+        return _parts_of_bags(once)
+    large = beside(n.select("item_id"))
+    return _parts_of_bags(once.join(large, "item_id", "left_anti")).unionByName(_parts_by_rounds(once.join(large, "item_id", "left_semi")))
+
+
+def _parts_of_bags(cells: DataFrame) -> DataFrame:
+    bag = cells.groupBy("item_id").agg(F.collect_list(F.struct("i", "j")).alias("c"))
+
+    def count(batches):
+        for b in batches:
+            yield pd.DataFrame({"item_id": b["item_id"], "n_parts": [_n_parts({(r["i"], r["j"]) for r in c}) for c in b["c"]]})
+
+    return bag.mapInPandas(count, f"{types(cells, ['item_id'])}, n_parts bigint")
+
+
+def _n_parts(open_: set[tuple[int, int]]) -> int:
+    n = 0
+    while open_:
+        n, edge = n + 1, [open_.pop()]
+        while edge:
+            i, j = edge.pop()
+            near = open_ & {(i + 1, j), (i - 1, j), (i, j + 1), (i, j - 1)}
+            open_ -= near
+            edge += near
+    return n
+
 
-    A cell's label is a cell of its part: every round takes the least label of its neighbours, and then that cell's own
+def _parts_by_rounds(cells: DataFrame) -> DataFrame:
+    """A cell's label is a cell of its part: every round takes the least label of its neighbours, and then that cell's own
     label, which shortens long ways by half; it ends when no label changes.
     """
     cell = F.shiftleft(F.col("i").cast("long"), 32) + F.col("j")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from oddlens.operators.evaluation import quantiles, running
-from oddlens.sources.shared import beside
+from oddlens.sources.shared import beside, written
 
 
 def draw_order(key: Column, seed: int) -> Column:
@@ -75,6 +77,35 @@ def average_hash(grid: Column) -> Column:
     return F.lower(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(15)), nibble), ""))
 
 
+def near_hashes(hashes: DataFrame, radius: int = 3, bucket: int = 256) -> DataFrame:
+    """Pairs (hash_a, hash_b, distance) of different hashes (16 hex digits, each once) that differ in at most `radius` of 64 bits, hash_a the lesser.
+
+    Two such hashes agree in one of radius + 1 bands of their bits, so hashes meet in the buckets of equal bands. A bucket of more than
+    `bucket` hashes is not compared: as its hashes differ in the remaining bits only, it is cut again into the buckets of radius + 1 bands of
+    those, and so on, until every bucket is small or no bits remain.
+    """
+    bits = F.lpad(F.conv("hash", 16, 2), 64, "0")
+    open_ = hashes.select("hash", bits.alias("rest"), F.lit("").alias("key"))
+    n, pairs = F.lit(radius + 1), []
+    for _ in range(64):
+        cut = open_.select("*", F.explode(F.sequence(F.lit(0), n - 1)).alias("b"))
+        lo, hi = (F.floor(F.length("rest") * (F.col("b") + x) / n).cast("int") for x in (0, 1))
+        band = F.substring(F.col("rest"), lo + 1, hi - lo)
+        rest = F.concat(F.substring(F.col("rest"), F.lit(1), lo), F.substring(F.col("rest"), hi + 1, F.length("rest") - hi))
+        cut = written(cut.select("hash", rest.alias("rest"), F.concat("key", F.lit("/"), F.col("b").cast("string"), F.lit(":"), band).alias("key")), "bands")
+        size = written(cut.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "buckets")
+        few = cut.join(size.where(F.col("_n") <= bucket).hint("merge"), "key").select("key", "hash")
+        d = few.withColumnRenamed("hash", "hash_a").join(few.withColumnRenamed("hash", "hash_b").hint("merge"), "key").where("hash_a < hash_b")
+        number = lambda c: F.conv(c, 16, -10).cast("bigint")
+        d = d.withColumn("distance", F.bit_count(number("hash_a").bitwiseXOR(number("hash_b")))).where(F.col("distance") <= radius)
+        pairs.append(d.select("hash_a", "hash_b", "distance"))
+        large = size.where(F.col("_n") > bucket)
+        if large.isEmpty():
+            break
+        open_ = cut.join(large.select("key").hint("merge"), "key")
+    return reduce(DataFrame.unionByName, pairs).distinct()
+
+
 def describe(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """count, mean, std (n - 1), min, quartiles (linear) and max by group."""
     qs = {"p25": 0.25, "p50": 0.5, "p75": 0.75}

@@ -106,6 +106,19 @@ def a5_macro_average(spark, sf):
     return ev.macro(ev.auroc(s, ["method", "category", "anomaly_type"])).select("method", "anomaly_type", *r6("mean_auroc"), "n_categories")
 
 
+RUNTIME = "rt AS (SELECT method, category, count(*) / 1000.0::DOUBLE AS ms, count(*) FILTER (WHERE split = 'train') AS bank FROM event_scores GROUP BY method, category)"
+SUMMARY = f"{PER}, {SWEEP.format(k=K3, kt=K3, t='sliced').strip()}, {RUNTIME}, m AS (SELECT method, anomaly_type, avg(auroc) AS a, avg(f1_max) AS f, count(DISTINCT category) AS n_categories FROM auc JOIN best USING ({K3}) GROUP BY method, anomaly_type), r AS (SELECT method, avg(ms) AS ms, sum(bank)::BIGINT AS bank FROM rt GROUP BY method)"
+
+
+@query("a5_summary", fx.sql(f"{SUMMARY} SELECT method, anomaly_type, round(a + 1e-9, 6) AS mean_auroc, round(f + 1e-9, 6) AS mean_f1_max, n_categories, round(ms, 6) AS mean_time_ms_per_image, bank AS memory_bank_size FROM m LEFT JOIN r USING (method)"))
+def a5_summary(spark, sf):
+    """Means over categories with the mean latency and the summed bank size of each method; rows and training rows stand for both here."""
+    s = _scores(spark, sf)
+    runtime = s.groupBy("method", "category").agg((F.count(F.lit(1)) / 1000.0).alias("time_ms_per_image"), F.count_if(F.col("split") == "train").alias("memory_bank_size"))
+    d = ev.summary(ev.per_category(s), runtime)
+    return d.select("method", "anomaly_type", *r6("mean_auroc", "mean_f1_max"), "n_categories", F.round("mean_time_ms_per_image", 6).alias("mean_time_ms_per_image"), "memory_bank_size")
+
+
 @query("a6_pivot_board", fx.sql(f"{PER}, {BOARD}, {PIV} SELECT method, round(logical + 1e-9, 6) AS logical, round(overall + 1e-9, 6) AS overall, round(structural + 1e-9, 6) AS structural, round((logical + structural) / 2 + 1e-9, 6) AS mean_auroc FROM piv"))
 def a6_pivot_board(spark, sf):
     s = ev.with_slices(_scores(spark, sf).where("split = 'test'"))

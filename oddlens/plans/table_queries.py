@@ -12,7 +12,7 @@ from oddlens.operators import tables as tb
 from oddlens.plans import fixtures as fx
 from oddlens.plans.registry import query
 from oddlens.sources import files
-from oddlens.sources.shared import fresh
+from oddlens.sources.shared import fresh, written
 
 T = fx.table
 
@@ -32,6 +32,17 @@ def s1_item_scan(spark, sf):
     return page_paths(spark, sf).where(F.endswith("path", F.lit(".html"))).select("page_id", "path", F.octet_length("html").cast("long").alias("length"))
 
 
+@query("s1_binary_scan", f"SELECT coalesce(split_part(path, '/', 1), '') AS section, sum(octet_length(encode(coalesce(html, ''))) + 1)::BIGINT AS n_bytes FROM (SELECT html, {PATH} AS path FROM pages) GROUP BY 1")
+def s1_binary_scan(spark, sf):
+    """The pages of each host written as files in a folder of its own, and their bytes by a recursive scan of file names and lengths; no content is read."""
+    path = fresh(spark, "pages")
+    p = page_paths(spark, sf).select(F.coalesce("html", F.lit("")).alias("value"), F.coalesce(F.split("path", "/")[0], F.lit("")).alias("section"))
+    p.write.partitionBy("section").text(path)
+    section = F.url_decode(F.regexp_extract("path", "/section=([^/]*)/", 1))
+    section = F.when(section == "__HIVE_DEFAULT_PARTITION__", "").otherwise(section)
+    return files.file_scan(spark, path, "*.txt").groupBy(section.alias("section")).agg(F.sum("length").alias("n_bytes"))
+
+
 @query("s2_optional_scan", "SELECT source AS method, count(*) AS n, CAST(NULL AS DOUBLE) AS auroc FROM documents GROUP BY source")
 def s2_optional_scan(spark, sf):
     """A left join with a result file that may not be there."""
@@ -120,7 +131,7 @@ def p8_equal_hashes(spark, sf):
     return h.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("item_id").alias("first_item")).where("n > 1")
 
 
-@query("p8_hash_classes")
+@query("p8_hash_classes", fx.sql(f"WITH {HASH} SELECT item_id, hash, min(item_id) OVER w AS class_id, count(*) OVER w AS n FROM hs WINDOW w AS (PARTITION BY hash)"))
 def p8_hash_classes(spark, sf):
     """Every item with its whole hash, the class of the items with an equal one (their least id) and the size of the class."""
     h = fx.grids(spark, sf).select("item_id", tb.average_hash(F.col("grid")).alias("hash"))
@@ -128,16 +139,14 @@ def p8_hash_classes(spark, sf):
     return h.join(c, "hash").select("item_id", "hash", "class_id", "n")
 
 
-@query("p8_near_hashes")
+NEAR = f"WITH {HASH}, d AS (SELECT DISTINCT hash, ('0x' || hash)::UBIGINT AS x FROM hs), p AS (SELECT a.hash AS hash_a, b.hash AS hash_b, bit_count(xor(a.x, b.x))::INT AS distance FROM d a JOIN d b ON a.hash < b.hash) SELECT d.hash AS hash_a, hash_b, distance FROM d LEFT JOIN p ON d.hash = hash_a AND distance <= 3"
+
+
+@query("p8_near_hashes", fx.sql(NEAR))
 def p8_near_hashes(spark, sf):
-    """Pairs of distinct hashes that differ in at most 3 of 64 bits, one of whose four bands of 16 bits is then equal; hash_b is null beside a hash that is least of no pair."""
-    h = fx.grids(spark, sf).select(tb.average_hash(F.col("grid")).alias("hash")).distinct()
-    bands = F.array(*[F.substring("hash", 4 * k + 1, 4) for k in range(4)])
-    k = h.select("hash", F.conv("hash", 16, -10).cast("bigint").alias("bits"), F.posexplode(bands).alias("band", "key"))
-    a, b = (k.select("band", "key", F.col("hash").alias(f"hash_{x}"), F.col("bits").alias(x)) for x in "ab")
-    d = a.join(b, ["band", "key"]).where("hash_a < hash_b").withColumn("distance", F.bit_count(F.col("a").bitwiseXOR(F.col("b"))))
-    pairs = d.where("distance <= 3").select("hash_a", "hash_b", "distance").distinct()
-    return h.select(F.col("hash").alias("hash_a")).join(pairs, "hash_a", "left")
+    """Pairs of distinct hashes that differ in at most 3 of 64 bits; hash_b is null beside a hash that is least of no pair."""
+    h = written(fx.grids(spark, sf).select(tb.average_hash(F.col("grid")).alias("hash")).distinct(), "hashes")
+    return h.select(F.col("hash").alias("hash_a")).join(tb.near_hashes(h).hint("merge"), "hash_a", "left")
 
 
 @query("p9_error_rows", "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS INT) AS k, json_extract_string(props, '$.k') IS NULL OR TRY_CAST(json_extract_string(props, '$.k') AS INT) IS NULL AS corrupted FROM events")

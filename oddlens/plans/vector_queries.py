@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -535,6 +536,54 @@ def e15_efficiency(spark, sf):
     return b.join(_queries(p).groupBy("category").agg(F.count_distinct("item_id").alias("n_items"), F.count(F.lit(1)).alias("n_patches")), "category")
 
 
+@query("e15_method_table")
+def e15_method_table(spark, sf):
+    """Milliseconds an item, bank size and dimensions by method: each method's scores are written, and the driver's clock is read around that."""
+    p = written(fx.item_patches(spark, sf), "patches")
+    bank = _bank(p).agg(F.count(F.lit(1)), F.max(F.size("features"))).first()
+    n_items = _queries(p).select("item_id").distinct().count()
+    top = lambda s, share: tb.top_fraction(s, "item_id", "score", {"score": share})
+    one = _queries(p).select("vec_id", "item_id", "features")
+    regions = p.where("split = 'train'").select("category", ve.region(F.col("i"), F.col("j"), 2, 2, 6)).distinct().count()
+    runs = {
+        "nearest_memory": (lambda: top(_search(p)[0], 0.01), bank[0], None),
+        "patch_memory": (lambda: top(_scored(_queries(p), 3)(_bank(p)), 0.05), bank[0], None),
+        "region_memory": (lambda: _region_scores(p, (6,)), bank[0], regions),
+        "global_memory": (lambda: top(ve.nearest_pruned(one, _bank(p, (), GLOBAL_CAP), [], ["vec_id", "item_id"])[0], 0.05), min(bank[0], GLOBAL_CAP), None),
+    }
+    out = []
+    for name, (run, size, region_memories) in runs.items():
+        began = time.perf_counter()
+        written(run(), "scores")
+        d = spark.createDataFrame([(name, (time.perf_counter() - began) * 1000 / max(1, n_items), size, bank[1])], "method string, time_ms_per_image double, memory_bank_size long, memory_feature_dim int")
+        out.append(d.withColumn("region_memories", F.lit(region_memories).cast("long")) if region_memories else d)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), out)
+
+
+TOPS = {"top1": 0.01, "top5": 0.05, "top10": 0.10, "mean": "mean", "max": "max"}
+STABILITY = f"""
+WITH cand AS ({_region_sql(REGIONS).strip()}),
+x AS (SELECT 'region_size' AS source, region_size::VARCHAR AS candidate, region_size = 6 AS selected, item_id, score FROM cand
+  UNION ALL SELECT 'topk', candidate, candidate = 'top5', item_id, score FROM (
+    WITH {{bank}}, {{nn}}, r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC) AS rn, count(*) OVER (PARTITION BY item_id) AS n FROM nn)
+    SELECT item_id, unnest([{", ".join(f"'{k}'" for k in TOPS)}]) AS candidate, unnest([{", ".join(f"avg(score) FILTER (WHERE rn <= greatest(1, ceil(n * {v}::DOUBLE)))" if isinstance(v, float) else ("avg(score)" if v == "mean" else "max(score)") for v in TOPS.values())}]) AS score FROM r GROUP BY item_id)),
+i AS (SELECT DISTINCT item_id FROM item_patches WHERE split = 'validation')
+SELECT source, candidate, selected, 'validation_good_stability' AS selection_basis, count(*) AS n_items, round(avg(score) + 1e-9, 4) AS score_mean, round(stddev_pop(score) + 1e-9, 4) AS score_std FROM x JOIN i USING (item_id) GROUP BY source, candidate, selected
+"""
+
+
+@query("e14_candidates", fx.sql(STABILITY.format(bank=BANK, nn=NN)))
+def e14_candidates(spark, sf):
+    """The registry of the ablations of region sizes and top fractions: every candidate with the mean and deviation of its validation scores, and which is selected."""
+    p = written(fx.item_patches(spark, sf), "patches")
+    region = _region_scores(p, REGIONS).select(F.lit("region_size").alias("source"), F.col("region_size").cast("string").alias("candidate"), (F.col("region_size") == 6).alias("selected"), "item_id", "score")
+    tops = tb.top_fraction(_search(p)[0], "item_id", "score", TOPS).unpivot("item_id", list(TOPS), "candidate", "score")
+    tops = tops.select(F.lit("topk").alias("source"), "candidate", (F.col("candidate") == "top5").alias("selected"), "item_id", "score")
+    good = p.where("split = 'validation'").select("item_id").distinct()
+    d = region.unionByName(tops).join(good.hint("merge"), "item_id").groupBy("source", "candidate", "selected")
+    return d.agg(F.count(F.lit(1)).alias("n_items"), F.round(F.avg("score") + 1e-9, 4).alias("score_mean"), F.round(F.stddev_pop("score") + 1e-9, 4).alias("score_std")).withColumn("selection_basis", F.lit("validation_good_stability"))
+
+
 SEEDS = (42, 7, 2026)
 SEEDED = f"""
 WITH draw AS (SELECT seed, category, features FROM item_patches, (VALUES {", ".join(f"({s})" for s in SEEDS)}) AS s(seed) WHERE split = 'train' AND substr(md5(vec_id || '#' || seed), 1, 1) < '8'),

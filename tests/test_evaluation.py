@@ -196,10 +196,12 @@ def test_files(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "out")).count() == 1
 
 
-def test_connected_parts_of_long_ways(spark):
+@pytest.mark.parametrize("cells_of_a_task", [20_000, 170])
+def test_connected_parts_of_long_ways(spark, cells_of_a_task, monkeypatch):
     """A spiral of over 200 cells is one part, and so are cells given twice; a far cell is another."""
     from oddlens.operators.models import connected_parts
 
+    monkeypatch.setattr(mo, "CELLS", cells_of_a_task)
     at, step, cells, seen = (0, 0), (0, 1), [], set()
     for length in range(28, 0, -2):
         for _ in range(2):
