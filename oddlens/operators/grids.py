@@ -42,16 +42,54 @@ def letterbox(w: Column, h: Column, size: int) -> dict[str, Column]:
     return {"scale": s, "resized_w": rw, "resized_h": rh, "pad_left": left, "pad_right": size - rw - left, "pad_top": top, "pad_bottom": size - rh - top}
 
 
+def _block(pos: Column, side: int, g: int) -> Column:
+    """The block of a row or column; the last one takes the rest."""
+    return F.least(F.lit(g - 1), F.floor(pos / side)).cast("int")
+
+
+def _inner_edges(a: Column, w: int, h: int, g: int) -> tuple[Column, Column]:
+    """|difference to the left| and |difference to the cell above| by cell, null across blocks. Arrays, so that no cell carries its grid along."""
+
+    def left(x: Column, p: Column) -> Column:
+        c = p % w
+        return F.when((c > 0) & (_block(c - 1, w // g, g) == _block(c, w // g, g)), F.abs(x - F.get(a, p - 1)))
+
+    def above(x: Column, p: Column) -> Column:
+        r = F.floor(p / w)
+        return F.when((r > 0) & (_block(r - 1, h // g, g) == _block(r, h // g, g)), F.abs(x - F.get(a, (p - w).cast("int"))))
+
+    return F.transform(a, left), F.transform(a, above)
+
+
+def _edge() -> Column:
+    return F.coalesce(F.avg("dx"), F.lit(0.0)) + F.coalesce(F.avg("dy"), F.lit(0.0))
+
+
 def block_statistics(df: DataFrame, column: str, w: int, g: int) -> DataFrame:
     """Rows (item_id, block, mean, std, edge) of g x g blocks of a w x w grid; the last row and column take the rest. Edges are inside blocks."""
-    side = w // g
-    d = df.select("item_id", F.col(column).alias("_a"), F.posexplode(column).alias("pos", "x"))
-    r, c = F.floor(F.col("pos") / w), F.col("pos") % w
-    at = lambda v: F.least(F.lit(g - 1), F.floor(v / side))
-    d = d.withColumns({"block": (at(r) * g + at(c)).cast("int"), "r": r, "c": c})
-    dx = F.when((F.col("c") > 0) & (at(F.col("c") - 1) == at(F.col("c"))), F.abs(F.col("x") - F.get("_a", F.col("pos") - 1)))
-    dy = F.when((F.col("r") > 0) & (at(F.col("r") - 1) == at(F.col("r"))), F.abs(F.col("x") - F.get("_a", F.col("pos") - w)))
-    return d.groupBy("item_id", "block").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), (F.coalesce(F.avg(dx), F.lit(0.0)) + F.coalesce(F.avg(dy), F.lit(0.0))).alias("edge"))
+    dx, dy = _inner_edges(F.col(column), w, w, g)
+    d = df.select("item_id", F.posexplode(F.arrays_zip(F.col(column).alias("x"), dx.alias("dx"), dy.alias("dy"))).alias("pos", "c")).select("item_id", "pos", "c.*")
+    d = d.withColumn("block", _block(F.floor(F.col("pos") / w), w // g, g) * g + _block(F.col("pos") % w, w // g, g))
+    return d.groupBy("item_id", "block").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), _edge().alias("edge"))
+
+
+#: Weights of red, green and blue in gray (fixed values).
+GRAY = (0.299, 0.587, 0.114)
+
+
+def patch_features(df: DataFrame, channels: list[str], w: int, h: int, g: int, xy: bool = False) -> DataFrame:
+    """Rows (item_id, i, j, features) of the g x g blocks of items with three w x h channels in [0, 1], row by row: the channels' means, their
+    population deviations, the edge density of the gray block, and with xy the block's place from 0 to 1. The last row and column take the rest.
+    """
+    gray = F.transform(F.arrays_zip(*channels), lambda c: sum((c[n] * k for n, k in zip(channels, GRAY, strict=True)), F.lit(0.0)))
+    dx, dy = _inner_edges(F.col("_gray"), w, h, g)
+    cells = F.arrays_zip(*channels, dx.alias("dx"), dy.alias("dy"))
+    d = df.withColumn("_gray", gray).select("item_id", F.posexplode(cells).alias("pos", "c")).select("item_id", "pos", "c.*")
+    d = d.withColumns({"i": _block(F.floor(F.col("pos") / w), h // g, g), "j": _block(F.col("pos") % w, w // g, g)})
+    f = F.array(*[F.avg(c) for c in channels], *[F.stddev_pop(c) for c in channels], _edge())
+    d = d.groupBy("item_id", "i", "j").agg(f.alias("features"))
+    place = [F.col(c) / float(max(1, g - 1)) for c in ("i", "j")]
+    return d.withColumn("features", F.concat("features", F.array(*place))) if xy else d
 
 
 def position_moments(df: DataFrame, column: str, by: list[str]) -> DataFrame:

@@ -462,6 +462,24 @@ def g5_block_statistics(spark, sf):
     return b.select("item_id", "block", *[F.round(c, 6).alias(c) for c in ("mean", "std", "edge")])
 
 
+RGB = "(0.299::DOUBLE * grid[{p} + 1] + 0.587::DOUBLE * grid[{p} + 21] + 0.114::DOUBLE * grid[{p} + 41])"
+PATCH = f"""
+WITH c AS (SELECT item_id, least(1, p // 5 // 2) AS i, least(1, p % 5 // 2) AS j, grid[p + 1] AS a, grid[p + 21] AS b, grid[p + 41] AS d,
+  CASE WHEN p % 5 > 0 AND least(1, (p % 5 - 1) // 2) = least(1, p % 5 // 2) THEN abs({RGB.format(p="p")} - {RGB.format(p="(p - 1)")}) END AS dx,
+  CASE WHEN p // 5 > 0 AND least(1, (p // 5 - 1) // 2) = least(1, p // 5 // 2) THEN abs({RGB.format(p="p")} - {RGB.format(p="(p - 5)")}) END AS dy FROM grids, range(20) AS u(p))
+SELECT item_id, i::INT AS i, j::INT AS j, round(avg(a), 6) AS f0, round(avg(b), 6) AS f1, round(avg(d), 6) AS f2, round(stddev_pop(a), 6) AS f3, round(stddev_pop(b), 6) AS f4, round(stddev_pop(d), 6) AS f5,
+  round(coalesce(avg(dx), 0) + coalesce(avg(dy), 0), 6) AS f6, i::DOUBLE AS f7, j::DOUBLE AS f8 FROM c GROUP BY item_id, i, j
+"""
+
+
+@query("g5_patch_features", fx.sql(PATCH))
+def g5_patch_features(spark, sf):
+    """Statistics of 2 x 2 blocks of three channels of 5 x 4 cells, with the blocks' places."""
+    g = fx.grids(spark, sf).select("item_id", *[F.slice("grid", 20 * k + 1, 20).alias(c) for k, c in enumerate("rgb")])
+    f = gr.patch_features(g, ["r", "g", "b"], 5, 4, 2, xy=True)
+    return f.select("item_id", "i", "j", *[F.round(F.get("features", F.lit(k)), 6).alias(f"f{k}") for k in range(9)])
+
+
 @query("g6_position_moments", fx.sql("SELECT category, p AS pos, round(avg(grid[p + 1]), 6) AS mean, round(var_pop(grid[p + 1]), 6) AS var FROM grids, range(64) AS u(p) GROUP BY category, p"))
 def g6_position_moments(spark, sf):
     return gr.position_moments(fx.grids(spark, sf), "grid", ["category"]).select("category", "pos", F.round("mean", 6).alias("mean"), F.round("var", 6).alias("var"))
