@@ -2,15 +2,17 @@
 
 The page is cut into blocks at block-level tags. Menus, page headers, footers, sidebars, scripts and styles are left out
 by tag or role. A class or id makes its element a suspect: a sure one if a whole name, or every word of it, is an
-unwanted word (`sidebar`, `cookie-notice`), a likely one if a word of it is (`search-result`), none after words that turn
-it (`has-sidebar`, `ad-free`). Sure suspects and forms go, but where no article lies outside them, those that hold the article
-stay. Likely ones go unless they hold an article or half of the page's text.
-
-Pass 1 decides blocks by themselves: many links make a block bad; a long block with many stop words is good. Short
-blocks, and long ones with few stop words, stay open. In pass 2 an open block takes the label of the nearest decided
-block; good wins at equal distance. Where the page marks its article (article, main, role=main, articleBody), only
-blocks inside are looked at. On pages without a good block, open blocks are good: so texts in languages without known
-stop words, or of a few short sentences, stay.
+unwanted word (`sidebar`, `cookie-notice`), a likely one if a word of it is (`search-result`) or if the name tells of a
+tool that may also hold the text (`search`, `share`), none after words that turn it (`has-sidebar`, `ad-free`). Sure suspects
+and forms go, but where no article lies outside them, those that hold the article stay. Likely ones go unless they hold
+an article or half of the page's text, or are one paragraph that is good by itself.
+
+Pass 1 decides blocks by themselves: many links make a block bad; a long block with many stop words is good; a notice about
+cookies at the edge of a page is bad. Short blocks, and long ones with few stop words, stay open. In pass 2 an open block
+takes the label of the nearest decided block; good wins at equal distance. Where the page marks its article (article, main,
+role=main, articleBody), only blocks inside are looked at, and the h1 right before it if it has none. Inside it links make no block bad but
+the items of lists that are all links, which give their label to no neighbour. On pages without a good block, open blocks
+are good: so texts in languages without known stop words, or of a few short sentences, stay.
 
 Null, empty and markup-only pages have an empty text. Cut-off pages give what they have. Nothing is capped, and pages of
 any length are read whole, in time that grows with their length. Repeated pages are extracted one by one; pages with a
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import html
 import re
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -48,6 +51,10 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words of class or id that mark what is not the article (fixed values).
 OUT_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr login menu menubar modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related reply replies search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget widgets".split())
+#: Those of them that name a tool, which may hold the text as well (fixed values).
+TOOL_WORDS = frozenset("login pager pagination related search share sharing signup skip social subscribe toolbar topbar widget widgets".split())
+#: A notice about cookies speaks of them and of one of these (fixed values).
+NOTICE_WORDS = frozenset("accept accepting agree agreeing consent policy privacy".split())
 #: Words of a name that turn what the unwanted word beside them says (fixed values).
 TURNED = frozenset("free has hide hides no non not with without".split())
 OUT_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
@@ -55,6 +62,7 @@ OUT_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog
 _TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*[^>]*>|\Z)|<(?P<end>/?)(?P<name>[a-z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/a-z][^>]*(?:>|\Z)", re.I | re.S)
 _ATTR = re.compile(r"""([a-z][\w:-]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
+_PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6".split())
 _CAMEL = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
@@ -73,25 +81,50 @@ def _left_out(name: str, attrs: dict[str, str], in_article: bool) -> bool:
 
 
 def _suspect(name: str, attrs: dict[str, str], in_article: bool) -> str:
-    """`sure`, `likely` or nothing."""
+    """`sure`, `likely`, `paragraph` (a likely one that is one paragraph) or nothing."""
     if name in ("html", "body", "main"):
         return ""
     found = "sure" if name == "form" else ""
     for token in f"{attrs.get('class', '')} {attrs.get('id', '')}".split():
         words = [w.lower() for w in _CAMEL.findall(token)]
         bad = [w in OUT_WORDS or w == "header" and not in_article for w in words]
-        if bad and all(bad):
+        if bad and all(bad) and not TOOL_WORDS.issuperset(words):
             return "sure"
         if any(bad) and name != "article" and TURNED.isdisjoint(words):
-            found = found or "likely"
+            found = found or ("paragraph" if name in _PARAGRAPH else "likely")
     return found
 
 
+class Block(NamedTuple):
+    text: str
+    linked: int  # characters inside links
+    marked: bool  # in the marked article
+    title: bool  # an h1
+    listed: int  # the innermost list around it, 0 outside lists
+    around: tuple[int, ...]  # suspects
+
+    def links(self) -> bool:
+        return self.linked > MAX_LINK_SHARE * len(self.text)
+
+    def speaks(self) -> bool:
+        """Long, with many stop words."""
+        if len(self.text) < MIN_LONG:
+            return False
+        w = _WORD.findall(self.text.lower())
+        return sum(map(STOP_WORDS.__contains__, w)) >= MIN_STOP_SHARE * max(1, len(w))
+
+    def notice(self) -> bool:
+        w = set(_WORD.findall(self.text.lower()))
+        return len(self.text) < 6 * MIN_LONG and not w.isdisjoint(("cookie", "cookies")) and not w.isdisjoint(NOTICE_WORDS)
+
+
 class _Blocks:
-    """Walks over a page; blocks are (text, characters inside links, in the marked article, suspects around it)."""
+    """Walks over a page and cuts it into blocks."""
 
     def __init__(self, page: str) -> None:
-        self.out: list[tuple[str, int, bool, tuple[int, ...]]] = []
+        self.out: list[Block] = []
+        self.lists: list[int] = []
+        self.n_lists, self.title = 0, False
         self.kind: list[str] = []  # of each suspect
         self.holds: list[bool] = []  # whether an article begins in it
         self.text: list[str] = []
@@ -114,7 +147,8 @@ class _Blocks:
 
     def end_block(self) -> None:
         if self.text and (t := " ".join(html.unescape("".join(self.text)).split())):
-            self.out.append((t, self.linked, bool(self.article), tuple(x[2] for x in self.around)))
+            listed = self.lists[-1] if self.lists else 0
+            self.out.append(Block(t, self.linked, bool(self.article), self.title, listed, tuple(x[2] for x in self.around)))
         self.text.clear()
         self.linked = 0
 
@@ -138,6 +172,9 @@ class _Blocks:
                 return
         if name in BLOCK:
             self.end_block()
+            self.title = name == "h1" and not end
+        if name in ("ul", "ol") and end:
+            del self.lists[-1:]
         if name == "br":
             self.add(" ")
         elif end:
@@ -162,6 +199,9 @@ class _Blocks:
                 self.around.append([name, 1, len(self.kind)])
                 self.kind.append(kind)
                 self.holds.append(False)
+            if name in ("ul", "ol"):
+                self.n_lists += 1
+                self.lists.append(self.n_lists)
             if name == "a":
                 self.in_link = True
             elif name in ("article", "main") or attrs.get("role", "").lower() == "main" or "articlebody" in attrs.get("itemprop", "").lower():
@@ -173,37 +213,51 @@ class _Blocks:
                     self.article.append([name, 1])
 
 
-def blocks(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters inside links, in the marked article) of each block that is not left out; left-out parts end a block."""
+def blocks(page: str) -> list[Block]:
+    """The blocks that are not left out; left-out parts end a block."""
     p = _Blocks(page)
     sure = {k for k, kind in enumerate(p.kind) if kind == "sure"}
-    inside = [b for b in p.out if b[2] and sure.isdisjoint(b[3])]
-    if not inside and any(len(b[0]) for b in p.out if b[2]):
+    if any(b.marked for b in p.out) and not any(b.marked and sure.isdisjoint(b.around) for b in p.out):
         sure -= {k for k in sure if p.holds[k]}
-    rest = [b for b in p.out if sure.isdisjoint(b[3])]
-    size = sum(len(b[0]) for b in rest)
+    rest = [b for b in p.out if sure.isdisjoint(b.around)]
+    size = sum(len(b.text) for b in rest)
     within = dict.fromkeys(range(len(p.kind)), 0)
+    stays = {k for k, holds in enumerate(p.holds) if holds}
     for b in rest:
-        for k in b[3]:
-            within[k] += len(b[0])
-    gone = {k for k, n in within.items() if k not in sure and p.kind[k] == "likely" and not p.holds[k] and 2 * n < size}
-    return [b[:3] for b in rest if gone.isdisjoint(b[3])]
+        for k in b.around:
+            within[k] += len(b.text)
+            if p.kind[k] == "paragraph" and b.speaks() and not b.links():
+                stays.add(k)
+    gone = {k for k, n in within.items() if k not in sure and p.kind[k] in ("likely", "paragraph") and k not in stays and 2 * n < size}
+    return [b for b in rest if gone.isdisjoint(b.around)]
+
+
+def of_article(found: list[Block]) -> list[Block]:
+    """The blocks of the marked article without lists of links, and the title right before it."""
+    words = {b.listed for b in found if b.marked and not (b.links() and len(b.text) < MIN_LONG)}
+    inside = [b for b in found if b.marked and (not b.listed or b.listed in words)]
+    first = next(i for i, b in enumerate(found) if b.marked)
+    for b in reversed(found[:first]):
+        if b.title and not b.links() and not any(x.title for x in inside):
+            return [b, *inside]
+        if b.title or len(b.text) >= MIN_LONG:
+            break
+    return inside
 
 
 def main_text(page: str) -> str:
     found = blocks(page)
-    marked = any(b[2] for b in found)
-    found = [b for b in found if b[2]] if marked else found
+    marked = any(b.marked for b in found)
+    found = of_article(found) if marked else found
+    titles = [i for i, b in enumerate(found) if b.title and not b.links()]
+    head = titles[0] if len(titles) == 1 else 0
     label: list[bool | None] = []
-    for t, linked, _ in found:
-        if linked > MAX_LINK_SHARE * len(t) and (len(t) < MIN_LONG or not marked):
+    for i, b in enumerate(found):
+        edge = i < max(head, 2) or i >= len(found) - 2
+        if not marked and (b.links() or edge and len(found) > 2 and b.notice()):
             label.append(False)
-        elif len(t) < MIN_LONG:
-            label.append(None)
         else:
-            w = _WORD.findall(t.lower())
-            stop = sum(map(STOP_WORDS.__contains__, w)) >= MIN_STOP_SHARE * max(1, len(w))
-            label.append(True if stop else None)
+            label.append(True if b.speaks() else None)
     # pass 2: the nearest decided block on each side
     n, some = len(found), True in label
     near: list[list[tuple[int, bool] | None]] = [[None, None] for _ in range(n)]
@@ -214,11 +268,11 @@ def main_text(page: str) -> str:
             if label[i] is not None:
                 last = (i, label[i])
     keep = []
-    for i, (t, _, _) in enumerate(found):
+    for i, b in enumerate(found):
         sides = [x for x in near[i] if x]
         good = label[i] if label[i] is not None else not some or min(sides, key=lambda x: (x[0], not x[1]))[1]
         if good:
-            keep.append(t)
+            keep.append(b.text)
     return "\n".join(keep)
 
 

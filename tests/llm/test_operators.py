@@ -332,6 +332,32 @@ def test_html_suspects():
     assert html.main_text(f"<div class=comment>{LONG}</div>") == ""
 
 
+TEXT = re.sub("<.*?>", "", LONG)
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<article><h1><a href=/p>The linked title</a></h1>{LONG}</article>", ["The linked title", TEXT]),
+        (f"<article>{LONG}<p><a href=/q>An earlier text on this</a></p><p>Short final remark.</p></article>", [TEXT, "An earlier text on this", "Short final remark."]),
+        (f"<article>{LONG}<ul><li><a href=/q>One</a></li><li><a href=/r>Two</a></li></ul><p>Short final remark.</p></article>", [TEXT, "Short final remark."]),
+        (f"<article>{LONG}<ul><li><a href=/q>One</a></li><li>Two, without a link</li></ul></article>", [TEXT, "One", "Two, without a link"]),
+        (f"<article>{LONG}{LONG.replace('<p>', '<p class=share>')}{LONG}<p class=share>Share this</p></article>", [TEXT] * 3),
+        (f"<body><div id=search><h2>Results</h2>{LONG}{LONG}</div></body>", ["Results", TEXT, TEXT]),
+        (f"<body>{LONG}{LONG}{LONG}<div class=related>{LONG}</div></body>", [TEXT] * 3),
+        (f"<body><header><h1>Site</h1></header><h1>The title</h1><p>By one</p><article>{LONG}</article></body>", ["The title", TEXT]),
+        (f"<body><h1>Site</h1><article><h1>The title</h1>{LONG}</article></body>", ["The title", TEXT]),
+        (f"<body><h1><a href=/>Site</a></h1><article>{LONG}</article></body>", [TEXT]),
+        (f"<body><p>We use cookies on this site to give you the best of it, and you accept them by going on to read.</p><h1>Title</h1>{LONG}</body>", ["Title", TEXT]),
+        (f"<body><h1>Title</h1>{LONG}{LONG}<p>The cookies that he baked are good, and it is a privacy of his how he has made them in the night.</p>{LONG}{LONG}{LONG}</body>", 7),
+        (f"<article>{LONG}<p>The cookies are gone, and we accept that it was the dog who had them in the night.</p></article>", 2),
+    ],
+)
+def test_html_text_stays(page, want):
+    got = html.main_text(page).split("\n")
+    assert got == want or len(got) == want
+
+
 def test_html_without_known_stop_words():
     zh = "这是一篇没有空格的文章" * 20
     assert html.main_text(f"<ul><li><a href=x>菜单</a></li></ul><h1>标题</h1><p>{zh}</p><p>结束。</p>") == f"标题\n{zh}\n结束。"
