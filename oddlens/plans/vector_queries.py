@@ -524,6 +524,43 @@ def g12_overlay(spark, sf):
     return fx.grids(spark, sf).select("item_id", F.round(gr.total(gr.overlay(F.col("grid"), mask)), 5).alias("mass"))
 
 
+def _cells(g, array, name, digits=6):
+    """A row for each cell of an array column: item_id, pos, and its rounded value."""
+    d = g.select("item_id", F.posexplode(array).alias("pos", "_x"))
+    return d.select("item_id", F.col("pos").cast("long").alias("pos"), F.round("_x", digits).alias(name))
+
+
+@query("g4_histogram_bins", fx.sql("WITH b AS (SELECT item_id, least(31, floor(x * 32))::BIGINT AS pos, count(*) AS c FROM (SELECT item_id, unnest(grid) AS x FROM grids) GROUP BY ALL), a AS (SELECT item_id, p AS pos FROM grids, range(32) AS u(p)) SELECT item_id, pos, round(coalesce(c, 0) * 32.0::DOUBLE / 64, 6) AS density FROM a LEFT JOIN b USING (item_id, pos)"))
+def g4_histogram_bins(spark, sf):
+    """All 32 bins of the global features' histogram."""
+    return _cells(fx.grids(spark, sf), gr.histogram(F.col("grid"), 32), "density")
+
+
+@query("g10_unit_cells", fx.sql("SELECT item_id, p - 1 AS pos, round(grid[p] / CASE WHEN list_dot_product(grid, grid) = 0 THEN 1 ELSE sqrt(list_dot_product(grid, grid)) END, 6) AS x FROM grids, range(1, 65) AS u(p)"))
+def g10_unit_cells(spark, sf):
+    """All cells of the unit vectors; a zero vector stays."""
+    return _cells(fx.grids(spark, sf), ve.unit(F.col("grid")), "x")
+
+
+@query("g11_upsampled_cells", fx.sql(f"WITH c AS (SELECT item_id, grid, p AS pos, p // 14 AS y, p % 14 AS x FROM grids, range(196) AS u(p)), f AS (SELECT *, {UP.format(v='y')} AS fy, {UP.format(v='x')} AS fx FROM c), g AS (SELECT *, floor(fy)::INT AS y0, floor(fx)::INT AS x0, least(7, floor(fy)::INT + 1) AS y1, least(7, floor(fx)::INT + 1) AS x1 FROM f) SELECT item_id, pos, round(CASE WHEN x BETWEEN 2 AND 11 AND y BETWEEN 2 AND 11 THEN (grid[y0 * 8 + x0 + 1] * (1 - fx + x0) + grid[y0 * 8 + x1 + 1] * (fx - x0)) * (1 - fy + y0) + (grid[y1 * 8 + x0 + 1] * (1 - fx + x0) + grid[y1 * 8 + x1 + 1] * (fx - x0)) * (fy - y0) ELSE 0 END, 5) AS heat FROM g"))
+def g11_upsampled_cells(spark, sf):
+    """All cells of the maps laid back on their canvas, the empty border too."""
+    return _cells(fx.grids(spark, sf), gr.upsampled(F.col("grid"), 8, (2, 2, 12, 12), 14), "heat", 5)
+
+
+@query("g12_overlay_cells", fx.sql("SELECT item_id, p - 1 AS pos, round(CASE WHEN grid[p] > 0.55 THEN least(1.0, greatest(0.0, 0.6::DOUBLE * grid[p] + 0.4::DOUBLE)) ELSE grid[p] END, 5) AS x FROM grids, range(1, 65) AS u(p)"))
+def g12_overlay_cells(spark, sf):
+    """All cells of the blend with the mask."""
+    mask = F.transform("grid", lambda x: (x > F.lit(0.55)).cast("int"))
+    return _cells(fx.grids(spark, sf), gr.overlay(F.col("grid"), mask), "x", 5)
+
+
+@query("m13_contrast_cells", fx.sql("SELECT item_id, p - 1 AS pos, round(abs(grid[p] - list_sum(grid) / 64), 6) AS contrast FROM grids, range(1, 65) AS u(p)"))
+def m13_contrast_cells(spark, sf):
+    """All cells of the local contrast."""
+    return _cells(fx.grids(spark, sf), gr.local_contrast(F.col("grid")), "contrast")
+
+
 G13 = """
 WITH cell AS (SELECT item_id, p FROM grids, range(64) AS u(p) WHERE grid[p + 1] > list_aggregate(grid, 'quantile_cont', 0.75)),
 near AS (SELECT a.item_id, a.p AS p, b.p AS q FROM cell a JOIN cell b ON a.item_id = b.item_id AND (a.p = b.p OR abs(a.p - b.p) = 8 OR abs(a.p - b.p) = 1 AND a.p // 8 = b.p // 8))
