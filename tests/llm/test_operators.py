@@ -737,3 +737,78 @@ def test_large_tables_are_not_broadcast(name, spark, small, monkeypatch):
     monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)
     assert rows_of(queries.QUERIES[name](spark, small).toPandas()) == few
+
+
+def pipeline_docs():
+    """Documents of a good and a bad host, with near copies, a passage that documents share, and benchmark items with edits."""
+    rng = random.Random(77)
+    passage, items = text_of(60, "shared", 5000), [(i, text_of(25, f"item{i}", 5000)) for i in range(4)]
+    texts = []
+    for i in range(40):
+        w = words(150, f"doc{i}", 5000)
+        at = rng.randrange(20, 100)
+        if i % 5 == 1:
+            w[at:at] = passage.split()
+        if i % 10 == 3:
+            item = items[i // 10][1]
+            w[at:at] = (item[:50] + "z" + item[51:]).split()
+        texts.append(" ".join(w))
+        if i % 4 == 0:
+            w[75] = "changed"
+            texts += [" ".join(w)] * 2
+    rows = [(i, t, "en", ("a", "b", "é", None)[i % 4], len(t)) for i, t in enumerate(texts)]
+    rows += [(500 + i, "# $ % & * | " * 20, "en", "spam", 240) for i in range(30)] + [(600, text_of(120, "spam", 5000), "en", "spam", 1), (601, "few words", "en", "a", 9), (602, None, None, None, None), (603, "", "en", "a", 0)]
+    rng.shuffle(rows)
+    return rows, items
+
+
+def test_pipeline_stages_by_force(spark, tmp_path):
+    """What every stage keeps of all its predecessor kept, against the brute force of its operator."""
+    import corpus_pipeline as p
+
+    rows, items = pipeline_docs()
+    spark.createDataFrame(rows, DOCS).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    at, out = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for _, stage in p.STAGES:
+        before = at.toPandas()
+        at = mixing.written(stage(spark, at, str(tmp_path)), "stage")
+        out.append((before, at.toPandas()))
+    ids = [({int(x) for x in b.doc_id}, {int(x) for x in a.doc_id}) for b, a in out]
+
+    documents = out[0][0]  # noqa: F841  (read by the SQL)
+    kept = {r[0] for r in duckdb.sql(f"SELECT doc_id FROM ({quality.ORACLE}) WHERE kept").fetchall()}
+    assert ids[0][1] == kept and 600 not in kept and len(kept) == 60
+
+    force = components_by_force(out[1][0])
+    assert ids[1][1] == {i for i, (_, c) in force.items() if c == i} and len(ids[1][1]) == 40
+
+    force = removed_by_force(out[2][0])
+    got = {int(r.doc_id): (r.text.encode(), r.n_chars) for r in out[2][1].itertuples()}
+    assert {i: hashlib.sha256(t).hexdigest() for i, (t, _) in got.items()} == {i: x[3] for i, x in force.items()}
+    assert sum(x[1] > 0 for x in force.values()) >= 7 and all(n == len(t) for t, n in got.values())
+
+    hits = {int(d) for d, t in zip(out[3][0].doc_id, out[3][0].text, strict=True) for _, item in items if distance_by_force(decontaminate.plain(item), decontaminate.plain(t)) <= len(item) // decontaminate.CHARS_PER_EDIT}
+    assert ids[3][1] == ids[3][0] - hits and len(hits) == 4
+
+    size, taken = collections.Counter(), collections.Counter()
+    mix = out[4]
+    for r in mix[0].itertuples():
+        size[r.source] += len(r.text.split())
+    for r in mix[1].itertuples():
+        taken[r.source] += len(r.text.split())
+    longest = max(len(t.split()) for t in mix[0].text)
+    for s, want in targets_by_force(size).items():
+        assert 0 <= want - taken[s] <= longest
+    assert mix[1].groupby("doc_id").size().max() <= 2 and set(zip(mix[1].doc_id, mix[1].text, strict=True)) <= set(zip(mix[0].doc_id, mix[0].text, strict=True))
+    assert rows_of(p.run(spark, str(tmp_path)).toPandas()) == rows_of(mix[1])
+
+
+def test_pipeline_of_no_documents(spark, tmp_path):
+    import corpus_pipeline as p
+
+    rows, items = pipeline_docs()
+    spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = p.run(spark, str(tmp_path))
+    assert got.count() == 0 and got.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"]
