@@ -137,8 +137,9 @@ def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
 def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that pass their own base rule and their host's verdict, with their columns as they are."""
     clash = [c for c in docs.columns if c not in ("doc_id", "text", "source")]
-    slim = docs.select("doc_id", "text", "source", F.struct(*[docs[c] for c in clash] or [F.lit(None)]).alias("_more"))
-    out = judged(slim).where("kept")
+    slim = docs.select("doc_id", "text", "source", F.struct(*[docs[c] for c in clash] or [F.lit(0)]).alias("_more"))
+    # texts are measured once: the hosts' counts read the measures of the written table, and its rows that pass are the result
+    out = judged(slim, keep=["doc_id", "text", "source", "_more"]).where("kept")
     return out.select(*[F.col(f"_more.`{c}`").alias(c) if c in clash else c for c in docs.columns])
 
 
