@@ -270,9 +270,10 @@ def test_jaccard_links_sets_of_unlike_size(spark):
     assert {r.doc_id: r.component_id for r in got.itertuples()} == {i: i - i % 2 for i in range(len(rows))}
 
 
-@pytest.mark.parametrize("many", [50_000, 0])
-def test_components(spark, many, monkeypatch):
+@pytest.mark.parametrize(("many", "part"), [(50_000, 500_000), (50_000, 7), (0, 7)])
+def test_components(spark, many, part, monkeypatch):
     monkeypatch.setattr(components, "MANY", many)
+    monkeypatch.setattr(components, "PART", part)
     rng = random.Random(5)
     edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(i, i + 1) for i in range(100, 130)]
     up = {x: x for e in edges for x in e}
@@ -287,6 +288,20 @@ def test_components(spark, many, monkeypatch):
     assert got == {x: root(x) for e in edges if e[0] != e[1] for x in e}
 
 
+def test_components_without_links(spark):
+    for rows in ([], [(3, 3), (4, 4)]):
+        assert components.components(spark.createDataFrame(rows, "a bigint, b bigint")).isEmpty()
+
+
+def test_least_of_parts_of_long_lines_and_stars():
+    rng = np.random.default_rng(2)
+    name = rng.permutation(5000) - 2500  # a line in any order, and a star whose centre is its greatest node
+    u, v = np.concatenate([name[:-1], np.full(900, 9999)]), np.concatenate([name[1:], np.arange(9000, 9900)])
+    nodes, least = components.least_of_parts(u, v)
+    assert nodes.tolist() == [*range(-2500, 2500), *range(9000, 9900), 9999]
+    assert least.tolist() == [-2500] * 5000 + [9000] * 901
+
+
 # 3
 
 PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style><script>var a="<p>no</p>";</script></head><body>
