@@ -4,6 +4,7 @@ import duckdb
 from conftest import rows_of
 from pyspark.sql import functions as F
 
+from oddlens.operators.evaluation import quantile
 from oddlens.plans import registry
 from oddlens.streaming.scoring import first_copies, once, scored_stream
 
@@ -56,3 +57,16 @@ def test_once_odd_rows(spark, tmp_path):
         s.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/{name}-state").option("path", f"{tmp_path}/{name}-out").trigger(availableNow=True).start().awaitTermination()
         got = [r[0] for r in spark.read.schema(df.schema).parquet(f"{tmp_path}/{name}-out").collect()]
         assert sorted(map(str, got)) == (["None", "None", "hot", "x"] if name == "some" else [])
+
+
+def test_statistics_are_fixed_before_the_stream(spark, small, monkeypatch):
+    """Mean, deviation and threshold come from one computation: a table of their own, not events again with sums in another order."""
+    from oddlens.plans import stream_queries as sq
+
+    seen = []
+    monkeypatch.setattr(sq, "quantile", lambda z, *a: seen.append(z) or quantile(z, *a))
+    monkeypatch.setattr(sq, "scored_stream", lambda items, stats, **k: seen.append(stats) or scored_stream(items, stats, **k))
+    sq.x1_stream_scoring(spark, small)
+    z, stats = seen
+    assert any("/moments-" in f for f in z.inputFiles())
+    assert stats.inputFiles() and not any("events" in f for f in stats.inputFiles())
