@@ -27,6 +27,7 @@ ids of its own. Keys are whole numbers; others raise ValueError. Only the key an
 
 from __future__ import annotations
 
+import functools
 import itertools
 import uuid
 import zlib
@@ -164,12 +165,14 @@ class Encoder:
         if self.cut is None:
             return self._ids(words)
         plain = self.plain
-        own = [w if plain(w) else "" for w in words]
-        if any(s in w for s in self.special for w in own):
+        own = [w if w.isascii() and w.isprintable() or plain(w) else "" for w in words]
+        text = "\n".join([*own, ""])
+        if any(s in text for s in self.special):
             own = ["" if any(s in w for s in self.special) else w for w in own]
+            text = "\n".join([*own, ""])
         if len(self.pieces.known) > KEPT:
             self.pieces = Ragged()
-        cut = self.cut("\n".join([*own, ""]))
+        cut = self.cut(text)
         numbers, new = self.pieces.numbers(cut, len(cut))
         tokenize, end = self.tok.model.tokenize, "\n"
         ids = [() if p == end else [t.id for t in tokenize(p if p.isascii() else "".join(map(_BYTE.__getitem__, p.encode())))] for p in new]
@@ -183,23 +186,46 @@ class Encoder:
             flat, size[odd] = np.insert(flat, np.repeat(ends[odd], n), more), n
         return flat, size
 
-    def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts end to end, each with the end id, numbers of ids of each)."""
+    def of(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts end to end, each with the end id, numbers of ids of each). texts: an Arrow array, or a list, of strings and nulls.
+
+        Arrow splits the texts and numbers their different words, so that only these are looked up one by one. White space at
+        a text's ends gives empty words, which have no ids.
+        """
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
         if not self.by_word:
-            ids, size = self._ids([t or "" for t in texts])
+            ids, size = self._ids([t or "" for t in (texts.to_pylist() if isinstance(texts, pa.Array) else texts)])
             return np.insert(ids, np.cumsum(size), END_ID), size + 1
         if len(self.words.known) > KEPT:
             self.words = Ragged()
-        parts = [t.encode().split() if t else [] for t in texts]
-        n_words = np.fromiter(map(len, parts), np.int64, len(parts))
-        numbers, new = self.words.numbers(itertools.chain.from_iterable(parts), int(n_words.sum()))
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        parts = pc.ascii_split_whitespace(texts)
+        n_words = pc.list_value_length(parts).fill_null(0).to_numpy().astype(np.int64)
+        coded = parts.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        numbers, new = self.words.numbers(words, len(words))
         if new:
-            self.words.add(*self._learn([x.decode() for x in new]))
-        flat, before = self.words.of(numbers)
+            self.words.add(*self._learn(new))
+        flat, before = self.words.of(numbers[coded.indices.to_numpy()])
         ends = np.cumsum(n_words)
         return np.insert(flat, before[ends], END_ID), before[ends] - before[ends - n_words] + 1
 
 
+@functools.cache
+def encoder_of(path: str) -> Encoder:
+    """A worker's encoder: what it learned from one task serves the next. It holds few more than KEPT words and KEPT pieces."""
+    return Encoder(path)
+
+
+@functools.cache
+def _unzip():
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress
+
+
 def squeezed(ids: np.ndarray, size: np.ndarray) -> list[bytes]:
     """Each text's ids, compressed."""
     import zstandard
@@ -218,9 +244,7 @@ def squeezed(ids: np.ndarray, size: np.ndarray) -> list[bytes]:
 
 
 def restored(cell: bytes) -> np.ndarray:
-    import zstandard
-
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(cell[1:]), "<u2" if cell[:1] == b"2" else "<u4")
+    return np.frombuffer(_unzip()(cell[1:]), "<u2" if cell[:1] == b"2" else "<u4")
 
 
 def encoded(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -231,17 +255,18 @@ def encoded(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id")
         import os
 
         import pyarrow as pa
+        import pyarrow.compute as pc
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, part, row = Encoder(path), TaskContext.get().partitionId(), 0
+        encoder, part, row = encoder_of(path), TaskContext.get().partitionId(), 0
         for b in batches:
-            chars = np.cumsum(b.column(1).cast(pa.large_string()).to_pandas().str.len().fillna(0).to_numpy())
+            chars = np.cumsum(pc.utf8_length(b.column(1)).fill_null(0).to_numpy().astype(np.int64))
             lo = 0
             while lo < b.num_rows:
                 hi = max(lo + 1, int(np.searchsorted(chars, (chars[lo - 1] if lo else 0) + PORTION, "right")))
                 own = b.slice(lo, hi - lo)
-                ids, size = encoder.of(own.column(1).to_pylist())
+                ids, size = encoder.of(own.column(1))
                 yield pa.RecordBatch.from_arrays([own.column(0), pa.array(np.full(len(size), part, np.int32)), pa.array(np.arange(row, row + len(size))), pa.array(size), pa.array(squeezed(ids, size), pa.binary())], names=[key, "part", "row", "n_ids", "ids"])
                 row += len(size)
                 lo = hi

@@ -97,3 +97,20 @@ def test_broken_file(tmp_path):
     (tmp_path / "x.ids").write_bytes(bytes(40))
     with pytest.raises(ValueError):
         tf.read_file(f"file://{tmp_path}/x.ids", np.arange(3))
+
+
+def test_only_different_words_are_looked_up(monkeypatch):
+    """A text of repeated words asks for each once, white space at the ends gives nothing, and an encoder serves a worker's later tasks."""
+    asked = []
+    numbers = tf.Ragged.numbers
+    monkeypatch.setattr(tf.Ragged, "numbers", lambda self, keys, n: asked.append(n) or numbers(self, keys, n))
+    e = tf.encoder_of(PATH)
+    assert tf.encoder_of(PATH) is e
+    texts = ["  the cat\n" * 500 + "\tthe", None, "cat the ", "", " \n\x0b", "x\x1cy\x85z \xa0the"]
+    ids, size = e.of(texts)
+    assert asked[0] <= 6  # the, cat, the two of the last text, and the empty word
+    want = [[*e.tok.encode(t or "", add_special_tokens=False).ids, tf.END_ID] for t in texts]
+    assert ids.tolist() == [i for t in want for i in t] and size.tolist() == list(map(len, want))
+    asked.clear()
+    e.of(["cat the the"])
+    assert asked == [2]  # nothing new to cut
