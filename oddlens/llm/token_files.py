@@ -11,12 +11,13 @@ key and place, and every range writes files of about FILE_IDS ids. A file holds
     data: the ranks, little-endian, 1 to 4 bytes each
 
 and next to the files lies `ranks`, the ids by rank. As frequent ids have small ranks, most of them take one byte. A
-reader decodes with table lookups over whole arrays: a control byte gives the length of its group of four and the places
-of the 16 bytes of four 32-bit numbers in it, as a byte shuffle would.
+reader decodes with table lookups over whole arrays: a control byte gives the length of its group of four and which of the
+16 bytes of four 32-bit numbers are in it, as a byte shuffle would.
 
-With a tokenizer whose pre-tokenizer drops white space and never matches across it, a task has the library encode each word
-once and then looks it up; of words of plain Latin characters the pieces that the pre-tokenizer's own pattern cuts go to the
-library's model, once each. Other tokenizers get whole texts. Special strings inside texts are what the library makes of them.
+With a tokenizer whose pre-tokenizer drops white space and never matches across it, a worker has the library encode each word
+once and then looks it up. Where the pattern is PATTERN, words of plain Latin characters are cut into pieces by kinds of bytes,
+whole portions of texts at once; Arrow numbers the different pieces, and each new one goes to the library's model. Other
+tokenizers get whole texts. Special strings inside texts are what the library makes of them.
 The table between holds each text's ids compressed, as does its shuffle.
 
 Null, empty and blank texts hold the end id only. A text of any length is one unit: a file holds at least one. Rows come
@@ -27,8 +28,10 @@ ids of its own. Keys are whole numbers; others raise ValueError. Only the key an
 
 from __future__ import annotations
 
-import functools
 import itertools
+import re
+import sys
+import types
 import uuid
 import zlib
 from collections import defaultdict
@@ -42,45 +45,64 @@ from oddlens.llm.common import SPACE, freed_rows, shared_dir, written
 from oddlens.llm.tokens import byte_chars
 
 END_ID = 1
-#: Ids of a file, ids that a range of the sort aims at, and words whose ids a task keeps.
-FILE_IDS, RANGE_IDS, KEPT = 4_000_000, 4_000_000, 600_000
+#: Ids of a file, ids that a range of the sort aims at, and words and pieces whose ids a worker keeps.
+FILE_IDS, RANGE_IDS, KEPT = 4_000_000, 4_000_000, 1_000_000
 #: Characters of texts that a task encodes at once.
-PORTION = 2_000_000
+PORTION = 8_000_000
 #: Printable ASCII and Latin letters that are one letter in every form: no normaliser but lower case changes them, and all are letters.
 PLAIN = r"[!-~À-ÖØ-öø-įĲ-ſ]+"
+#: The cutting pattern that Encoder._cut follows (fixed value).
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 MAGIC = int.from_bytes(b"ranked01", "little")
 
-# by control byte: bytes of each of its four numbers, of all of them, and the places of 16 bytes in the group (-1: zero)
-_LENGTH = np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3
-_LENGTH = _LENGTH + 1
+# by control byte: bytes of its four numbers, and which of the 16 bytes of four 32-bit numbers are there
+_LENGTH = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 _TOTAL = _LENGTH.sum(1)
-_PLACES = np.where(np.arange(4) < _LENGTH[:, :, None], (np.cumsum(_LENGTH, 1) - _LENGTH)[:, :, None] + np.arange(4), -1).reshape(256, 16)
+_THERE = (np.arange(4) < _LENGTH[:, :, None]).reshape(256, 16)
+#: Groups that are coded at once.
+GROUPS = 65_536
 
 
 _BYTE = {b: c for c, b in byte_chars().items()}
 
+# kinds of bytes, and the lower case of PLAIN's letters of two bytes (0: not one of them)
+_SPACE, _LETTER, _DIGIT, _MARK, _ODD = range(5)
+_KIND = bytes([_SPACE if c in SPACE else _LETTER if c.isalpha() else _DIGIT if c.isdigit() else _MARK if "!" <= c <= "~" else _ODD for c in map(chr, range(128))] + [_ODD] * 128)
+_LETTERS = np.array([ord(chr(c).lower()) if c > 127 and re.fullmatch(PLAIN, chr(c)) else 0 for c in range(0x800)], np.uint16)
+
+
+def kept(name: str, make):
+    """make(), once a worker: what travels with the code of a task starts anew in the next one, a module of the interpreter does not."""
+    store = vars(sys.modules.setdefault("_oddlens_kept", types.ModuleType("_oddlens_kept")))
+    if name not in store:
+        store[name] = make()
+    return store[name]
+
 
 def pack(numbers: np.ndarray) -> tuple[bytes, bytes]:
     """(control bytes, data) of numbers below 2**32; the last group is filled up with zeros."""
-    x = np.zeros(-(-len(numbers) // 4) * 4, "<u4")
-    x[: len(numbers)] = numbers
-    size = 1 + (x > 0xFF).astype(np.int64) + (x > 0xFFFF) + (x > 0xFFFFFF)
-    control = ((size - 1).reshape(-1, 4) << np.array([0, 2, 4, 6])).sum(1).astype(np.uint8)
-    data = x.view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]]
-    return control.tobytes(), data.tobytes()
+    x = np.zeros((-(-len(numbers) // 4), 4), "<u4")
+    x.ravel()[: len(numbers)] = numbers
+    control, data = np.empty(len(x), np.uint8), []
+    for lo in range(0, len(x), GROUPS):
+        part = x[lo : lo + GROUPS]
+        more = (part > 0xFF).view(np.uint8) + (part > 0xFFFF) + (part > 0xFFFFFF)
+        c = more[:, 0] | more[:, 1] << 2 | more[:, 2] << 4 | more[:, 3] << 6
+        control[lo : lo + GROUPS] = c
+        data.append(part.view(np.uint8)[_THERE[c]].tobytes())
+    return control.tobytes(), b"".join(data)
 
 
 def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The first n numbers of packed groups, by table lookup, a block of groups at a time."""
-    c = np.frombuffer(control, np.uint8)
-    start = np.cumsum(_TOTAL[c]) - _TOTAL[c]
-    d = np.append(np.frombuffer(data, np.uint8), np.uint8(0))
-    out = np.empty(len(c) * 4, "<u4")
-    for lo in range(0, len(c), 65_536):
-        places = _PLACES[c[lo : lo + 65_536]]
-        at = np.where(places < 0, len(d) - 1, start[lo : lo + 65_536, None] + places)
-        out[lo * 4 : lo * 4 + len(at) * 4] = d[at].view("<u4").ravel()
-    return out[:n]
+    c, d = np.frombuffer(control, np.uint8), np.frombuffer(data, np.uint8)
+    out, at = np.zeros((len(c), 16), np.uint8), 0
+    for lo in range(0, len(c), GROUPS):
+        part = c[lo : lo + GROUPS]
+        end = at + int(_TOTAL[part].sum())
+        out[lo : lo + GROUPS][_THERE[part]] = d[at:end]
+        at = end
+    return out.view("<u4").ravel()[:n]
 
 
 class Ragged:
@@ -113,7 +135,6 @@ class Encoder:
     def __init__(self, path: str) -> None:
         import json
 
-        import regex
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -122,23 +143,17 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.by_word = self._by_word(spec)
-        self.cut = self._cutter(spec) if self.by_word else None
-        self.plain = regex.compile(PLAIN).fullmatch
-        self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.words, self.pieces = Ragged(), Ragged()
+        self.by_piece = self.by_word and self._by_piece(spec)
+        norm = spec.get("normalizer") or {}
+        self.lower = any(n["type"] == "Lowercase" for n in norm.get("normalizers") or [norm] if n)
+        self.special = [t["content"].encode() for t in spec.get("added_tokens", [])]
+        self.words = Ragged()
 
     @staticmethod
-    def _cutter(spec: dict):
-        """A function that cuts a text of PLAIN characters and line ends into pieces and line ends; None if other steps follow the cut."""
-        import regex
-
+    def _by_piece(spec: dict) -> bool:
+        """Whether the pieces of plain words are those of PATTERN, with no other step after the cut than the bytes' stand-ins."""
         first, *rest = spec["pre_tokenizer"].get("pretokenizers") or [spec["pre_tokenizer"]]
-        if any(r.get("type") != "ByteLevel" or r.get("use_regex") or r.get("add_prefix_space") for r in rest):
-            return None
-        norm = spec.get("normalizer") or {}
-        lower = any(n["type"] == "Lowercase" for n in norm.get("normalizers") or [norm] if n)
-        find = regex.compile(rf"{first['pattern']['Regex']}|\n").findall
-        return lambda text: find(text.lower() if lower else text)
+        return first["pattern"]["Regex"] == PATTERN and [(r.get("type"), bool(r.get("use_regex")), bool(r.get("add_prefix_space"))) for r in rest] == [("ByteLevel", False, False)]
 
     @staticmethod
     def _by_word(spec: dict) -> bool:
@@ -160,40 +175,119 @@ class Encoder:
         size = np.fromiter(map(len, got), np.int64, len(got))
         return np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(size.sum())), size
 
-    def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of words end to end, numbers of ids of each)."""
-        if self.cut is None:
-            return self._ids(words)
-        plain = self.plain
-        own = [w if w.isascii() and w.isprintable() or plain(w) else "" for w in words]
-        text = "\n".join([*own, ""])
-        if any(s in text for s in self.special):
-            own = ["" if any(s in w for s in self.special) else w for w in own]
-            text = "\n".join([*own, ""])
-        if len(self.pieces.known) > KEPT:
-            self.pieces = Ragged()
-        cut = self.cut(text)
-        numbers, new = self.pieces.numbers(cut, len(cut))
-        tokenize, end = self.tok.model.tokenize, "\n"
-        ids = [() if p == end else [t.id for t in tokenize(p if p.isascii() else "".join(map(_BYTE.__getitem__, p.encode())))] for p in new]
-        self.pieces.add(np.fromiter(itertools.chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)))
-        flat, before = self.pieces.of(numbers)
-        ends = before[np.flatnonzero(numbers == self.pieces.known[end])]
-        size = np.diff(ends, prepend=0)
-        odd = [k for k, w in enumerate(own) if not w]
-        if odd:
-            more, n = self._ids([words[k] for k in odd])
-            flat, size[odd] = np.insert(flat, np.repeat(ends[odd], n), more), n
-        return flat, size
+    def _cut(self, raw: np.ndarray, first: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+        """Pieces of texts that lie end to end in raw and begin at the places first: (their bytes end to end, the place in them at
+        which each starts, and their end, its place in raw, whether it is a whole word that the library has to cut).
+
+        A piece starts where the kind of byte changes, at digits, and around 's, 't, 're, 've, 'm, 'll, 'd where the mark starts a
+        piece. Words with bytes of no known kind, or with a special string, stay whole and as they are.
+        """
+        n, whole = len(raw), raw.tobytes()
+        kind, low = (np.frombuffer(bytearray(x + bytes(3)), np.uint8) for x in (whole.translate(_KIND), whole.lower() if self.lower else whole))
+        two = np.flatnonzero(raw[:-1] & 0xE0 == 0xC0)
+        letter = _LETTERS[(raw[two] & 0x1F).astype(np.int64) << 6 | raw[two + 1] & 0x3F]
+        good = (letter > 0) & (raw[two + 1] & 0xC0 == 0x80)
+        two, letter = two[good], letter[good]
+        kind[two] = kind[two + 1] = _LETTER
+        if self.lower:
+            low[two], low[two + 1] = 0xC0 | letter >> 6, 0x80 | letter & 0x3F
+        head = np.zeros(n + 3, bool)
+        head[first] = head[0] = True
+
+        start = np.append(True, kind[1:] != kind[:-1])
+        start |= head
+        start |= kind == _DIGIT
+        start &= kind != _SPACE
+        mark = np.flatnonzero(low == ord("'"))
+        mark = mark[start[mark] & (kind[mark + 1] == _LETTER) & ~head[mark + 1]]
+        b, c = low[mark + 1], low[mark + 2]
+        short = np.isin(b, np.frombuffer(b"stmd", np.uint8))
+        long = ((np.isin(b, np.frombuffer(b"rv", np.uint8)) & (c == ord("e"))) | ((b == ord("l")) & (c == ord("l")))) & ~head[mark + 2]
+        start[mark[short | long] + 1] = False
+        after = np.append(mark[short] + 2, mark[long] + 3)
+        start[after[kind[after] == _LETTER]] = True
+
+        odd = [np.flatnonzero(kind == _ODD)]
+        for s in self.special:
+            at = whole.find(s)
+            while at >= 0:
+                odd.append(np.array([at]))
+                at = whole.find(s, at + 1)
+        odd, within = np.concatenate(odd), None
+        if len(odd):
+            full = kind != _SPACE
+            begins = np.flatnonzero(full & (head | np.append(True, ~full[:-1])))
+            ends = np.flatnonzero(full[:-1] & (head[1:] | ~full[1:])) + 1
+            word = np.unique(np.searchsorted(begins, odd, "right") - 1)
+            step = np.zeros(n + 3, np.int8)
+            np.add.at(step, begins[word], 1)
+            np.add.at(step, ends[word], -1)
+            within = np.cumsum(step, dtype=np.int8) > 0
+            start[within] = False
+            start[begins[word]] = True
+            low[:n][within[:n]] = raw[within[:n]]
+        space = kind == _SPACE
+        at = np.flatnonzero(start)
+        data = low[:n].tobytes().translate(None, SPACE.encode())
+        places = np.frombuffer((start.view(np.uint8) | space.view(np.uint8) << 1).tobytes().translate(None, b"\2"), bool)
+        return data, np.append(np.flatnonzero(places), len(data)), at, within[at] if within is not None else np.zeros(len(at), bool)
+
+    def _learn(self, new: list) -> None:
+        """Adds the ids of plain pieces, which are strings, and of whole words, which are tuples of one string; the pieces come first."""
+        tokenize, ids, size = self.tok.model.tokenize, [], []
+        n = sum(isinstance(x, str) for x in new)
+        for p in new[:n]:
+            got = tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(_BYTE))
+            ids += [t.id for t in got]
+            size.append(len(got))
+        self.words.add(np.array(ids, np.uint32), np.array(size, np.int64))
+        if n < len(new):
+            self.words.add(*self._ids([x for (x,) in new[n:]]))
+
+    def _pieces(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers in self.words of the texts' pieces, numbers of pieces of each text)."""
+        import pyarrow as pa
+
+        texts = texts.fill_null("").cast(pa.large_string())
+        _, ends, data = texts.buffers()
+        ends = np.frombuffer(ends, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        raw = np.frombuffer(data or b"", np.uint8)[ends[0] : ends[-1]]
+        ends = ends - ends[0]
+        data, places, at, odd = self._cut(raw, ends[:-1])
+        cells = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(places), pa.py_buffer(data))
+        plain, *more = [cells] if not odd.any() else [cells.filter(pa.array(~odd)), cells.filter(pa.array(odd))]
+        plain, more = plain.dictionary_encode(), [m.dictionary_encode() for m in more]
+        keys = plain.dictionary.to_numpy(zero_copy_only=False).tolist()
+        n = len(keys)
+        keys += [(x,) for m in more for x in m.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        known, new = self.words.numbers(keys, len(keys))
+        if new:
+            self._learn(new)
+        if not more:
+            numbers = known[plain.indices.to_numpy()]
+        else:
+            numbers = np.empty(len(at), np.int64)
+            numbers[~odd], numbers[odd] = known[plain.indices.to_numpy()], known[n + more[0].indices.to_numpy().astype(np.int64)]
+        return numbers, np.diff(np.searchsorted(at, ends))
+
+    def _split(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers in self.words of the texts' words, numbers of words of each text). White space at the ends gives empty words, which have no ids."""
+        import pyarrow.compute as pc
+
+        parts = pc.ascii_split_whitespace(texts)
+        coded = parts.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known, new = self.words.numbers(words, len(words))
+        if new:
+            self.words.add(*self._ids(new))
+        return known[coded.indices.to_numpy()], pc.list_value_length(parts).fill_null(0).to_numpy().astype(np.int64)
 
     def of(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts end to end, each with the end id, numbers of ids of each). texts: an Arrow array, or a list, of strings and nulls.
 
-        Arrow splits the texts and numbers their different words, so that only these are looked up one by one. White space at
-        a text's ends gives empty words, which have no ids.
+        Arrow numbers the different pieces or words, so that only these are looked up one by one.
         """
         import pyarrow as pa
-        import pyarrow.compute as pc
 
         if not self.by_word:
             ids, size = self._ids([t or "" for t in (texts.to_pylist() if isinstance(texts, pa.Array) else texts)])
@@ -201,29 +295,21 @@ class Encoder:
         if len(self.words.known) > KEPT:
             self.words = Ragged()
         texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
-        parts = pc.ascii_split_whitespace(texts)
-        n_words = pc.list_value_length(parts).fill_null(0).to_numpy().astype(np.int64)
-        coded = parts.flatten().dictionary_encode()
-        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        numbers, new = self.words.numbers(words, len(words))
-        if new:
-            self.words.add(*self._learn(new))
-        flat, before = self.words.of(numbers[coded.indices.to_numpy()])
-        ends = np.cumsum(n_words)
-        return np.insert(flat, before[ends], END_ID), before[ends] - before[ends - n_words] + 1
+        numbers, n = (self._pieces if self.by_piece else self._split)(texts)
+        flat, before = self.words.of(numbers)
+        ends = np.cumsum(n)
+        return np.insert(flat, before[ends], END_ID), before[ends] - before[ends - n] + 1
 
 
-@functools.cache
 def encoder_of(path: str) -> Encoder:
-    """A worker's encoder: what it learned from one task serves the next. It holds few more than KEPT words and KEPT pieces."""
-    return Encoder(path)
+    """A worker's encoder: what it learned from one task serves the next. It holds few more than KEPT words and pieces."""
+    return kept(f"encoder {path}", lambda: Encoder(path))
 
 
-@functools.cache
 def _unzip():
     import zstandard
 
-    return zstandard.ZstdDecompressor().decompress
+    return kept("unzip", lambda: zstandard.ZstdDecompressor().decompress)
 
 
 def squeezed(ids: np.ndarray, size: np.ndarray) -> list[bytes]:

@@ -1,10 +1,13 @@
 """Files of token ids against the library, and their coding against itself."""
 
+import subprocess
+import sys
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -114,3 +117,43 @@ def test_only_different_words_are_looked_up(monkeypatch):
     asked.clear()
     e.of(["cat the the"])
     assert asked == [2]  # nothing new to cut
+
+
+def same(e, texts):
+    ids, size = e.of(texts)
+    want = [library(t) for t in texts]
+    assert ids.tolist() == [i for t in want for i in t] and size.tolist() == list(map(len, want))
+
+
+def test_only_different_pieces_are_looked_up(monkeypatch):
+    """Words that differ but consist of the same pieces ask for each piece once; odd words ask for themselves."""
+    asked = []
+    numbers = tf.Ragged.numbers
+    monkeypatch.setattr(tf.Ragged, "numbers", lambda self, keys, n: asked.append(n) or numbers(self, keys, n))
+    e = tf.Encoder(PATH)
+    same(e, [" ".join(f"Größe{i}.été{j}'s" for i in range(100) for j in range(k, 100, 2)) for k in (0, 1)])
+    assert asked == [14]  # größe, été, the dot, 's and ten digits
+    same(e, ["日本 größe,日本", "日本"])
+    assert asked == [14, 2]
+
+
+def test_pieces_end_with_their_texts():
+    """Contractions and runs are not continued in the next text, and case, marks and special strings are the library's."""
+    e = tf.Encoder(PATH)
+    parts = ["don'", "t", "'", "ll", "'l", "l", "'re've'd'm'S'LL", "!'s", "''s", "'s's", "'sword", "1't2", "a", "b", "1", "2", "#", "'", "É", "é\u0301", "ÿŸĿſ×÷ªº", "<|start", "oftext|>", "x<|endoftext|>'ll", "'", "re", "\x1c", "'v\x1ce", None, "", " ' s "]
+    same(e, parts)
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        same(e, ["".join(rng.choice([p or " " for p in parts], rng.integers(0, 6))) for _ in range(rng.integers(1, 8))])
+    raised = tf.Encoder(PATH)
+    raised.by_piece = False  # other patterns: by whole words
+    same(raised, parts)
+
+
+def test_encoder_needs_no_installed_package(tmp_path):
+    """Executors get the encoder with the code of the task."""
+    (tmp_path / "f").write_bytes(cloudpickle.dumps((tf.encoder_of, tf.restored, tf.squeezed)))
+    code = f"import pickle, sys; e, r, s = pickle.load(open('f', 'rb')); assert 'oddlens' not in sys.modules; x = e({PATH!r}); assert x is e({PATH!r}); i, n = x.of(['The cat', '日本']); print(i.tolist(), [r(c).tolist() for c in s(i, n)])"
+    got = subprocess.run([sys.executable, "-I", "-c", code], cwd=tmp_path, capture_output=True, text=True)
+    parts = [library("The cat"), library("日本")]
+    assert got.stdout.strip() == f"{sum(parts, [])} {parts}", got.stderr
