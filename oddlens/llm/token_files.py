@@ -292,7 +292,7 @@ class Encoder:
         if not self.by_word:
             ids, size = self._ids([t or "" for t in (texts.to_pylist() if isinstance(texts, pa.Array) else texts)])
             return np.insert(ids, np.cumsum(size), END_ID), size + 1
-        if len(self.words.known) > KEPT:
+        if len(self.words.known) > KEPT or len(self.words.flat) > 8 * KEPT:
             self.words = Ragged()
         texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
         numbers, n = (self._pieces if self.by_piece else self._split)(texts)
@@ -302,7 +302,7 @@ class Encoder:
 
 
 def encoder_of(path: str) -> Encoder:
-    """A worker's encoder: what it learned from one task serves the next. It holds few more than KEPT words and pieces."""
+    """A worker's encoder: what it learned from one task serves the next. It holds few more than KEPT words and pieces, of 8 ids each on average."""
     return kept(f"encoder {path}", lambda: Encoder(path))
 
 

@@ -150,6 +150,16 @@ def test_pieces_end_with_their_texts():
     same(raised, parts)
 
 
+def test_long_words_are_not_kept_without_bound(monkeypatch):
+    """Words of scripts without white space are few and long: their ids count too."""
+    monkeypatch.setattr(tf, "KEPT", 20)
+    e = tf.Encoder(PATH)
+    same(e, [f"{i}" + "日本語" * 20 for i in range(15)])
+    assert len(e.words.known) == 15 and len(e.words.flat) > 160
+    same(e, ["a b"])
+    assert len(e.words.known) == 2
+
+
 def test_encoder_needs_no_installed_package(tmp_path):
     """Executors get the encoder with the code of the task."""
     (tmp_path / "f").write_bytes(cloudpickle.dumps((tf.encoder_of, tf.restored, tf.squeezed)))
