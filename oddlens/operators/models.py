@@ -213,7 +213,8 @@ def dimension_study(patches: DataFrame, bank: DataFrame, axes: DataFrame, dims:
     d = block_distances(turned(patches.where("split != 'train'")), turned(bank), ["category"], ids, 1, parts=widths)
     least = d.select(*ids, F.posexplode("d").alias("_p", "x")).groupBy(*ids, "_p").agg(F.min("x").alias("score"))
     s = top_fraction(least.select(F.struct("item_id", "_p").alias("_i"), "score"), "_i", "score", {"score": 0.01}, floor=True)
-    s = s.select("_i.item_id", F.get(F.array(*map(F.lit, widths)), F.col("_i._p")).alias("dims"), "score")
+    # written, as the normalisation reads the scores twice and would search twice
+    s = written(s.select("_i.item_id", F.get(F.array(*map(F.lit, widths)), F.col("_i._p")).alias("dims"), "score"), "scores")
     items = patches.where("split != 'train'").select("item_id", "category", "split", "defect_type", "label").distinct()
     z = written(zscore(s.join(items.hint("merge"), "item_id"), ["category", "dims"], 0), "z")
     own = auroc(z.where("split = 'test'"), ["category", "dims"], "z")

@@ -14,7 +14,7 @@ from oddlens.plans import registry
 IDS, RADIUS = 1002 * 200, 1000.0
 TRAIN = [i for i in range(IDS) if i // 20 % 10 < 5]
 STEP = 5.5 / len(TRAIN)
-VALIDATION, GOOD, ANOMALY = 100, 140, 160
+VALIDATION, GOOD, ANOMALY, FAR = 100, 140, 160, 380
 
 
 @pytest.fixture(scope="module")
@@ -22,7 +22,7 @@ def arc(spark, tmp_path_factory):
     out = tmp_path_factory.mktemp("arc")
     at = {v: k for k, v in enumerate(TRAIN)}
     order = sorted(TRAIN, key=lambda v: hashlib.md5(f"{v}#0".encode()).hexdigest())
-    where = {v: float(k) for v, k in at.items()} | {GOOD: at[order[-1]], ANOMALY: at[order[0]] + 0.3, VALIDATION: at[order[1]] + 0.2}
+    where = {v: float(k) for v, k in at.items()} | {GOOD: at[order[-1]], ANOMALY: at[order[0]] + 0.3, VALIDATION: at[order[1]] + 0.2, FAR: len(TRAIN) + 999}
     x = ((v, 0, [RADIUS * float(np.cos(k * STEP)), RADIUS * float(np.sin(k * STEP))]) for v, k in where.items())
     spark.createDataFrame(list(x), "vec_id bigint, label int, embedding array<double>").write.parquet(f"{out}/embeddings.parquet")
     return str(out)
@@ -30,8 +30,14 @@ def arc(spark, tmp_path_factory):
 
 def test_nearest_in_key(spark, arc):
     got = registry.QUERIES["j9_nearest_in_key_whole"](spark, arc).collect()
-    assert [(r["category"], r["n"]) for r in got] == [("cat0", 2)]
-    assert got[0]["mean_score"] == pytest.approx(0.3 * STEP * RADIUS / 2, abs=1.1e-5)
+    assert [(r["category"], r["n"]) for r in got] == [("cat0", 3)]
+    assert got[0]["mean_score"] == pytest.approx((0.3 * STEP + 2 * np.sin(1000 * STEP / 2)) * RADIUS / 3, abs=1.1e-5)
+
+
+def test_dimension_study(spark, arc):
+    """The good item lies on a vector of the bank, an anomaly beside one; without the former the order of these two turns."""
+    got = registry.QUERIES["m11_axis_study"](spark, arc).collect()
+    assert [r.asDict() for r in got] == [{"dims": 2, "mean_auroc": 1.0, "n_categories": 1, "pct_of_full": 100.0}]
 
 
 def test_distances_between_pivots_of_many_cells():
