@@ -34,6 +34,12 @@ def test_nearest_in_key(spark, arc):
     assert got[0]["mean_score"] == pytest.approx((0.3 * STEP + 2 * np.sin(1000 * STEP / 2)) * RADIUS / 3, abs=1.1e-5)
 
 
+def test_one_bank_over_all(spark, arc):
+    got = {r["item_id"]: r["score"] for r in registry.QUERIES["m3_global_memory"](spark, arc).collect()}
+    want = {VALIDATION: 0.2 * STEP, GOOD: 0.0, ANOMALY: 0.3 * STEP, FAR: 2 * np.sin(1000 * STEP / 2)}
+    assert got == pytest.approx({v // 20 * 5: x * RADIUS for v, x in want.items()}, abs=1.1e-5)
+
+
 def test_dimension_study(spark, arc):
     """The good item lies on a vector of the bank, an anomaly beside one; without the former the order of these two turns."""
     got = registry.QUERIES["m11_axis_study"](spark, arc).collect()
